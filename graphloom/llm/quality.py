@@ -94,8 +94,8 @@ def quality_rules(
     lang: str = "lang",
     min_words: int = 50,
     min_common: int = 100,
-    max_class_distance: float = 0.35,
-    max_word_distance: float = 0.75,
+    max_class_distance: float = 0.33,
+    max_word_distance: float = 0.45,
     n_common: int = 24,
     longest: int = 5,
 ) -> DataFrame:
