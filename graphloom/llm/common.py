@@ -28,7 +28,8 @@ def let(value: Column, body) -> Column:
 
 def words_of(text: Column) -> Column:
     """The words `[^\\x20\\x09-\\x0D]+` of a text, none for null."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), "[ \\t-\\r]+"), lambda w: w != "")
+    bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))
+    return let(bare, lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, "[ \\t-\\r]+")))
 
 
 def with_global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> tuple[DataFrame, int]:

@@ -12,24 +12,28 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, LOWER, UPPER, let, words_of
+from .common import UPPER, let, words_of
 
 #: Fixed value: the symbols that the base rule counts.
 SYMBOLS = "#*$%&|<>"
-#: Character classes, each removed from what the former ones left; what remains at last is the seventh.
-CLASSES = (("lower", LOWER), ("blank", BLANKS), ("upper", UPPER), ("digit", "0123456789"), ("symbol", SYMBOLS), ("mark", "!\"'()+,-./:;=?@[\\]^_`{}~"))
+#: Character classes after lower-case letters and blanks, each removed from what the former ones left.
+CLASSES = (("upper", UPPER), ("digit", "0123456789"), ("symbol", SYMBOLS), ("mark", "!\"'()+,-./:;=?@[\\]^_`{}~"))
+N_CLASSES = 3 + len(CLASSES)
 POOL = "*"  # languages that are not listed share one reference
 
 
-def class_counts(text: Column) -> Column:
-    """Array of code points by class: those of CLASSES, then all others. Null counts as empty."""
+def class_counts(text: Column, words: Column) -> Column:
+    """Array of code points by class: a-z, blanks, those of CLASSES, then all others. Null counts as empty."""
+    whole = F.length(F.coalesce(text, F.lit(""))).cast("long")
+    in_words = F.length(F.array_join(words, "")).cast("long")
 
     def step(left: Column, classes: tuple, found: list[Column]) -> Column:
         if not classes:
             return F.array(*found, F.length(left).cast("long"))
         return let(F.translate(left, classes[0][1], ""), lambda rest: step(rest, classes[1:], [*found, (F.length(left) - F.length(rest)).cast("long")]))
 
-    return let(F.coalesce(text, F.lit("")), lambda whole: step(whole, CLASSES, []))
+    other = F.regexp_replace(F.coalesce(text, F.lit("")), "[a-z \\t-\\r]+", "")  # long runs, so few matches
+    return let(other, lambda left: let(in_words, lambda n: step(left, CLASSES, [n - F.length(left), whole - n])))
 
 
 def _repeat_words(words: Column) -> Column:
@@ -49,7 +53,7 @@ def _repeat_words(words: Column) -> Column:
 
 
 def _dup_lines(text: Column) -> Column:
-    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.length(F.trim(F.translate(x, BLANKS, " "))) > 0)
+    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike("[^ \\t-\\r]"))
     return F.when(F.coalesce(text, F.lit("")).contains("\n"), let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))).otherwise(F.lit(0).cast("long"))
 
 
@@ -64,18 +68,19 @@ def language_references(df: DataFrame, languages: Sequence[str], text: str = "te
     words are short; the bound keeps the counted vocabulary small). At most len(languages) + 1 rows.
     """
     key = _language(F.col(lang), languages).alias("_key")
-    counts = df.select(key, class_counts(F.col(text)).alias("n"))
-    classes = counts.groupBy("_key").agg(*[F.sum(F.col("n")[i]).alias(f"c{i}") for i in range(len(CLASSES) + 1)])
-    total = sum((F.col(f"c{i}") for i in range(1, len(CLASSES) + 1)), F.col("c0"))
-    classes = classes.select("_key", F.array(*[F.col(f"c{i}") / F.greatest(total, F.lit(1)) for i in range(len(CLASSES) + 1)]).alias("_class_p"))
-    words = df.select(key, F.explode(words_of(F.col(text))).alias("w")).withColumn("w", F.when(F.length("w") <= longest, F.col("w")))
+    split = let(words_of(F.col(text)), lambda w: F.struct(class_counts(F.col(text), w).alias("n"), F.size(w).cast("long").alias("words")))
+    counts = df.select(key, split.alias("x")).select("_key", "x.*")
+    classes = counts.groupBy("_key").agg(*[F.sum(F.col("n")[i]).alias(f"c{i}") for i in range(N_CLASSES)], F.sum("words").alias("all"))
+    total = sum((F.col(f"c{i}") for i in range(1, N_CLASSES)), F.col("c0"))
+    classes = classes.select("_key", "all", F.array(*[F.col(f"c{i}") / F.greatest(total, F.lit(1)) for i in range(N_CLASSES)]).alias("_class_p"))
+    split = df.select(key, words_of(F.col(text)).alias("ws"))
+    words = split.select("_key", F.explode(F.filter("ws", lambda w: F.length(w) <= longest)).alias("w"))
     words = words.groupBy("_key", "w").agg(F.count(F.lit(1)).alias("n"))
-    sums = words.groupBy("_key").agg(F.sum("n").alias("all"))
-    best = words.where(F.col("w").isNotNull()).withColumn("k", F.row_number().over(Window.partitionBy("_key").orderBy(F.desc("n"), "w"))).where(F.col("k") <= n_common)
-    best = best.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("k", "w", "n"))).alias("best")).join(sums, "_key")
+    best = words.withColumn("k", F.row_number().over(Window.partitionBy("_key").orderBy(F.desc("n"), "w"))).where(F.col("k") <= n_common)
+    best = best.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("k", "w", "n"))).alias("best"))
+    both = classes.join(best, "_key", "left")
     rest = (F.col("all") - F.aggregate("best", F.lit(0).cast("long"), lambda s, x: s + x["n"])) / F.col("all")
-    best = best.select("_key", F.transform("best", lambda x: x["w"]).alias("_common"), F.concat(F.transform("best", lambda x: x["n"] / F.col("all")), F.array(rest)).alias("_word_p"))
-    return classes.join(best, "_key", "left")
+    return both.select("_key", "_class_p", F.transform("best", lambda x: x["w"]).alias("_common"), F.concat(F.transform("best", lambda x: x["n"] / F.col("all")), F.array(rest)).alias("_word_p"))
 
 
 def _distance(p: Column, q: Column) -> Column:
@@ -117,14 +122,16 @@ def quality_rules(
         chars = F.aggregate(n, F.lit(0).cast("long"), lambda s, x: s + x)
         share = F.transform(n, lambda x: x / F.greatest(chars, F.lit(1)))
         common = lambda c: F.transform(F.col("_common"), lambda w: (F.size(c) - F.size(F.array_remove(c, w))).cast("long"))
-        counted = let(F.filter(words, lambda w: F.array_contains(F.col("_common"), w)), lambda c: F.concat(common(c), F.array((n_words - F.size(c)).cast("long"))))
+        counted = let(F.filter(words, lambda w: (F.length(w) <= longest) & F.array_contains(F.col("_common"), w)), lambda c: F.concat(common(c), F.array((n_words - F.size(c)).cast("long"))))
         word_distance = F.when((n_words >= min_common) & F.col("_common").isNotNull(), _distance(F.transform(counted, lambda x: x / n_words), F.col("_word_p")))
         class_distance = F.when(n_words >= min_words, _distance(share, F.col("_class_p")))
-        return F.struct(n_words.alias("n_words"), (chars - n[1]).alias("word_chars"), n[4].alias("n_symbols"), _repeat_words(words).alias("n_repeat_words"), class_distance.alias("class_distance"), word_distance.alias("word_distance"))
-
-    found = let(words_of(F.col(text)), lambda w: let(class_counts(F.col(text)), lambda n: verdict(w, n)))
-    out = out.withColumn("_q", found).withColumn("_q_dup", _dup_lines(F.col(text)))
-    failed = (F.col("_q.n_words") < 50) | (100 * F.col("_q.n_repeat_words") > 50 * F.col("_q.n_words"))
-    diverges = (F.coalesce(F.col("_q.class_distance"), F.lit(0.0)) > max_class_distance) | (F.coalesce(F.col("_q.word_distance"), F.lit(0.0)) > max_word_distance)
-    fields = [F.col("_q.n_words"), F.col("_q.word_chars"), F.col("_q.n_symbols"), F.col("_q_dup").alias("n_dup_lines"), F.col("_q.n_repeat_words"), failed.alias("base_failed"), F.col("_q.class_distance"), F.col("_q.word_distance"), (~failed & ~diverges).alias("kept")]
-    return out.select("_q_row.*", F.struct(*fields).alias("_q"))
+        return F.struct(n_words.alias("n_words"), (chars - n[1]).alias("word_chars"), n[4].alias("n_symbols"), _dup_lines(F.col(text)).alias("n_dup_lines"), _repeat_words(words).alias("n_repeat_words"), class_distance.alias("class_distance"), word_distance.alias("word_distance"))
+
+    def judged(q: Column) -> Column:
+        failed = (q["n_words"] < 50) | (100 * q["n_repeat_words"] > 50 * q["n_words"])
+        diverges = (F.coalesce(q["class_distance"], F.lit(0.0)) > max_class_distance) | (F.coalesce(q["word_distance"], F.lit(0.0)) > max_word_distance)
+        names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance")
+        return F.struct(*[q[x].alias(x) for x in names], failed.alias("base_failed"), (~failed & ~diverges).alias("kept"))
+
+    found = let(let(words_of(F.col(text)), lambda w: let(class_counts(F.col(text), w), lambda n: verdict(w, n))), judged)
+    return out.select("_q_row.*", found.alias("_q"))
