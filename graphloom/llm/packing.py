@@ -11,6 +11,8 @@ of ranks then place all pieces in parallel.
 from __future__ import annotations
 
 import bisect
+import functools
+import re
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -23,8 +25,8 @@ from pyspark.sql import types as T
 
 from .common import kept_columns, map_texts, settle, with_global_rank
 
-#: Chunks that a task remembers, and the intervals that one broadcast holds at most (40 bytes each).
-REMEMBERED, INTERVALS = 400_000, 1_000_000
+#: Chunks that a Python worker remembers from task to task, and the intervals that one broadcast holds at most (40 bytes each).
+REMEMBERED, INTERVALS = 800_000, 1_000_000
 
 
 class Interval(NamedTuple):
@@ -84,26 +86,60 @@ def sweep(counts: dict[int, int], capacity: int) -> list[Interval]:
 
 
 class Tokenizer:
-    """Ids as little-endian 32-bit bytes. What stands between blanks is tokenised alone and remembered, within a bound."""
+    """Ids as little-endian 32-bit bytes.
+
+    The tokenizer parts texts at blanks and between letters and marks, so what stands between blanks is tokenised once
+    and remembered, within a bound. Capitals and a mark after a word are told apart from it beforehand where that can't
+    change a token: not beside combining marks, which compose with some small letters only, or special tokens.
+    """
+
+    BETWEEN = "\x1e"  # a token of its own, between chunks that are tokenised at once
+    COMBINING = re.compile("[\u0300-\u036f]")
+    MARK = re.compile(rb"(?<=[a-z])[.,](?=\s)")
 
     def __init__(self, file: str):
         from tokenizers import Tokenizer as Read
 
         self.read = Read.from_file(file)
-        self.known: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
+        (self.between,) = self._ids(self.BETWEEN)
+
+    def _ids(self, text: str) -> list[int]:
+        return self.read.encode(text, add_special_tokens=False).ids
+
+    def chunks(self, text: str) -> list[bytes]:
+        raw = text.encode()
+        if "<|" not in text and (text.isascii() or not self.COMBINING.search(text)):
+            raw = self.MARK.sub(rb" \g<0>", raw.lower())
+        return raw.split()
+
+    def learn(self, new: list[bytes]) -> None:
+        odd, sign = [w for w in new if self.BETWEEN.encode() in w], f" {self.BETWEEN} ".encode()
+        for w in odd:
+            self.known[w] = np.array(self._ids(w.decode()), dtype="<u4").tobytes()
+        new = [w for w in new if w not in self.known]
+        for at in range(0, len(new), 2048):
+            part = new[at : at + 2048]
+            ids = np.array(self._ids(sign.join(part).decode()), dtype="<u4")
+            cuts = np.flatnonzero(ids == self.between)
+            raw, ends = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
+            for w, lo, hi in zip(part, [0, *(4 * cuts + 4).tolist()], ends, strict=True):
+                self.known[w] = raw[lo:hi]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        known, split = self.known, [t.split(" ") for t in texts]
+        known, split = self.known, [self.chunks(t) for t in texts]
         if len(known) > REMEMBERED:
             known.clear()
-        new = list({w for words in split for w in words if w not in known})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, e in zip(part, self.read.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, dtype="<u4").tobytes()
+        self.learn(list({w for words in split for w in words if w not in known}))
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
+@functools.lru_cache(maxsize=1)
+def load_tokenizer(file: str) -> Tokenizer:
+    """One for each worker process, which serves many tasks."""
+    return Tokenizer(file)
+
+
 def tokenized_pieces(df: DataFrame, tokenizer_file: str, capacity: int = 2048, text: str = "text", keep: list[str] | None = None, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """The kept columns with _piece, _start, _length, _ids_crc32 (and _ids, as little-endian bytes, if asked for).
 
@@ -114,7 +150,7 @@ def tokenized_pieces(df: DataFrame, tokenizer_file: str, capacity: int = 2048, t
     kept = kept_columns(df, keep if keep is not None else [c for c in df.columns if c != text], "_piece", "_start", "_length", "_ids_crc32", "_ids")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, last, size = Tokenizer(tokenizer_file), np.array([end_id], dtype="<u4").tobytes(), 4 * capacity
+        tokenizer, last, size = load_tokenizer(tokenizer_file), np.array([end_id], dtype="<u4").tobytes(), 4 * capacity
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)

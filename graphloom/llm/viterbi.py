@@ -7,10 +7,13 @@ meet at one boundary.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -18,8 +21,8 @@ from pyspark.sql import types as T
 from .common import kept_columns, map_texts
 
 UNKNOWN_PENALTY = 10.0
-#: Chunks of at most so many characters are remembered, at most so many of them.
-CHUNK, REMEMBERED = 48, 200_000
+#: Chunks of at most so many characters are remembered, at most so many of them by a worker.
+CHUNK, REMEMBERED = 48, 800_000
 
 
 class Vocabulary:
@@ -35,10 +38,45 @@ class Vocabulary:
         self.unknown = m.unk_id()
         self.unknown_score = min(s for _, s in self.pieces.values()) - UNKNOWN_PENALTY
         self.longest = max(map(len, self.pieces))
-        self.prefixes = {p[:k] for p in self.pieces for k in range(1, len(p) + 1)}
+        #: Every beginning of a piece: its id and score if it is one, else nothing.
+        self.table: dict[str, tuple] = {p[:k]: () for p in self.pieces for k in range(1, len(p))} | self.pieces
+        #: All paths meet between two characters that stand together in no piece.
+        self.together = {p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)}
         #: No piece has a word's end inside, so all paths meet before each mark that follows something else.
         self.meets_at_marks = not any(re.search("[^▁]▁", p) for p in self.pieces)
 
+    def parts(self, chunk: str) -> list[str]:
+        """The chunk, cut wherever all paths meet because no piece spans the place."""
+        cuts = [0, *(k + 1 for k in range(len(chunk) - 1) if chunk[k : k + 2] not in self.together), len(chunk)]
+        return [chunk[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def within_window(self, part: str) -> list[int]:
+        """Ids of a part between two such places that a window holds as a whole, so nothing is committed halfway."""
+        n, longest, table, never = len(part), self.longest, self.table, -math.inf
+        scores, back = [0.0] + [never] * n, [0] * (n + 1)
+        for s in range(n):
+            here, single = scores[s], False
+            if here == never:
+                continue
+            for e in range(s + 1, min(s + longest, n) + 1):
+                found = table.get(part[s:e])
+                if found is None:
+                    break
+                if found:
+                    single |= e == s + 1
+                    if here + found[1] > scores[e]:
+                        scores[e], back[e] = here + found[1], s
+            if not single and here + self.unknown_score > scores[s + 1]:
+                scores[s + 1], back[s + 1] = here + self.unknown_score, s
+        out: list[int] = []
+        while n:
+            s = back[n]
+            found = table.get(part[s:n])
+            out += [found[0]] if found else self.spelled(part[s:n])[::-1]
+            n = s
+        out.reverse()
+        return out
+
     def spelled(self, char: str) -> list[int]:
         """Ids of a character that no piece covers: its bytes, or the unknown id."""
         raw = char.encode()
@@ -74,16 +112,16 @@ class StreamingViterbi:
         """Deals with all starts before until; later ones might see longer pieces once more text is there."""
         out: list[int] = []
         v, base = self.v, 0
-        pieces, prefixes, scores, back = v.pieces, v.prefixes, self.scores, self.back
+        table, scores, back = v.table, self.scores, self.back
         while self.done < until - base:
             s = self.done
             here, single = scores.pop(s, None), False
             if here is not None:
                 for e in range(s + 1, min(s + v.longest, len(self.text)) + 1):
-                    part = self.text[s:e]
-                    if part not in prefixes:
+                    found = table.get(self.text[s:e])
+                    if found is None:
                         break
-                    if found := pieces.get(part):
+                    if found:
                         single |= e == s + 1
                         if e not in scores or here + found[1] > scores[e]:
                             scores[e], back[e] = here + found[1], s
@@ -122,38 +160,56 @@ class StreamingViterbi:
 
 
 class Encoder:
-    """Whole texts to ids, chunk by chunk. Short chunks between boundaries where all paths meet are remembered, within a bound."""
+    """Whole texts to ids, chunk by chunk. Chunks are cut where all paths meet, and short ones are remembered, within a bound."""
 
     def __init__(self, model_file: str):
-        self.v = Vocabulary(model_file)
-        self.known: dict[str, list[int]] = {}
-        self.chunks = re.compile("▁+[^▁]*|[^▁]+" if self.v.meets_at_marks else "(?s:.+)")
+        self.v = v = Vocabulary(model_file)
+        self.known: dict[str, bytes] = {}
+        marks, left = "", ".,;:!?|#$%&*()\n"
+        while marks != left:  # marks that no piece has right after anything but another of them or a word's start
+            marks, left = left, "".join(c for c in left if not any(p[1] == c and p[0] not in left + "▁" for p in v.together))
+        m = re.escape(marks)
+        plain = f"▁*[^▁{m}]+|▁*[{m}][^▁]*|▁+" if marks else "▁+[^▁]*|[^▁]+"
+        self.chunks = re.compile(plain if v.meets_at_marks else "(?s:.+)")
+        self.widest = 0
 
-    def encode(self, text: str) -> tuple[list[int], int]:
-        """The ids and the widest window that any part needed."""
-        out: list[int] = []
-        widest, known = 0, self.known
-        for m in self.chunks.finditer(self.v.model.normalize(text)):
-            chunk = m[0]
-            ids = known.get(chunk)
-            if ids is None:
-                search = StreamingViterbi(self.v)
-                ids = []
-                for at in range(0, len(chunk), 4096):
-                    ids += search.feed(chunk[at : at + 4096])
-                ids += search.finish()
-                widest = max(widest, search.widest)
-                if len(chunk) <= CHUNK:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[chunk] = ids
-            out += ids
-        return out, widest
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit bytes."""
+        known, split = self.known, [self.chunks.findall(self.v.model.normalize(t)) for t in texts]
+        if len(known) > REMEMBERED:
+            known.clear()
+        long = {}
+        for chunk in {c for chunks in split for c in chunks if c not in known}:
+            ids = [i for part in self.v.parts(chunk) for i in self.search(part)]
+            (known if len(chunk) <= CHUNK else long)[chunk] = np.array(ids, dtype="<i4").tobytes()
+        if long:
+            return [b"".join([known.get(c) or long[c] for c in chunks]) for chunks in split]
+        return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.encode_all([text])[0], dtype="<i4").tolist()
+
+    def search(self, part: str) -> list[int]:
+        """Ids of a part; the widest window that any needed is kept in self.widest."""
+        if len(part) <= 2 * self.v.longest:
+            return self.v.within_window(part)
+        search, ids = StreamingViterbi(self.v), []
+        for at in range(0, len(part), 4096):
+            ids += search.feed(part[at : at + 4096])
+        ids += search.finish()
+        self.widest = max(self.widest, search.widest)
+        return ids
 
     def decode(self, ids: list[int]) -> str:
         return self.v.model.decode(ids)
 
 
+@functools.lru_cache(maxsize=1)
+def load_encoder(model_file: str) -> Encoder:
+    """One for each worker process, which serves many tasks."""
+    return Encoder(model_file)
+
+
 def encode_texts(df: DataFrame, model_file: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The kept columns with _ids and _decoded_sha256, the hash of what the ids decode to.
 
@@ -162,13 +218,15 @@ def encode_texts(df: DataFrame, model_file: str, text: str = "text", keep: list[
     kept = kept_columns(df, keep if keep is not None else [c for c in df.columns if c != text], "_ids", "_decoded_sha256")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(model_file)
+        encoder = load_encoder(model_file)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids = [encoder.encode(x or "")[0] for x in part.column(part.num_columns - 1).to_pylist()]
-                digests = [hashlib.sha256(encoder.decode(x).encode()).hexdigest() for x in ids]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(ids, pa.list_(pa.int32())), pa.array(digests, pa.string())], names=[*part.schema.names[:-1], "_ids", "_decoded_sha256"])
+                raw = encoder.encode_all([x or "" for x in part.column(part.num_columns - 1).to_pylist()])
+                ends = np.cumsum([0, *map(len, raw)]) // 4
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(raw), dtype="<i4")))
+                digests = [hashlib.sha256(encoder.decode(np.frombuffer(x, dtype="<i4").tolist()).encode()).hexdigest() for x in raw]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids, pa.array(digests, pa.string())], names=[*part.schema.names[:-1], "_ids", "_decoded_sha256"])
 
     return map_texts(df, text, kept, work, "_ids array<int>, _decoded_sha256 string")
 
@@ -179,7 +237,7 @@ def decode_ids(df: DataFrame, model_file: str, ids: str = "_ids", to: str = "_te
     df = df.drop(to)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(model_file)
+        encoder = load_encoder(model_file)
         for batch in batches:
             texts = [x if x is None else encoder.decode(x) for x in batch.column(batch.schema.get_field_index(ids)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, to])
