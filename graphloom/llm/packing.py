@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from .common import kept_columns, map_texts, settle, with_global_rank
 
 #: Chunks that a Python worker remembers from task to task, and the intervals that one broadcast holds at most (40 bytes each).
-REMEMBERED, INTERVALS = 800_000, 1_000_000
+REMEMBERED, INTERVALS = 1_500_000, 1_000_000
 
 
 class Interval(NamedTuple):

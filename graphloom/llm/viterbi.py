@@ -22,7 +22,7 @@ from .common import kept_columns, map_texts
 
 UNKNOWN_PENALTY = 10.0
 #: Chunks of at most so many characters are remembered, at most so many of them by a worker.
-CHUNK, REMEMBERED = 48, 800_000
+CHUNK, REMEMBERED = 48, 1_400_000
 
 
 class Vocabulary:
