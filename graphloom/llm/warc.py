@@ -55,10 +55,12 @@ def write_archives(df: DataFrame, path: str, key: str = "page_id", url: str = "u
     heads = settle(rows.select("k", "u", "d", F.octet_length("p").alias("n")))
     firsts = heads.where(F.col("n") >= least).groupBy("d").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct(F.col("k").isNull().alias("none"), "k", "u")).alias("first")).where(F.col("times") > 1)
     again = heads.where(F.col("n") >= least).join(firsts.select("d", F.col("first.k").alias("fk"), F.col("first.u").alias("fu")), "d").where(~F.col("k").eqNullSafe(F.col("fk")))
-    again = again.select(F.col("k").alias("k2"), F.col("d").alias("d2"), "fk", "fu").distinct()
+    same = F.concat_ws(" ", F.coalesce(F.col("k").cast("string"), F.lit("")), "d").alias("same")
+    again = again.select(same, "fk", "fu", F.lit(True).alias("again")).distinct()
     total = heads.agg(F.sum(F.col("n") + 600)).first()[0] or 0
-    rows = rows.join(again, F.col("k").eqNullSafe(F.col("k2")) & (F.col("d") == F.col("d2")), "left")
-    revisit = F.col("d2").isNotNull()
+    files = max(1, -(-int(total) // file_bytes))
+    rows = rows.withColumn("same", same).repartition(files, "same").join(again, "same", "left")  # dealt to files and joined at once
+    revisit = F.col("again").isNotNull()
     body = F.concat(F.lit(HTTP_HEAD), F.when(revisit, F.lit("")).otherwise(F.col("p")))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     refers = F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", _record_id(F.col("fk"), F.col("d"))), line("WARC-Refers-To-Target-URI", F.col("fu")))
@@ -75,8 +77,7 @@ def write_archives(df: DataFrame, path: str, key: str = "page_id", url: str = "u
         line("Content-Length", F.octet_length(body).cast("string")),
         F.lit("\r\n"),
     ]
-    files = max(1, -(-int(total) // file_bytes))
-    rows.select(F.concat(*head, body).alias("record")).repartition(files).write.option("lineSep", "\r\n\r\n").text(path)
+    rows.select(F.concat(*head, body).alias("record")).write.option("lineSep", "\r\n\r\n").text(path)
 
 
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
