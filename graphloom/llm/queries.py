@@ -75,7 +75,7 @@ def op5_streaming_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = warc.shared_folder(spark, "archives")
     warc.write_archives(_read(spark, sf_dir, "pages"), folder)
-    out = warc.resolve_revisits(warc.read_archives(spark, folder))
+    out = warc.resolve_revisits(warc.read_archives(spark, folder).select("key", "record_type", "digest", "payload_bytes"))
     return out.select(F.col("key").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")
 
 

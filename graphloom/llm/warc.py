@@ -52,7 +52,7 @@ def write_archives(df: DataFrame, path: str, key: str = "page_id", url: str = "u
     """
     rows = df.select(F.col(key).cast("long").alias("k"), F.regexp_replace(F.regexp_replace(F.coalesce(F.col(url), F.lit("")), "\r", "%0D"), "\n", "%0A").alias("u"), F.coalesce(F.col(payload), F.lit("")).alias("p"))
     rows = rows.withColumn("d", base32_sha1(F.col("p")))
-    heads = settle(rows.select("k", "u", "d", F.octet_length("p").alias("n")))
+    heads = rows.select("k", "u", "d", F.octet_length("p").alias("n"))  # read again where needed: it costs less than keeping it
     firsts = heads.where(F.col("n") >= least).groupBy("d").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct(F.col("k").isNull().alias("none"), "k", "u")).alias("first")).where(F.col("times") > 1)
     again = heads.where(F.col("n") >= least).join(firsts.select("d", F.col("first.k").alias("fk"), F.col("first.u").alias("fu")), "d").where(~F.col("k").eqNullSafe(F.col("fk")))
     same = F.concat_ws(" ", F.coalesce(F.col("k").cast("string"), F.lit("")), "d").alias("same")
@@ -130,9 +130,14 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def resolve_revisits(records: DataFrame) -> DataFrame:
-    """Records (without payloads) with payload_bytes of the response of their digest, and refers_to, its key, for revisits."""
-    heads = settle(records.select("key", "record_type", "digest", "url", "payload_bytes"))
+    """Records (key, record_type, digest, payload_bytes, ...) with payload_bytes of the response of their digest, and refers_to, its key, for revisits.
+
+    Leave out payloads: what is given is kept for the join. Where several responses share a digest, the smallest key counts.
+    """
+    heads = settle(records)
+    rest = [c for c in heads.columns if c not in ("key", "record_type", "digest", "payload_bytes", "refers_to")]
+    heads = heads.select("key", "record_type", "digest", *rest, "payload_bytes")
     found = heads.where(F.col("record_type") == "response").groupBy("digest").agg(F.min("key").alias("_first"), F.first("payload_bytes").alias("_bytes"))
     revisits = heads.where(F.col("record_type") == "revisit").join(found, "digest", "left")
-    revisits = revisits.select("key", "record_type", "digest", "url", F.col("_bytes").alias("payload_bytes"), F.col("_first").alias("refers_to"))
+    revisits = revisits.select("key", "record_type", "digest", *rest, F.col("_bytes").alias("payload_bytes"), F.col("_first").alias("refers_to"))
     return heads.where(F.col("record_type") != "revisit").withColumn("refers_to", F.lit(None).cast("long")).unionByName(revisits)

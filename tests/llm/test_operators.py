@@ -367,7 +367,7 @@ def test_warc_query(spark, tmp_path):
             want[(r.page_id, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "revisit" if again else "response", first[raw] if again else None)] += 1
         assert Counter(map(tuple, queries.op6_warc_revisits(spark, folder).collect())) == want
     warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), f"{tmp_path}/none")
-    assert warc.resolve_revisits(warc.read_archives(spark, f"{tmp_path}/none")).collect() == []
+    assert warc.resolve_revisits(warc.read_archives(spark, f"{tmp_path}/none").drop("payload")).collect() == []
     warc.write_archives(spark.createDataFrame([(1, "u", "same"), (2, "u", "same"), (3, "u", "longer text"), (4, "u", "longer text")], "page_id long, url string, html string"), f"{tmp_path}/least", least=5)
     assert {r.key: r.record_type for r in warc.read_archives(spark, f"{tmp_path}/least").collect()} == {1: "response", 2: "response", 3: "response", 4: "revisit"}
 
