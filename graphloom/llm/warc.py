@@ -1,14 +1,15 @@
 """WARC archives with revisit records.
 
 Headers (id, address, payload digest, size) are shuffled by digest, repeated payloads become revisits of the record
-with the smallest id, and archives are written with fresh headers by Spark's text writer: a record ends with the two
-empty lines that the writer puts after a row. Reading back parses records by their Content-Length and resolves revisits
+with the smallest id, and archives are written with fresh headers by Spark's text writer, each record a gzip member of
+its own, as usual for such archives. Reading back parses records by their Content-Length and resolves revisits
 by a join with the responses of their digest. Payloads are shuffled once, by id, never by digest.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import tempfile
 import uuid
@@ -22,7 +23,9 @@ from .common import settle
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-FILE_BYTES = 16 << 20
+FILE_BYTES = 16 << 20  # before compression
+#: Spark's text writer wants something between rows: an empty gzip member, which decompresses to nothing.
+BETWEEN = gzip.compress(b"", mtime=0)
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -77,7 +80,15 @@ def write_archives(df: DataFrame, path: str, key: str = "page_id", url: str = "u
         line("Content-Length", F.octet_length(body).cast("string")),
         F.lit("\r\n"),
     ]
-    rows.select(F.concat(*head, body).alias("record")).write.option("lineSep", "\r\n\r\n").text(path)
+    records = rows.select(F.concat(*head, body, F.lit("\r\n\r\n")).cast("binary").alias("record")).mapInArrow(_members, "record binary")
+    records.select(F.col("record").cast("string")).write.option("encoding", "ISO-8859-1").option("lineSep", BETWEEN.decode("latin-1")).text(path)
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            made = [gzip.compress(x.as_py(), 4, mtime=0) for x in batch.column(0).slice(at, 256)]
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["record"])
 
 
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -104,7 +115,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 rows, held = [], 0
-                for head, block in parse_records(content.as_py()):
+                for head, block in parse_records(gzip.decompress(content.as_py())):
                     response = head["warc-type"] == "response"
                     payload = block[block.index(b"\r\n\r\n") + 4 :] if response else None
                     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode() if response else head["warc-payload-digest"].removeprefix("sha1:")
