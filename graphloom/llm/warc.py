@@ -13,6 +13,7 @@ import gzip
 import hashlib
 import tempfile
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -91,6 +92,20 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["record"])
 
 
+def members(data: bytes, step: int = 1 << 14) -> Iterator[bytes]:
+    """The gzip members of an archive, one by one; what follows a member is copied a step at most."""
+    at = 0
+    while at < len(data):
+        reader, parts = zlib.decompressobj(31), []
+        while not reader.eof:
+            chunk = data[at : at + step]
+            if not chunk:
+                raise ValueError("an archive is cut short")
+            parts.append(reader.decompress(chunk))
+            at += len(chunk) - len(reader.unused_data)
+        yield b"".join(parts)
+
+
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers (names in lower case) and block of each record of an uncompressed archive."""
     at = 0
@@ -115,7 +130,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 rows, held = [], 0
-                for head, block in parse_records(gzip.decompress(content.as_py())):
+                for head, block in (x for member in members(content.as_py()) for x in parse_records(member)):
                     response = head["warc-type"] == "response"
                     payload = block[block.index(b"\r\n\r\n") + 4 :] if response else None
                     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode() if response else head["warc-payload-digest"].removeprefix("sha1:")
