@@ -83,9 +83,11 @@ def route_chunks(texts: DataFrame, files: DataFrame | None = None, strict_metada
 
 
 def chunk_graph(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of the chunks that are ok."""
+    """Nodes and edges of the chunks that are ok; an edge's metadata as a struct of rationale and source_doc."""
     good = chunks.where("status = 'ok'")
-    return good.select(F.explode("chunk.nodes").alias("x")).select("x.*").distinct(), good.select(F.explode("chunk.edges").alias("x")).select("x.*").distinct()
+    known = F.struct(*[F.col("metadata")[k].alias(k) for k in ("rationale", "source_doc")])
+    edges = good.select(F.explode("chunk.edges").alias("x")).select("x.*").withColumn("metadata", known)
+    return good.select(F.explode("chunk.nodes").alias("x")).select("x.*").distinct(), edges.distinct()
 
 
 def derive_documents(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -63,11 +63,14 @@ def code_nodes(extracted: DataFrame, files: DataFrame) -> tuple[DataFrame, DataF
 
 
 def export_table(extracted: DataFrame, targets: DataFrame) -> DataFrame:
-    """Exports that lead to another file: (file, symbol, target_file, target_symbol, star_pos)."""
-    e = extracted.select(F.col("source_file").alias("file"), F.explode("exports").alias("e")).select("file", "e.*").where("specifier IS NOT NULL")
+    """What files export: (file, symbol, target_file, target_symbol, star_pos). An alias of an own symbol is passed over."""
+    every = extracted.select(F.col("source_file").alias("file"), F.explode("exports").alias("e")).select("file", "e.*")
+    mine = every.where("specifier IS NULL").select("file", F.when(F.col("kind") == "default", "default").otherwise(F.col("symbol")).alias("symbol"), F.col("file").alias("target_file"), F.col("symbol").alias("target_symbol"), F.lit(None).cast("int").alias("star_pos"))
+    e = every.where("specifier IS NOT NULL")
     e = e.join(targets, (e["file"] == targets["caller"]) & (e["specifier"] == targets["spec"])).where("target_file IS NOT NULL")
     star = F.col("kind") == "star"
-    return e.select("file", F.when(star, "*").otherwise(F.coalesce("alias", "symbol")).alias("symbol"), "target_file", F.when(~star, F.col("symbol")).alias("target_symbol"), F.when(star, F.col("pos")).alias("star_pos"))
+    led = e.select("file", F.when(star, "*").otherwise(F.coalesce("alias", "symbol")).alias("symbol"), "target_file", F.when(~star, F.col("symbol")).alias("target_symbol"), F.when(star, F.col("pos")).alias("star_pos"))
+    return mine.unionByName(led)
 
 
 def compile_graph(spark: SparkSession, cfg: Config, previous: DataFrame | None = None) -> Graph:  # noqa: F821

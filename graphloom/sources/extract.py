@@ -252,7 +252,7 @@ _DECLARED = {
     ".go": r"^func\s+(?:\([^)]*\)\s*)?(?P<function>\w+)|^type\s+(?P<class>\w+)\s+(?:struct|interface)",
     ".rs": r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:(?:async|const|unsafe|extern)\s+)*fn\s+(?P<function>\w+)|^\s*(?:pub(?:\([^)]*\))?\s+)?(?:struct|enum|trait)\s+(?P<class>\w+)",
     ".java": r"^\s*(?:(?:public|private|protected|static|final|abstract)\s+)*(?:class|interface|enum|record)\s+(?P<class>\w+)|^\s+(?:(?:public|private|protected|static|final|abstract|synchronized)\s+)+[\w<>\[\], ?]+\s+(?P<function>\w+)\s*\(",
-    ".c": r"^(?:[A-Za-z_][\w*]*\s+)+\**(?P<function>\w+)\s*\([^;]*$|^(?:typedef\s+)?struct\s+(?P<class>\w+)",
+    ".c": r"^(?:[A-Za-z_][\w*]*\s+)+\**(?P<function>\w+)\s*\([^;\n]*$|^(?:typedef\s+)?struct\s+(?P<class>\w+)",
 }
 _DECLARED |= {".cpp": _DECLARED[".c"] + r"|^\s*class\s+(?P<klass>\w+)", ".h": _DECLARED[".c"] + r"|^\s*class\s+(?P<klass>\w+)"}
 

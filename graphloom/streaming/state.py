@@ -45,11 +45,11 @@ def focus_state(events: DataFrame, clamp: bool = True) -> DataFrame:
     return events.groupBy("file").applyInPandasWithState(step, schema, "activity string, timestamp long, ttl long", "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def change_bursts(changes: DataFrame, time: str = "ts", quiet: str = "100 milliseconds", late: str = "10 minutes") -> DataFrame:
-    """A stream of (ts, file, op) to a row for each burst: its files changed and deleted, once no change came for `quiet`."""
-    burst = changes.withWatermark(time, late).groupBy(F.session_window(time, quiet).alias("w"))
+def change_bursts(changes: DataFrame, key: str = "root", time: str = "ts", quiet: str = "100 milliseconds", late: str = "10 minutes") -> DataFrame:
+    """A stream of (root, ts, file, op) to a row for each burst of a root: its files changed and deleted, once no change came for `quiet`."""
+    burst = changes.withWatermark(time, late).groupBy(key, F.session_window(time, quiet).alias("w"))
     files = lambda op: F.array_sort(F.collect_set(F.when(F.col("op") == op, F.col("file"))))
-    return burst.agg(files("change").alias("changed"), files("delete").alias("deleted")).select("w.start", "w.end", "changed", "deleted")
+    return burst.agg(files("change").alias("changed"), files("delete").alias("deleted")).select(key, "w.start", "w.end", "changed", "deleted")
 
 
 def change_feed(stream: DataFrame, rebuild: Callable[[DataFrame], DataFrame], key: str, out: str, checkpoint: str):
