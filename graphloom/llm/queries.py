@@ -126,4 +126,16 @@ QUERIES = {
         op6_warc_revisits, op7_license_rules, op8_simhash_bktree, op9_token_efficiency, op10_best_fit_packing,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+
+_ESCAPED = "replace(replace({0}, '\\', '\\\\'), '<|', '<\\|')"
+ORACLE_SQL: dict[str, str] = {
+    "op4_template_compiler": f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL VALUES {", ".join(f"({c}, {t}, '{r}', '{x}')" for c, t, r, x in PROBE)}),
+e AS (SELECT *, length(replace({_ESCAPED.format("role")}, chr(10), '\\n')) + length({_ESCAPED.format("text")}) + 24 AS size, CASE WHEN role = 'assistant' THEN text ELSE '' END AS loss FROM c),
+s AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns, string_agg(loss, '' ORDER BY turn, role, text) AS loss, sum(size) AS size FROM e GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(size AS BIGINT) AS formatted_chars FROM s""",
+    "op6_warc_revisits": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), h AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS hex, min(page_id) OVER (PARTITION BY html) AS first FROM p),
+d AS (SELECT *, list_transform(range(0, 8), lambda k: CAST('0x' || substr(hex, CAST(5 * k + 1 AS BIGINT), 5) AS INT)) AS parts FROM h)
+SELECT page_id, payload_bytes, list_aggregate(list_transform(parts, lambda v: concat(substr(a, (v >> 15) + 1, 1), substr(a, ((v >> 10) & 31) + 1, 1), substr(a, ((v >> 5) & 31) + 1, 1), substr(a, (v & 31) + 1, 1))), 'string_agg', '') AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM d, (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567' AS a)""",
+}
