@@ -4,6 +4,7 @@ Fingerprints that differ in at most `radius` of 64 bits agree in all bits of som
 goes to one shard for each choice of blocks. A shard keeps a BK-tree (children keyed by their Hamming distance to the
 parent); each fingerprint follows only edges within the radius of its own distance and is then added. A shard emits
 links that span its groups, never all pairs, and the links' components are found by rounds of star contraction.
+Shards above a bound never meet in one task: their fingerprints are linked where their balls of half the radius meet.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ SEED, WIDTH = 42, 4
 SLICE = 1 << 16
 #: Fingerprints that a shard should hold on average: more of them, and shards are told apart by more bits.
 SHARD = 8
+#: Fingerprints that one task may hold as a tree; fuller shards are linked by midpoints.
+FULL = 1 << 14
 
 
 def simhash(text: str | None, width: int = WIDTH) -> int:
@@ -131,11 +134,48 @@ def block_masks(radius: int, count: int) -> list[int]:
     return [sum(c) for c in combinations(blocks, b - radius)]
 
 
-def near_links(distinct: DataFrame, radius: int, count: int, fp: str = "_fp") -> DataFrame:
+def midpoint_links(prints: DataFrame, radius: int, fp: str = "fp") -> DataFrame:
+    """Links (u, v), u > v, that connect what all links within the radius would connect, however dense the fingerprints.
+
+    Two fingerprints are within the radius if and only if some point is within its half (rounded down) of the one and
+    the rest of it of the other. Each names all such points; those that meet at a point are linked to the smallest of
+    the near half. A point has no more fingerprints than a ball has points, so no group grows with the table.
+    """
+    half = radius // 2
+    flips = [(sum(1 << b for b in c), k <= half) for k in range(radius - half + 1) for c in combinations(range(64), k)]
+    patterns, near = np.array([f for f, _ in flips], dtype=np.uint64), np.array([n for _, n in flips])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            step = max(1, (1 << 18) // len(patterns))
+            for at in range(0, len(own), step):
+                part = own[at : at + step]
+                points = (part[:, None] ^ patterns[None, :]).ravel().view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(points), pa.array(np.repeat(part, len(patterns)).view(np.int64)), pa.array(np.tile(near, len(part)))], names=["point", "fp", "near"])
+
+    points = prints.select(fp).mapInArrow(work, "point long, fp long, near boolean")
+    met = points.groupBy("point").agg(F.min(F.when(F.col("near"), F.col("fp"))).alias("v"), F.collect_set("fp").alias("all")).where("v IS NOT NULL AND size(all) > 1")
+    pairs = met.select(F.explode("all").alias("u"), "v").where("u <> v")
+    return pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
+def near_links(distinct: DataFrame, radius: int, count: int, fp: str = "_fp", full: int = FULL) -> DataFrame:
     """Links (u, v), u > v, between distinct fingerprints within the radius that span their groups."""
     signed = [m - (1 << 64) if m >= 1 << 63 else m for m in block_masks(radius, count)]
     shards = F.array(*[F.struct(F.lit(i).cast("int").alias("choice"), F.col(fp).bitwiseAND(F.lit(m).cast("long")).alias("bits")) for i, m in enumerate(signed)])
     rows = distinct.select(fp, F.explode(shards).alias("s")).select("s.choice", "s.bits", F.col(fp).alias("fp"))
+    if count <= full:
+        return tree_links(rows, radius)
+    over = settle(rows.groupBy("choice", "bits").count().where(F.col("count") > full).select("choice", "bits"))
+    if over.isEmpty():
+        return tree_links(rows, radius)
+    dense = rows.join(over, ["choice", "bits"], "left_semi").select("fp").distinct()
+    return tree_links(rows.join(over, ["choice", "bits"], "left_anti"), radius).union(midpoint_links(dense, radius)).distinct()
+
+
+def tree_links(rows: DataFrame, radius: int) -> DataFrame:
+    """Links (u, v), u > v, within the shards of rows (choice, bits, fp), each by its own tree in one task."""
     rows = rows.repartition("choice", "bits").sortWithinPartitions("choice", "bits", "fp")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -493,6 +493,30 @@ def test_block_masks(count):
         assert any(not change & m for m in masks)
 
 
+def test_full_shards_link_by_midpoints(spark):
+    rng = np.random.default_rng(5)
+    for radius in (4, 3):
+        values = {int(v) for v in rng.integers(0, 1 << 63, 40)}
+        for centre in rng.integers(0, 1 << 63, 3).tolist():
+            for _ in range(60):
+                value = centre
+                for b in rng.choice(64, int(rng.integers(0, 6)), replace=False).tolist():
+                    value ^= 1 << b
+                values.add(value)
+        signed = [(v - (1 << 64) if v >> 63 else v,) for v in values]
+        distinct = spark.createDataFrame(signed, "_fp long")
+        want = defaultdict(set)
+        for f, top in plain_components(list(values), radius).items():
+            want[top].add(f)
+        for full in (2, 20, 1 << 14):
+            links = simhash.near_links(distinct, radius, len(values), full=full)
+            assert all(((r.u ^ r.v) & ((1 << 64) - 1)).bit_count() <= radius and r.u > r.v for r in links.collect())
+            got = defaultdict(set)
+            for r in simhash.components(links).collect():
+                got[r.root] |= {r.node & ((1 << 64) - 1), r.root & ((1 << 64) - 1)}
+            assert {frozenset(g) for g in got.values()} == {frozenset(g) for g in want.values() if len(g) > 1}
+
+
 def test_components(spark):
     chain = [(i + 1, i) for i in range(60)] + [(200, 100), (300, 200), (400, 100)] + [(1000 + i, 999) for i in range(50)]
     got = {r.node: r.root for r in simhash.components(spark.createDataFrame(chain, "u long, v long")).collect()}
