@@ -194,13 +194,15 @@ def _spread(labels: DataFrame, pairs: DataFrame, give: str, take: str) -> DataFr
 def components(pairs: DataFrame, driver_edges: int = 200_000) -> DataFrame:
     """(node, component) of nodes on cycles of several nodes, over (source, target); component is the smallest node.
 
-    The trimmed core goes to the driver if it has at most driver_edges edges. A larger one is taken apart in rounds:
-    the smallest label that reaches a node colours it, and what also reaches a colour's namesake within the colour is
-    its component.
+    Edges go to the driver if there are at most driver_edges of them, else what trimming leaves if that is so. A larger
+    core is taken apart in rounds: the smallest label that reaches a node colours it, and what also reaches a colour's
+    namesake within the colour is its component.
     """
     spark = pairs.sparkSession
     core = pairs.select(F.col("source").alias("a"), F.col("target").alias("b")).where("a <> b").distinct()
-    core = _trimmed(settle(core))
+    core = settle(core)
+    if not (driver_edges and small(core, driver_edges)):
+        core = _trimmed(core)
     if driver_edges and small(core, driver_edges):
         found = tarjan([(r.a, r.b) for r in core.collect()])
         out = spark.createDataFrame(sorted(found.items()), "node string, component string")

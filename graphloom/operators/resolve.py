@@ -59,38 +59,74 @@ def resolve_modules(imports: DataFrame, files: DataFrame, aliases: list[tuple[st
     return imports.select("import_id").join(best, "import_id", "left")
 
 
-def unwrap_reexports(requests: DataFrame, exports: DataFrame, most: int = 1000) -> DataFrame:
+def _followed(pointers: DataFrame, most: int | None = None) -> tuple[DataFrame, bool]:
+    """(a, b, on) pointers followed to their ends, and whether some have none: each round doubles the steps taken.
+
+    `on` tells that b still points on, which after as many steps as there are pointers means that it is on a cycle.
+    """
+    most, taken = pointers.count() if most is None else most, 1
+    far = pointers.select("a", "b", F.lit(True).alias("on"))
+    while True:
+        ahead = far.select(F.col("a").alias("x"), F.col("b").alias("y"))
+        far = settle(far.join(ahead, far["b"] == ahead["x"], "left").select("a", F.coalesce("y", "b").alias("b"), F.col("y").isNotNull().alias("on")))
+        taken *= 2
+        moves = not far.where("on").isEmpty()
+        if not moves or taken > most:
+            return far, moves
+
+
+def _ends(pointers: DataFrame) -> DataFrame:
+    """(a, b) of unique a to (a, end): where its path ends, or the last place before a cycle meets itself."""
+    far, cycles = _followed(pointers)
+    if not cycles:
+        return far.select("a", F.col("b").alias("end"))
+    ring = settle(far.where("on").select(F.col("b").alias("r")).distinct())
+    to_ring = pointers.join(ring, pointers["a"] == ring["r"], "left_anti")
+    entered = _followed(to_ring)[0].select("a", "b").union(ring.select(F.col("r").alias("a"), F.col("r").alias("b")))
+    before = pointers.join(ring, pointers["a"] == ring["r"], "left_semi").select(F.col("b").alias("r"), F.col("a").alias("p"))
+    return entered.join(before, entered["b"] == before["r"], "left").select("a", F.coalesce("p", "b").alias("end"))
+
+
+def unwrap_reexports(requests: DataFrame, exports: DataFrame) -> DataFrame:
     """(req_id, file, symbol) to where the symbol comes from, through exports (file, symbol, target_file, target_symbol, star_pos).
 
     A named export leads to its target; else the first star source that names the symbol or has a star itself does. A
-    request ends where nothing leads on, where an export is the file's own, or before a place it has seen.
+    request ends where nothing leads on, where an export is the file's own, or before a place it has seen. Where a place
+    leads does not hang on the request, so places are linked once and their paths followed by doubling: rounds grow
+    with the logarithm of the longest chain of named exports.
     """
     exports = settle(exports)
     named = exports.where("star_pos IS NULL").select(F.col("file").alias("f"), F.col("symbol").alias("s"), F.col("target_file").alias("tf"), F.coalesce("target_symbol", "symbol").alias("ts"))
     named = named.groupBy("f", "s").agg(F.max(F.struct("tf", "ts")).alias("named"))
     stars = exports.where("star_pos IS NOT NULL").select(F.col("file").alias("f"), F.col("target_file").alias("src"), "star_pos")
     has_star = stars.select(F.col("f").alias("src")).distinct().withColumn("starred", F.lit(True))
-    done = None
-    at = requests.select("req_id", "file", "symbol", F.array(F.concat_ws("\0", "file", "symbol")).alias("seen"))
-    for _ in range(most):
-        by_name = at.join(named, (F.col("file") == F.col("f")) & (F.col("symbol") == F.col("s")), "left").drop("f", "s")
-        open_ = by_name.where("named IS NULL").select("req_id", "file", "symbol")
-        offers = open_.join(stars, F.col("file") == F.col("f")).join(has_star, "src", "left")
-        names = named.select(F.col("f").alias("src"), F.col("s").alias("symbol")).distinct().withColumn("names", F.lit(True))
+    names = named.select(F.col("f").alias("src"), F.col("s").alias("symbol")).withColumn("names", F.lit(True))
+
+    def leads(places: DataFrame) -> DataFrame:
+        """(file, symbol, nf, ns): the next place of each, null where nothing leads on."""
+        by_name = places.join(named, (F.col("file") == F.col("f")) & (F.col("symbol") == F.col("s")), "left").drop("f", "s")
+        offers = by_name.where("named IS NULL").select("file", "symbol").join(stars, F.col("file") == F.col("f")).join(has_star, "src", "left")
         offers = offers.join(names, ["src", "symbol"], "left").where("starred OR names")
-        offers = offers.groupBy("req_id").agg(F.min_by("src", "star_pos").alias("via"))
-        step = by_name.join(offers, "req_id", "left")
-        file = F.coalesce(F.col("named.tf"), F.col("via"))
+        offers = offers.groupBy("file", "symbol").agg(F.min_by("src", "star_pos").alias("via"))
+        step = by_name.join(offers, ["file", "symbol"], "left")
         symbol = F.when(F.col("named").isNotNull(), F.col("named.ts")).otherwise(F.col("symbol"))
-        step = step.select("req_id", "file", "symbol", "seen", file.alias("nf"), symbol.alias("ns"))
-        moves = F.col("nf").isNotNull() & ~F.array_contains("seen", F.concat_ws("\0", "nf", "ns"))
-        step = settle(step.withColumn("moves", F.coalesce(moves, F.lit(False))))
-        ended = step.where("NOT moves").select("req_id", "file", "symbol")
-        done = ended if done is None else done.unionByName(ended)
-        at = step.where("moves").select("req_id", F.col("nf").alias("file"), F.col("ns").alias("symbol"), F.concat("seen", F.array(F.concat_ws("\0", "nf", "ns"))).alias("seen"))
-        if at.isEmpty():
+        return step.select("file", "symbol", F.coalesce(F.col("named.tf"), F.col("via")).alias("nf"), symbol.alias("ns"))
+
+    asked = requests.select("file", "symbol").union(named.select("f", "s")).union(named.select("named.tf", "named.ts"))
+    places = settle(asked.where("file IS NOT NULL AND symbol IS NOT NULL").distinct())
+    fresh, linked = places, None
+    while True:
+        step = settle(leads(fresh).where("nf IS NOT NULL AND ns IS NOT NULL"))
+        linked = step if linked is None else settle(linked.union(step))
+        fresh = settle(step.select(F.col("nf").alias("file"), F.col("ns").alias("symbol")).distinct().join(places, ["file", "symbol"], "left_anti"))
+        if fresh.isEmpty():
             break
-    return done
+        places = settle(places.union(fresh))
+    place = lambda file, symbol: F.struct(F.col(file).alias("file"), F.col(symbol).alias("symbol"))
+    ends = _ends(settle(linked.select(place("file", "symbol").alias("a"), place("nf", "ns").alias("b")).where("a <> b")))
+    ends = ends.select(F.col("a.file").alias("f"), F.col("a.symbol").alias("s"), "end")
+    out = requests.select("req_id", "file", "symbol").join(ends, (F.col("file") == F.col("f")) & (F.col("symbol") == F.col("s")), "left")
+    return out.select("req_id", F.coalesce("end.file", "file").alias("file"), F.coalesce("end.symbol", "symbol").alias("symbol"))
 
 
 def bindings(imports: DataFrame) -> DataFrame:

@@ -160,3 +160,30 @@ def test_serving(spark):
     with pytest.raises(KeyError):
         g.neighbourhood("none")
     assert [clamp(v, 2, 1, 5) for v in (0, "x", 9, "3", None)] == [2, 2, 5, 3, 2]
+
+
+def test_reexports_like_plain_walks(spark):
+    rng = random.Random(3)
+    exports = [(f"f{rng.randrange(60)}", rng.choice("abc"), f"f{rng.randrange(60)}", rng.choice(["a", "b", "c", None]), None) for _ in range(70)]
+    exports += [(f"g{i}", "a", f"g{i + 1}", None, None) for i in range(40)] + [("ring0", "a", "ring1", None, None), ("ring1", "a", "ring2", None, None), ("ring2", "a", "ring0", None, None), ("into", "a", "ring1", None, None), ("own", "a", "own", "a", None)]
+    exports += [(f"f{rng.randrange(60)}", None, f"f{rng.randrange(60)}", None, k) for k in range(25)] + [("s0", None, "s1", None, 100), ("s1", None, "s2", None, 101), ("s2", None, "g0", None, 102)]
+    named, stars = {}, {}
+    for f, s, tf, ts, star in exports:
+        if star is None:
+            named[f, s] = max(named.get((f, s), ("", "")), (tf, ts or s))
+        else:
+            stars.setdefault(f, []).append((star, tf))
+
+    def walk(place):
+        seen = [place]
+        while True:
+            f, s = seen[-1]
+            via = [src for _, src in sorted(stars.get(f, [])) if (src, s) in named or src in stars]
+            after = named.get((f, s)) or ((via[0], s) if via else None)
+            if after is None or after in seen:
+                return f, s
+            seen.append(after)
+
+    asks = [(str(i), f, s) for i, (f, s) in enumerate([(f"f{i}", s) for i in range(62) for s in "abcd"] + [(f, "a") for f in ("g0", "g39", "ring0", "ring2", "into", "own", "s0", "none")])]
+    got = resolve.unwrap_reexports(spark.createDataFrame(asks + [("null", None, "a")], "req_id string, file string, symbol string"), spark.createDataFrame(exports, "file string, symbol string, target_file string, target_symbol string, star_pos int"))
+    assert {r.req_id: (r.file, r.symbol) for r in got.collect()} == {i: walk((f, s)) for i, f, s in asks} | {"null": (None, "a")}
