@@ -317,10 +317,9 @@ def hash_layout(nodes: DataFrame) -> DataFrame:
 def layout_edges(nodes: DataFrame, edges: DataFrame, hub_ids: DataFrame) -> DataFrame:
     """Edges that pull: both ends are nodes, and no physical edge touches a hub."""
     hub = hub_ids.select(F.col("node").alias("hub")).distinct()
-    touches = (F.col("type") == "PHYSICAL") & ((F.col("source") == F.col("hub")) | (F.col("target") == F.col("hub")))
     inside = prune_dangling(nodes, edges)
-    if small(hub, 10_000):
-        return inside.join(F.broadcast(hub), touches, "left_anti")
+    hub = settle(hub)
+    hub = F.broadcast(hub) if small(hub, 10_000) else hub
     for end in ("source", "target"):
         inside = inside.join(hub, (F.col(end) == F.col("hub")) & (F.col("type") == "PHYSICAL"), "left_anti")
     return inside

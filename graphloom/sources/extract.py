@@ -11,7 +11,7 @@ import ast
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SCHEMA = (
@@ -20,6 +20,11 @@ SCHEMA = (
     "exports array<struct<symbol:string,alias:string,specifier:string,kind:string,pos:int>>, "
     "calls array<struct<callee:string,is_member:boolean,line:int,pos:int>>, default_symbol string, error string"
 )
+_KINDS = {"line": pa.int32(), "pos": pa.int32(), "is_member": pa.bool_()}
+_TABLES = {"symbols": ("name", "kind", "line", "pos"), "imports": ("specifier", "kind", "local", "imported", "pos"), "exports": ("symbol", "alias", "specifier", "kind", "pos"), "calls": ("callee", "is_member", "line", "pos")}
+ARROW = pa.schema([("source_file", pa.string()), *[(t, pa.list_(pa.struct([(c, _KINDS.get(c, pa.string())) for c in cs]))) for t, cs in _TABLES.items()], ("default_symbol", pa.string()), ("error", pa.string())])
+#: Files whose results make one batch, and the characters of text after which a batch is closed early.
+BATCH, CHARS = 256, 4_000_000
 Result = dict[str, list[dict]]
 EXTRACTORS: dict[str, Callable[[str], Result]] = {}
 
@@ -277,10 +282,10 @@ for _e, _p in _DECLARED.items():
     register(_e, pattern_extractor(_p))
 
 
-def extract_file(path: str, text: str) -> dict:
+def extract_file(path: str, text: str, known: dict[str, Callable[[str], Result]] | None = None) -> dict:
     """One file's result; an unknown language gives nothing, a text that can't be parsed an error."""
     base = empty() | {"source_file": path, "error": None}
-    extract = EXTRACTORS.get("." + path.rsplit(".", 1)[-1])
+    extract = (EXTRACTORS if known is None else known).get("." + path.rsplit(".", 1)[-1])
     if extract is None:
         return base
     try:
@@ -290,12 +295,23 @@ def extract_file(path: str, text: str) -> dict:
 
 
 def extract(files: DataFrame) -> DataFrame:
-    """(source_file, text) to SCHEMA, file by file."""
+    """(source_file, text) to SCHEMA, file by file, results in batches of bounded size. Null texts count as empty.
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, text in zip(batch["source_file"], batch["text"], strict=True):
-                row = extract_file(path, text or "")
-                yield pd.DataFrame([row])[["source_file", "symbols", "imports", "exports", "calls", "default_symbol", "error"]]
+    The extractors registered by now travel with the job, so workers know them too.
+    """
+    known = dict(EXTRACTORS)
 
-    return files.select("source_file", "text").mapInPandas(work, SCHEMA)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, chars = [], 0
+            for path, text in zip(*batch.columns, strict=True):
+                path, text = path.as_py(), text.as_py() or ""
+                rows.append(extract_file(path or "", text, known) | {"source_file": path})
+                chars += len(text)
+                if len(rows) == BATCH or chars > CHARS:
+                    yield pa.RecordBatch.from_pylist(rows, ARROW)
+                    rows, chars = [], 0
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, ARROW)
+
+    return files.select("source_file", "text").mapInArrow(work, SCHEMA)

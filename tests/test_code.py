@@ -143,3 +143,19 @@ def test_poll(spark, tree):
     estimate = files.size_estimate(files.scan(spark, root)).first()
     assert estimate.files == 11 and estimate.words > 40
     assert files.top_folders(files.scan(spark, root)).first()[:2] == ("src", 9)
+
+
+def test_extraction_of_nulls_and_many_files(spark):
+    rows = [(None, "def f(): pass"), ("a.py", None), ("b.py", ""), ("c.none", "x"), ("bad.py", "def (")] + [(f"m{i}.py", f"def f{i}():\n    return g()\n") for i in range(600)]
+    got = {r.source_file: r for r in extract.extract(spark.createDataFrame(rows, "source_file string, text string")).collect()}
+    assert len(got) == len(rows) and got[None].symbols == [] and got["a.py"].symbols == [] and got["bad.py"].error
+    assert all(got[f"m{i}.py"].symbols[0].name == f"f{i}" and len(got[f"m{i}.py"].calls) == 1 for i in range(600))
+
+
+def test_registered_extractors_reach_workers(spark):
+    extract.register(".toy", lambda text: extract.empty() | {"symbols": [{"name": text, "kind": "function", "line": 1, "pos": 0}]})
+    try:
+        got = extract.extract(spark.createDataFrame([("a.toy", "hello")], "source_file string, text string")).first()
+    finally:
+        del extract.EXTRACTORS[".toy"]
+    assert got.symbols[0].name == "hello"
