@@ -652,3 +652,67 @@ def test_pipeline(spark):
     assert corpus_pipeline.secrets_stage(spark, odd(spark).select(*docs.columns), folder).count() == 2 * len(ODD)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none(docs), folder).collect() == []
+
+
+def jaccard(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (words((x or "").lower()) for x in (a, b)))
+    return len(a & b) / len(a | b)
+
+
+def copies(n, words_in, edits, rng):
+    """n texts, each with a copy in which some words, dealt evenly, are others."""
+    for _ in range(n):
+        w = [f"w{x}" for x in rng.integers(0, 5000, words_in)]
+        c = list(w)
+        for k in range(edits):
+            c[(2 * k + 1) * words_in // (2 * edits)] = f"edit{k}"
+        yield " ".join(w), " ".join(c)
+
+
+def test_near_copies(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(5)
+    near, far = list(copies(30, 200, 4, rng)), list(copies(30, 200, 8, rng))
+    assert all(jaccard(a, b) >= 0.8 for a, b in near) and all(jaccard(a, b) < 0.8 for a, b in far)
+    assert sum((plain_fingerprint(a) ^ plain_fingerprint(b)).bit_count() > 4 for a, b in near) > 20
+    far = [p for p in far if (plain_fingerprint(p[0]) ^ plain_fingerprint(p[1])).bit_count() > 4]
+    chain = [" ".join(f"c{x}" for x in range(k, k + 100)) for k in range(0, 200, 10)]  # each like the next, not like the first
+    assert jaccard(chain[0], chain[1]) > 0.8 > jaccard(chain[0], chain[2])
+    texts = [x for p in near + far for x in p] + chain
+    df = spark.createDataFrame([(i, x, "en", "s", len(x)) for i, x in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, df, "").collect()}
+    at = 2 * len(near + far)
+    assert got == set(range(0, 2 * len(near), 2)) | set(range(2 * len(near), at)) | {at}
+
+
+def test_near_duplicate_stage(spark):
+    """The survivors over a whole table, by links of op8 and of all pairs that are alike."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = docs.collect()
+    prints = [plain_fingerprint(r.text) for r in rows]
+    roots = plain_components(prints)
+    w = [words((r.text or "").lower()) for r in rows]
+    sets = [frozenset(tuple(x[i : i + 5]) for i in range(max(1, len(x) - 4))) for x in w]
+    first: dict = {}
+    top = [first.setdefault(roots[f], i) for i, f in enumerate(prints)]
+
+    def root(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    distinct = {s: i for i, s in reversed(list(enumerate(sets)))}
+    for i, s in enumerate(sets):
+        for t, j in distinct.items():
+            if j <= i and 5 * min(len(s), len(t)) >= 4 * max(len(s), len(t)) and 9 * len(s & t) >= 4 * (len(s) + len(t)):
+                a, b = root(i), root(j)
+                top[max(a, b)] = min(a, b)
+    want: dict = {}
+    for i, r in enumerate(rows):
+        want[root(i)] = min(r.doc_id, want.get(root(i), r.doc_id))
+    got = [r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").select("doc_id").collect()]
+    assert sorted(got) == sorted(want.values()) and len(got) < len(set(roots.values()))
+    assert corpus_pipeline.near_duplicate_stage(spark, docs.limit(0), "").collect() == []
