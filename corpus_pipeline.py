@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from graphloom.llm import overlap, packing, quality, secrets, simhash
@@ -18,15 +17,17 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the document with the smallest id; of rows that repeat it, one.
+    """Of each group of near-duplicates one row: the smallest id, null ids last; of rows with that id, by the other columns.
 
-    Documents are linked as in op8, and where their sets of five-word shingles have Jaccard similarity 0.8 or more.
+    Documents are linked as in op8, and where their sets of five-word shingles have Jaccard similarity 0.8 or more. An
+    id links nothing: rows with one id, or none, and different texts are different documents.
     """
     path = shared_folder(spark, "near-duplicates")
     docs.withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
     rows = spark.read.parquet(path)  # the numbers of the rows stay
-    prints = settle(overlap.sketches(rows, "text", ["_row", "doc_id"]))
-    nodes = settle(prints.groupBy("_fp", "_set").agg(F.min("_row").alias("id"), F.min("doc_id").alias("best")))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n_chars", F.xxhash64("text", "lang", "source").alias("hash"), "_row")
+    prints = settle(overlap.sketches(rows.withColumn("_place", place), "text", ["_row", "_place"]))
+    nodes = settle(prints.groupBy("_fp", "_set").agg(F.min("_row").alias("id"), F.min("_place").alias("best")))
     by_fp = settle(nodes.groupBy("_fp").agg(F.min("id").alias("at")))
     sets = settle(prints.select("_set", "_row", "_n", "_bands").groupBy("_set").agg(F.min("_row").alias("id"), F.first("_n").alias("_n"), F.first("_bands").alias("_bands")))
     same = nodes.join(by_fp, "_fp").select("id", "at").union(nodes.join(sets.select("_set", F.col("id").alias("at")), "_set").select(nodes["id"], "at"))
@@ -36,10 +37,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     known = settle(same.union(near.select(F.greatest("_u", "_v"), F.least("_u", "_v"))).toDF("u", "v").where("u <> v").distinct())
     roots = simhash.components(known.union(overlap.overlap_links(sets, known, rows, "_row", "text")))
     named = nodes.join(roots, nodes["id"] == roots["node"], "left").select("best", F.coalesce("root", "id").alias("root"))
-    first = named.groupBy("root").agg(F.min("best").alias("_id")).select("_id").distinct()
-    left = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    once = Window.partitionBy("doc_id").orderBy("n_chars", F.xxhash64("text"), "lang", "source")
-    return left.withColumn("_nth", F.row_number().over(once)).where("_nth = 1").drop("_nth")
+    first = named.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best._row").alias("_row"))
+    return rows.join(first, "_row", "left_semi").select(*docs.columns)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

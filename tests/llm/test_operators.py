@@ -716,3 +716,16 @@ def test_near_duplicate_stage(spark):
     got = [r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").select("doc_id").collect()]
     assert sorted(got) == sorted(want.values()) and len(got) < len(set(roots.values()))
     assert corpus_pipeline.near_duplicate_stage(spark, docs.limit(0), "").collect() == []
+
+
+def test_near_duplicate_rows(spark):
+    import corpus_pipeline
+
+    text = lambda k: " ".join(f"t{k}x{i}" for i in range(60))
+    rows = [(None, text(k)) for k in range(5)] + [(7, text(5)), (7, text(6)), (None, text(6)), (9, text(0)), (None, text(1)), (3, text(7)), (3, text(7)), (None, None), (None, "")]
+    df = spark.createDataFrame([(i, x, "en", "s", len(x or "")) for i, x in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    got = corpus_pipeline.near_duplicate_stage(spark, df, "")
+    assert got.columns == df.columns
+    assert Counter((r.doc_id, r.text or "") for r in got.collect()) == Counter([(9, text(0)), *((None, text(k)) for k in range(1, 5)), (7, text(5)), (7, text(6)), (3, text(7)), (None, "")])
+    once = corpus_pipeline.near_duplicate_stage(spark, odd(spark).select(*df.columns), "")
+    assert once.count() == once.select("doc_id").distinct().count()
