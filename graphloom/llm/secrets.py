@@ -29,21 +29,30 @@ RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,200}(?![A-Za-z0-9+/_=-])|[A-Za-z0-9+/_=-]
 DIGESTS = (32, 40, 56, 64, 96, 128)
 _HEX = re.compile(r"[0-9A-Fa-f]+")
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
-#: Words, numbers and capitals joined by signs, as in names, paths and versions.
-_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
+#: Parts that case tells apart; digits stay with what they follow.
+_CASES = re.compile(r"[A-Z]?[a-z][a-z0-9]*|[A-Z0-9]+(?![a-z])|[A-Z0-9]")
 _SIGNS = re.compile(r"[+/_=-]+")
+#: Up to four characters again and again.
+_FILLER = re.compile(r"(.{1,4}?)\1{4,}.{0,3}")
 
 
 def known_digest(run: str) -> bool:
     return bool(_HEX.fullmatch(run)) and len(run) in DIGESTS or bool(_UUID.fullmatch(run))
 
 
-def identifier(run: str, longest_part: float = 3.0) -> bool:
-    """A name, path or number: without digits and letters mixed, or made of parts of longest_part characters on average."""
+def identifier(run: str, encoding, longest_part: float = 2.5) -> bool:
+    """A number, a repeated filler, or a name or path: several parts, told apart by signs or case, of longest_part characters a token on average.
+
+    Parts that are numbers of their own don't count. A run of one part is never an identifier, be it of one case.
+    """
     bare = _SIGNS.sub("", run)
-    if not bare or bare.isdigit() or bare.isalpha() and (bare.islower() or bare.isupper()):
+    if not bare or bare.isdigit() or _FILLER.fullmatch(run):
         return True
-    return len(bare) / len(_PARTS.findall(bare)) >= longest_part
+    named = [x for x in _SIGNS.split(run) if x and not x.isdigit()]
+    parts = [p for x in named for p in _CASES.findall(x)]
+    if len(parts) + sum(x.isdigit() for x in _SIGNS.split(run)) < 2:
+        return False
+    return sum(map(len, parts)) >= longest_part * sum(len(encoding.encode_ordinary(p)) for p in parts)
 
 
 def load_encoding(ranks_file: str, pattern: str):
@@ -66,7 +75,7 @@ def scan(text: str, encoding, most_chars: float = 2.2) -> list[tuple[int, int, i
     base = sorted(found)
     for m in RUN.finditer(text):
         run = m[0]
-        if any(s <= m.start() and m.end() <= e for s, _, e in base) or known_digest(run) or identifier(run):
+        if any(s <= m.start() and m.end() <= e for s, _, e in base) or known_digest(run) or identifier(run, encoding):
             continue
         if len(run) / len(encoding.encode_ordinary(run)) < most_chars:
             found.append((m.start(), len(_BASE), m.end()))

@@ -729,3 +729,16 @@ def test_near_duplicate_rows(spark):
     assert Counter((r.doc_id, r.text or "") for r in got.collect()) == Counter([(9, text(0)), *((None, text(k)) for k in range(1, 5)), (7, text(5)), (7, text(6)), (3, text(7)), (None, "")])
     once = corpus_pipeline.near_duplicate_stage(spark, odd(spark).select(*df.columns), "")
     assert once.count() == once.select("doc_id").distinct().count()
+
+
+def test_random_keys():
+    encoding = secrets.load_encoding(queries.vocabulary("byte_bpe_50k.tiktoken"), queries.pattern())
+    rng = np.random.default_rng(9)
+    up, low, ten = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    for letters in (up + "234567", low + "234567", low + ten, up + ten, low, up, up + low + ten):
+        for size in (32, 52):
+            for key in ("".join(rng.choice(list(letters), size)) for _ in range(200)):
+                if len(key) / len(encoding.encode_ordinary(key)) < 2.2 and not re.search("AKIA", key):
+                    assert [(s, secrets.KINDS[k], e) for s, k, e in secrets.scan(f"use {key} here", encoding)] == [(4, "random", 4 + size)], key
+    for plain in ("THIS_IS_A_LONG_CONSTANT_NAME", "path/to/some/file/v2/index_3", "2024-01-15-10-30-45-release", "HTTPServerRequestHandlerV2", "libfoo-1_2_3-4-x86_64-linux-gnu", "=" * 40, "ha" * 20, "Rechtsschutzversicherungsgesellschaften"):
+        assert secrets.scan(plain, encoding) == [], plain
