@@ -82,6 +82,8 @@ FAMILIES = (
     ("sspl", "server side", r"server side public", "sspl-1.0", "mongodb.com/licensing/server-side-public-license"),
     ("busl", "business source", r"business source", "busl-1.1", "mariadb.com/bsl11"),
 )
+#: Families with names that lack their keyword; a text must have what stands around the name instead.
+OTHER_NAMES = ("mit", "gpl", "lgpl", "agpl", "psf", "unlicense")
 # Parts of Creative Commons names.
 CC_PARTS = {"by": "attribution", "sa": "share[- ]?alike", "nc": "non[- ]?commercial", "nd": "no[- ]?deriv(?:ative)?s(?: works)?"}
 CC = (("by",), ("by", "sa"), ("by", "nd"), ("by", "nc"), ("by", "nc", "sa"), ("by", "nc", "nd"))
@@ -107,13 +109,14 @@ def rules() -> list[Rule]:
     """All rules, some hundreds: families by forms, Creative Commons by parts and versions, and notices."""
     out = []
     for label, keyword, name, spdx, address in FAMILIES:
+        under, licence = ("under", "licen") if label in OTHER_NAMES else (keyword, keyword)
         spdx_word = r"(?![a-z0-9.-]*[a-z0-9])"
         out += [
             Rule(label, "spdx-license-identifier", rf"spdx-license-identifier:\s{{0,8}}\(?{spdx}{spdx_word}", 0, 1.0),
-            Rule(label, keyword, rf"(?:licen[cs]ed|released|distributed|available|published|provided)\s{{1,4}}under\s{{1,4}}(?:the\s{{1,4}})?(?:terms\s{{1,4}}of\s{{1,4}}(?:the\s{{1,4}})?)?(?:{name})\b(?:\s{{1,4}}licen[cs]e)?", 1, 0.95),
-            Rule(label, keyword, rf"\b(?:{name})\b" if "licen" in name else rf"\b(?:{name})\s{{1,4}}licen[cs]e\b", 3, 0.8),
+            Rule(label, under, rf"(?:licen[cs]ed|released|distributed|available|published|provided)\s{{1,4}}under\s{{1,4}}(?:the\s{{1,4}})?(?:terms\s{{1,4}}of\s{{1,4}}(?:the\s{{1,4}})?)?(?:{name})\b(?:\s{{1,4}}licen[cs]e)?", 1, 0.95),
+            Rule(label, licence, rf"\b(?:{name})\b" if "licen" in name else rf"\b(?:{name})\s{{1,4}}licen[cs]e\b", 3, 0.8),
             Rule(label, address.split("/")[0], rf"{re.escape(address) if '(?:' not in address else address.replace('.', '[.]')}", 1, 1.0),
-            Rule(label, keyword, rf"licen[cs]e:\s{{0,8}}(?:{name}|{spdx}){spdx_word}", 2, 0.9),
+            Rule(label, "licen", rf"licen[cs]e:\s{{0,8}}(?:{name}|{spdx}){spdx_word}", 2, 0.9),
         ]
     for parts in CC:
         code, name = "-".join(parts), r"[-, ]{1,2}".join(CC_PARTS[p] for p in parts)

@@ -742,3 +742,16 @@ def test_random_keys():
                     assert [(s, secrets.KINDS[k], e) for s, k, e in secrets.scan(f"use {key} here", encoding)] == [(4, "random", 4 + size)], key
     for plain in ("THIS_IS_A_LONG_CONSTANT_NAME", "path/to/some/file/v2/index_3", "2024-01-15-10-30-45-release", "HTTPServerRequestHandlerV2", "libfoo-1_2_3-4-x86_64-linux-gnu", "=" * 40, "ha" * 20, "Rechtsschutzversicherungsgesellschaften"):
         assert secrets.scan(plain, encoding) == [], plain
+
+
+def test_license_keywords(spark):
+    """No keyword shuts out a rule whose pattern matches."""
+    spdx = [re.sub(r"\[(.)[^]]*\]|\(\?:.*?\)\?", lambda m: m[1] or "", f[3]) for f in licenses.FAMILIES]
+    texts = [f"License: {x.upper()}" for x in spdx] + ["License: GPL-2.0-only", "released under the GNU GPL", "under the GNU LGPL license", "the GNU AGPL license", "distributed under the Expat license", "released under the Unlicence", "the PSF license", "Licensed under the PSF", "expat license"]
+    low = [t.lower() for t in texts]
+    for r in licenses.rules():
+        assert all(r.keyword in t for t in low if re.search(r.pattern, t, re.ASCII)), r
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: {d.label for d in r["_lic"].detections} for r in licenses.scan_licenses(rows).collect()}
+    for i, t in enumerate(low):
+        assert got[i] and got[i] <= {r.label for r in licenses.rules() if re.search(r.pattern, t, re.ASCII)}, t
