@@ -1,31 +1,68 @@
-"""Cutting lineage, and ranks over a whole table."""
+"""Cutting lineage, shared folders, and ranks over a whole table."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_top(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir or the context names. Only local mode, in tests, may go without: it gets a temporary one."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    held = sc._jsc.sc().getCheckpointDir()
+    if held.isEmpty():
+        if named is None and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="graphloom-"))
+        held = sc._jsc.sc().getCheckpointDir()
+    return named or held.get()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new place below the shared folder."""
+    return f"{shared_top(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, by the file system that Spark reads it with."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """The rows, written to the folder in spark.checkpoint.dir and read from there."""
-    sc = df.sparkSession.sparkContext
-    if sc.getConf().get("spark.checkpoint.dir") is None and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="graphloom-"))
+    """The rows, written to the shared folder and read from there: no lineage, safe when executors go."""
+    shared_top(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def ranked(df: DataFrame, order: list[Column], to: str = "rank") -> tuple[DataFrame, int]:
+    """df (narrow rows) with each row's place from 0 in the order, and the number of rows.
+
+    The rows are range-sorted, so no key, however frequent, meets in one task: equal rows are told apart by where
+    they were read. Only a count for each partition goes to the driver.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    at = settle(df).withColumn("_rank_tie", F.monotonically_increasing_id())
+    at = at.repartitionByRange(parts, *order, F.col("_rank_tie")).sortWithinPartitions(*order, F.col("_rank_tie")).drop("_rank_tie")
+    at = settle(at.withColumn("_rank_at", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_rank_at", 33), F.col("_rank_at").bitwiseAND(F.lit((1 << 33) - 1))
+    starts, total = [], 0
+    for row in at.groupBy(part.alias("part")).count().orderBy("part").collect():
+        starts.append((row["part"], total))
+        total += row["count"]
+    table = spark.createDataFrame(starts or [(0, 0)], "_rank_part long, _rank_first long")  # a row for each partition
+    at = at.withColumn("_rank_part", part).join(F.broadcast(table), "_rank_part")
+    return at.withColumn(to, F.col("_rank_first") + place).drop("_rank_part", "_rank_first", "_rank_at"), total
+
+
 def with_rank(df: DataFrame, order: list[Column], to: str = "rank") -> DataFrame:
-    """Places from 0 in the order, by a range sort; only a count for each partition goes to the driver."""
-    rows = settle(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id()))
-    part, before, starts = F.shiftright("_place", 33), 0, []
-    for r in rows.groupBy(part.alias("p")).count().orderBy("p").collect():
-        starts.append((r["p"], before))
-        before += r["count"]
-    table = df.sparkSession.createDataFrame(starts or [(0, 0)], "_part long, _before long")
-    out = rows.withColumn("_part", part).join(F.broadcast(table), "_part")
-    return out.withColumn(to, F.col("_before") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_before", "_place")
+    """Places from 0 in the order."""
+    return ranked(df, order, to)[0]
 
 
 def small(df: DataFrame, most: int) -> bool:
