@@ -2,25 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.lineage import drop_folder, settle, shared_folder
+from ..functions.lineage import ranked as with_global_rank
+
+__all__ = ["drop_folder", "settle", "shared_folder", "with_global_rank"]
+
 #: Characters of `[\x20\x09-\x0D]`, between words.
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """The rows, written to the folder in spark.checkpoint.dir and read from there: no lineage, safe when executors go."""
-    sc = df.sparkSession.sparkContext
-    if sc.getConf().get("spark.checkpoint.dir") is None and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="graphloom-"))
-    return df.checkpoint(eager=True)
-
-
 def let(value: Column, body) -> Column:
     """body(value), in which value is computed once, however often body names it (also inside lambdas)."""
     return F.transform(F.array(value), body)[0]
@@ -32,27 +27,6 @@ def words_of(text: Column) -> Column:
     return let(bare, lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, "[ \\t-\\r]+")))
 
 
-def with_global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> tuple[DataFrame, int]:
-    """df (narrow rows) with each row's place from 0 in the order, and the number of rows.
-
-    The rows are range-sorted, so no key, however frequent, meets in one task: equal rows are told apart by where
-    they were read. Only a count for each partition goes to the driver.
-    """
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    at = settle(df).withColumn("_rank_tie", F.monotonically_increasing_id())
-    at = at.repartitionByRange(parts, *order, F.col("_rank_tie")).sortWithinPartitions(*order, F.col("_rank_tie")).drop("_rank_tie")
-    at = settle(at.withColumn("_rank_at", F.monotonically_increasing_id()))
-    part, place = F.shiftright("_rank_at", 33), F.col("_rank_at").bitwiseAND(F.lit((1 << 33) - 1))
-    starts, total = [], 0
-    for row in at.groupBy(part.alias("part")).count().orderBy("part").collect():
-        starts.append((row["part"], total))
-        total += row["count"]
-    starts = spark.createDataFrame(starts or [(0, 0)], "_rank_part long, _rank_first long")  # a row for each partition
-    at = at.withColumn("_rank_part", part).join(F.broadcast(starts), "_rank_part")
-    return at.withColumn(name, F.col("_rank_first") + place).drop("_rank_part", "_rank_first", "_rank_at"), total
-
-
 def kept_columns(df: DataFrame, keep: list[str] | None, *added: str) -> list[Column]:
     """The columns to keep (all, unless listed), without those that an operator is about to add."""
     return [F.col(f"`{c}`") for c in (df.columns if keep is None else keep) if c not in added]

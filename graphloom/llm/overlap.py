@@ -1,8 +1,9 @@
 """Texts whose sets of word shingles overlap: candidates by MinHash bands, each checked by exact Jaccard similarity.
 
 Two sets of similarity J meet in one band at least with probability 1 - (1 - J^ROWS)^BANDS: all but 3 in 100,000 pairs
-at 0.8, and more the more alike they are. No other pair is left out: in each bucket all are compared with one member,
-then, once what that linked is put together, all that are still apart with each other.
+at 0.8, and more the more alike they are. No other pair is left out: in each bucket all are compared with one member and,
+once what that linked is put together, with further ones, until that links nothing; then all that are still apart with
+each other. Sets with too many shingles that no other set has can't reach 0.8, so they leave before pairs are made.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ _TIMES = _RNG.integers(0, 1 << 64, ROWS * BANDS, dtype=np.uint64) | np.uint64(1)
 SLICE = 1 << 14
 #: Ids that may be broadcast.
 MOST = 1 << 18
+#: Members of a bucket that all others are compared with in one round.
+SPEAKERS = 8
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -91,14 +94,22 @@ def alike(a: Column, b: Column) -> Column:
     return 9 * F.size(F.array_intersect(a, b)) >= 4 * (F.size(a) + F.size(b))
 
 
-def checked(pairs: DataFrame, rows: DataFrame, key: str, text: str) -> DataFrame:
-    """The pairs (u, v) of keys whose texts are alike."""
-    pairs = settle(pairs.distinct())
-    ids = settle(pairs.select(F.col("u").alias(key)).union(pairs.select(F.col("v").alias(key))).distinct())
-    few = ids.limit(MOST + 1).count() <= MOST
-    sets = settle(hash_sets(rows.select(key, text).join(F.broadcast(ids) if few else ids, key, "left_semi"), text, key))
-    a, b = (sets.select(F.col(key).alias(x), F.col("hashes").alias(f"_{x}")) for x in "uv")
-    return settle(pairs.join(a, "u").join(b, "v").where(alike(F.col("_u"), F.col("_v"))).select("u", "v"))
+def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (u, v) of ids whose sets (id, hashes) are alike."""
+    a, b = (sets.select(F.col("id").alias(x), F.col("hashes").alias(f"_{x}")) for x in "uv")
+    return settle(pairs.distinct().join(a, "u").join(b, "v").where(alike(F.col("_u"), F.col("_v"))).select("u", "v"))
+
+
+def shared_counts(sets: DataFrame) -> DataFrame:
+    """(id, shared): how many shingles of each set (id, hashes) some other of the sets has."""
+    once = sets.select("id", F.explode("hashes").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("id")).where("k = 1")
+    alone = once.groupBy(F.col("id").alias("of")).agg(F.count(F.lit(1)).alias("alone"))
+    return sets.join(alone, sets["id"] == alone["of"], "left").select("id", (F.size("hashes") - F.coalesce("alone", F.lit(0))).alias("shared"))
+
+
+def may_be_alike(n: str, shared: str, m: str, common: str) -> Column:
+    """Whether sets of n and m shingles, so many of them shared with any set at all, can have similarity 0.8."""
+    return 9 * F.least(shared, common) >= 4 * (F.col(n) + F.col(m))
 
 
 def overlap_links(distinct: DataFrame, known: DataFrame, rows: DataFrame, key: str, text: str) -> DataFrame:
@@ -106,16 +117,41 @@ def overlap_links(distinct: DataFrame, known: DataFrame, rows: DataFrame, key: s
 
     distinct has a row (id, _n, _bands) for each set; ids are keys of the rows (key, text).
     """
-    members = settle(distinct.select("id", "_n", F.posexplode("_bands").alias("band", "value")))
-    near = 5 * F.least("_n", "n") >= 4 * F.greatest("_n", "n")  # of sizes that leave 0.8 possible
-    first = members.groupBy("band", "value").agg(F.min(F.struct("id", "_n")).alias("f"), F.count(F.lit(1)).alias("k")).where("k > 1").select("band", "value", F.col("f.id").alias("v"), F.col("f._n").alias("n"))
-    first = settle(first)
-    members = settle(members.join(first, ["band", "value"]))
-    found = checked(members.where((F.col("id") != F.col("v")) & near).select(F.col("id").alias("u"), "v"), rows, key, text)
-    roots = simhash.components(known.union(found))
-    apart = members.join(roots, members["id"] == roots["node"], "left").select("band", "value", "id", "v", "_n", F.coalesce("root", "id").alias("root"))
-    mixed = apart.groupBy("band", "value").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("band", "value")
-    apart = settle(apart.join(mixed, ["band", "value"], "left_semi").where("id <> v"))
-    other = apart.select("band", "value", F.col("id").alias("w"), F.col("_n").alias("n"), F.col("root").alias("of"))
-    rest = apart.join(other, ["band", "value"]).where((F.col("id") > F.col("w")) & (F.col("root") != F.col("of")) & near).select(F.col("id").alias("u"), F.col("w").alias("v"))
-    return found.union(checked(rest, rows, key, text))
+    bucket = ["band", "value"]
+    members = distinct.select("id", F.col("_n").alias("n"), F.posexplode("_bands").alias("band", "value"))
+    first = settle(members.groupBy(*bucket).agg(F.min(F.struct("id", "n")).alias("f"), F.count(F.lit(1)).alias("k")).where("k > 1").select(*bucket, F.col("f.id").alias("v"), F.col("f.n").alias("m")))
+    members = settle(members.join(first, bucket))
+    ids = settle(members.select(F.col("id").alias(key)).distinct())
+    few = ids.limit(MOST + 1).count() <= MOST
+    sets = settle(hash_sets(rows.select(key, text).join(F.broadcast(ids) if few else ids, key, "left_semi"), text, key).withColumnRenamed(key, "id"))
+    near = 5 * F.least("n", "m") >= 4 * F.greatest("n", "m")  # of sizes that leave 0.8 possible
+    links = settle(known.union(checked(members.where((F.col("id") != F.col("v")) & near).select(F.col("id").alias("u"), "v"), sets)))
+
+    def apart(members: DataFrame) -> DataFrame:
+        """The members of buckets that hold several groups by now, each with its group's root."""
+        roots = simhash.components(links)
+        out = members.drop("root").join(roots, members["id"] == roots["node"], "left").withColumn("root", F.coalesce("root", "id")).drop("node")
+        mixed = out.groupBy(*bucket).agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select(*bucket)
+        return settle(out.join(mixed, bucket, "left_semi"))
+
+    members = apart(members.select(*bucket, "id", "n"))
+    counts = shared_counts(sets.join(members.select("id").distinct(), "id", "left_semi"))
+    members = members.join(counts, "id").where("5 * shared >= 4 * n")  # else no set at all can be alike
+    members, spoken = settle(members), None
+    while not members.isEmpty():
+        free = members if spoken is None else members.join(spoken, [*bucket, "id"], "left_anti")
+        speaks = settle(free.groupBy(*bucket, F.pmod(F.xxhash64("id"), F.lit(SPEAKERS))).agg(F.max(F.struct("shared", "id", "n", "root")).alias("s")).select(*bucket, F.col("s.id").alias("v"), F.col("s.n").alias("m"), F.col("s.shared").alias("common"), F.col("s.root").alias("of")))
+        pairs = members.join(speaks, bucket).where(near & may_be_alike("n", "shared", "m", "common") & (F.col("root") != F.col("of")))
+        found = checked(pairs.select(F.greatest("id", "v").alias("u"), F.least("id", "v").alias("v")), sets)
+        if found.isEmpty():
+            break
+        links = settle(links.union(found))
+        members = apart(members)
+        own = speaks.select(*bucket, F.col("v").alias("id"))
+        spoken = own if spoken is None else spoken.union(own)
+    # What is left: each member outside its bucket's largest group against all of other groups.
+    top = members.groupBy(*bucket, "root").agg(F.count(F.lit(1)).alias("k")).groupBy(*bucket).agg(F.max(F.struct("k", "root")).alias("t")).select(*bucket, F.col("t.root").alias("top"))
+    members = settle(members.join(settle(top), bucket))
+    other = members.select(*bucket, F.col("id").alias("v"), F.col("n").alias("m"), F.col("shared").alias("common"), F.col("root").alias("of"))
+    pairs = members.where("root <> top").join(other, bucket).where((F.col("root") != F.col("of")) & ((F.col("of") == F.col("top")) | (F.col("id") > F.col("v"))) & near & may_be_alike("n", "shared", "m", "common"))
+    return links.union(checked(pairs.select(F.greatest("id", "v").alias("u"), F.least("id", "v").alias("v")), sets))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import drop_folder, shared_folder
 from . import chat_template, hilbert, licenses, packing, quality, secrets, simhash, telephony, viterbi, warc
 
 
@@ -73,9 +74,10 @@ def op5_streaming_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = warc.shared_folder(spark, "archives")
+    folder = shared_folder(spark, "archives")
     warc.write_archives(_read(spark, sf_dir, "pages"), folder)
     out = warc.resolve_revisits(warc.read_archives(spark, folder).select("key", "record_type", "digest", "payload_bytes"))
+    drop_folder(spark, folder)  # the records' heads are kept apart from it by now
     return out.select(F.col("key").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")
 
 

@@ -246,6 +246,6 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", radi
     roots = components(near_links(distinct, radius, distinct.count()))
     roots = distinct.join(roots, distinct["_fp"] == roots["node"], "left").select("_fp", "least", F.coalesce("root", "_fp").alias("root"))
     roots = settle(roots)
-    named = roots.groupBy("root").agg(F.min("least").alias("_component"))
+    named = settle(roots.groupBy("root").agg(F.min("least").alias("_component")))  # apart from the join, which may then split a frequent root
     named = roots.join(named, "root").select(F.col("_fp").alias("_own"), "_component")
     return prints.join(named, prints["_fp"] == named["_own"]).select(key, "_fp", "_component")

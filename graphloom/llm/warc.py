@@ -11,8 +11,6 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
-import tempfile
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -37,12 +35,6 @@ def base32_sha1(text: Column) -> Column:
     return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", BASE32)
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new place below spark.checkpoint.dir, which all executors see; a temporary folder where that is unset."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="graphloom-")
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _record_id(key: Column, digest: Column) -> Column:
     h = F.md5(F.concat_ws(" ", F.coalesce(key.cast("string"), F.lit("")), digest))
     return F.concat(F.lit("<urn:uuid:"), *[x for k, (a, n) in enumerate(((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) for x in ([F.lit("-")] * bool(k) + [F.substring(h, a, n)])], F.lit(">"))
