@@ -2,18 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.functions.lineage import drop_folder, settle, shared_folder
 from graphloom.llm import overlap, packing, quality, secrets, simhash
-from graphloom.llm.common import settle
 from graphloom.llm.queries import pattern, vocabulary
-from graphloom.llm.warc import shared_folder
+
+#: Folders that stages of this session wrote for themselves; run() deletes them.
+SCRATCH: list[str] = []
+
+
+def whole(docs: DataFrame) -> Column:
+    """A row as one column, so that no name of a table's own can clash with what an operator adds."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+
+
+def parts(docs: DataFrame, **new: Column) -> list[Column]:
+    """The columns of such a row, some of them replaced."""
+    return [(new.get(c, F.col("doc")[c])).alias(c) for c in docs.columns]
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return quality.quality_rules(docs).where(F.col("_q.kept")).drop("_q")
+    """Documents that the quality rules keep, all columns as they are."""
+    return quality.quality_rules(docs.select(whole(docs), "text", "lang")).where(F.col("_q.kept")).select(*parts(docs))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,10 +35,13 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     id links nothing: rows with one id, or none, and different texts are different documents.
     """
     path = shared_folder(spark, "near-duplicates")
-    docs.withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
+    SCRATCH.append(path)
+    docs.select(whole(docs), F.monotonically_increasing_id().alias("_row")).write.parquet(path)
     rows = spark.read.parquet(path)  # the numbers of the rows stay
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n_chars", F.xxhash64("text", "lang", "source").alias("hash"), "_row")
-    prints = settle(overlap.sketches(rows.withColumn("_place", place), "text", ["_row", "_place"]))
+    texts = rows.select("_row", F.col("doc")["text"].alias("text"))
+    own = F.col("doc")["doc_id"]
+    place = F.struct(own.isNull().alias("none"), own.alias("doc_id"), F.xxhash64("doc").alias("hash"), "_row").alias("_place")
+    prints = settle(overlap.sketches(rows.select("_row", place, F.col("doc")["text"].alias("text")), "text", ["_row", "_place"]))
     nodes = settle(prints.groupBy("_fp", "_set").agg(F.min("_row").alias("id"), F.min("_place").alias("best")))
     by_fp = settle(nodes.groupBy("_fp").agg(F.min("id").alias("at")))
     sets = settle(prints.select("_set", "_row", "_n", "_bands").groupBy("_set").agg(F.min("_row").alias("id"), F.first("_n").alias("_n"), F.first("_bands").alias("_bands")))
@@ -35,18 +50,19 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     for x in "uv":
         near = near.join(by_fp.select(F.col("_fp").alias(x), F.col("at").alias(f"_{x}")), x)
     known = settle(same.union(near.select(F.greatest("_u", "_v"), F.least("_u", "_v"))).toDF("u", "v").where("u <> v").distinct())
-    roots = simhash.components(known.union(overlap.overlap_links(sets, known, rows, "_row", "text")))
+    roots = simhash.components(overlap.overlap_links(sets, known, texts, "_row", "text"))
     named = nodes.join(roots, nodes["id"] == roots["node"], "left").select("best", F.coalesce("root", "id").alias("root"))
     first = named.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best._row").alias("_row"))
-    return rows.join(first, "_row", "left_semi").select(*docs.columns)
+    return rows.join(first, "_row", "left_semi").select(*parts(docs))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, with a mark in place of each secret."""
-    out = secrets.scan_secrets(docs, vocabulary("byte_bpe_50k.tiktoken"), pattern(), redact=True, keep=[c for c in docs.columns if c != "text"])
-    changed = F.size("_spans") > 0
-    out = out.withColumn("text", F.col("_redacted")).withColumn("n_chars", F.when(changed, F.length("_redacted").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    """Every document, with a mark in place of each secret, and n_chars, where there is such a column, of the new text."""
+    out = secrets.scan_secrets(docs.select(whole(docs), "text"), vocabulary("byte_bpe_50k.tiktoken"), pattern(), redact=True, keep=["doc"])
+    new = {"text": F.col("_redacted")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.size("_spans") > 0, F.length("_redacted").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("doc")["n_chars"])
+    return out.select(*parts(docs, **new))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,10 +79,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each written as Parquet to the shared folder and read again by the next."""
+    """All stages, each written as Parquet to the shared folder and read again by the next.
+
+    The last stage keeps what it needs in a checkpoint of its own, so nothing written before is needed after it.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         path = shared_folder(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
+        while SCRATCH:
+            drop_folder(spark, SCRATCH.pop())
+        SCRATCH.append(path)
         docs = spark.read.parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    while SCRATCH:
+        drop_folder(spark, SCRATCH.pop())
+    return out
