@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,8 +36,26 @@ def kept_columns(df: DataFrame, keep: list[str] | None, *added: str) -> list[Col
     return [F.col(f"`{c}`") for c in (df.columns if keep is None else keep) if c not in added]
 
 
+#: Rows and bytes of text that an operator gets at once, but for a larger text, which comes alone.
+ROWS, BYTES = 512, 1 << 22
+
+
+def small_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, whose last column is a text, cut so that none has more than ROWS rows or BYTES of text."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy()
+        start = total = 0
+        for i, n in enumerate(sizes.tolist()):
+            if i > start and (total + n > BYTES or i - start == ROWS):
+                yield batch.slice(start, i - start)
+                start, total = i, 0
+            total += n
+        if start < len(sizes):
+            yield batch.slice(start)
+
+
 def map_texts(df: DataFrame, text: str, kept: list[Column], work, added: str) -> DataFrame:
-    """mapInArrow over the kept columns and, last, the text; the result has the kept and the added columns."""
+    """mapInArrow over the kept columns and, last, the text, in small batches; the result has the kept and the added columns."""
     rows = df.select(*kept)
     schema = T.StructType([*rows.schema.fields, *T.StructType.fromDDL(added).fields])
-    return df.select(*kept, F.col(f"`{text}`").cast("string").alias("_text_in")).mapInArrow(work, schema)
+    return df.select(*kept, F.col(f"`{text}`").cast("string").alias("_text_in")).mapInArrow(lambda batches: work(small_batches(batches)), schema)

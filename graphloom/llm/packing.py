@@ -25,8 +25,11 @@ from pyspark.sql import types as T
 
 from .common import kept_columns, map_texts, settle, with_global_rank
 
-#: Chunks that a Python worker remembers from task to task, and the intervals that one broadcast holds at most (40 bytes each).
-REMEMBERED, INTERVALS = 1_500_000, 1_000_000
+#: Bytes that a Python worker keeps of chunks from task to task, twice at most, what each takes besides its letters and
+#: ids, and the longest that is kept.
+REMEMBERED, ENTRY, CHUNK = 45_000_000, 200, 64
+#: Intervals that one broadcast holds at most (48 bytes each).
+INTERVALS = 1_000_000
 
 
 class Interval(NamedTuple):
@@ -89,7 +92,7 @@ class Tokenizer:
     """Ids as little-endian 32-bit bytes.
 
     The tokenizer parts texts at blanks and between letters and marks, so what stands between blanks is tokenised once
-    and remembered, within a bound. Capitals and a mark after a word are told apart from it beforehand where that can't
+    and remembered: what was asked for lately stays, the rest goes when the bound is reached. Capitals and a mark after a word are told apart from it beforehand where that can't
     change a token: not beside combining marks, which compose with some small letters only, or special tokens.
     """
 
@@ -102,6 +105,8 @@ class Tokenizer:
 
         self.read = Read.from_file(file)
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}  # what was known when the bound was last reached
+        self.held = 0
         (self.between,) = self._ids(self.BETWEEN)
 
     def _ids(self, text: str) -> list[int]:
@@ -127,11 +132,20 @@ class Tokenizer:
                 self.known[w] = raw[lo:hi]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        known, split = self.known, [self.chunks(t) for t in texts]
-        if len(known) > REMEMBERED:
-            known.clear()
-        self.learn(list({w for words in split for w in words if w not in known}))
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        known, before, split = self.known, self.before, [self.chunks(t) for t in texts]
+        new = {w for words in split for w in words if w not in known}
+        found = {w: before[w] for w in new if w in before}
+        known |= found
+        self.learn([w for w in new if w not in found])
+        out = [b"".join(map(known.__getitem__, words)) for words in split]
+        for w in new:
+            if len(w) > CHUNK:
+                del known[w]
+            else:
+                self.held += len(w) + len(known[w]) + ENTRY
+        if self.held > REMEMBERED:
+            self.before, self.known, self.held = known, {}, 0
+        return out
 
 
 @functools.lru_cache(maxsize=1)
@@ -151,18 +165,16 @@ def tokenized_pieces(df: DataFrame, tokenizer_file: str, capacity: int = 2048, t
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, last, size = load_tokenizer(tokenizer_file), np.array([end_id], dtype="<u4").tobytes(), 4 * capacity
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                rows, cols = [], []
-                for i, ids in enumerate(tokenizer.encode([x or "" for x in part.column(part.num_columns - 1).to_pylist()])):
-                    ids += last
-                    for k in range(0, len(ids), size):
-                        piece = ids[k : k + size]
-                        rows.append(i)
-                        cols.append((k // size, k // 4, len(piece) // 4, zlib.crc32(piece), piece))
-                made = [pa.array(c, t) for c, t in zip(zip(*cols, strict=True), kinds, strict=False)]
-                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(rows)) for c in part.columns[:-1]), *made], names=[*part.schema.names[:-1], *names])
+        for part in batches:
+            rows, cols = [], []
+            for i, ids in enumerate(tokenizer.encode([x or "" for x in part.column(part.num_columns - 1).to_pylist()])):
+                ids += last
+                for k in range(0, len(ids), size):
+                    piece = ids[k : k + size]
+                    rows.append(i)
+                    cols.append((k // size, k // 4, len(piece) // 4, zlib.crc32(piece), piece))
+            made = [pa.array(c, t) for c, t in zip(zip(*cols, strict=True), kinds, strict=False)]
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(rows)) for c in part.columns[:-1]), *made], names=[*part.schema.names[:-1], *names])
 
     names = ["_piece", "_start", "_length", "_ids_crc32"] + ["_ids"] * with_ids
     kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.binary()] * with_ids

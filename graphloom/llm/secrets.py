@@ -7,6 +7,7 @@ signs are measured in characters a token, after known digests and identifiers ar
 from __future__ import annotations
 
 import base64
+import functools
 import re
 from collections.abc import Iterator
 
@@ -55,8 +56,9 @@ def identifier(run: str, encoding, longest_part: float = 2.5) -> bool:
     return sum(map(len, parts)) >= longest_part * sum(len(encoding.encode_ordinary(p)) for p in parts)
 
 
+@functools.lru_cache(maxsize=1)
 def load_encoding(ranks_file: str, pattern: str):
-    """A tiktoken encoding from a rank file (a parameter; it is read, never copied)."""
+    """A tiktoken encoding from a rank file (a parameter; it is read, never copied), one for each worker process."""
     import tiktoken
 
     with open(ranks_file, "rb") as f:
@@ -95,16 +97,14 @@ def scan_secrets(df: DataFrame, ranks_file: str, pattern: str, text: str = "text
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = load_encoding(ranks_file, pattern)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                spans, texts = [], []
-                for x in part.column(part.num_columns - 1).to_pylist():
-                    found = scan(x or "", encoding, most_chars)
-                    spans.append([{"start": s, "end": e, "kind": KINDS[k]} for s, k, e in found])
-                    texts.append(x if not redact or not found else redacted(x, found, mark))
-                made = [pa.array(spans, kind)] + [pa.array(texts, pa.string())] * redact
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], names=[*part.schema.names[:-1], "_spans", *["_redacted"] * redact])
+        for part in batches:
+            spans, texts = [], []
+            for x in part.column(part.num_columns - 1).to_pylist():
+                found = scan(x or "", encoding, most_chars)
+                spans.append([{"start": s, "end": e, "kind": KINDS[k]} for s, k, e in found])
+                texts.append(x if not redact or not found else redacted(x, found, mark))
+            made = [pa.array(spans, kind)] + [pa.array(texts, pa.string())] * redact
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], names=[*part.schema.names[:-1], "_spans", *["_redacted"] * redact])
 
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
     return map_texts(df, text, kept, work, "_spans array<struct<start:long,end:long,kind:string>>" + ", _redacted string" * redact)
