@@ -1,8 +1,9 @@
 """SentencePiece vocabularies by a streaming Viterbi search.
 
-The best segmentation (largest sum of piece scores) is found from left to right. Only scores of the last positions, as
-many as the longest piece has characters, are kept; ids are committed whenever the backpointer paths of all of them
-meet at one boundary.
+The best segmentation (largest sum of piece scores) is found from left to right. Only boundaries that a piece from a
+start already dealt with can reach are open, at most as many as the longest piece has characters; ids are committed
+whenever the backpointer paths of all open boundaries meet at one. What waits for that are backpointers of one stretch,
+short but where a text repeats itself so that two paths run side by side ("qqqq...").
 """
 
 from __future__ import annotations
@@ -21,8 +22,10 @@ from pyspark.sql import types as T
 from .common import kept_columns, map_texts
 
 UNKNOWN_PENALTY = 10.0
-#: Chunks of at most so many characters are remembered, at most so many of them by a worker.
-CHUNK, REMEMBERED = 48, 1_400_000
+#: Chunks of at most so many characters are remembered, by a worker, while they and what belongs to them take so many bytes.
+CHUNK, REMEMBERED, ENTRY = 48, 280_000_000, 160
+#: Characters that the search is fed at once, and committed ones that it drops at once.
+STEP = 4096
 
 
 class Vocabulary:
@@ -40,43 +43,11 @@ class Vocabulary:
         self.longest = max(map(len, self.pieces))
         #: Every beginning of a piece: its id and score if it is one, else nothing.
         self.table: dict[str, tuple] = {p[:k]: () for p in self.pieces for k in range(1, len(p))} | self.pieces
-        #: All paths meet between two characters that stand together in no piece.
+        #: Pairs of characters that stand together in some piece.
         self.together = {p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)}
         #: No piece has a word's end inside, so all paths meet before each mark that follows something else.
         self.meets_at_marks = not any(re.search("[^▁]▁", p) for p in self.pieces)
 
-    def parts(self, chunk: str) -> list[str]:
-        """The chunk, cut wherever all paths meet because no piece spans the place."""
-        cuts = [0, *(k + 1 for k in range(len(chunk) - 1) if chunk[k : k + 2] not in self.together), len(chunk)]
-        return [chunk[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-
-    def within_window(self, part: str) -> list[int]:
-        """Ids of a part between two such places that a window holds as a whole, so nothing is committed halfway."""
-        n, longest, table, never = len(part), self.longest, self.table, -math.inf
-        scores, back = [0.0] + [never] * n, [0] * (n + 1)
-        for s in range(n):
-            here, single = scores[s], False
-            if here == never:
-                continue
-            for e in range(s + 1, min(s + longest, n) + 1):
-                found = table.get(part[s:e])
-                if found is None:
-                    break
-                if found:
-                    single |= e == s + 1
-                    if here + found[1] > scores[e]:
-                        scores[e], back[e] = here + found[1], s
-            if not single and here + self.unknown_score > scores[s + 1]:
-                scores[s + 1], back[s + 1] = here + self.unknown_score, s
-        out: list[int] = []
-        while n:
-            s = back[n]
-            found = table.get(part[s:n])
-            out += [found[0]] if found else self.spelled(part[s:n])[::-1]
-            n = s
-        out.reverse()
-        return out
-
     def spelled(self, char: str) -> list[int]:
         """Ids of a character that no piece covers: its bytes, or the unknown id."""
         raw = char.encode()
@@ -84,121 +55,136 @@ class Vocabulary:
 
 
 class StreamingViterbi:
-    """feed() text bit by bit and finish(); both give the ids that are certain by then. Equal sums: the longer last piece wins."""
+    """feed() text bit by bit and finish(); both give the ids that are certain by then. Equal sums: the longer last piece wins.
+
+    commits counts the boundaries at which all paths met, widest is the longest stretch that waited for one.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.text = ""  # from the last committed boundary on, of which...
-        self.done = 0  # ...so many characters are starts already dealt with
-        self.scores: dict[int, float] = {0: 0.0}  # of boundaries from `done` on that a path reaches
-        self.back: dict[int, int] = {}
-        self.widest = 0
+        self.commits = self.widest = 0
+        self._reset()
+
+    def _reset(self) -> None:
+        self.text = ""
+        self.base = self.done = self.reach = 0  # places in text: committed up to, starts dealt with, the furthest open boundary
+        self.score, self.back = [0.0], [0]
 
     def feed(self, more: str) -> list[int]:
+        if self.base >= STEP:
+            cut = self.base
+            self.text, self.score = self.text[cut:], self.score[cut:]
+            self.back = [b - cut for b in self.back[cut:]]
+            self.base, self.done, self.reach = 0, self.done - cut, self.reach - cut
         self.text += more
+        self.score += [-math.inf] * len(more)
+        self.back += [0] * len(more)
         return self._advance(len(self.text) - self.v.longest)
 
     def finish(self) -> list[int]:
         out = self._advance(len(self.text))
-        out += self._ids(len(self.text)) if self.text else []
-        self.widest = max(self.widest, len(self.text))
         self._reset()
         return out
 
-    def _reset(self) -> None:
-        self.text, self.done, self.scores, self.back = "", 0, {0: 0.0}, {}
-
     def _advance(self, until: int) -> list[int]:
         """Deals with all starts before until; later ones might see longer pieces once more text is there."""
         out: list[int] = []
-        v, base = self.v, 0
-        table, scores, back = v.table, self.scores, self.back
-        while self.done < until - base:
-            s = self.done
-            here, single = scores.pop(s, None), False
-            if here is not None:
-                for e in range(s + 1, min(s + v.longest, len(self.text)) + 1):
-                    found = table.get(self.text[s:e])
+        v, text, score, back, reach = self.v, self.text, self.score, self.back, self.reach
+        table, longest, unknown, size = v.table, v.longest, v.unknown_score, len(self.text)
+        for s in range(self.done, until):
+            here, after = score[s], s + 1
+            if here != -math.inf:
+                single = False
+                for e in range(after, min(s + longest, size) + 1):
+                    found = table.get(text[s:e])
                     if found is None:
                         break
                     if found:
-                        single |= e == s + 1
-                        if e not in scores or here + found[1] > scores[e]:
-                            scores[e], back[e] = here + found[1], s
-                if not single and (s + 1 not in scores or here + v.unknown_score > scores[s + 1]):
-                    scores[s + 1], back[s + 1] = here + v.unknown_score, s
-            self.done = s + 1
-            if len(scores) == 1 or self.done % v.longest == 0:
-                meet = self._meeting()
-                if meet > 0:
-                    out += self._ids(meet)
-                    self.widest = max(self.widest, meet)
-                    lead = scores[meet] if meet in scores else None
-                    self.text, self.done, base = self.text[meet:], self.done - meet, base + meet
-                    self.scores = scores = {e - meet: x for e, x in scores.items()} if lead is None or len(scores) > 1 else {0: 0.0}
-                    self.back = back = {e - meet: b - meet for e, b in back.items() if b >= meet}
+                        if e == after:
+                            single = True
+                        if here + found[1] > score[e]:
+                            score[e], back[e] = here + found[1], s
+                            if e > reach:
+                                reach = e
+                if not single and here + unknown > score[after]:
+                    score[after], back[after] = here + unknown, s
+                    if after > reach:
+                        reach = after
+            if reach == after:  # one boundary is open
+                self._commit(after, after, out)
+            elif not (after - self.base) % longest:
+                meet = self._meeting(after, reach)
+                if meet > self.base:
+                    self._commit(meet, after, out)
+        self.done, self.reach = max(self.done, until), reach
         return out
 
-    def _meeting(self) -> int:
-        """The last boundary that all surviving paths share: the furthest end steps back until one is left."""
-        ends = set(self.scores)
+    def _meeting(self, first: int, last: int) -> int:
+        """The last boundary that the paths of all open boundaries share: the furthest steps back until one is left."""
+        ends = {e for e in range(first, last + 1) if self.score[e] != -math.inf}
         while len(ends) > 1:
-            last = max(ends)
-            ends.remove(last)
-            ends.add(self.back.get(last, 0))
-        return ends.pop() if ends else 0
-
-    def _ids(self, end: int) -> list[int]:
-        cuts = [end]
-        while cuts[-1] > 0:
-            cuts.append(self.back[cuts[-1]])
-        out: list[int] = []
-        for s, e in zip(reversed(cuts[1:]), reversed(cuts[:-1]), strict=True):
-            found = self.v.pieces.get(self.text[s:e])
-            out += [found[0]] if found else self.v.spelled(self.text[s:e])
-        return out
+            furthest = max(ends)
+            ends.remove(furthest)
+            ends.add(self.back[furthest])
+        return ends.pop()
+
+    def _commit(self, end: int, now: int, out: list[int]) -> None:
+        """Ids of the path from the last committed boundary to this one."""
+        text, pieces, at, ids = self.text, self.v.pieces, end, []
+        while at > self.base:
+            start = self.back[at]
+            found = pieces.get(text[start:at])
+            ids += [found[0]] if found else self.v.spelled(text[start:at])[::-1]
+            at = start
+        out += ids[::-1]
+        self.widest = max(self.widest, now - self.base)
+        self.commits += 1
+        self.base = end
 
 
 class Encoder:
-    """Whole texts to ids, chunk by chunk. Chunks are cut where all paths meet, and short ones are remembered, within a bound."""
+    """Whole texts to ids. A text is cut into chunks where all paths meet; what the search finds for short ones is remembered, within a bound."""
 
     def __init__(self, model_file: str):
         self.v = v = Vocabulary(model_file)
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, tuple[bytes, int, int]] = {}  # ids as bytes, commits and widest wait
+        self.held = 0
         marks, left = "", ".,;:!?|#$%&*()\n"
         while marks != left:  # marks that no piece has right after anything but another of them or a word's start
             marks, left = left, "".join(c for c in left if not any(p[1] == c and p[0] not in left + "▁" for p in v.together))
         m = re.escape(marks)
         plain = f"▁*[^▁{m}]+|▁*[{m}][^▁]*|▁+" if marks else "▁+[^▁]*|[^▁]+"
         self.chunks = re.compile(plain if v.meets_at_marks else "(?s:.+)")
-        self.widest = 0
 
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit bytes."""
+    def encode_all(self, texts: list[str]) -> list[tuple[bytes, int, int]]:
+        """The ids of each text as little-endian 32-bit bytes, how often the search committed some, and its widest wait."""
         known, split = self.known, [self.chunks.findall(self.v.model.normalize(t)) for t in texts]
-        if len(known) > REMEMBERED:
+        if self.held > REMEMBERED:
             known.clear()
+            self.held = 0
         long = {}
         for chunk in {c for chunks in split for c in chunks if c not in known}:
-            ids = [i for part in self.v.parts(chunk) for i in self.search(part)]
-            (known if len(chunk) <= CHUNK else long)[chunk] = np.array(ids, dtype="<i4").tobytes()
-        if long:
-            return [b"".join([known.get(c) or long[c] for c in chunks]) for chunks in split]
-        return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
+            found = self.search(chunk)
+            if len(chunk) <= CHUNK:
+                known[chunk] = found
+                self.held += 4 * len(chunk) + len(found[0]) + ENTRY
+            else:
+                long[chunk] = found
+        out = []
+        for chunks in split:
+            own = [known.get(c) or long[c] for c in chunks] if long else [known[c] for c in chunks]
+            out.append((b"".join([x[0] for x in own]), sum([x[1] for x in own]), max([x[2] for x in own], default=0)))
+        return out
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.encode_all([text])[0], dtype="<i4").tolist()
+        return np.frombuffer(self.encode_all([text])[0][0], dtype="<i4").tolist()
 
-    def search(self, part: str) -> list[int]:
-        """Ids of a part; the widest window that any needed is kept in self.widest."""
-        if len(part) <= 2 * self.v.longest:
-            return self.v.within_window(part)
+    def search(self, chunk: str) -> tuple[bytes, int, int]:
         search, ids = StreamingViterbi(self.v), []
-        for at in range(0, len(part), 4096):
-            ids += search.feed(part[at : at + 4096])
+        for at in range(0, len(chunk), STEP):
+            ids += search.feed(chunk[at : at + STEP])
         ids += search.finish()
-        self.widest = max(self.widest, search.widest)
-        return ids
+        return np.array(ids, dtype="<i4").tobytes(), search.commits, search.widest
 
     def decode(self, ids: list[int]) -> str:
         return self.v.model.decode(ids)
@@ -211,24 +197,25 @@ def load_encoder(model_file: str) -> Encoder:
 
 
 def encode_texts(df: DataFrame, model_file: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The kept columns with _ids and _decoded_sha256, the hash of what the ids decode to.
+    """The kept columns with _ids, _decoded_sha256 (the hash of what the ids decode to), _commits and _widest.
 
-    Null and empty texts give no ids. Equal texts give equal ids. An empty table gives no rows.
+    _commits is how often the search committed ids, _widest the longest stretch of characters that waited for it. Null
+    and empty texts give no ids. Equal texts give equal ids. An empty table gives no rows.
     """
-    kept = kept_columns(df, keep if keep is not None else [c for c in df.columns if c != text], "_ids", "_decoded_sha256")
+    kept = kept_columns(df, keep if keep is not None else [c for c in df.columns if c != text], "_ids", "_decoded_sha256", "_commits", "_widest")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = load_encoder(model_file)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                raw = encoder.encode_all([x or "" for x in part.column(part.num_columns - 1).to_pylist()])
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                raw, commits, widest = zip(*encoder.encode_all([x or "" for x in part.column(part.num_columns - 1).to_pylist()]), strict=True)
                 ends = np.cumsum([0, *map(len, raw)]) // 4
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(raw), dtype="<i4")))
                 digests = [hashlib.sha256(encoder.decode(np.frombuffer(x, dtype="<i4").tolist()).encode()).hexdigest() for x in raw]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids, pa.array(digests, pa.string())], names=[*part.schema.names[:-1], "_ids", "_decoded_sha256"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids, pa.array(digests, pa.string()), pa.array(commits, pa.int64()), pa.array(widest, pa.int64())], names=[*part.schema.names[:-1], "_ids", "_decoded_sha256", "_commits", "_widest"])
 
-    return map_texts(df, text, kept, work, "_ids array<int>, _decoded_sha256 string")
+    return map_texts(df, text, kept, work, "_ids array<int>, _decoded_sha256 string, _commits long, _widest long")
 
 
 def decode_ids(df: DataFrame, model_file: str, ids: str = "_ids", to: str = "_text") -> DataFrame:
