@@ -70,7 +70,7 @@ def op4_template_compiler(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_streaming_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = viterbi.encode_texts(_read(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), keep=["doc_id"])
-    return out.select("doc_id", F.size("_ids").cast("long").alias("n_ids"), F.col("_ids").alias("ids"), F.col("_decoded_sha256").alias("decoded_sha256"))
+    return out.select("doc_id", F.size("_ids").cast("long").alias("n_ids"), F.col("_ids").alias("ids"), F.col("_decoded_sha256").alias("decoded_sha256"), F.col("_commits").alias("commits"), F.col("_widest").alias("widest_wait"))
 
 
 def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +88,7 @@ def op7_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.coalesce(F.transform(lic["phrases"], lambda p: F.when(p["label"] == "public", "gpl").otherwise(p["label"])), F.array().cast("array<string>"))
     more = F.coalesce(F.transform(lic["detections"], lambda d: d["label"]), F.array().cast("array<string>"))
     listed = lambda x: F.array_join(F.array_sort(F.array_distinct(x)), ",")
-    best = F.aggregate(F.coalesce(lic["detections"], F.array().cast("array<struct<start:int,end:int,label:string,priority:int,weight:double>>")), F.when(F.size(names) > 0, 0.6).otherwise(F.lit(0.0)), lambda s, d: F.greatest(s, d["weight"]))
+    best = F.aggregate(F.coalesce(lic["detections"], F.array().cast("array<struct<start:int,end:int,priority:int,label:string,weight:double>>")), F.when(F.size(names) > 0, 0.6).otherwise(F.lit(0.0)), lambda s, d: F.greatest(s, d["weight"]))
     return out.select(
         "doc_id",
         lic["n_words"].alias("n_words"),

@@ -293,6 +293,22 @@ def test_streaming_equals_whole(encoder, docs):
             search = viterbi.StreamingViterbi(encoder.v)
             got = [i for at in range(0, len(normal), step) for i in search.feed(normal[at : at + step])]
             assert got + search.finish() == want
+            assert search.commits and (search.widest <= 4 * encoder.v.longest or set(text) == {"q"})  # one letter again and again: the paths of even and odd places never meet
+
+
+def test_streaming_commits_early(encoder):
+    """Ids come while the text still does, the window stays short, and what is committed is let go."""
+    text = encoder.v.model.normalize("internationalization of the communications " * 4000)
+    search, early = viterbi.StreamingViterbi(encoder.v), 0
+    for at in range(0, len(text), 1000):
+        early += len(search.feed(text[at : at + 1000]))
+        assert len(search.text) < 2 * viterbi.STEP + 2000 and len(search.score) == len(search.text) + 1
+    rest = len(search.finish())
+    assert early > 50 * rest and search.commits > 1000 and search.widest <= 2 * encoder.v.longest
+    small = viterbi.Encoder(queries.vocabulary("piece_bpe_32k.model"))
+    small.v.longest = max(map(len, small.v.pieces))
+    ids, commits, widest = small.encode_all(["x" * 5000])[0]
+    assert np.frombuffer(ids, dtype="<i4").tolist() == plain_viterbi(encoder.v, encoder.v.model.normalize("x" * 5000)) and commits and widest
 
 
 def test_viterbi_equals_the_library(encoder, tmp_path, docs):
@@ -336,13 +352,25 @@ def test_viterbi_equals_the_library(encoder, tmp_path, docs):
 
 
 def test_viterbi_query(spark, at, encoder):
-    out = queries.op5_streaming_viterbi(spark, at).collect()
-    assert len(out) == 2 * len(ODD)
-    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{at}/documents.parquet").collect()}
-    for r in out:
-        if r.doc_id not in (None, 1) and "▁" not in (texts[r.doc_id] or ""):
-            assert r.decoded_sha256 == hashlib.sha256((texts[r.doc_id] or "").encode()).hexdigest()
-            assert r.n_ids == len(r.ids)
+    """The ids of the whole query, text by text, are those of a plain search over the whole text at once."""
+    for folder in (SF, at):
+        texts = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
+        out = queries.op5_streaming_viterbi(spark, folder).collect()
+        want = {x: plain_viterbi(encoder.v, encoder.v.model.normalize(x or "")) for x in {r.text for r in texts}}
+        decoded = lambda x, want=want: hashlib.sha256(encoder.v.model.decode(want[x]).encode()).hexdigest()
+        assert Counter((r.doc_id, r.n_ids, tuple(r.ids), r.decoded_sha256) for r in out) == Counter((r.doc_id, len(want[r.text]), tuple(want[r.text]), decoded(r.text)) for r in texts)
+        for r in out:
+            assert (r.commits > 0) == (r.n_ids > 0) == (r.widest_wait > 0) and r.commits <= max(r.n_ids, 1)
+            if folder == SF:
+                assert r.decoded_sha256 == hashlib.sha256(next(x.text for x in texts if x.doc_id == r.doc_id).encode()).hexdigest()
+
+    class Forgetful(viterbi.Encoder):
+        pass
+
+    forgetful = Forgetful(queries.vocabulary("piece_bpe_32k.model"))
+    for r in texts:
+        forgetful.held = viterbi.REMEMBERED + 1
+        assert forgetful.encode(r.text or "") == want[r.text] and len(forgetful.known) < 30_000
     df = viterbi.decode_ids(viterbi.encode_texts(odd(spark).withColumn("_ids", F.lit(1)), queries.vocabulary("piece_bpe_32k.model")), queries.vocabulary("piece_bpe_32k.model"), to="text")
     assert df.count() == 2 * len(ODD)
     assert viterbi.encode_texts(none(odd(spark)), queries.vocabulary("piece_bpe_32k.model")).collect() == []
@@ -376,31 +404,100 @@ def test_warc_query(spark, tmp_path):
 
 
 def plain_license(text):
+    """Every rule over every text, and every pair of detections compared."""
     low = (text or "").translate({c: c + 32 for c in range(65, 91)})
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
     found = []
     for phrase, label in ((["mit", "license"], "mit"), (["apache", "license"], "apache"), (["general", "public", "license"], "gpl")):
         found += [(i, label) for i in range(len(w)) if w[i : i + len(phrase)] == phrase]
-    spans = []
-    for i, r in enumerate(licenses.rules()):
-        if r.keyword in low:
-            spans += [(m.start(), -m.end(), r.priority * 1000 + i, r.label, r.weight) for m in re.finditer(r.pattern, low, re.ASCII)]
-    kept = []
-    for s in sorted(spans):
-        if kept and -s[1] <= -kept[-1][1]:
-            continue
-        if not kept or s[0] >= -kept[-1][1]:
-            kept.append(s)
-        elif s[2] < kept[-1][2]:
-            kept[-1] = s
+    kept = kept_spans([(m.start(), m.end(), r.priority, i, r.label, r.weight) for i, r in enumerate(licenses.rules()) for m in re.finditer(r.pattern, low, re.ASCII)])
     names = {x for _, x in found}
-    score = max([0.6 * bool(names), *(s[4] for s in kept)])
+    score = max([0.6 * bool(names), *(s[5] for s in kept)])
     at = [i for i, _ in found]
-    return len(w), len(found), min(at, default=None), max(at, default=None), ",".join(sorted(names)), ",".join(sorted(names | {s[3] for s in kept})), score, len(kept)
+    return len(w), len(found), min(at, default=None), max(at, default=None), ",".join(sorted(names)), ",".join(sorted(names | {s[4] for s in kept})), score, len(kept)
+
+
+def kept_spans(spans):
+    """The best by class first, of these the longest, of these the first; what overlaps one that is kept goes."""
+    left, kept = list(spans), []
+    while left:
+        best = min(left, key=lambda s: (s[2], s[0] - s[1], s[0], s[3]))
+        kept.append(best)
+        left = [s for s in left if s[1] <= best[0] or s[0] >= best[1]]
+    return sorted(kept)
+
+
+def sample(tree, rng):
+    """A string that a parsed pattern matches: branches, repeats and classes by chance."""
+    out = ""
+    for op, x in tree:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(x)
+        elif name == "ANY":
+            out += rng.choice(list("abc, "))
+        elif name == "IN":
+            picks = [p for p in x if str(p[0]) != "NEGATE"]
+            what, value = picks[rng.integers(len(picks))]
+            if str(x[0][0]) == "NEGATE":
+                out += " "
+            else:
+                out += chr(value) if str(what) == "LITERAL" else chr(rng.integers(value[0], value[1] + 1)) if str(what) == "RANGE" else rng.choice([" ", "\n", "\t"])
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            lo, hi, body = x
+            for _ in range(int(rng.integers(lo, min(int(hi), lo + 3) + 1))):
+                out += sample(body, rng)
+        elif name == "SUBPATTERN":
+            out += sample(x[-1], rng)
+        elif name == "BRANCH":
+            out += sample(x[1][rng.integers(len(x[1]))], rng)
+        elif name not in ("AT", "ASSERT_NOT"):
+            raise AssertionError(name)
+    return out
+
+
+def test_license_rules_lose_nothing(spark):
+    """Texts made from each rule: the rule's keyword and the gate are in them, and the scan finds what no prefilter at all finds."""
+    rng, texts = np.random.default_rng(4), []
+    for r in licenses.rules():
+        for _ in range(6):
+            text = sample(re._parser.parse(r.pattern), rng)
+            if re.search(r.pattern, text, re.ASCII):
+                assert r.keyword in text and any(g in text for g in licenses.GATE), (r, text)
+                texts.append(text.upper() if len(texts) % 3 == 0 else text)
+    assert len(texts) > 5 * len(licenses.rules())
+    texts += [" and ".join(texts[i : i + 7]) for i in range(0, len(texts), 7)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    got = {r.doc_id: [(d.start, d.end, d.label) for d in r["_lic"].detections] for r in licenses.scan_licenses(df).collect()}
+    for i, t in enumerate(texts):
+        low = t.lower()
+        want = kept_spans([(m.start(), m.end(), r.priority, k, r.label) for k, r in enumerate(licenses.rules()) for m in re.finditer(r.pattern, low, re.ASCII)])
+        assert got[i] == [(s[0], s[1], s[4]) for s in want], t
+
+
+def test_license_suppression(spark):
+    """The best rule stays when a worse one, that another overlaps, covers it; chains and long arrays are cut alike."""
+    rng = np.random.default_rng(8)
+    sets = [[(0, 20, 3000, "a"), (2, 5, 0, "b"), (18, 30, 1000, "c")], [], [(4, 9, 1, "x")], [(i * 10, i * 10 + 9, 3000 + i, "x") for i in range(1500)], [(i * 2, i * 2 + 3, 2000 + i % 7, "x") for i in range(600)]]
+    sets += [[(int(s), int(s + n), int(p), str(p)) for s, n, p in zip(rng.integers(0, 60, 12), rng.integers(1, 15, 12), rng.permutation(5000)[:12], strict=True)] for _ in range(60)]
+    rows = spark.createDataFrame([(i, [(*s, 1.0) for s in own]) for i, own in enumerate(sets)], f"i int, s {licenses.SPAN}")
+    every = F.array_sort("s")
+    out = rows.select("i", F.when(F.size("s") < 2, F.col("s")).otherwise(F.flatten(F.transform(licenses.chains(every), licenses.best_of))).alias("kept")).collect()
+    for r in out:
+        want = kept_spans([(s, e, p // 1000, p, x) for s, e, p, x in sets[r.i]])
+        assert [(k.start, k.end, k.priority) for k in r.kept] == [(s[0], s[1], s[3]) for s in want]
+    assert [k.label for k in next(r.kept for r in out if r.i == 0)] == ["b", "c"]
+
+
+def test_long_license_text(spark):
+    """Thousands of matches in one text."""
+    text = "The MIT License, and the Apache License 2.0; " * 3000
+    (row,) = licenses.scan_licenses(spark.createDataFrame([(text,)], "text string")).collect()
+    assert len(row["_lic"].detections) == 6000 and len(row["_lic"].phrases) == 6000
 
 
 def test_licenses(spark, at):
-    assert 250 < len(licenses.rules()) < 1000
+    assert 400 < len(licenses.rules()) < 1000 and len(licenses.SIGNATURES) > 140
     for folder in ("/root/testdata/sf0.01", at):
         texts = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
         out = Counter(map(tuple, queries.op7_license_rules(spark, folder).collect()))
