@@ -50,7 +50,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     for x in "uv":
         near = near.join(by_fp.select(F.col("_fp").alias(x), F.col("at").alias(f"_{x}")), x)
     known = settle(same.union(near.select(F.greatest("_u", "_v"), F.least("_u", "_v"))).toDF("u", "v").where("u <> v").distinct())
-    roots = simhash.components(overlap.overlap_links(sets, known, texts, "_row", "text"))
+    roots = overlap.overlap_groups(sets, known, texts, "_row", "text")
     named = nodes.join(roots, nodes["id"] == roots["node"], "left").select("best", F.coalesce("root", "id").alias("root"))
     first = named.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best._row").alias("_row"))
     return rows.join(first, "_row", "left_semi").select(*parts(docs))

@@ -8,6 +8,8 @@ each other. Sets with too many shingles that no other set has can't reach 0.8, s
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +28,8 @@ _TIMES = _RNG.integers(0, 1 << 64, ROWS * BANDS, dtype=np.uint64) | np.uint64(1)
 SLICE = 1 << 14
 #: Ids that may be broadcast.
 MOST = 1 << 18
+#: Longs of a set's bitmap: shingles are dealt to its bits.
+LONGS = 16
 #: Members of a bucket that all others are compared with in one round.
 SPEAKERS = 8
 
@@ -78,15 +82,22 @@ def sketches(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     return map_texts(df, text, kept, work, "_fp long, _set binary, _n long, _bands array<long>")
 
 
+def bitmap(hashes: np.ndarray) -> np.ndarray:
+    """Which of 64 * LONGS places the hashes fall on."""
+    out = np.zeros(64 * LONGS, dtype=np.uint8)
+    out[(hashes >> np.uint64(20)) % np.uint64(len(out))] = 1
+    return np.packbits(out, bitorder="little").view(np.int64)
+
+
 def hash_sets(df: DataFrame, text: str, key: str) -> DataFrame:
-    """(key, hashes): the hashes of the shingles of each text."""
+    """(key, hashes, bits): the hashes of the shingles of each text, and their bitmap."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [shingles(x).view(np.int64) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], names=[key, "hashes"])
+            made = [shingles(x) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h.view(np.int64) for h in made], pa.list_(pa.int64())), pa.array([bitmap(h) for h in made], pa.list_(pa.int64()))], names=[key, "hashes", "bits"])
 
-    return map_texts(df, text, [F.col(key)], work, "hashes array<long>")
+    return map_texts(df, text, [F.col(key)], work, "hashes array<long>, bits array<long>")
 
 
 def alike(a: Column, b: Column) -> Column:
@@ -95,9 +106,9 @@ def alike(a: Column, b: Column) -> Column:
 
 
 def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) of ids whose sets (id, hashes) are alike."""
+    """The pairs (u, v, ...) of ids whose sets (id, hashes) are alike."""
     a, b = (sets.select(F.col("id").alias(x), F.col("hashes").alias(f"_{x}")) for x in "uv")
-    return settle(pairs.distinct().join(a, "u").join(b, "v").where(alike(F.col("_u"), F.col("_v"))).select("u", "v"))
+    return settle(pairs.distinct().join(a, "u").join(b, "v").where(alike(F.col("_u"), F.col("_v"))).select(*pairs.columns))
 
 
 def shared_counts(sets: DataFrame) -> DataFrame:
@@ -107,13 +118,18 @@ def shared_counts(sets: DataFrame) -> DataFrame:
     return sets.join(alone, sets["id"] == alone["of"], "left").select("id", (F.size("hashes") - F.coalesce("alone", F.lit(0))).alias("shared"))
 
 
-def may_be_alike(n: str, shared: str, m: str, common: str) -> Column:
-    """Whether sets of n and m shingles, so many of them shared with any set at all, can have similarity 0.8."""
-    return 9 * F.least(shared, common) >= 4 * (F.col(n) + F.col(m))
+def may_be_alike(n: str, shared: str, bits: str, m: str, common: str, places: str) -> Column:
+    """Whether sets of n and m shingles can have similarity 0.8: by how many of them any set shares, and by their bitmaps.
 
+    A place that one bitmap has and the other lacks is a shingle at least that the other lacks.
+    """
+    lacks = lambda a, b: functools.reduce(operator.add, [F.bit_count(F.get(a, F.lit(i)).bitwiseAND(F.bitwise_not(F.get(b, F.lit(i))))) for i in range(LONGS)])
+    enough = lambda most: 9 * most >= 4 * (F.col(n) + F.col(m))
+    return enough(F.least(shared, common)) & enough(F.col(n) - lacks(bits, places)) & enough(F.col(m) - lacks(places, bits))
 
-def overlap_links(distinct: DataFrame, known: DataFrame, rows: DataFrame, key: str, text: str) -> DataFrame:
-    """Links (u, v), u > v, of ids whose sets are alike, that with the known ones connect what all such links would connect.
+
+def overlap_groups(distinct: DataFrame, known: DataFrame, rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(node, root): the smallest id that known links (u, v), u > v, and links of ids whose sets are alike reach; only of ids with links.
 
     distinct has a row (id, _n, _bands) for each set; ids are keys of the rows (key, text).
     """
@@ -125,33 +141,43 @@ def overlap_links(distinct: DataFrame, known: DataFrame, rows: DataFrame, key: s
     few = ids.limit(MOST + 1).count() <= MOST
     sets = settle(hash_sets(rows.select(key, text).join(F.broadcast(ids) if few else ids, key, "left_semi"), text, key).withColumnRenamed(key, "id"))
     near = 5 * F.least("n", "m") >= 4 * F.greatest("n", "m")  # of sizes that leave 0.8 possible
-    links = settle(known.union(checked(members.where((F.col("id") != F.col("v")) & near).select(F.col("id").alias("u"), "v"), sets)))
+    roots = settle(simhash.components(known.union(checked(members.where((F.col("id") != F.col("v")) & near).select(F.col("id").alias("u"), "v"), sets))))
 
-    def apart(members: DataFrame) -> DataFrame:
+    def apart(members: DataFrame, groups: DataFrame, of: str) -> DataFrame:
         """The members of buckets that hold several groups by now, each with its group's root."""
-        roots = simhash.components(links)
-        out = members.drop("root").join(roots, members["id"] == roots["node"], "left").withColumn("root", F.coalesce("root", "id")).drop("node")
-        mixed = out.groupBy(*bucket).agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select(*bucket)
+        out = members.join(groups.withColumnRenamed("root", "now"), F.col(of) == F.col("node"), "left").withColumn("root", F.coalesce("now", of)).drop("now", "node")
+        mixed = settle(out.groupBy(*bucket).agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select(*bucket))
         return settle(out.join(mixed, bucket, "left_semi"))
 
-    members = apart(members.select(*bucket, "id", "n"))
+    def alike_pairs(pairs: DataFrame) -> DataFrame:
+        """Links (u, v), u > v, of the groups whose members (id, root) and (v, of) are alike."""
+        possible = near & may_be_alike("n", "shared", "bits", "m", "common", "places") & (F.col("root") != F.col("of"))
+        pairs = pairs.where(possible).select(F.struct("id", "root").alias("x"), F.struct(F.col("v").alias("id"), F.col("of").alias("root")).alias("y"))
+        pairs = pairs.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).select(F.col("x.id").alias("u"), F.col("y.id").alias("v"), F.greatest("x.root", "y.root").alias("a"), F.least("x.root", "y.root").alias("b"))
+        return settle(checked(pairs, sets).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
+
+    members = apart(members.select(*bucket, "id", "n"), roots, "id")
     counts = shared_counts(sets.join(members.select("id").distinct(), "id", "left_semi"))
-    members = members.join(counts, "id").where("5 * shared >= 4 * n")  # else no set at all can be alike
-    members, spoken = settle(members), None
+    counts = counts.join(sets.select("id", "bits"), "id")
+    members = settle(members.join(counts, "id").where("5 * shared >= 4 * n"))  # else no set at all can be alike
+    glue = spoken = None
     while not members.isEmpty():
         free = members if spoken is None else members.join(spoken, [*bucket, "id"], "left_anti")
-        speaks = settle(free.groupBy(*bucket, F.pmod(F.xxhash64("id"), F.lit(SPEAKERS))).agg(F.max(F.struct("shared", "id", "n", "root")).alias("s")).select(*bucket, F.col("s.id").alias("v"), F.col("s.n").alias("m"), F.col("s.shared").alias("common"), F.col("s.root").alias("of")))
-        pairs = members.join(speaks, bucket).where(near & may_be_alike("n", "shared", "m", "common") & (F.col("root") != F.col("of")))
-        found = checked(pairs.select(F.greatest("id", "v").alias("u"), F.least("id", "v").alias("v")), sets)
+        speaks = settle(free.groupBy(*bucket, F.pmod(F.xxhash64("id"), F.lit(SPEAKERS))).agg(F.max(F.struct("shared", "id", "n", "root", "bits")).alias("s")).select(*bucket, F.col("s.id").alias("v"), F.col("s.n").alias("m"), F.col("s.shared").alias("common"), F.col("s.root").alias("of"), F.col("s.bits").alias("places")))
+        found = alike_pairs(members.join(speaks, bucket))
         if found.isEmpty():
             break
-        links = settle(links.union(found))
-        members = apart(members)
+        glue = found if glue is None else glue.union(found)
+        members = apart(members, simhash.components(found), "root")
         own = speaks.select(*bucket, F.col("v").alias("id"))
         spoken = own if spoken is None else spoken.union(own)
     # What is left: each member outside its bucket's largest group against all of other groups.
     top = members.groupBy(*bucket, "root").agg(F.count(F.lit(1)).alias("k")).groupBy(*bucket).agg(F.max(F.struct("k", "root")).alias("t")).select(*bucket, F.col("t.root").alias("top"))
     members = settle(members.join(settle(top), bucket))
-    other = members.select(*bucket, F.col("id").alias("v"), F.col("n").alias("m"), F.col("shared").alias("common"), F.col("root").alias("of"))
-    pairs = members.where("root <> top").join(other, bucket).where((F.col("root") != F.col("of")) & ((F.col("of") == F.col("top")) | (F.col("id") > F.col("v"))) & near & may_be_alike("n", "shared", "m", "common"))
-    return links.union(checked(pairs.select(F.greatest("id", "v").alias("u"), F.least("id", "v").alias("v")), sets))
+    other = members.select(*bucket, F.col("id").alias("v"), F.col("n").alias("m"), F.col("shared").alias("common"), F.col("root").alias("of"), F.col("bits").alias("places"))
+    found = alike_pairs(members.where("root <> top").join(other, bucket).where((F.col("of") == F.col("top")) | (F.col("id") > F.col("v"))))
+    glue = found if glue is None else glue.union(found)
+    joined = settle(simhash.components(glue))
+    alone = joined.join(roots, "node", "left_anti").select("node", F.col("node").alias("root"))
+    last = joined.select(F.col("node").alias("at"), F.col("root").alias("end"))
+    return roots.union(alone).join(last, F.col("root") == F.col("at"), "left").select("node", F.coalesce("end", "root").alias("root"))
