@@ -27,10 +27,10 @@ def symbol_id(path: Column, name: Column) -> Column:
 
 
 def document_id(path: Column) -> Column:
-    """doc_, the slug of the file's name, and eight digits of the path's SHA-256."""
-    stem = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
-    slug = F.regexp_replace(F.regexp_replace(F.lower(stem), r"[^a-z0-9]+", "_"), r"^_+|_+$", "")
-    return F.concat(F.lit("doc_"), F.when(slug == "", "document").otherwise(slug), F.lit("_"), F.substring(F.sha2(path.cast("binary"), 256), 1, 8))
+    """doc_, the slug of the whole path (`source` if that is empty), and eight digits of the SHA-256 of the path with forward slashes."""
+    slug = F.regexp_replace(F.regexp_replace(F.lower(path), r"[^a-z0-9]+", "_"), r"^_+|_+$", "")
+    digest = F.sha2(F.translate(path, "\\", "/").cast("binary"), 256)
+    return F.concat(F.lit("doc_"), F.when(slug == "", "source").otherwise(slug), F.lit("_"), F.substring(digest, 1, 8))
 
 
 def content_hash(text: Column) -> Column:

@@ -39,6 +39,17 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, folder: str) -> DataFrame:
+    """The rows as a table below a shared folder, read from there.
+
+    For loops of many joins: a checkpoint keeps its plan's estimate of size, which such a loop multiplies each round
+    until the estimate itself fills the driver; a table has the size that it has.
+    """
+    path = f"{folder}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ranked(df: DataFrame, order: list[Column], to: str = "rank") -> tuple[DataFrame, int]:
     """df (narrow rows) with each row's place from 0 in the order, and the number of rows.
 

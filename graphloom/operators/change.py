@@ -57,9 +57,9 @@ def safe_path(path: Column) -> Column:
 def valid_chunk(nodes: Column, edges: Column, strict_metadata: bool = True) -> Column:
     """The checks that a chunk must pass as a whole; never null."""
     filled = lambda c: c.isNotNull() & (c != "")
+    known = lambda m: m.isNull() | (F.forall(F.map_keys(m), lambda k: k.isin("rationale", "source_doc")) & F.forall(F.map_values(m), lambda v: v.isNotNull())) if strict_metadata else F.lit(True)
     node = lambda n: filled(n["id"]) & n["label"].isNotNull() & n["file_type"].isin("code", "document", "concept") & safe_path(n["source_file"])
-    known = lambda m: m.isNull() | F.forall(F.map_keys(m), lambda k: k.isin("rationale", "source_doc")) if strict_metadata else F.lit(True)
-    edge = lambda e: filled(e["source"]) & filled(e["target"]) & filled(e["relation"]) & e["type"].isin("PHYSICAL", "COGNITIVE", "SUSPICIOUS") & e["score"].between(0.0, 1.0) & known(e["metadata"])
+    edge = lambda e: e["source"].isNotNull() & e["target"].isNotNull() & e["relation"].isNotNull() & e["type"].isin("PHYSICAL", "COGNITIVE", "SUSPICIOUS") & e["score"].between(0.0, 1.0) & known(e["metadata"])
     ok = lambda c: F.coalesce(c, F.lit(False))
     return ok(nodes.isNotNull() & edges.isNotNull() & F.forall(nodes, lambda n: ok(node(n))) & F.forall(edges, lambda e: ok(edge(e))))
 
@@ -91,8 +91,8 @@ def chunk_graph(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def derive_documents(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """A document node for each file that concepts name, and `contains` edges to them. Ids that other nodes have are skipped."""
-    concepts = nodes.where("file_type = 'concept'")
+    """A document node for each file that concepts name, and `contains` edges to them. Ids that other nodes have are skipped, as are concepts without a file."""
+    concepts = nodes.where("file_type = 'concept' AND source_file IS NOT NULL AND source_file <> ''")
     taken = nodes.where("file_type <> 'document'").select(F.col("id").alias("_taken"))
     docs = concepts.select("source_file").distinct().withColumn("id", document_id(F.col("source_file")))
     docs = docs.join(taken, docs["id"] == taken["_taken"], "left_anti")
@@ -110,6 +110,26 @@ def reconcile(nodes: DataFrame, edges: DataFrame, files: DataFrame) -> tuple[Dat
     return there, target.where(F.col("_target").isNotNull() | ~(F.col("target").startswith("concept_") | F.col("target").startswith("doc_"))).drop("_target")
 
 
+def reconcile_chunks(chunks: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, chunk) of insight files to (path, nodes, edges, action), each chunk by itself.
+
+    Nodes without a file that is there go. An edge stays if its source is one of the chunk's nodes left, and its target
+    is too or is no concept or document. action: keep, rewrite (something went), remove (no node is left), or null for a
+    chunk without nodes, which stays as it is.
+    """
+    flat = chunks.select("path", F.explode("chunk.nodes").alias("n")).select("path", F.col("n.source_file").alias("file")).distinct()
+    there = flat.join(files.select(F.col("source_file").alias("file")).distinct(), "file", "left_semi").groupBy("path").agg(F.collect_set("file").alias("there"))
+    out = chunks.join(there, "path", "left").withColumn("there", F.coalesce("there", F.array().cast("array<string>")))
+    out = out.withColumn("nodes", F.filter("chunk.nodes", lambda n: F.coalesce(F.array_contains(F.col("there"), n["source_file"]), F.lit(False))))
+    out = out.withColumn("ids", F.transform("nodes", lambda n: n["id"]))
+    inside = lambda c: F.coalesce(F.array_contains(F.col("ids"), c), F.lit(False))
+    code = lambda c: c.isNotNull() & (c != "") & ~c.startswith("concept_") & ~c.startswith("doc_")
+    out = out.withColumn("edges", F.filter("chunk.edges", lambda e: inside(e["source"]) & (inside(e["target"]) | F.coalesce(code(e["target"]), F.lit(False)))))
+    same = (F.size("nodes") == F.size("chunk.nodes")) & (F.col("chunk.edges").isNull() | (F.size("edges") == F.size("chunk.edges")))
+    action = F.when(F.col("chunk.nodes").isNull(), None).when(same, "keep").when(F.size("nodes") == 0, "remove").otherwise("rewrite")
+    return out.select("path", "nodes", "edges", action.alias("action"))
+
+
 def ingest_status(entries: DataFrame, watched: bool) -> DataFrame:
     """(path, text) to (path, status, refresh): what a batch of insights is answered."""
     routed = route_chunks(entries)
@@ -129,13 +149,42 @@ def beat_offsets(beats: DataFrame, tour: str = "tour", pos: str = "pos", say: st
 
 
 def active_focus(events: DataFrame, now_ms: int, clamp: bool = True) -> DataFrame:
-    """(file, activity, timestamp, ttl) of the last event to arrive for each file that has not run out."""
-    ttl = F.coalesce(F.col("ttl"), F.lit(60_000)).cast("long")
+    """(file, activity, timestamp, ttl) of the last event to arrive for each file that has not run out. A ttl of 0 or none means a minute."""
+    ttl = F.coalesce(F.nullif(F.col("ttl"), F.lit(0)), F.lit(60_000)).cast("long")
     ttl = F.least(F.greatest(ttl, F.lit(1_000)), F.lit(3_600_000)) if clamp else ttl
     last = events.withColumn("ttl", ttl).groupBy("file").agg(F.max_by(F.struct("activity", "timestamp", "ttl"), "arrival").alias("x"))
     return last.select("file", "x.*").where(F.lit(now_ms) - F.col("timestamp") <= F.col("ttl"))
 
 
+def focus_nodes(nodes: DataFrame, events: DataFrame) -> DataFrame:
+    """(id, activity) of the nodes of focused files (file, activity)."""
+    files = events.select(F.col("file").alias("source_file"), "activity")
+    return nodes.select("id", "source_file").join(files, "source_file").select("id", "activity")
+
+
+def beat_nodes(beats: DataFrame, nodes: DataFrame, tour: str = "tour", pos: str = "pos") -> DataFrame:
+    """(tour, pos, id): the nodes that beats (tour, pos, nodes) light, unknown ids left out, each once a beat."""
+    named = beats.select(tour, pos, F.explode("nodes").alias("id")).distinct()
+    return named.join(nodes.select("id").distinct(), "id", "left_semi").select(tour, pos, "id")
+
+
+def beat_edges(lit: DataFrame, edges: DataFrame, tour: str = "tour", pos: str = "pos") -> DataFrame:
+    """(tour, pos, source, target, relation): edges with both ends among the nodes that one beat lights."""
+    ends = edges.select("source", "target", "relation")
+    out = ends.join(lit.withColumnRenamed("id", "source"), "source")
+    return out.join(lit.withColumnRenamed("id", "target"), [tour, pos, "target"]).select(tour, pos, "source", "target", "relation")
+
+
+def settled(first: DataFrame, second: DataFrame) -> DataFrame:
+    """The rows of a second poll (source_file, size, mtime) that a first one, the settling time before, saw just so: files that are written."""
+    return second.join(first.select("source_file", "size", "mtime").distinct(), ["source_file", "size", "mtime"], "left_semi")
+
+
+def immediate_focus(changes: DataFrame) -> DataFrame:
+    """(file) of changes (file, op) to light before anything is compiled anew: all but deletions, each once."""
+    return changes.where("op <> 'delete'").select("file").distinct()
+
+
 def bursts(events: DataFrame, key: str, time: str, gap: str) -> DataFrame:
     """(key, start, n): changes of a key that follow each other within the gap."""
     return events.groupBy(F.col(key), F.session_window(time, gap).alias("w")).agg(F.count(F.lit(1)).alias("n")).select(key, F.col("w.start").alias("start"), "n")

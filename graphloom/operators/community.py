@@ -7,10 +7,10 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.lineage import settle, small
+from ..functions.lineage import drop_folder, settle, shared_folder, small, with_rank, written
 
 # The cognitive relations that bind, at this part of their score.
-COGNITIVE = ("implements", "constrains", "relates_to", "depends_on", "explains", "describes")
+COGNITIVE = ("rationale_for", "implements", "constrains", "motivates", "contradicts", "references")
 COGNITIVE_PART = 0.3
 
 
@@ -71,25 +71,83 @@ def louvain(pairs: list[tuple[str, str, float]], resolution: float = 1.0) -> dic
     return {n: order.setdefault(label[i], len(order)) for i, n in enumerate(names)}
 
 
-def detect(nodes: DataFrame, edges: DataFrame, driver_edges: int = 500_000, rounds: int = 10) -> DataFrame:
-    """(node, community) of all nodes. Up to driver_edges pairs by Louvain; beyond, by rounds of weighted label propagation."""
+def _best_moves(pairs: DataFrame, degree: DataFrame, home: DataFrame, total: float, resolution: float) -> DataFrame:
+    """(node, own, best) of the nodes for which another community than their own has more gain."""
+    load = home.join(degree, "node").groupBy("home").agg(F.sum("k").alias("load"))
+    both = pairs.select("a", "b", "weight").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")).where("a <> b")
+    links = both.join(home.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node"), "home").agg(F.sum("weight").alias("w"))
+    links = links.unionByName(home.select("node", "home", F.lit(0.0).alias("w"))).groupBy("node", "home").agg(F.sum("w").alias("w"))
+    every = links.join(load, "home").join(degree, "node").join(home.withColumnRenamed("home", "own"), "node")
+    others = F.col("load") - F.when(F.col("home") == F.col("own"), F.col("k")).otherwise(0.0)
+    every = every.withColumn("gain", F.col("w") - F.lit(resolution / total) * others * F.col("k"))
+    best = every.groupBy("node", "own").agg(F.min_by(F.struct("home", "gain"), F.struct(-F.col("gain"), "home")).alias("best"), F.max(F.when(F.col("home") == F.col("own"), F.col("gain"))).alias("stay"))
+    return best.where(F.col("best.gain") > F.col("stay") + 1e-9).select("node", "own", F.col("best.home").alias("best"))
+
+
+def _quality(pairs: DataFrame, home: DataFrame, total: float, resolution: float) -> float:
+    """Modularity of a clustering; only sums go to the driver."""
+    named = pairs.join(home.select(F.col("node").alias("a"), F.col("home").alias("ha")), "a").join(home.select(F.col("node").alias("b"), F.col("home").alias("hb")), "b")
+    inside = named.agg(F.sum(F.when(F.col("ha") == F.col("hb"), F.col("weight") * 2))).first()[0] or 0.0
+    ends = named.select("ha", "weight").unionByName(named.select(F.col("hb").alias("ha"), "weight")).groupBy("ha").agg(F.sum("weight").alias("load"))
+    return inside / total - resolution * (ends.agg(F.sum(F.col("load") * F.col("load"))).first()[0] or 0.0) / total**2
+
+
+def louvain_rounds(weights: DataFrame, resolution: float = 1.0) -> DataFrame:
+    """(node, label) of the nodes of (a, b, weight), by Louvain over tables: no node, pair or community goes to the driver.
+
+    In a round each node looks for the community of most gain. Neighbours that move at once could trade places for ever,
+    so of those that want to move only a part does, chosen by a hash of node and round; a level ends when none wants to
+    or when four rounds have brought no more modularity, with the best clustering found. Communities are then folded
+    into nodes, until a level joins nothing.
+    """
+    folder = shared_folder(weights.sparkSession, "louvain")
+    pairs = written(weights.select("a", "b", F.col("weight").cast("double").alias("weight")), folder)
+    ends = lambda p: p.select(F.col("a").alias("node"), "weight").unionByName(p.select(F.col("b").alias("node"), "weight"))
+    label = written(ends(pairs).select("node", F.col("node").alias("label")).distinct(), folder)
+    total = (pairs.agg(F.sum("weight")).first()[0] or 0.0) * 2
+    while total > 0:
+        degree = written(ends(pairs).groupBy("node").agg(F.sum("weight").alias("k")), folder)
+        home = degree.select("node", F.col("node").alias("home"))
+        top, best, idle, turn = _quality(pairs, home, total, resolution), None, 0, 0
+        while idle < 4:
+            moves = written(_best_moves(pairs, degree, home, total, resolution), folder)
+            if moves.isEmpty():
+                break
+            turn += 1
+            # Two in three may move, towards smaller names in odd rounds and larger ones in even ones, so two can't swap.
+            way = F.col("best") < F.col("own") if turn % 2 else F.col("best") > F.col("own")
+            some = moves.where(way & (F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(3)) != 0)).select("node", "best")
+            home = written(home.join(some, "node", "left").select("node", F.coalesce("best", "home").alias("home")), folder)
+            now = _quality(pairs, home, total, resolution)
+            if now > top + 1e-12:
+                top, best, idle = now, home, 0
+            else:
+                idle += 1
+        if best is None:
+            break
+        label = written(label.join(best.withColumnRenamed("node", "label"), "label").select("node", F.col("home").alias("label")), folder)
+        named = pairs.join(best.select(F.col("node").alias("a"), F.col("home").alias("ha")), "a").join(best.select(F.col("node").alias("b"), F.col("home").alias("hb")), "b")
+        pairs = written(named.groupBy(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b")).agg(F.sum("weight").alias("weight")), folder)
+    label = settle(label)
+    drop_folder(weights.sparkSession, folder)
+    return label
+
+
+def detect(nodes: DataFrame, edges: DataFrame, driver_edges: int = 500_000) -> DataFrame:
+    """(node, community) of all nodes, by Louvain: node after node on the driver up to driver_edges pairs, by rounds over tables beyond.
+
+    Both ways end where no move of a node gains, but as Louvain's result hangs on the order of moves they need not be equal.
+    """
     weights = settle(pair_weights(clustering_edges(edges)))
     ids = nodes.select(F.col("id").alias("node")).distinct()
     if small(weights, driver_edges):
         found = louvain([tuple(r) for r in weights.orderBy("a", "b").collect()])
         labels = nodes.sparkSession.createDataFrame(sorted(found.items()), "node string, label long")
-        label = F.col("label").cast("string")
     else:
-        links = weights.select("a", "b", "weight").unionByName(weights.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")).where("a <> b")
-        labels = ids.withColumn("label", F.col("node"))
-        for _ in range(rounds):
-            votes = links.join(labels, links["b"] == labels["node"]).groupBy("a", "label").agg(F.sum("weight").alias("w"))
-            best = votes.groupBy(F.col("a").alias("node")).agg(F.max_by("label", F.struct("w", "label")).alias("new"))
-            labels = settle(labels.join(best, "node", "left").select("node", F.least(F.coalesce("new", "label"), F.coalesce("new", "label")).alias("label")))
-        label = F.col("label")
-    out = ids.join(labels, "node", "left").select("node", F.coalesce(label, F.concat(F.lit("~"), F.col("node"))).alias("name"))
-    names = out.groupBy("name").agg(F.min("node").alias("first"))
-    ranked = names.withColumn("community", F.row_number().over(Window.orderBy("first")) - 1)
+        labels = louvain_rounds(weights)
+    out = ids.join(labels, "node", "left").select("node", F.coalesce(F.col("label").cast("string"), F.concat(F.lit("~"), F.col("node"))).alias("name"))
+    out = settle(out)
+    ranked = with_rank(out.groupBy("name").agg(F.min("node").alias("first")), [F.col("first")], "community")
     return out.join(ranked.select("name", "community"), "name").select("node", "community")
 
 
@@ -132,12 +190,28 @@ def match_greedily(overlaps: list[tuple[int, int, float]], new: list[int]) -> di
 def stabilize(new: DataFrame, old: DataFrame) -> DataFrame:
     """(node, community) of the new clustering under the ids of the old one where they overlap most.
 
-    The driver gets a row for each overlapping pair of communities, never nodes.
+    Pairs by falling overlap, each side once, as match_greedily does, but over tables: a pair that is the best of both
+    its sides is taken, its sides' other pairs go, and so on. The rest get the smallest unused ids, in their order.
     """
-    names = [r[0] for r in new.select("community").distinct().collect()]
-    plan = match_greedily([tuple(r) for r in jaccard(new, old).collect()], names)
-    table = new.sparkSession.createDataFrame(sorted(plan.items()), "community long, stable long")
-    return new.join(F.broadcast(table), "community").select("node", F.col("stable").alias("community"))
+    left = settle(jaccard(new, old))
+    names = new.select(F.col("community").cast("long").alias("new")).distinct()
+    order = F.struct(-F.col("score"), "new", "old")
+    taken = None
+    while not left.isEmpty():
+        mine = left.groupBy("new").agg(F.min_by("old", order).alias("old"))
+        theirs = left.groupBy("old").agg(F.min_by("new", order).alias("new"))
+        pairs = settle(mine.join(theirs, ["new", "old"]).select("new", "old"))
+        taken = pairs if taken is None else taken.unionByName(pairs)
+        left = settle(left.join(pairs.select("new"), "new", "left_anti").join(pairs.select("old"), "old", "left_anti"))
+    if taken is None:
+        taken = names.sparkSession.createDataFrame([], "new long, old long")
+    taken = settle(taken.select(F.col("new").cast("long").alias("new"), F.col("old").cast("long").alias("stable")))
+    rest = with_rank(names.join(taken, "new", "left_anti"), [F.col("new")], "nth")
+    n = rest.count() + taken.count()
+    free = new.sparkSession.range(n).select(F.col("id").alias("stable")).join(taken.select("stable"), "stable", "left_anti")
+    spare = with_rank(free, [F.col("stable")], "nth")
+    plan = taken.unionByName(rest.join(spare, "nth").select("new", "stable"))
+    return new.join(plan, new["community"] == plan["new"]).select("node", F.col("stable").alias("community"))
 
 
 def overview(nodes: DataFrame, degree: DataFrame, hub_ids: DataFrame, top: int = 5) -> DataFrame:
@@ -152,8 +226,9 @@ def overview(nodes: DataFrame, degree: DataFrame, hub_ids: DataFrame, top: int =
 
 
 def summaries(nodes: DataFrame, degree: DataFrame) -> DataFrame:
-    """(community, size, percent, folder, hub_file): the commonest folder and the file of greatest degree, ties by name."""
-    rows = nodes.join(degree, nodes["id"] == degree["node"], "left").select(F.coalesce("community", F.lit(0)).alias("community"), "id", "source_file", F.coalesce("degree", F.lit(0)).alias("degree"), F.element_at(F.split("source_file", "/"), 1).alias("folder"))
+    """(community, size, percent, folder, hub_file): the commonest parent folder, `(root)` for files that have none, and the file of greatest degree (of all edges, both ends), ties by name."""
+    folder = F.when(F.col("source_file").contains("/"), F.regexp_replace("source_file", "/[^/]*$", "")).otherwise("(root)")
+    rows = nodes.join(degree, nodes["id"] == degree["node"], "left").select(F.coalesce("community", F.lit(0)).alias("community"), "id", "source_file", F.coalesce("degree", F.lit(0)).alias("degree"), folder.alias("folder"))
     folders = rows.groupBy("community", "folder").agg(F.count(F.lit(1)).alias("n"))
     folder = folders.groupBy("community").agg(F.min_by("folder", F.struct(-F.col("n"), "folder")).alias("folder"))
     sums = rows.groupBy("community").agg(F.count(F.lit(1)).alias("size"), F.min_by(F.element_at(F.split("source_file", "/"), -1), F.struct(-F.col("degree"), "id")).alias("hub_file"))
@@ -161,6 +236,14 @@ def summaries(nodes: DataFrame, degree: DataFrame) -> DataFrame:
     return sums.join(folder, "community").join(F.broadcast(total)).select("community", "size", F.round(F.lit(100.0) * F.col("size") / F.col("total")).cast("int").alias("percent"), "folder", "hub_file")
 
 
+def members(nodes: DataFrame) -> DataFrame:
+    """(community, id, label, source_file, place): the nodes of each community, placed from 0 by id; a row each, as a community may hold most nodes."""
+    rows = nodes.select(F.coalesce("community", F.lit(0)).alias("community"), "id", "label", "source_file")
+    ranks = with_rank(rows, [F.col("community"), F.col("id")], "nth")
+    first = ranks.groupBy("community").agg(F.min("nth").alias("first"))
+    return ranks.join(first, "community").select("community", "id", "label", "source_file", (F.col("nth") - F.col("first")).alias("place"))
+
+
 def folder_rollup(summary: DataFrame) -> DataFrame:
     """(folder, size, communities): summaries by their folder."""
     return summary.groupBy("folder").agg(F.sum("size").alias("size"), F.array_sort(F.collect_list("community")).alias("communities"))

@@ -52,15 +52,34 @@ def facet_filter(nodes: DataFrame, file_types: list[str], prefix: str = "", comm
 
 
 def suppress_covered(edges: DataFrame, show_suspicious: bool = True) -> DataFrame:
-    """Without the physical edges whose pair, in either direction, has a suspicious one, if those are shown."""
+    """Without the physical edges whose pair, in either direction, has a suspicious one; all edges where those aren't shown."""
     if not show_suspicious:
-        return edges.where("type <> 'SUSPICIOUS'")
+        return edges
     pair = lambda: (F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b"))
     covered = edges.where("type = 'SUSPICIOUS'").select(*pair()).distinct()
     hit = (F.least("source", "target") == covered["a"]) & (F.greatest("source", "target") == covered["b"]) & (F.col("type") == "PHYSICAL")
     return edges.join(covered, hit, "left_anti")
 
 
+def layers(edges: DataFrame, physical: bool = True, cognitive: bool = True, suspicious: bool = True) -> DataFrame:
+    """Edges of the types that are shown; edges of any other type always are."""
+    hidden = [t for t, on in (("PHYSICAL", physical), ("COGNITIVE", cognitive), ("SUSPICIOUS", suspicious)) if not on]
+    return edges.where(~F.col("type").isin(*hidden)) if hidden else edges
+
+
+def edge_tiers(edges: DataFrame, core: DataFrame) -> DataFrame:
+    """Edges with a tier: 2 with both ends among the core ids (id), 1 with one, else 0."""
+    ids = core.select("id").distinct()
+    a, b = ids.select(F.col("id").alias("_s")), ids.select(F.col("id").alias("_t"))
+    out = edges.join(a, edges["source"] == a["_s"], "left").join(b, edges["target"] == b["_t"], "left")
+    return out.withColumn("tier", F.col("_s").isNotNull().cast("int") + F.col("_t").isNotNull().cast("int")).drop("_s", "_t")
+
+
+def warnings_sorted(edges: DataFrame) -> DataFrame:
+    """Suspicious edges, the greatest score first, then by relation, then by their ends."""
+    return edges.where("type = 'SUSPICIOUS'").orderBy(F.desc("score"), "relation", "source", "target")
+
+
 def neighbours(edges: DataFrame, node: str) -> DataFrame:
     """(direction, other, relation, score) of a node, the first edge of each by position."""
     out = edges.where(F.col("source") == node).select(F.lit("out").alias("direction"), F.col("target").alias("other"), "relation", "score", "type")
@@ -71,9 +90,15 @@ def neighbours(edges: DataFrame, node: str) -> DataFrame:
 
 def focus_tiers(nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:
     """(id, tier): 2 for the node, 1 for its neighbours, 0 for all others."""
-    near = both_ways(edges).where(F.col("node") == node).select(F.col("other").alias("near")).distinct()
-    joined = nodes.join(near, nodes["id"] == near["near"], "left")
-    return joined.select("id", F.when(F.col("id") == node, 2).when(F.col("near").isNotNull(), 1).otherwise(0).alias("tier"))
+    return tiers(nodes, edges, nodes.where(F.col("id") == node).select("id"))
+
+
+def tiers(nodes: DataFrame, edges: DataFrame, core: DataFrame) -> DataFrame:
+    """(id, tier): 2 for the core ids (id), 1 for their neighbours, 0 for all others."""
+    ids = core.select(F.col("id").alias("core")).distinct()
+    near = both_ways(edges).join(ids, F.col("node") == F.col("core"), "left_semi").select(F.col("other").alias("near")).distinct()
+    joined = nodes.join(near, nodes["id"] == near["near"], "left").join(ids, nodes["id"] == ids["core"], "left")
+    return joined.select("id", F.when(F.col("core").isNotNull(), 2).when(F.col("near").isNotNull(), 1).otherwise(0).alias("tier"))
 
 
 # ---- reachability ------------------------------------------------------------------------------------------------
@@ -114,12 +139,14 @@ def neighbourhood(edges: DataFrame, start: str, depth: int) -> DataFrame:
     return seen
 
 
-def within_budget(ranked: DataFrame, order: list[Column], cost: Column, budget: int, chars_a_token: int = 4) -> DataFrame:
+def within_budget(ranked: DataFrame, order: list[Column], cost: Column, budget: int, chars_a_token: int = 4, least: int = 1) -> DataFrame:
     """Rows in order while the summed cost stays within the budget; the first always. Adds rank, spent and kept.
 
-    Costs are positive, so what is kept is a prefix. The rows are those of one answer (a bounded neighbourhood).
+    Costs are at least `least`, so what is kept is a prefix, and no more rows than the budget could hold and one are
+    ranked in one task: a bounded top-k comes first, and rows beyond it are not returned.
     """
     w = Window.orderBy(*order)
+    ranked = ranked.orderBy(*order).limit(budget * chars_a_token // least + 2)
     out = ranked.withColumn("rank", F.row_number().over(w)).withColumn("spent", F.sum(cost).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return out.withColumn("kept", (F.col("rank") == 1) | (F.col("spent") <= budget * chars_a_token))
 
@@ -199,8 +226,7 @@ def components(pairs: DataFrame, driver_edges: int = 200_000) -> DataFrame:
     namesake within the colour is its component.
     """
     spark = pairs.sparkSession
-    core = pairs.select(F.col("source").alias("a"), F.col("target").alias("b")).where("a <> b").distinct()
-    core = settle(core)
+    core = settle(pairs.select(F.col("source").alias("a"), F.col("target").alias("b")).where("a <> b").distinct())
     if not (driver_edges and small(core, driver_edges)):
         core = _trimmed(core)
     if driver_edges and small(core, driver_edges):
@@ -231,7 +257,7 @@ def components(pairs: DataFrame, driver_edges: int = 200_000) -> DataFrame:
 
 def cycle_edges(edges: DataFrame, driver_edges: int = 200_000) -> DataFrame:
     """(source, target, component, size, score) of physical edges within a component of several nodes: 0.4 + 0.1 a node, at most 1."""
-    pairs = edges.where("type = 'PHYSICAL'").select("source", "target").distinct()
+    pairs = settle(edges.where("type = 'PHYSICAL'").select("source", "target").distinct())
     comp = components(pairs, driver_edges)
     a = comp.select(F.col("node").alias("source"), "component", "size")
     b = comp.select(F.col("node").alias("target"), F.col("component").alias("other"))
@@ -269,11 +295,32 @@ def closed_walk(nodes: list[str], pairs: list[tuple[str, str]]) -> list[str]:
     return walk
 
 
+def all_warning_groups(edges: DataFrame, driver_edges: int = 200_000) -> DataFrame:
+    """Suspicious edges (source, target, relation, score) to (type, key, nodes, n_edges, score), the greatest score first, then by key.
+
+    Circular dependencies make a row for each component of their own graph, a node with only a loop too; each other
+    edge is a row of its own, of type boundary or other.
+    """
+    circular = F.col("relation") == "circular_dependency"
+    kind = F.when(F.col("relation") == "violates_boundary", "boundary").otherwise("other")
+    alone = edges.where(~circular).select(kind.alias("type"), F.concat(F.lit("sus_"), "source", F.lit("->"), "target", F.lit("_"), "relation").alias("key"), F.array().cast("array<string>").alias("nodes"), F.lit(1).cast("long").alias("n_edges"), "score")
+    rings = settle(edges.where(circular).select("source", "target", "score"))
+    comp = components(rings, driver_edges).select("node", "component")
+    loops = rings.where("source = target").select(F.col("source").alias("node")).distinct().join(comp, "node", "left_anti")
+    comp = settle(comp.unionByName(loops.withColumn("component", F.col("node"))))
+    inside = rings.join(comp.withColumnRenamed("node", "source"), "source").join(comp.select(F.col("node").alias("target"), F.col("component").alias("other")), "target").where("component = other")
+    groups = warning_groups(inside).select(F.lit("cycle").alias("type"), "key", "nodes", "n_edges", "score")
+    return alone.unionByName(groups).orderBy(F.desc("score"), "key")
+
+
 def warning_groups(cycles: DataFrame, walks: bool = False, longest_walk: int = 100_000) -> DataFrame:
     """Cycle edges to a row for each component: key, sorted nodes, number of edges, greatest score, and a closed walk.
 
-    Walks are made for components of at most longest_walk edges; larger ones have null.
+    A walk is one sequence of legs, made in one task. Where a component has more than longest_walk edges, walks are
+    refused with a ValueError rather than left out.
     """
+    if walks and not cycles.groupBy("component").count().where(F.col("count") > longest_walk).isEmpty():
+        raise ValueError(f"a component has over {longest_walk} edges: no closed walk is made through it")
     out = cycles.groupBy("component").agg(F.array_sort(F.collect_set("source")).alias("nodes"), F.count(F.lit(1)).alias("n_edges"), F.max("score").alias("score"), *[F.collect_list(F.struct("source", "target")).alias("pairs")] * walks)
     out = out.withColumn("key", F.concat(F.lit("cycle_"), F.array_join("nodes", "_")))
     if not walks:
@@ -281,7 +328,7 @@ def warning_groups(cycles: DataFrame, walks: bool = False, longest_walk: int = 1
 
     @F.udf("array<string>")
     def walk(nodes, pairs):
-        return closed_walk(nodes, [(p[0], p[1]) for p in pairs]) if len(pairs) <= longest_walk else None
+        return closed_walk(nodes, [(p[0], p[1]) for p in pairs])
 
     return out.select("key", "nodes", "n_edges", "score", walk("nodes", "pairs").alias("walk"))
 
@@ -299,8 +346,8 @@ def node_sizes(nodes: DataFrame, edges: DataFrame, hub_ids: DataFrame) -> DataFr
 
 
 def seed_layout(members: DataFrame) -> DataFrame:
-    """(id, x, y) from (id, community_index, n_communities, i): a ring of anchors, and a golden-angle spiral around each."""
-    ring = F.lit(120.0) + F.lit(45.0) * F.col("n_communities")
+    """(id, x, y) from (id, community_index, n_communities, i): a ring of anchors (the centre for one community), and a golden-angle spiral around each."""
+    ring = F.when(F.col("n_communities") <= 1, F.lit(0.0)).otherwise(F.lit(120.0) + F.lit(45.0) * F.col("n_communities"))
     turn = F.lit(2.0) * F.pi() * F.col("community_index") / F.col("n_communities")
     spiral, golden = F.lit(14.0) * F.sqrt(F.col("i") + 1), F.pi() * (F.lit(3.0) - F.sqrt(F.lit(5.0))) * F.col("i")
     return members.select("id", (F.cos(turn) * ring + F.cos(golden) * spiral).alias("x"), (F.sin(turn) * ring + F.sin(golden) * spiral).alias("y"))
@@ -330,22 +377,30 @@ def bounding_box(points: DataFrame, padding: float) -> DataFrame:
 
 
 def nearest_node(points: DataFrame, x: float, y: float) -> DataFrame:
-    """The first node, by id, whose circle (its size and 3 around) holds the point."""
-    inside = F.pow(F.col("x") - x, 2) + F.pow(F.col("y") - y, 2) <= F.pow(F.col("size") + 3, 2)
+    """The first node, by id, whose circle (its size, 6 if it has none, and 3 around) holds the point, its rim left out."""
+    inside = F.pow(F.col("x") - x, 2) + F.pow(F.col("y") - y, 2) < F.pow(F.coalesce("size", F.lit(6.0)) + 3, 2)
     return points.where(inside).orderBy("id").limit(1)
 
 
 def nearest_edge(segments: DataFrame, x: float, y: float, zoom: float = 1.0) -> DataFrame:
-    """The edge (x1, y1, x2, y2) nearest to the point, if within 12 / zoom."""
+    """The edge (x1, y1, x2, y2) nearest to the point, if nearer than 12 / zoom; none below a zoom of 0.1."""
+    if zoom < 0.1:
+        segments = segments.limit(0)
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     length = dx * dx + dy * dy
     t = F.when(length == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - F.col("x1")) * dx + (y - F.col("y1")) * dy) / length)))
     away = F.sqrt(F.pow(F.col("x1") + t * dx - x, 2) + F.pow(F.col("y1") + t * dy - y, 2))
-    return segments.withColumn("away", away).where(F.col("away") <= 12 / zoom).orderBy("away", "source", "target").limit(1)
+    return segments.withColumn("away", away).where(F.col("away") < 12 / zoom).orderBy("away", "source", "target").limit(1)
+
 
+def in_view(points: DataFrame, camera: tuple[float, float], zoom: float, width: float, height: float) -> DataFrame:
+    """Points on a screen of so many pixels around the camera, twice their size allowed for, with `labelled`.
 
-def in_view(points: DataFrame, box: tuple[float, float, float, float], zoom: float) -> DataFrame:
-    """Points within the box, with `labelled`: hubs and sizes of 9 on from zoom 0.6 on, all from 1.4 on."""
-    x0, y0, x1, y1 = box
-    seen = points.where(F.col("x").between(x0, x1) & F.col("y").between(y0, y1))
-    return seen.withColumn("labelled", F.lit(zoom >= 1.4) | (F.lit(zoom >= 0.6) & (F.col("hub") | (F.col("size") >= 9))))
+    From a zoom of 1.4 on all have labels; hubs and sizes of 9 on have them from 0.45 on, less on screens larger than
+    1200 by 800, in proportion to their area.
+    """
+    at = lambda c, middle, half: (F.col(c) - middle) * zoom + half / 2
+    sx, sy, wide = at("x", camera[0], width), at("y", camera[1], height), F.coalesce("size", F.lit(6.0)) * 2
+    seen = points.where((sx + wide >= 0) & (sx - wide <= width) & (sy + wide >= 0) & (sy - wide <= height))
+    prominent = zoom >= 0.45 * min(1.0, 1200 * 800 / (width * height))
+    return seen.withColumn("labelled", F.lit(zoom >= 1.4) | (F.lit(prominent) & (F.col("hub") | (F.coalesce("size", F.lit(6.0)) >= 9))))

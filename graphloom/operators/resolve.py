@@ -11,7 +11,14 @@ from ..functions.lineage import settle
 EXTENSIONS = (".ts", ".tsx", ".js", ".jsx", ".py", ".go", ".rs", ".java", ".c", ".cpp", ".h")
 STANDS_FOR = {".js": (".ts", ".tsx"), ".jsx": (".tsx", ".ts")}
 # Callees too common to mean one function.
-GENERIC = ("log", "map", "filter", "foreach", "push", "get", "set", "has", "then", "catch", "join", "split", "slice", "find", "add", "delete", "tostring", "print", "len", "range", "str", "int", "open", "require", "parse", "stringify", "next", "on", "emit", "keys", "values")
+GENERIC = (
+    "map", "get", "set", "init", "push", "pop", "foreach", "filter", "reduce",
+    "find", "some", "every", "includes", "slice", "splice", "concat", "join",
+    "sort", "reverse", "flat", "flatmap", "keys", "values", "entries", "length",
+    "tostring", "valueof", "constructor", "prototype", "apply", "call", "bind",
+    "then", "catch", "finally", "resolve", "reject", "all", "race",
+    "assign", "freeze", "isarray", "parse", "stringify",
+)
 
 
 def joined_path(base: Column, relative: Column) -> Column:
@@ -36,27 +43,32 @@ def candidates(path: Column) -> Column:
 def resolve_modules(imports: DataFrame, files: DataFrame, aliases: list[tuple[str, list[str]]] = ()) -> DataFrame:
     """(import_id, caller, specifier) to (import_id, target_file): the first candidate that is a file; null if none is.
 
-    Relative specifiers start at the caller; others only resolve through aliases (pattern with one *, targets), all
-    matching patterns in their order. Each alias is a branch of the plan, so no pairs of rows are compared.
+    Relative specifiers (./ and ../) start at the caller; others only resolve through aliases (pattern, targets), all
+    that match in their order. A pattern is a prefix, without the * it may end with; a target's first * stands for the
+    rest. Each alias is a branch of the plan, so no pairs of rows are compared. Candidates are made once for each folder
+    and specifier, not for each import.
     """
     spec = F.col("specifier")
-    relative = spec.startswith("./") | spec.startswith("../") | spec.isin(".", "..")
-    found = [F.when(relative, F.struct(F.lit(0).alias("alias_pos"), joined_path(F.col("caller"), spec).alias("path")))]
+    relative = spec.startswith("./") | spec.startswith("../")
+    folder = F.when(relative, F.regexp_replace("caller", "[^/]*$", ""))
+    found = [F.when(relative, F.struct(F.lit(0).alias("alias_pos"), joined_path(F.col("folder"), spec).alias("path")))]
     n = 0
     for pattern, targets in aliases:
-        head = pattern.split("*")[0]
-        hit = spec.startswith(head) if "*" in pattern else spec == pattern
-        rest = F.substring(spec, len(head) + 1, 10_000)
+        head = pattern.removesuffix("*")
+        rest = F.substr(spec, F.lit(len(head) + 1))
         for t in targets:
             n += 1
             before, star, after = t.partition("*")
             path = F.concat(F.lit(before), rest, F.lit(after)) if star else F.lit(t)
-            found.append(F.when(~relative & hit, F.struct(F.lit(n).alias("alias_pos"), joined_path(F.lit("x"), path).alias("path"))))
-    tries = imports.select("import_id", F.explode(F.array_compact(F.array(*found))).alias("t")).where("t.path IS NOT NULL")
-    tries = tries.select("import_id", "t.alias_pos", F.posexplode(candidates(F.col("t.path"))).alias("probe_pos", "file"))
+            found.append(F.when(~relative & spec.startswith(head), F.struct(F.lit(n).alias("alias_pos"), joined_path(F.lit("x"), path).alias("path"))))
+    asked = imports.select("import_id", folder.alias("folder"), "specifier")
+    kinds = asked.select("folder", "specifier").where("specifier IS NOT NULL").distinct()
+    tries = kinds.select("folder", "specifier", F.explode(F.array_compact(F.array(*found))).alias("t")).where("t.path IS NOT NULL")
+    tries = tries.select("folder", "specifier", "t.alias_pos", F.posexplode(candidates(F.col("t.path"))).alias("probe_pos", "file"))
     there = files.select(F.col("source_file").alias("file")).distinct()
-    best = tries.join(there, "file").groupBy("import_id").agg(F.min_by("file", F.struct("alias_pos", "probe_pos")).alias("target_file"))
-    return imports.select("import_id").join(best, "import_id", "left")
+    best = tries.join(there, "file").groupBy("folder", "specifier").agg(F.min_by("file", F.struct("alias_pos", "probe_pos")).alias("target_file"))
+    best = best.withColumnsRenamed({"folder": "bf", "specifier": "bs"})
+    return asked.join(best, asked["folder"].eqNullSafe(best["bf"]) & (asked["specifier"] == best["bs"]), "left").select("import_id", "target_file")
 
 
 def _followed(pointers: DataFrame, most: int | None = None) -> tuple[DataFrame, bool]:
@@ -76,28 +88,27 @@ def _followed(pointers: DataFrame, most: int | None = None) -> tuple[DataFrame,
 
 
 def _ends(pointers: DataFrame) -> DataFrame:
-    """(a, b) of unique a to (a, end): where its path ends, or the last place before a cycle meets itself."""
+    """(a, b) of unique a to (a, end): where its path ends, or the first place of a cycle that it comes to."""
     far, cycles = _followed(pointers)
     if not cycles:
         return far.select("a", F.col("b").alias("end"))
     ring = settle(far.where("on").select(F.col("b").alias("r")).distinct())
     to_ring = pointers.join(ring, pointers["a"] == ring["r"], "left_anti")
-    entered = _followed(to_ring)[0].select("a", "b").union(ring.select(F.col("r").alias("a"), F.col("r").alias("b")))
-    before = pointers.join(ring, pointers["a"] == ring["r"], "left_semi").select(F.col("b").alias("r"), F.col("a").alias("p"))
-    return entered.join(before, entered["b"] == before["r"], "left").select("a", F.coalesce("p", "b").alias("end"))
+    return _followed(to_ring)[0].select("a", F.col("b").alias("end")).union(ring.select("r", "r"))
 
 
 def unwrap_reexports(requests: DataFrame, exports: DataFrame) -> DataFrame:
-    """(req_id, file, symbol) to where the symbol comes from, through exports (file, symbol, target_file, target_symbol, star_pos).
+    """(req_id, file, symbol) to where the symbol comes from, through exports (file, symbol, target_file, target_symbol, star_pos, pos).
 
-    A named export leads to its target; else the first star source that names the symbol or has a star itself does. A
-    request ends where nothing leads on, where an export is the file's own, or before a place it has seen. Where a place
-    leads does not hang on the request, so places are linked once and their paths followed by doubling: rounds grow
-    with the logarithm of the longest chain of named exports.
+    A named export leads to its target, the last by pos if a file exports a name more than once; else the first star
+    source that names the symbol or has a star itself does. A request ends where nothing leads on, where an export is the
+    file's own, or at the first place that it comes to again. Where a place leads does not hang on the request, so places
+    are linked once and their paths followed by doubling: rounds grow with the logarithm of the longest chain of named
+    exports. Star sources are linked by rounds as long as the longest chain of stars.
     """
-    exports = settle(exports)
-    named = exports.where("star_pos IS NULL").select(F.col("file").alias("f"), F.col("symbol").alias("s"), F.col("target_file").alias("tf"), F.coalesce("target_symbol", "symbol").alias("ts"))
-    named = named.groupBy("f", "s").agg(F.max(F.struct("tf", "ts")).alias("named"))
+    exports = settle(exports if "pos" in exports.columns else exports.withColumn("pos", F.lit(0)))
+    named = exports.where("star_pos IS NULL").select(F.col("file").alias("f"), F.col("symbol").alias("s"), F.col("target_file").alias("tf"), F.coalesce("target_symbol", "symbol").alias("ts"), "pos")
+    named = named.groupBy("f", "s").agg(F.max_by(F.struct("tf", "ts"), F.struct("pos", "tf", "ts")).alias("named"))
     stars = exports.where("star_pos IS NOT NULL").select(F.col("file").alias("f"), F.col("target_file").alias("src"), "star_pos")
     has_star = stars.select(F.col("f").alias("src")).distinct().withColumn("starred", F.lit(True))
     names = named.select(F.col("f").alias("src"), F.col("s").alias("symbol")).withColumn("names", F.lit(True))
@@ -129,6 +140,29 @@ def unwrap_reexports(requests: DataFrame, exports: DataFrame) -> DataFrame:
     return out.select("req_id", F.coalesce("end.file", "file").alias("file"), F.coalesce("end.symbol", "symbol").alias("symbol"))
 
 
+def _namespace_members(calls: DataFrame, target: DataFrame, exports: DataFrame | None, defaults: DataFrame | None) -> DataFrame:
+    """(ns_file, callee, ns_id) of two-part member calls: where each namespace's member is declared."""
+    asked = calls.where("is_member AND parts = 2 AND ns_file IS NOT NULL").select("ns_file", "callee").distinct()
+    asked = asked.select("ns_file", "callee", F.col("ns_file").alias("file"), F.element_at(F.split("callee", r"\."), -1).alias("symbol"))
+    if exports is not None:
+        requests = asked.select(F.struct("ns_file", "callee").alias("req_id"), "file", "symbol")
+        asked = unwrap_reexports(requests, exports).select("req_id.*", "file", "symbol")
+    if defaults is not None:
+        asked = asked.join(defaults, (F.col("file") == F.col("df")) & (F.col("symbol") == "default"), "left").withColumn("symbol", F.coalesce("default_symbol", "symbol"))
+    return asked.join(target, (F.col("file") == F.col("tf")) & (F.lower("symbol") == F.col("tn"))).select("ns_file", "callee", F.col("target_id").alias("ns_id"))
+
+
+def coverage(pairs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(found, expected, ratio): of the different (caller, target_file) pairs that imports resolve to, those with an import edge between their files' nodes."""
+    wanted = pairs.where("target_file IS NOT NULL").select("caller", "target_file").distinct()
+    files = nodes.select(F.col("id"), F.col("source_file"))
+    made = edges.where("relation = 'imports' AND type = 'PHYSICAL'").select("source", "target")
+    made = made.join(files.select(F.col("id").alias("source"), F.col("source_file").alias("caller")), "source").join(files.select(F.col("id").alias("target"), F.col("source_file").alias("target_file")), "target")
+    made = made.select("caller", "target_file").distinct().withColumn("made", F.lit(1))
+    sums = wanted.join(made, ["caller", "target_file"], "left").agg(F.coalesce(F.sum("made"), F.lit(0)).alias("found"), F.count(F.lit(1)).alias("expected"))
+    return sums.select("found", "expected", F.when(F.col("expected") > 0, F.col("found") / F.col("expected")).alias("ratio"))
+
+
 def bindings(imports: DataFrame) -> DataFrame:
     """(caller, local_key) to target_file and target_symbol: the last import of a name counts; type-only and side-effect ones bind nothing."""
     real = imports.where("kind IN ('default', 'named', 'namespace') AND target_file IS NOT NULL")
@@ -136,10 +170,11 @@ def bindings(imports: DataFrame) -> DataFrame:
     return last.select("caller", "local_key", "x.*")
 
 
-def call_edges(calls: DataFrame, symbols: DataFrame, binds: DataFrame) -> DataFrame:
-    """(caller_file, callee, is_member, pos) to (source, target, score): tiers in order, and the first that matches decides.
+def call_edges(calls: DataFrame, symbols: DataFrame, binds: DataFrame, exports: DataFrame | None = None, defaults: DataFrame | None = None) -> DataFrame:
+    """(caller_file, callee, is_member, pos) to (source_file, target, score): tiers in order, and the first that matches decides.
 
-    1. a two-part member call through a namespace binding; other two-part member calls are dropped
+    1. a two-part member call through a namespace binding, its member followed through the exports, `default` to the
+       file's default symbol (df, default_symbol); other two-part member calls are dropped
     2. a symbol of the same file, the last of its name   3. a binding of the file
     4. for plain calls, the only symbol of that name anywhere (score 0.8, others 1.0)
     Callees too common to mean one function pass the first tier only; calls of oneself give no edge.
@@ -152,7 +187,7 @@ def call_edges(calls: DataFrame, symbols: DataFrame, binds: DataFrame) -> DataFr
     target = symbols.groupBy(F.col("source_file").alias("tf"), F.lower("label").alias("tn")).agg(F.max_by("id", "pos").alias("target_id"))
     only = symbols.groupBy(F.lower("label").alias("gn")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("only_id")).where("n = 1")
     c = c.join(b.where("kind = 'namespace'").select("bf", F.col("local_key").alias("nk"), F.col("target_file").alias("ns_file")), (F.col("caller_file") == F.col("bf")) & (F.col("head") == F.col("nk")), "left").drop("bf", "nk")
-    c = c.join(target.withColumnRenamed("target_id", "ns_id"), (F.col("ns_file") == F.col("tf")) & (F.col("name") == F.col("tn")), "left").drop("tf", "tn")
+    c = c.join(_namespace_members(c, target, exports, defaults), ["ns_file", "callee"], "left")
     c = c.join(local, (F.col("caller_file") == F.col("lf")) & (F.col("name") == F.col("ln")), "left").drop("lf", "ln")
     c = c.join(b, (F.col("caller_file") == F.col("bf")) & (F.col("name") == F.col("local_key")), "left").drop("bf", "local_key")
     c = c.join(target, (F.col("target_file") == F.col("tf")) & (F.lower(F.coalesce("target_symbol", "name")) == F.col("tn")), "left").drop("tf", "tn")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import json
+import os
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -32,20 +33,21 @@ def _java_takes(spark, pattern: str) -> bool:
 
 
 def parse_rules(raw: object, spark=None) -> list[dict]:
-    """The valid rules of a parsed file, in order: {from, to, except, pathKind, severity, reason}; anything else is dropped.
+    """The valid rules under `boundaries` of a parsed file, in order: {from, to, except, pathKind, severity, reason}.
 
-    Patterns that the regex engine of the queries rejects are dropped here, as they would abort a query.
+    Without a kind a rule is a glob, without a severity an error. A rule with a field of a wrong type (null too) is
+    dropped, as is one whose pattern the regex engine of the queries rejects: it would abort a query.
     """
-    listed = raw.get("forbidden", raw.get("rules", [])) if isinstance(raw, dict) else raw
+    listed = raw.get("boundaries") if isinstance(raw, dict) else None
     out = []
     for rule in listed if isinstance(listed, list) else []:
-        if not isinstance(rule, dict) or not all(isinstance(rule.get(k), str) and rule[k] for k in ("from", "to")):
+        if not isinstance(rule, dict) or not all(isinstance(rule.get(k), str) for k in ("from", "to")):
             continue
-        kind, severity, but = rule.get("pathKind", "glob"), rule.get("severity", "warn"), rule.get("except", [])
+        kind, severity, but, reason = rule.get("pathKind", "glob"), rule.get("severity", "error"), rule.get("except", []), rule.get("reason", "")
         but = [but] if isinstance(but, str) else but
-        if kind not in ("glob", "regex") or severity not in ("warn", "error") or not isinstance(but, list) or not all(isinstance(x, str) for x in but):
+        if kind not in ("glob", "regex") or severity not in ("warn", "error") or not isinstance(reason, str) or not isinstance(but, list) or not all(isinstance(x, str) for x in but):
             continue
-        made = {"from": rule["from"], "to": rule["to"], "except": but, "pathKind": kind, "severity": severity, "reason": rule.get("reason") if isinstance(rule.get("reason"), str) else None}
+        made = {"from": rule["from"], "to": rule["to"], "except": but, "pathKind": kind, "severity": severity, "reason": reason}
         if all(_java_takes(spark, pattern_of(p, kind)) for p in (made["from"], made["to"], *but)):
             out.append(made)
     return out
@@ -73,7 +75,7 @@ def _hits(rule: dict, source: Column, target: Column) -> Column:
 
 
 def reason_of(rule: dict) -> str:
-    return rule["reason"] or f"{rule['from']} must not depend on {rule['to']}"
+    return rule["reason"] or f"Forbidden import: {rule['from']} must not import {rule['to']}"
 
 
 def violations(edges: DataFrame, rules: list[dict]) -> DataFrame:
@@ -95,23 +97,64 @@ def rules_touching(rules: list[dict], file: str) -> list[tuple[int, dict]]:
     return [(i, r) for i, r in enumerate(rules) if any(re.search(pattern_of(r[k], r["pathKind"]), file) for k in ("from", "to"))]
 
 
-CONFIG_FILES = (".dependency-cruiser.json", ".dependency-cruiser.jsonc", "dependency-cruiser.json", "dependency-cruiser.config.json", ".depcruise.json", "depcruise.json", ".dependency-cruiser.conf.json")
+# Where a project keeps its dependency rules, in the order they are looked for.
+CONFIG_FILES = (
+    ".dependency-cruiser.json",
+    ".dependency-cruiser.cjs",
+    ".dependency-cruiser.js",
+    ".dependency-cruiserrc.json",
+    ".dependency-cruiserrc.cjs",
+    ".dependency-cruiserrc.js",
+    ".dependency-cruiserrc",
+)
+
+
+def find_config(root: str) -> str | None:
+    """The first of CONFIG_FILES that a folder has."""
+    return next((p for p in (os.path.join(root, n) for n in CONFIG_FILES) if os.path.exists(p)), None)
+
+
+def load_config(path: str) -> dict:
+    """The parsed file. Only JSON is read: a file of another kind, which would have to be run, is a ValueError."""
+    try:
+        with open(path, encoding="utf-8") as f:
+            return json.load(f)
+    except ValueError:
+        raise ValueError(f"{path} is not JSON; a script is not run") from None
+
+
+def import_config(root: str) -> tuple[dict, list[str]]:
+    """The rules file, {boundaries: [...]}, made of a project's dependency rules, and its notes; FileNotFoundError without any."""
+    path = find_config(root)
+    if path is None:
+        raise FileNotFoundError(root)
+    made, notes = from_dependency_rules(load_config(path))
+    return {"boundaries": made}, notes
 
 
 def from_dependency_rules(config: dict) -> tuple[list[dict], list[str]]:
     """Rules of a `forbidden` list that go from path to path, and a line for each that can't be taken or loses a part."""
     out, notes = [], []
-    join = lambda p: "|".join(f"(?:{x})" for x in p) if isinstance(p, list) and len(p) > 1 else p[0] if isinstance(p, list) and p else p
-    for i, rule in enumerate(config.get("forbidden", [])):
-        name, a, b = rule.get("name", f"#{i}"), rule.get("from", {}), rule.get("to", {})
-        source, target, but = join(a.get("path")), join(b.get("path")), join(b.get("pathNot"))
-        if not source or not target:
+    join = lambda p: (p[0] if len(p) == 1 else f"(?:{'|'.join(p)})") if isinstance(p, list) else p
+    back = lambda p: re.search(r"\$\d", p or "")
+    listed = config.get("forbidden") if isinstance(config, dict) else None
+    for rule in listed if isinstance(listed, list) else []:
+        name, a, b = rule.get("name") or "(unnamed)", rule.get("from") or {}, rule.get("to") or {}
+        if "path" not in a or "path" not in b:
             notes.append(f"{name}: not from path to path")
-        elif any(re.search(r"\$\d", x) for x in (source, target, but or "")):
+            continue
+        source, target, but = join(a["path"]), join(b["path"]), b.get("pathNot")
+        if back(target) or back(join(but)):
             notes.append(f"{name}: refers back to a group")
-        else:
-            if a.get("pathNot"):
-                notes.append(f"{name}: from.pathNot is left out")
-            made = {"from": source, "to": target, "pathKind": "regex", "severity": "error" if rule.get("severity") == "error" else "warn"}
-            out.append(made | ({"except": [but]} if but else {}) | ({"reason": rule["comment"]} if rule.get("comment") else {}))
+            continue
+        made = {"from": source, "to": target, "pathKind": "regex", "severity": "error" if rule.get("severity") == "error" else "warn"}
+        made["reason"] = rule.get("comment") or rule.get("name") or f"Forbidden: {source} -> {target}"
+        if but is not None:
+            made["except"] = but if isinstance(but, list) else [but]
+        if "pathNot" in a:
+            notes.append(f"{name}: from.pathNot is left out")
+        out.append(made)
+    for kind in ("allowed", "required"):
+        if isinstance(config, dict) and config.get(kind):
+            notes.append(f"{kind}: {len(config[kind])} rules of another kind")
     return out, notes

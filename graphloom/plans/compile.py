@@ -14,7 +14,9 @@ from ..sources import extract as extractors
 from ..sources import files as sources
 
 NODE = "id string, label string, file_type string, source_file string, source_location string, content_hash string"
-EDGE = "source string, target string, relation string, type string, score double"
+EDGE = "source string, target string, relation string, type string, score double, rationale string"
+#: Caches and states of another version are not read.
+VERSION = "1.1.0"
 
 
 @dataclass
@@ -25,18 +27,20 @@ class Config:
     rules: list = field(default_factory=list)
     insights: str | None = None
     cache: str | None = None
+    state: str | None = None
     driver_edges: int = 200_000
 
 
 def extract_cached(files: DataFrame, cache: str | None) -> DataFrame:
-    """Extraction of the files; of those whose path, size and time a Parquet cache has, from there. The cache is renewed beside it."""
+    """Extraction of the files; of those whose path, size and time a Parquet cache has, from there.
+
+    The cache's next generation is written whole before the last one goes. One of another version is not looked at.
+    """
     spark = files.sparkSession
     if cache is None:
         return settle(extractors.extract(files))
-    try:
-        old = spark.read.parquet(cache)
-    except Exception:  # noqa: BLE001  no cache yet
-        old = None
+    cache = f"{cache.rstrip('/')}/version={VERSION}"
+    old = sources.read_generation(spark, cache)
     stat = ["source_file", "size", "mtime"]
     if old is None:
         new = files
@@ -45,38 +49,42 @@ def extract_cached(files: DataFrame, cache: str | None) -> DataFrame:
     fresh = extractors.extract(new).join(new.select(*stat), "source_file")
     every = fresh if old is None else old.join(files.select(*stat), stat, "left_semi").select(*fresh.columns).unionByName(fresh)
     every = settle(every)
-    every.write.mode("overwrite").parquet(cache)
+    sources.write_generation(every, cache)
     return every
 
 
 def code_nodes(extracted: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """File and symbol nodes, and `contains` edges between them; symbols also with their position."""
-    from ..functions.ids import content_hash
-
-    path = F.col("source_file")
-    heads = files.select(file_id(path).alias("id"), F.element_at(F.split(path, "/"), -1).alias("label"), F.lit("code").alias("file_type"), "source_file", F.lit(None).cast("string").alias("source_location"), content_hash(F.coalesce("text", F.lit(""))).alias("content_hash"))
-    found = extracted.select("source_file", F.explode("symbols").alias("s")).select("source_file", F.col("s.name").alias("name"), F.col("s.line").alias("line"), F.col("s.pos").alias("pos"))
+    path, none = F.col("source_file"), F.lit(None).cast("string")
+    heads = files.select(file_id(path).alias("id"), F.element_at(F.split(path, "/"), -1).alias("label"), F.lit("code").alias("file_type"), "source_file", none.alias("source_location"), none.alias("content_hash"))
+    found = extracted.select("source_file", F.explode("symbols").alias("s")).select("source_file", "s.name", "s.line", "s.pos", "s.content_hash")
     found = with_ordinals(found.withColumn("base", symbol_id(path, F.col("name"))), "base", ["pos"], "id")
-    symbols = found.select("id", F.element_at(F.split("name", r"\."), -1).alias("label"), F.lit("code").alias("file_type"), "source_file", F.concat(F.lit("L"), F.col("line").cast("string")).alias("source_location"), "pos")
+    symbols = found.select("id", F.element_at(F.split("name", r"\."), -1).alias("label"), F.lit("code").alias("file_type"), "source_file", F.concat(F.lit("L"), F.col("line").cast("string")).alias("source_location"), "content_hash", "pos")
     edges = symbols.select(file_id(path).alias("source"), F.col("id").alias("target"), F.lit("contains").alias("relation"), F.lit("PHYSICAL").alias("type"), F.lit(1.0).alias("score"))
     return heads, symbols, edges
 
 
 def export_table(extracted: DataFrame, targets: DataFrame) -> DataFrame:
-    """What files export: (file, symbol, target_file, target_symbol, star_pos). An alias of an own symbol is passed over."""
-    every = extracted.select(F.col("source_file").alias("file"), F.explode("exports").alias("e")).select("file", "e.*")
-    mine = every.where("specifier IS NULL").select("file", F.when(F.col("kind") == "default", "default").otherwise(F.col("symbol")).alias("symbol"), F.col("file").alias("target_file"), F.col("symbol").alias("target_symbol"), F.lit(None).cast("int").alias("star_pos"))
+    """What files export: (file, symbol, target_file, target_symbol, star_pos, pos). An alias of an own symbol is passed over, as is a namespace made of another file."""
+    every = extracted.select(F.col("source_file").alias("file"), F.explode("exports").alias("e")).select("file", "e.*").where("kind <> 'namespace'")
+    mine = every.where("specifier IS NULL").select("file", F.when(F.col("kind") == "default", "default").otherwise(F.col("symbol")).alias("symbol"), F.col("file").alias("target_file"), F.when(F.col("kind") == "default", "default").otherwise(F.col("symbol")).alias("target_symbol"), F.lit(None).cast("int").alias("star_pos"), "pos")
     e = every.where("specifier IS NOT NULL")
     e = e.join(targets, (e["file"] == targets["caller"]) & (e["specifier"] == targets["spec"])).where("target_file IS NOT NULL")
     star = F.col("kind") == "star"
-    led = e.select("file", F.when(star, "*").otherwise(F.coalesce("alias", "symbol")).alias("symbol"), "target_file", F.when(~star, F.col("symbol")).alias("target_symbol"), F.when(star, F.col("pos")).alias("star_pos"))
+    led = e.select("file", F.when(star, "*").otherwise(F.coalesce("alias", "symbol")).alias("symbol"), "target_file", F.when(~star, F.col("symbol")).alias("target_symbol"), F.when(star, F.col("pos")).alias("star_pos"), "pos")
     return mine.unionByName(led)
 
 
 def compile_graph(spark: SparkSession, cfg: Config, previous: DataFrame | None = None) -> Graph:  # noqa: F821
-    """All steps in order. previous: (node, community) of an earlier graph, whose community ids are kept where they fit."""
+    """All steps in order. previous: (node, community) of an earlier graph, whose community ids are kept where they fit.
+
+    Without it they are read from the state folder, if the configuration names one; what is found is written there.
+    """
     from .serve import Graph
 
+    state = cfg.state and f"{cfg.state.rstrip('/')}/version={VERSION}/communities"
+    if previous is None and state:
+        previous = sources.read_generation(spark, state)
     files = settle(sources.scan(spark, cfg.root, cfg.scope))
     extracted = extract_cached(files, cfg.cache)
     heads, symbols, contains = code_nodes(extracted, files)
@@ -89,16 +97,18 @@ def compile_graph(spark: SparkSession, cfg: Config, previous: DataFrame | None =
     targets = settle(found.select(F.col("import_id.caller").alias("caller"), F.col("import_id.specifier").alias("spec"), "target_file"))
     real = imports.where("kind NOT LIKE 'type%'")
     real = real.join(targets.withColumnRenamed("caller", "c"), (F.col("caller") == F.col("c")) & (F.col("specifier") == F.col("spec"))).where("target_file IS NOT NULL").drop("c", "spec")
-    requests = real.select(F.struct("caller", "pos").alias("req_id"), F.col("target_file").alias("file"), F.coalesce("imported", F.lit("")).alias("symbol"))
-    origin = resolve.unwrap_reexports(requests, export_table(extracted, targets))
-    real = real.join(origin.select("req_id.caller", "req_id.pos", F.col("file").alias("final_file"), F.col("symbol").alias("final_symbol")), ["caller", "pos"])
-    brought = settle(real.select("caller", "pos", "kind", "local", F.col("final_file").alias("target_file"), F.when(F.col("kind") == "namespace", None).otherwise(F.col("final_symbol")).alias("target_symbol")))
+    exports = settle(export_table(extracted, targets))
+    # Only names are followed through exports: a namespace or a side effect is that of the file itself.
+    requests = real.where("kind IN ('default', 'named')").select(F.struct("caller", "pos").alias("req_id"), F.col("target_file").alias("file"), F.col("imported").alias("symbol"))
+    origin = resolve.unwrap_reexports(requests, exports)
+    real = real.join(origin.select("req_id.caller", "req_id.pos", F.col("file").alias("final_file"), F.col("symbol").alias("final_symbol")), ["caller", "pos"], "left")
+    brought = settle(real.select("caller", "pos", "kind", "local", F.coalesce("final_file", "target_file").alias("target_file"), F.col("final_symbol").alias("target_symbol")))
     defaults = extracted.where("default_symbol IS NOT NULL").select(F.col("source_file").alias("df"), "default_symbol")
     binds = resolve.bindings(brought).join(defaults, (F.col("target_file") == F.col("df")) & (F.col("target_symbol") == "default"), "left")
     binds = binds.withColumn("target_symbol", F.coalesce("default_symbol", "target_symbol")).drop("df", "default_symbol")
     import_edges = brought.where("caller <> target_file").select(file_id(F.col("caller")).alias("source"), file_id(F.col("target_file")).alias("target"), F.lit("imports").alias("relation"), F.lit("PHYSICAL").alias("type"), F.lit(1.0).alias("score")).distinct()
     calls = extracted.select(F.col("source_file").alias("caller_file"), F.explode("calls").alias("c")).select("caller_file", "c.callee", "c.is_member", "c.pos")
-    call_edges = resolve.call_edges(calls, symbols, binds).select(file_id(F.col("source_file")).alias("source"), "target", F.lit("calls").alias("relation"), F.lit("PHYSICAL").alias("type"), "score")
+    call_edges = resolve.call_edges(calls, symbols, binds, exports, defaults).select(file_id(F.col("source_file")).alias("source"), "target", F.lit("calls").alias("relation"), F.lit("PHYSICAL").alias("type"), "score")
     nodes = heads.unionByName(symbols.drop("pos"), allowMissingColumns=True)
     edges = contains.unionByName(import_edges).unionByName(call_edges)
     chunks = None
@@ -115,16 +125,22 @@ def compile_graph(spark: SparkSession, cfg: Config, previous: DataFrame | None =
     groups = community.detect(nodes, edges)
     if previous is not None:
         groups = community.stabilize(groups, previous)
+    if state:
+        groups = settle(groups)
+        sources.write_generation(groups, state)
     nodes = nodes.join(groups.withColumnRenamed("node", "id"), "id", "left")
-    every = settle(graph.prune_dangling(nodes, edges.unionByName(suspicious.select(*edges.columns))))
+    every = settle(graph.prune_dangling(nodes, edges.unionByName(suspicious, allowMissingColumns=True)))
     return Graph(settle(nodes), every, hub_ids, cfg.rules, chunks)
 
 
 def find_suspicious(nodes: DataFrame, edges: DataFrame, cfg: Config) -> DataFrame:
-    """Cycle edges and rule violations as suspicious edges."""
-    cycles = graph.cycle_edges(edges, cfg.driver_edges).select("source", "target", F.lit("circular_dependency").alias("relation"), F.lit("SUSPICIOUS").alias("type"), "score")
+    """Cycle edges and rule violations as suspicious edges, with a rationale."""
+    label = lambda c, to: nodes.select(F.col("id").alias(c), F.col("label").alias(to))
+    cycles = graph.cycle_edges(edges, cfg.driver_edges).join(label("source", "a"), "source", "left").join(label("target", "b"), "target", "left")
+    why = F.concat(F.lit("Circular dependency: "), F.coalesce("a", "source"), F.lit(" ↔ "), F.coalesce("b", "target"))
+    cycles = cycles.select("source", "target", F.lit("circular_dependency").alias("relation"), F.lit("SUSPICIOUS").alias("type"), "score", why.alias("rationale"))
     hits = rules.violations(with_files(nodes, edges.where("relation = 'imports' AND type = 'PHYSICAL'")), cfg.rules)
-    hits = hits.select("source", "target", F.lit("violates_boundary").alias("relation"), F.lit("SUSPICIOUS").alias("type"), F.col("violation_score").alias("score"))
+    hits = hits.select("source", "target", F.lit("violates_boundary").alias("relation"), F.lit("SUSPICIOUS").alias("type"), F.col("violation_score").alias("score"), F.col("reason").alias("rationale"))
     return cycles.unionByName(hits.distinct())
 
 

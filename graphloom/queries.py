@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import ids
+from .functions.lineage import settle, shared_folder, with_rank
 from .operators import change, community, graph, resolve, rules
 from .plans import projections as P
 from .plans.compile import with_files
@@ -37,7 +39,7 @@ rnodes AS (
  UNION ALL SELECT 'customer_'||c_custkey, c_name, r_name||'/'||n_name||'/'||c_name, n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
 redges AS (SELECT 'region_'||n_regionkey AS source, 'nation_'||n_nationkey AS target FROM nation UNION ALL SELECT 'nation_'||s_nationkey, 'supplier_'||s_suppkey FROM supplier UNION ALL SELECT 'nation_'||c_nationkey, 'customer_'||c_custkey FROM customer)"""
 RULES = [
-    {"from": "ASIA/**", "to": "MIDDLE EAST/**", "severity": "error"},
+    {"from": "ASIA/**", "to": "MIDDLE EAST/**"},
     {"from": "**", "to": "AMERICA/**", "except": ["AMERICA/NATION_11"], "severity": "warn"},
     {"from": "MIDDLE EAST/**", "to": "**", "severity": "warn", "reason": "the middle east buys at home"},
 ]
@@ -72,7 +74,7 @@ def query(sql: str | None = None):
 
 
 def checked_rules(spark: SparkSession) -> list[dict]:
-    return rules.parse_rules(RULES, spark)
+    return rules.parse_rules({"boundaries": RULES}, spark)
 
 
 def trade(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -144,8 +146,8 @@ _SUS = f"{TRADE}, {HITS}, every AS (SELECT source, target, type FROM tedges UNIO
 def _with_suspicious(spark, sf):
     nodes, edges = trade(spark, sf)
     hits = rules.violations(with_files(nodes, edges), checked_rules(spark))
-    sus = hits.select("source", "target", F.lit("violates_boundary").alias("relation"), F.lit("SUSPICIOUS").alias("type"), F.col("violation_score").alias("score"))
-    return nodes, edges.unionByName(sus)
+    sus = hits.select("source", "target", F.lit("violates_boundary").alias("relation"), F.lit("SUSPICIOUS").alias("type"), F.col("violation_score").alias("score"), F.col("reason").alias("rationale"))
+    return nodes, edges.unionByName(sus, allowMissingColumns=True)
 
 
 @query(f"WITH {_SUS} SELECT source, target, type FROM every e WHERE type = 'SUSPICIOUS' OR NOT EXISTS (SELECT 1 FROM every s WHERE s.type = 'SUSPICIOUS' AND least(s.source, s.target) = least(e.source, e.target) AND greatest(s.source, s.target) = greatest(e.source, e.target))")
@@ -195,7 +197,7 @@ def khop_neighborhood(spark, sf):
 
 
 @query(f"""WITH RECURSIVE {TREE}, {_HOP}, deg AS (SELECT a AS node, count(DISTINCT b) AS degree FROM step GROUP BY a),
-ranked AS (SELECT near.node, distance, degree, row_number() OVER w AS rank, sum(length('NODE '||id||' | '||label||' ['||source_file||']') + 1) OVER (w ROWS UNBOUNDED PRECEDING) AS spent FROM near JOIN rnodes ON node = id JOIN deg ON deg.node = near.node WINDOW w AS (ORDER BY distance, degree DESC, near.node))
+ranked AS (SELECT near.node, distance, degree, row_number() OVER w AS rank, sum(length('NODE '||id||' | '||label||' [file]') + 1) OVER (w ROWS UNBOUNDED PRECEDING) AS spent FROM near JOIN rnodes ON node = id JOIN deg ON deg.node = near.node WINDOW w AS (ORDER BY distance, degree DESC, near.node))
 SELECT node, CAST(distance AS BIGINT) AS distance, CAST(degree AS BIGINT) AS degree, CAST(rank AS BIGINT) AS rank, CAST(spent AS BIGINT) AS spent FROM ranked WHERE rank = 1 OR spent <= 400 * 4""")
 def khop_budgeted(spark, sf):
     nodes, edges = P.tree_nodes(spark, sf).withColumn("source_location", F.lit(None).cast("string")), P.tree_edges(spark, sf)
@@ -206,7 +208,7 @@ def khop_budgeted(spark, sf):
 # ---- rules -------------------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {TRADE}, {HITS} SELECT source, target, CAST(rule_pos AS BIGINT) AS rule_pos, CASE WHEN rule_pos = 0 THEN 'error' ELSE 'warn' END AS severity, CASE rule_pos WHEN 0 THEN 'ASIA/** must not depend on MIDDLE EAST/**' WHEN 1 THEN '** must not depend on AMERICA/**' ELSE 'the middle east buys at home' END AS reason FROM hits WHERE rule_pos IS NOT NULL")
+@query(f"WITH {TRADE}, {HITS} SELECT source, target, CAST(rule_pos AS BIGINT) AS rule_pos, CASE WHEN rule_pos = 0 THEN 'error' ELSE 'warn' END AS severity, CASE rule_pos WHEN 0 THEN 'Forbidden import: ASIA/** must not import MIDDLE EAST/**' WHEN 1 THEN 'Forbidden import: ** must not import AMERICA/**' ELSE 'the middle east buys at home' END AS reason FROM hits WHERE rule_pos IS NOT NULL")
 def boundary_violations(spark, sf):
     return rules.violations(with_files(*trade(spark, sf)), checked_rules(spark)).select("source", "target", big("rule_pos"), "severity", "reason")
 
@@ -222,13 +224,13 @@ def boundary_briefing(spark, sf):
 
 
 @query(f"""WITH RECURSIVE {TRADE}, {HITS}, {cyc('tedges')},
-sus AS (SELECT source, target, 'circular_dependency' AS relation, score FROM cyc UNION ALL SELECT source, target, 'violates_boundary', CASE WHEN rule_pos = 0 THEN CAST(0.9 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END FROM hits WHERE rule_pos IS NOT NULL)
-SELECT source, target, relation, round(score, 6) AS score, a.label AS from_label, a.source_file AS from_file, b.label AS to_label, b.source_file AS to_file, CASE WHEN score >= CAST(0.8 AS DOUBLE) THEN 'error' ELSE 'warn' END AS severity FROM sus LEFT JOIN tnodes a ON source = a.id LEFT JOIN tnodes b ON target = b.id""")
+sus AS (SELECT source, target, 'circular_dependency' AS relation, score, '' AS reason FROM cyc UNION ALL SELECT source, target, 'violates_boundary', CASE WHEN rule_pos = 0 THEN CAST(0.9 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END, CASE rule_pos WHEN 0 THEN 'Forbidden import: ASIA/** must not import MIDDLE EAST/**' WHEN 1 THEN 'Forbidden import: ** must not import AMERICA/**' ELSE 'the middle east buys at home' END FROM hits WHERE rule_pos IS NOT NULL)
+SELECT source, target, relation, reason, round(score, 6) AS score, a.label AS from_label, a.source_file AS from_file, b.label AS to_label, b.source_file AS to_file, CASE WHEN score >= CAST(0.8 AS DOUBLE) THEN 'error' ELSE 'warn' END AS severity FROM sus LEFT JOIN tnodes a ON source = a.id LEFT JOIN tnodes b ON target = b.id""")
 def violations(spark, sf):
     nodes, edges = _with_suspicious(spark, sf)
     cycles = graph.cycle_edges(edges).select("source", "target", F.lit("circular_dependency").alias("relation"), F.lit("SUSPICIOUS").alias("type"), "score")
-    out = Graph(nodes, edges.unionByName(cycles), hubs=nodes.limit(0).select(F.col("id").alias("node"))).violations()
-    return out.select("source", "target", "relation", F.round("score", 6).alias("score"), "from_label", "from_file", "to_label", "to_file", "severity")
+    out = Graph(nodes, edges.unionByName(cycles, allowMissingColumns=True), hubs=nodes.limit(0).select(F.col("id").alias("node"))).violations()
+    return out.select("source", "target", "relation", "reason", F.round("score", 6).alias("score"), "from_label", "from_file", "to_label", "to_file", "severity")
 
 
 # ---- communities -------------------------------------------------------------------------------------------------
@@ -248,18 +250,18 @@ def community_overview(spark, sf):
     return out.select(big("community"), "size", "hub", F.array_join("labels", ",").alias("labels"))
 
 
-_SUMMARY = f"""{TREE}, {_DEG}, rows_ AS (SELECT coalesce(community, 0) AS community, id, split_part(source_file, '/', 1) AS folder, source_file, coalesce(degree, 0) AS degree FROM rnodes LEFT JOIN deg ON id = node),
+_SUMMARY = f"""{TREE}, {_DEG.replace('count(DISTINCT other)', 'count(*)')}, rows_ AS (SELECT coalesce(community, 0) AS community, id, CASE WHEN contains(source_file, '/') THEN regexp_replace(source_file, '/[^/]*$', '') ELSE '(root)' END AS folder, source_file, coalesce(degree, 0) AS degree FROM rnodes LEFT JOIN deg ON id = node),
 summary AS (SELECT community, count(*) AS size, CAST(floor(100.0 * count(*) / (SELECT count(*) FROM rows_) + 0.5) AS BIGINT) AS percent, (SELECT folder FROM rows_ f WHERE f.community = rows_.community GROUP BY folder ORDER BY count(*) DESC, folder LIMIT 1) AS folder, list_last(string_split((SELECT source_file FROM rows_ f WHERE f.community = rows_.community ORDER BY degree DESC, id LIMIT 1), '/')) AS hub_file FROM rows_ GROUP BY community)"""
 
 
 @query(f"WITH {_SUMMARY} SELECT community, size, percent, folder, hub_file FROM summary".replace("list_last(string_split(", "list_extract(string_split(").replace("LIMIT 1), '/'))", "LIMIT 1), '/'), -1)"))
 def community_summary(spark, sf):
-    return community.summaries(P.tree_nodes(spark, sf), graph.degree_distinct(P.tree_edges(spark, sf))).select(big("community"), "size", big("percent"), "folder", "hub_file")
+    return community.summaries(P.tree_nodes(spark, sf), graph.degree_multi(P.tree_edges(spark, sf))).select(big("community"), "size", big("percent"), "folder", "hub_file")
 
 
 @query(f"WITH {_SUMMARY} SELECT folder, CAST(sum(size) AS BIGINT) AS size, string_agg(CAST(community AS VARCHAR), ',' ORDER BY community) AS communities FROM summary GROUP BY folder".replace("list_last(string_split(", "list_extract(string_split(").replace("LIMIT 1), '/'))", "LIMIT 1), '/'), -1)"))
 def folder_rollup(spark, sf):
-    made = community.summaries(P.tree_nodes(spark, sf), graph.degree_distinct(P.tree_edges(spark, sf)))
+    made = community.summaries(P.tree_nodes(spark, sf), graph.degree_multi(P.tree_edges(spark, sf)))
     return community.folder_rollup(made).select("folder", "size", F.array_join(F.transform("communities", lambda c: c.cast("string")), ",").alias("communities"))
 
 
@@ -287,14 +289,16 @@ def stabilize(spark, sf):
     return community.stabilize(*_clusterings(spark, sf))
 
 
-_MIXED = "mixed AS (SELECT source, target, relation, type, score FROM tedges UNION ALL SELECT source, target, 'implements', 'COGNITIVE', CAST(0.9 AS DOUBLE) FROM tedges UNION ALL SELECT source, target, 'mentions', 'COGNITIVE', CAST(0.9 AS DOUBLE) FROM tedges UNION ALL SELECT source, target, 'contains', 'COGNITIVE', CAST(0 AS DOUBLE) FROM tedges)"
+# Cognitive relations with scores: those that bind, some that don't, and one whose score counts whole.
+_RELATIONS = {"rationale_for": 0.9, "implements": 0.8, "constrains": 0.7, "motivates": 0.6, "contradicts": 0.5, "references": 0.4, "mentions": 0.9, "relates_to": 0.9, "depends_on": 0.9, "explains": 0.9, "contains": 0.0}
+_MIXED = "mixed AS (SELECT source, target, relation, type, score FROM tedges" + "".join(f" UNION ALL SELECT source, target, '{r}', 'COGNITIVE', CAST({s} AS DOUBLE) FROM tedges" for r, s in _RELATIONS.items()) + ")"
 
 
-@query(f"WITH {TRADE}, {_MIXED}, scored AS (SELECT source, target, CASE WHEN type = 'PHYSICAL' OR relation = 'contains' THEN score WHEN relation = 'implements' THEN score * CAST(0.3 AS DOUBLE) END AS score FROM mixed) SELECT least(source, target) AS a, greatest(source, target) AS b, round(sum(CASE WHEN score = 0 THEN 1 ELSE score END), 6) AS weight FROM scored WHERE score IS NOT NULL GROUP BY ALL")
+@query(f"WITH {TRADE}, {_MIXED}, scored AS (SELECT source, target, CASE WHEN type = 'PHYSICAL' OR relation = 'contains' THEN score WHEN relation IN ('rationale_for', 'implements', 'constrains', 'motivates', 'contradicts', 'references') THEN score * CAST(0.3 AS DOUBLE) END AS score FROM mixed) SELECT least(source, target) AS a, greatest(source, target) AS b, round(sum(CASE WHEN score = 0 THEN 1 ELSE score END), 6) AS weight FROM scored WHERE score IS NOT NULL GROUP BY ALL")
 def cluster_weights(spark, sf):
     e = P.trade_edges(spark, sf)
     kind = lambda r, s: e.select("source", "target", F.lit(r).alias("relation"), F.lit("COGNITIVE").alias("type"), F.lit(s).alias("score"))
-    every = e.unionByName(kind("implements", 0.9)).unionByName(kind("mentions", 0.9)).unionByName(kind("contains", 0.0))
+    every = functools.reduce(DataFrame.unionByName, [kind(r, s) for r, s in _RELATIONS.items()], e)
     return community.pair_weights(community.clustering_edges(every)).select("a", "b", F.round("weight", 6).alias("weight"))
 
 
@@ -338,7 +342,7 @@ def _concepts(spark, sf):
     return d.select(F.concat(F.lit("concept_"), F.col("doc_id").cast("string")).alias("id"), F.col("lang").alias("label"), F.lit("concept").alias("file_type"), F.concat(F.lit("docs/"), F.col("source"), F.lit(".md")).alias("source_file"))
 
 
-_DOCS = "docs AS (SELECT DISTINCT 'docs/'||source||'.md' AS source_file, 'doc_'||regexp_replace(regexp_replace(lower(source), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')||'_'||substr(sha256('docs/'||source||'.md'), 1, 8) AS id FROM documents)"
+_DOCS = "docs AS (SELECT DISTINCT 'docs/'||source||'.md' AS source_file, 'doc_'||regexp_replace(regexp_replace(lower('docs/'||source||'.md'), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')||'_'||substr(sha256('docs/'||source||'.md'), 1, 8) AS id FROM documents)"
 
 
 @query(f"WITH {_DOCS} SELECT id, list_extract(string_split(source_file, '/'), -1) AS label, source_file FROM docs")
@@ -363,13 +367,13 @@ def validate_chunk(spark, sf):
     return d.select("doc_id", change.valid_chunk(F.array(node), F.array(edge)).alias("valid"))
 
 
-@query("""WITH v AS (SELECT *, event_id AS arrival, epoch_us(ts) // 1000 AS at_ms FROM events), last AS (SELECT 'user_'||user_id AS file, arg_max(event_type, arrival) AS activity, arg_max(at_ms, arrival) AS timestamp, greatest(1000, least(3600000, CAST(arg_max(floor(value * 40000), arrival) AS BIGINT))) AS ttl FROM v GROUP BY user_id)
+@query("""WITH v AS (SELECT *, event_id AS arrival, epoch_us(ts) // 1000 AS at_ms FROM events), last AS (SELECT 'user_'||user_id AS file, arg_max(event_type, arrival) AS activity, arg_max(at_ms, arrival) AS timestamp, greatest(1000, least(3600000, coalesce(nullif(CAST(arg_max(CASE WHEN event_id % 7 = 0 THEN 0 ELSE floor(value * 40000) END, arrival) AS BIGINT), 0), 60000))) AS ttl FROM v GROUP BY user_id)
 SELECT file, activity, timestamp, CAST(ttl AS BIGINT) AS ttl FROM last WHERE (SELECT max(at_ms) FROM v) - timestamp <= ttl""")
 def focus_active(spark, sf):
     e = P.read(spark, sf, "events")
     at = F.unix_millis(F.col("ts").cast("timestamp"))
     now = e.agg(F.max(at)).first()[0] or 0
-    rows = e.select(F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("file"), F.col("event_type").alias("activity"), at.alias("timestamp"), F.floor(F.col("value") * 40000).cast("long").alias("ttl"), F.col("event_id").alias("arrival"))
+    rows = e.select(F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("file"), F.col("event_type").alias("activity"), at.alias("timestamp"), F.when(F.col("event_id") % 7 == 0, 0).otherwise(F.floor(F.col("value") * 40000)).cast("long").alias("ttl"), F.col("event_id").alias("arrival"))
     return change.active_focus(rows, now)
 
 
@@ -386,11 +390,11 @@ def tour_retention(spark, sf):
     return change.newest(tours, "ts", "conv_id")
 
 
-@query("""WITH b AS (SELECT conv_id, turn, any_value(text) AS text FROM conversations GROUP BY conv_id, turn HAVING count(*) = 1), d AS (SELECT conv_id, turn, greatest(2500, length(coalesce(text, '')) * 90) AS ms FROM b)
-SELECT conv_id, turn, CAST(ms AS BIGINT) AS duration_ms, CAST(coalesce(sum(ms) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_ms FROM d""")
+@query("""WITH d AS (SELECT conv_id, turn, role, coalesce(text, '') AS say, greatest(2500, length(coalesce(text, '')) * 90) AS ms FROM conversations)
+SELECT conv_id, turn, CAST(ms AS BIGINT) AS duration_ms, CAST(coalesce(sum(ms) OVER (PARTITION BY conv_id ORDER BY turn, role, say ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_ms FROM d""")
 def beat_offsets(spark, sf):
-    b = P.read(spark, sf, "conversations").groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("k"), F.first("text").alias("say")).where("k = 1")
-    return change.beat_offsets(b.withColumn("say", F.coalesce("say", F.lit(""))), "conv_id", "turn", "say").select("conv_id", "turn", "duration_ms", "start_ms")
+    b = P.read(spark, sf, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("say"), F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("text")).alias("place"))
+    return change.beat_offsets(b, "conv_id", "place", "say").select("conv_id", "turn", "duration_ms", "start_ms")
 
 
 # ---- names and resolution ----------------------------------------------------------------------------------------
@@ -412,7 +416,8 @@ def duplicate_ordinals(spark, sf):
     return ids.with_ordinals(P.read(spark, sf, "part"), "p_name", ["p_partkey"], "id").select("p_partkey", "id")
 
 
-@query()
+@query("""WITH h AS (SELECT p_partkey, list_reduce(list_prepend(CAST(5381 AS BIGINT), list_transform(string_split(p_name, ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda h, u: (h * 33 + u) % 4294967296) AS h FROM part)
+SELECT p_partkey, lower(to_base(h, 36)) AS content_hash FROM h""")
 def content_hashes(spark, sf):
     return P.read(spark, sf, "part").select("p_partkey", ids.content_hash(F.col("p_name")).alias("content_hash"))
 
@@ -432,7 +437,7 @@ def resolve_first_candidate(spark, sf):
     return resolve.resolve_modules(specs, files)
 
 
-@query(f"""WITH RECURSIVE {NEXT}, hop AS (SELECT source AS req, source AS file, [source] AS seen FROM nedges UNION ALL SELECT req, target, list_append(seen, target) FROM hop JOIN nedges ON file = source WHERE NOT list_contains(seen, target))
+@query(f"""WITH RECURSIVE {NEXT}, hop AS (SELECT source AS req, source AS file, [source] AS seen, FALSE AS again FROM nedges UNION ALL SELECT req, target, list_append(seen, target), list_contains(seen, target) FROM hop JOIN nedges ON file = source WHERE NOT again)
 SELECT req AS req_id, arg_max(file, len(seen)) AS file, 'f' AS symbol FROM hop GROUP BY req""")
 def reexport_unwrap(spark, sf):
     e = P.next_edges(spark, sf)
@@ -441,38 +446,95 @@ def reexport_unwrap(spark, sf):
     return resolve.unwrap_reexports(requests, exports)
 
 
-@query("""WITH sym AS (SELECT 's'||p_partkey AS id, 'fn'||(p_partkey % 97) AS label, 'f'||(p_partkey % 31) AS file, p_partkey AS pos FROM part),
-calls AS (SELECT DISTINCT 'f'||(l_orderkey % 31) AS caller, 'fn'||(l_partkey % 120) AS callee FROM lineitem),
-local AS (SELECT file, label, arg_max(id, pos) AS id FROM sym GROUP BY 1, 2), binds AS (SELECT 'f'||(n_nationkey % 31) AS caller, 'fn'||(n_nationkey * 4) AS name, 'f'||((n_nationkey + 1) % 31) AS tf FROM nation), only_ AS (SELECT label, min(id) AS id FROM sym GROUP BY 1 HAVING count(*) = 1)
-SELECT caller AS source_file, coalesce(l.id, CASE WHEN b.tf IS NULL THEN o.id ELSE t.id END) AS target, CASE WHEN l.id IS NULL AND b.tf IS NULL THEN CAST(0.8 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS score FROM calls c LEFT JOIN local l ON l.file = caller AND l.label = callee LEFT JOIN binds b USING (caller) LEFT JOIN local t ON t.file = b.tf AND t.label = callee AND b.name = callee LEFT JOIN only_ o ON o.label = callee
-WHERE b.name IS NULL OR TRUE""".replace("LEFT JOIN binds b USING (caller)", "LEFT JOIN binds b ON b.caller = c.caller AND b.name = callee").replace("SELECT caller AS", "SELECT DISTINCT c.caller AS").replace("l.file = caller", "l.file = c.caller").replace("WHERE b.name IS NULL OR TRUE", "WHERE coalesce(l.id, CASE WHEN b.tf IS NULL THEN o.id ELSE t.id END) IS NOT NULL"))
+_STARS = f"""{TREE}, up AS (SELECT target AS file, source AS target_file FROM redges),
+leaves AS (SELECT file FROM up WHERE file NOT LIKE 'nation%'),
+near AS (SELECT l.file AS req, l.file, 0 AS d FROM leaves l UNION ALL SELECT req, up.target_file, d + 1 FROM near JOIN up USING (file))"""
+
+
+@query(f"WITH RECURSIVE {_STARS} SELECT req AS req_id, 'core' AS file, CASE WHEN arg_max(file, d) IN ('region_1', 'region_3') THEN 'h' ELSE 'g' END AS symbol FROM near GROUP BY req")
+def reexport_stars(spark, sf):
+    """Each customer's and supplier's file stars its nation's, that its region's, which exports f under other names, the last one counting."""
+    up = P.tree_edges(spark, sf).select(F.col("target").alias("file"), F.col("source").alias("target_file"))
+    none = F.lit(None).cast("string")
+    stars = up.select("file", none.alias("symbol"), "target_file", none.alias("target_symbol"), F.lit(0).alias("star_pos"), F.lit(0).alias("pos"))
+    regions = P.read(spark, sf, "region").select(F.concat(F.lit("region_"), F.col("r_regionkey").cast("string")).alias("file"), "r_regionkey")
+    named = lambda rows, to, pos: rows.select("file", F.lit("f").alias("symbol"), F.lit("core").alias("target_file"), F.lit(to).alias("target_symbol"), F.lit(None).cast("int").alias("star_pos"), F.lit(pos).alias("pos"))
+    exports = stars.unionByName(named(regions, "g", 1)).unionByName(named(regions.where("r_regionkey IN (1, 3)"), "h", 2)).unionByName(named(regions, "z", 0))
+    requests = up.where(~F.col("file").startswith("nation")).select(F.col("file").alias("req_id"), "file", F.lit("f").alias("symbol"))
+    return resolve.unwrap_reexports(requests, exports)
+
+
+_CALLS = """sym AS (SELECT 's'||p_partkey AS id, CASE WHEN p_partkey % 97 < 44 THEN list_extract(generic, 1 + p_partkey % 97) ELSE 'fn'||(p_partkey % 97) END AS label, 'f'||(p_partkey % 31) AS file, p_partkey AS pos FROM part, stop),
+binds AS (SELECT 'f'||(n_nationkey % 31) AS caller, CASE WHEN n_nationkey % 3 = 0 THEN 'ns'||n_nationkey ELSE 'fn'||(n_nationkey * 4) END AS name, 'f'||((n_nationkey + 1) % 31) AS tf, n_nationkey % 3 = 0 AS ns FROM nation),
+led AS (SELECT 'f'||((n_nationkey + 1) % 31) AS file, 'lent' AS symbol, 'f'||((n_nationkey + 2) % 31) AS to_file, 'fn'||(44 + n_nationkey % 53) AS to_symbol FROM nation WHERE n_nationkey % 3 = 0),
+calls AS (SELECT DISTINCT 'f'||(l_orderkey % 31) AS caller, CASE l_suppkey % 6 WHEN 0 THEN 'ns'||(l_orderkey % 31)||'.'||CASE WHEN l_partkey % 2 = 0 THEN 'lent' ELSE 'FN'||(l_partkey % 120) END WHEN 1 THEN 'odd.fn'||(l_partkey % 120) WHEN 2 THEN 'a.b.fn'||(l_partkey % 120) WHEN 3 THEN list_extract(generic, 1 + CAST(l_partkey % 44 AS INT)) ELSE 'fn'||(l_partkey % 120) END AS callee FROM lineitem, stop),
+parts AS (SELECT caller, callee, lower(list_extract(string_split(callee, '.'), -1)) AS name, list_extract(string_split(callee, '.'), 1) AS head, len(string_split(callee, '.')) AS n FROM calls),
+local AS (SELECT file, lower(label) AS label, arg_max(id, pos) AS id FROM sym GROUP BY 1, 2), only_ AS (SELECT lower(label) AS label, min(id) AS id FROM sym GROUP BY 1 HAVING count(*) = 1),
+tiers AS (SELECT p.caller, CASE WHEN n = 2 AND s.tf IS NULL THEN NULL WHEN n = 2 THEN m.id WHEN list_contains(generic, p.name) THEN NULL WHEN l.id IS NOT NULL THEN l.id WHEN b.tf IS NOT NULL THEN t.id WHEN n = 1 THEN o.id END AS target, n = 1 AND NOT list_contains(generic, p.name) AND l.id IS NULL AND b.tf IS NULL AS wide
+ FROM parts p CROSS JOIN stop LEFT JOIN binds s ON s.ns AND s.caller = p.caller AND s.name = p.head AND n = 2 LEFT JOIN led r ON r.file = s.tf AND r.symbol = p.name LEFT JOIN local m ON m.file = coalesce(r.to_file, s.tf) AND m.label = coalesce(r.to_symbol, p.name)
+ LEFT JOIN local l ON l.file = p.caller AND l.label = p.name LEFT JOIN binds b ON b.caller = p.caller AND b.name = p.name LEFT JOIN local t ON t.file = b.tf AND t.label = p.name LEFT JOIN only_ o ON o.label = p.name)"""
+
+
+def _stop() -> str:
+    return "stop AS (SELECT [" + ", ".join(f"'{x}'" for x in GENERIC) + "] AS generic)"
+
+
+# The stop-list again, as the SQL has to say it by itself.
+GENERIC = (
+    "map get set init push pop foreach filter reduce find some every includes slice splice concat join sort reverse flat flatmap keys values entries length "
+    "tostring valueof constructor prototype apply call bind then catch finally resolve reject all race assign freeze isarray parse stringify"
+).split()
+
+
+@query(f"WITH {_stop()}, {_CALLS} SELECT caller AS source_file, target, CASE WHEN bool_and(wide) THEN CAST(0.8 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS score FROM tiers WHERE target IS NOT NULL GROUP BY ALL")
 def call_cascade(spark, sf):
-    k, n = F.col("p_partkey"), F.col("n_nationkey")
+    """Plain, member and namespace calls, callees of the stop-list, bindings, and a member that a namespace's file lends from another."""
+    k, n, order = F.col("p_partkey"), F.col("n_nationkey"), F.col("l_orderkey") % 31
     text = lambda p, c: F.concat(F.lit(p), c.cast("string"))
-    symbols = P.read(spark, sf, "part").select(text("s", k).alias("id"), text("fn", k % 97).alias("label"), text("f", k % 31).alias("source_file"), k.alias("pos"))
-    calls = P.read(spark, sf, "lineitem").select(text("f", F.col("l_orderkey") % 31).alias("caller_file"), text("fn", F.col("l_partkey") % 120).alias("callee"), F.lit(False).alias("is_member"), F.lit(0).alias("pos")).distinct()
-    binds = P.read(spark, sf, "nation").select(text("f", n % 31).alias("caller"), text("fn", n * 4).alias("local_key"), text("f", (n + 1) % 31).alias("target_file"), F.lit(None).cast("string").alias("target_symbol"), F.lit("named").alias("kind"))
-    return resolve.call_edges(calls, symbols, binds)
+    generic = lambda c: F.element_at(F.array(*map(F.lit, GENERIC)), (c + 1).cast("int"))
+    label = F.when(k % 97 < 44, generic(F.least(k % 97, F.lit(43)))).otherwise(text("fn", k % 97))
+    symbols = P.read(spark, sf, "part").select(text("s", k).alias("id"), label.alias("label"), text("f", k % 31).alias("source_file"), k.alias("pos"))
+    part = F.col("l_partkey") % 120
+    kinds = {0: F.concat(text("ns", order), F.when(F.col("l_partkey") % 2 == 0, F.lit(".lent")).otherwise(text(".FN", part))), 1: text("odd.fn", part), 2: text("a.b.fn", part), 3: generic(F.col("l_partkey") % 44)}
+    callee = functools.reduce(lambda c, x: c.when(F.col("l_suppkey") % 6 == x[0], x[1]), list(kinds.items())[1:], F.when(F.col("l_suppkey") % 6 == 0, kinds[0])).otherwise(text("fn", part))
+    calls = P.read(spark, sf, "lineitem").select(text("f", order).alias("caller_file"), callee.alias("callee"), F.lit(0).alias("pos")).distinct().withColumn("is_member", F.col("callee").contains("."))
+    space = n % 3 == 0
+    nation = P.read(spark, sf, "nation")
+    binds = nation.select(text("f", n % 31).alias("caller"), F.when(space, text("ns", n)).otherwise(text("fn", n * 4)).alias("local_key"), text("f", (n + 1) % 31).alias("target_file"), F.lit(None).cast("string").alias("target_symbol"), F.when(space, "namespace").otherwise("named").alias("kind"))
+    exports = nation.where(space).select(text("f", (n + 1) % 31).alias("file"), F.lit("lent").alias("symbol"), text("f", (n + 2) % 31).alias("target_file"), text("fn", 44 + n % 53).alias("target_symbol"), F.lit(None).cast("int").alias("star_pos"))
+    return resolve.call_edges(calls, symbols, binds, exports)
+
+
+@query("""WITH want AS (SELECT DISTINCT l_suppkey AS a, l_partkey AS b FROM lineitem WHERE l_partkey % 11 <> 0), made AS (SELECT DISTINCT l_suppkey AS a, l_partkey AS b FROM lineitem WHERE l_linenumber > 1)
+SELECT count(made.a) AS found, count(*) AS expected, round(count(made.a) / count(*), 9) AS ratio FROM want LEFT JOIN made USING (a, b)""")
+def import_coverage(spark, sf):
+    """Of the pairs of files that imports resolve to, the share that the graph has an edge for."""
+    line = P.read(spark, sf, "lineitem").select(F.concat(F.lit("src/s"), F.col("l_suppkey").cast("string")).alias("caller"), F.concat(F.lit("lib/p"), F.col("l_partkey").cast("string")).alias("to"), "l_linenumber", "l_partkey")
+    pairs = line.select("caller", F.when(F.col("l_partkey") % 11 != 0, F.col("to")).alias("target_file"))
+    files = line.select(F.explode(F.array("caller", "to")).alias("source_file")).distinct()
+    nodes = files.select(ids.file_id(F.col("source_file")).alias("id"), "source_file")
+    edges = line.where("l_linenumber > 1").select(ids.file_id(F.col("caller")).alias("source"), ids.file_id(F.col("to")).alias("target"), F.lit("imports").alias("relation"), F.lit("PHYSICAL").alias("type"))
+    return resolve.coverage(pairs, nodes, edges).select("found", "expected", F.round("ratio", 9).alias("ratio"))
 
 
 # ---- sizes, layout, extraction -----------------------------------------------------------------------------------
 
 
 @query("""WITH f AS (SELECT text, row_number() OVER (ORDER BY lpad(CAST(doc_id AS VARCHAR), 9, '0')) - 1 AS nth, count(*) OVER () AS n FROM documents)
-SELECT any_value(n) AS files, CAST(round(avg(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''))) * any_value(n)) AS BIGINT) AS words FROM f WHERE nth % greatest(1, n // least(100, n)) = 0""")
+SELECT any_value(n) AS files, CAST(round(avg(len(regexp_split_to_array(coalesce(text, ''), '[\\t\\n\\x0B\\f\\r \\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]+'))) * any_value(n)) AS BIGINT) AS words FROM f WHERE nth % greatest(1, n // least(100, n)) = 0""")
 def size_estimate(spark, sf):
     d = P.read(spark, sf, "documents").select(F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("source_file"), "text")
     return sources.size_estimate(d)
 
 
-@query(f"WITH {TREE} SELECT split_part(source_file, '/', 1) AS folder, count(*) AS n FROM rnodes WHERE contains(source_file, '/') GROUP BY 1 ORDER BY n DESC, folder LIMIT 5")
+@query(f"WITH {TREE} SELECT split_part(source_file, '/', 1) AS folder, count(*) AS n FROM rnodes GROUP BY 1 ORDER BY n DESC, folder LIMIT 5")
 def top_dirs(spark, sf):
     return sources.top_folders(P.tree_nodes(spark, sf))
 
 
 @query(f"""WITH {_HUBS}, nodes AS (SELECT DISTINCT node AS id FROM both_) SELECT id, round(least(CAST(22 AS DOUBLE), greatest(CASE WHEN id IN (SELECT node FROM hubs) THEN CAST(13 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END, CAST(4 AS DOUBLE) + CAST(1.8 AS DOUBLE) * sqrt(degree))), 6) AS size FROM nodes JOIN deg ON id = node""")
 def node_size(spark, sf):
-    edges = P.market_edges(spark, sf)
+    edges = settle(P.market_edges(spark, sf))
     nodes = graph.both_ways(edges).select(F.col("node").alias("id")).distinct()
     return graph.node_sizes(nodes, edges, graph.hubs(edges)).select("id", F.round("size", 6).alias("size"))
 
@@ -502,7 +564,7 @@ def bounding_box(spark, sf):
 
 @query(f"WITH {_HUBS} SELECT source, target FROM medges WHERE source NOT IN (SELECT node FROM hubs) AND target NOT IN (SELECT node FROM hubs)")
 def layout_edges(spark, sf):
-    edges = P.market_edges(spark, sf)
+    edges = settle(P.market_edges(spark, sf))
     nodes = graph.both_ways(edges).select(F.col("node").alias("id")).distinct()
     return graph.layout_edges(nodes, edges, graph.hubs(edges)).select("source", "target")
 
@@ -528,3 +590,166 @@ def extract_script(spark, sf):
     text = F.concat(F.lit("import { h } from './p"), F.col("p_size").cast("string"), F.lit("'\nexport function f"), k, F.lit("(x) { return h(x) }\n"))
     out = extract(P.read(spark, sf, "part").select(F.concat(F.lit("m"), k, F.lit(".ts")).alias("source_file"), text.alias("text")))
     return out.select("source_file", F.col("symbols")[0]["name"].alias("name"), F.col("imports")[0]["specifier"].alias("specifier"))
+
+
+# ---- layers, focus, tours, warnings ------------------------------------------------------------------------------
+
+
+@query(f"WITH {_SUS} SELECT source, target, type FROM every WHERE type <> 'PHYSICAL'")
+def edge_layers(spark, sf):
+    return graph.layers(_with_suspicious(spark, sf)[1], physical=False).select("source", "target", "type")
+
+
+@query(f"WITH RECURSIVE {TRADE}, {HITS}, {cyc('tedges')}, sus AS (SELECT source, target, 'circular_dependency' AS relation, score FROM cyc UNION ALL SELECT source, target, 'violates_boundary', CASE WHEN rule_pos = 0 THEN CAST(0.9 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END FROM hits WHERE rule_pos IS NOT NULL) SELECT source, target, relation, CAST(row_number() OVER (ORDER BY score DESC, relation, source, target) AS BIGINT) AS place FROM sus")
+def warnings_sorted(spark, sf):
+    ordered = graph.warnings_sorted(_all_suspicious(spark, sf)).select("source", "target", "relation", "score")
+    return with_rank(ordered, [F.desc("score"), F.col("relation"), F.col("source"), F.col("target")], "place").select("source", "target", "relation", (F.col("place") + 1).alias("place"))
+
+
+def _all_suspicious(spark, sf):
+    edges = _with_suspicious(spark, sf)[1]
+    cycles = graph.cycle_edges(edges).select("source", "target", F.lit("circular_dependency").alias("relation"), F.lit("SUSPICIOUS").alias("type"), "score")
+    return edges.unionByName(cycles, allowMissingColumns=True).where("type = 'SUSPICIOUS'")
+
+
+@query(f"""WITH RECURSIVE {TRADE}, {HITS}, {cyc('tedges')}
+SELECT 'boundary' AS type, 'sus_'||source||'->'||target||'_violates_boundary' AS key, '' AS nodes, CAST(1 AS BIGINT) AS n_edges, CASE WHEN rule_pos = 0 THEN CAST(0.9 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END AS score FROM hits WHERE rule_pos IS NOT NULL
+UNION ALL SELECT 'cycle', 'cycle_'||string_agg(DISTINCT source, '_' ORDER BY source), string_agg(DISTINCT source, ',' ORDER BY source), count(*), round(max(score), 6) FROM cyc GROUP BY component
+UNION ALL SELECT 'other', 'sus_'||source||'->'||target||'_looks_odd', '', CAST(1 AS BIGINT), CAST(0.3 AS DOUBLE) FROM tedges
+UNION ALL SELECT 'cycle', 'cycle_region_'||r_regionkey, 'region_'||r_regionkey, CAST(1 AS BIGINT), CAST(0.2 AS DOUBLE) FROM region""")
+def warning_kinds(spark, sf):
+    odd = P.trade_edges(spark, sf).select("source", "target", F.lit("looks_odd").alias("relation"), F.lit(0.3).alias("score"))
+    region = F.concat(F.lit("region_"), F.col("r_regionkey").cast("string"))
+    loops = P.read(spark, sf, "region").select(region.alias("source"), region.alias("target"), F.lit("circular_dependency").alias("relation"), F.lit(0.2).alias("score"))
+    every = _all_suspicious(spark, sf).select("source", "target", "relation", "score").unionByName(odd).unionByName(loops)
+    return graph.all_warning_groups(every).select("type", "key", F.array_join("nodes", ",").alias("nodes"), "n_edges", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {TREE} SELECT community, id, row_number() OVER (PARTITION BY community ORDER BY id) - 1 AS place FROM (SELECT id, coalesce(CASE WHEN community = 4 THEN NULL ELSE community END, 0) AS community FROM rnodes WHERE source_file NOT LIKE 'EUROPE/%')")
+def community_members(spark, sf):
+    """Members over the facets' base; who has no community is in the first."""
+    nodes = P.tree_nodes(spark, sf).where(~F.col("source_file").startswith("EUROPE/")).withColumn("community", F.when(F.col("community") != 4, F.col("community")))
+    return community.members(nodes).select(big("community"), "id", "place")
+
+
+@query(f"WITH {TREE}, f AS (SELECT r_name||'/'||n_name AS file, n_name||' read' AS activity FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 3 = 0) SELECT id, activity FROM rnodes JOIN f ON source_file = file")
+def focus_nodes(spark, sf):
+    nodes = P.tree_nodes(spark, sf)
+    events = P.trade_nodes(spark, sf).where("CAST(substr(id, 8) AS INT) % 3 = 0").select(F.col("source_file").alias("file"), F.concat("label", F.lit(" read")).alias("activity"))
+    return change.focus_nodes(nodes, events)
+
+
+_BEATS = f"""{TREE}, beats AS (SELECT conv_id AS tour, turn AS pos, unnest(['nation_'||(conv_id % 40), 'region_'||(turn % 5), 'nation_'||(turn % 25), 'nation_'||(conv_id % 40)]) AS id FROM conversations),
+lit AS (SELECT DISTINCT tour, pos, id FROM beats WHERE id IN (SELECT id FROM rnodes))"""
+
+
+def _lit(spark, sf):
+    text = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    named = F.array(text("nation_", F.col("conv_id") % 40), text("region_", F.col("turn") % 5), text("nation_", F.col("turn") % 25), text("nation_", F.col("conv_id") % 40))
+    beats = P.read(spark, sf, "conversations").select(F.col("conv_id").alias("tour"), F.col("turn").alias("pos"), named.alias("nodes"))
+    return change.beat_nodes(beats, P.tree_nodes(spark, sf))
+
+
+@query(f"WITH {_BEATS} SELECT tour, pos, id FROM lit")
+def beat_nodes(spark, sf):
+    return _lit(spark, sf)
+
+
+@query(f"WITH {_BEATS} SELECT a.tour, a.pos, source, target FROM redges JOIN lit a ON a.id = source JOIN lit b ON b.id = target AND a.tour = b.tour AND a.pos = b.pos")
+def beat_edges(spark, sf):
+    return change.beat_edges(_lit(spark, sf), P.tree_edges(spark, sf)).select("tour", "pos", "source", "target")
+
+
+@query(f"WITH {TRADE}, core AS (SELECT id FROM tnodes WHERE community = 2) SELECT source, target, CAST((source IN (FROM core))::INT + (target IN (FROM core))::INT AS BIGINT) AS tier FROM tedges")
+def edge_tiers(spark, sf):
+    nodes, edges = trade(spark, sf)
+    return graph.edge_tiers(edges, nodes.where("community = 2")).select("source", "target", big("tier"))
+
+
+# ---- files and polls ---------------------------------------------------------------------------------------------
+
+
+@query("SELECT event_id AS file, CASE WHEN event_id % 9 = 0 THEN 1 ELSE 0 END AS size FROM events WHERE event_id % 4 <> 0 AND event_id % 9 <> 0")
+def write_settled(spark, sf):
+    """Files that two polls see alike: not those that grew, nor those that came between the polls."""
+    poll = lambda size: P.read(spark, sf, "events").select(F.col("event_id").alias("source_file"), size.cast("int").alias("size"), F.col("ts").alias("mtime"))
+    first, second = poll(F.lit(0)).where("source_file % 4 <> 0"), poll(F.when(F.col("event_id") % 9 == 0, 1).otherwise(0))
+    return change.settled(first, second).select(F.col("source_file").alias("file"), "size")
+
+
+@query("SELECT DISTINCT user_id AS file FROM events WHERE event_type <> (SELECT min(event_type) FROM events)")
+def immediate_focus(spark, sf):
+    e = P.read(spark, sf, "events")
+    gone = e.agg(F.min("event_type").alias("gone"))
+    return change.immediate_focus(e.crossJoin(F.broadcast(gone)).select(F.col("user_id").alias("file"), F.when(F.col("event_type") == F.col("gone"), "delete").otherwise("change").alias("op")))
+
+
+@query("SELECT source_file, op FROM (SELECT coalesce(a.event_id, b.event_id) AS source_file, CASE WHEN a.event_id IS NULL THEN 'added' WHEN b.event_id IS NULL THEN 'removed' WHEN b.event_id % 5 = 0 THEN 'updated' END AS op FROM (SELECT event_id FROM events WHERE event_id % 4 <> 0) a FULL JOIN (SELECT event_id FROM events WHERE event_id % 6 <> 0) b USING (event_id)) WHERE op IS NOT NULL")
+def stat_index(spark, sf):
+    """What a stat index written and read back tells of the files: come, gone, or of another size."""
+    e = P.read(spark, sf, "events").select(F.col("event_id").alias("source_file"), F.lit(1).alias("size"), F.col("ts").alias("mtime"))
+    folder = shared_folder(spark, "stat-index")
+    sources.write_generation(e.limit(0), folder)
+    sources.write_generation(e.where("source_file % 4 <> 0"), folder)
+    now = e.where("source_file % 6 <> 0").withColumn("size", F.when(F.col("source_file") % 5 == 0, 2).otherwise(1))
+    return change.snapshot_diff(sources.read_generation(spark, folder), now, "source_file")
+
+
+@query("""WITH f AS (SELECT user_id AS name, event_type AS folder, max(event_id) AS mtime FROM events GROUP BY ALL)
+SELECT name, arg_max(folder, mtime) AS folder, max(mtime) AS mtime FROM f GROUP BY name""")
+def newest_files(spark, sf):
+    files = P.read(spark, sf, "events").groupBy(F.col("user_id").alias("name"), F.col("event_type").alias("folder")).agg(F.max("event_id").alias("mtime"))
+    return sources.newest_files(files)
+
+
+@query("""SELECT * FROM (VALUES ('^src', '^lib', 'error', 'no way back', '^lib/ok'), ('(?:^a|^b)', '^c', 'warn', 'two', ''), ('^x', '^y', 'warn', 'Forbidden: ^x -> ^y', '^y/a,^y/b')) v("from", "to", severity, reason, excepted)""")
+def rules_import(spark, sf):
+    """A project's dependency rules, found by name, as rules; those that go from no path to a path, or refer back, are left out."""
+    import json
+    import tempfile
+
+    listed = [
+        {"name": "back", "severity": "error", "comment": "no way back", "from": {"path": "^src"}, "to": {"path": "^lib", "pathNot": "^lib/ok"}},
+        {"name": "two", "severity": "info", "from": {"path": ["^a", "^b"], "pathNot": "^z"}, "to": {"path": ["^c"]}},
+        {"from": {"path": "^x"}, "to": {"path": "^y", "pathNot": ["^y/a", "^y/b"]}},
+        {"name": "round", "from": {}, "to": {"circular": True}},
+        {"name": "ref", "from": {"path": "^(a)"}, "to": {"path": "$1"}},
+    ]
+    with tempfile.TemporaryDirectory() as root:  # a driver's project folder
+        with open(f"{root}/.dependency-cruiser.json", "w", encoding="utf-8") as f:
+            json.dump({"forbidden": listed}, f)
+        made = rules.parse_rules(rules.import_config(root)[0], spark)
+    return spark.createDataFrame([(r["from"], r["to"], r["severity"], r["reason"], ",".join(r["except"])) for r in made], "`from` string, `to` string, severity string, reason string, excepted string")
+
+
+# ---- extraction of varied sources --------------------------------------------------------------------------------
+
+_SOURCES = {
+    "a.ts": "import d, { n as m, type T } from './x'\nimport * as ns from './y'\nimport './z'\nimport type Q from './q'\nexport { a as b, type U } from './w'\nexport * from './v'\nexport * as all from './u'\nexport default d\n",
+    "b.ts": "export class K {\n  constructor() { super() }\n  run(x) { return this.go(x) }\n}\nexport const f = async (x) => g(x)\nconst plain = 1\nexport default function main() { f() }\n",
+    "c.js": "export default class { }\nfunction* gen() { ns.call(1) }\nvar h = function () { return a.b.c() }\n",
+    "d.py": "import os.path as p, sys\nfrom pkg.mod import one as uno, two\nfrom star import *\n@deco\nclass C(Base):\n    def m(self):\n        return self.m()\n",
+    "e.py": "def good():\n    return 1\n\ndef bad(:\n    pass\n\nclass Late:\n    pass\n",
+    "f.go": "func Run() {\n}\ntype Box struct {\n}\n",
+    "g.none": "function no() {}",
+}
+_FOUND = """
+a.ts import default d default ./x|a.ts import named m n ./x|a.ts import type-named T T ./x|a.ts import namespace ns * ./y|a.ts import side-effect - - ./z|a.ts import type-default Q default ./q
+a.ts export a b ./w clause|a.ts export * - ./v star|a.ts export all - ./u namespace|a.ts export d default - default|a.ts export default default ./x clause
+b.ts symbol K class 1|b.ts symbol K.run method 3|b.ts symbol f variable 5|b.ts symbol main function 7|b.ts export K - - declaration|b.ts export f - - declaration|b.ts export main default - default
+b.ts call this.go true 3|b.ts call g false 5|b.ts call f false 7
+c.js symbol default default 1|c.js symbol gen function 2|c.js symbol h variable 3|c.js export default default - default|c.js call ns.call true 2|c.js call a.b.c true 3
+d.py import namespace p * os.path|d.py import namespace sys * sys|d.py import named uno one pkg/mod|d.py import named two two pkg/mod|d.py import side-effect - - star
+d.py symbol C class 5|d.py symbol C.m function 6|d.py call self.m true 7
+e.py symbol good function 1|e.py symbol Late class 7
+f.go symbol Run function 1|f.go symbol Box class 3"""
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{x}')" for x in _FOUND.strip().replace("\n", "|").split("|")) + ") v(said)")
+def extract_forms(spark, sf):
+    """Import, export, declaration and call forms of several languages, and a text that doesn't parse, each row as a line."""
+    files = spark.createDataFrame(list(_SOURCES.items()), "source_file string, text string")
+    out = extract(files)
+    say = lambda kind, cols: F.transform(cols[0], lambda x: F.concat_ws(" ", "source_file", F.lit(kind), *[F.coalesce(x[c].cast("string"), F.lit("-")) for c in cols[1]]))
+    rows = F.concat(say("import", ("imports", ("kind", "local", "imported", "specifier"))), say("export", ("exports", ("symbol", "alias", "specifier", "kind"))), say("symbol", ("symbols", ("name", "kind", "line"))), say("call", ("calls", ("callee", "is_member", "line"))))
+    return out.select(F.explode(rows).alias("said"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import importlib.util
 import json
 import logging
 import os
@@ -13,8 +14,11 @@ from logging.handlers import RotatingFileHandler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import drop_folder, ranked, settle
 from .extract import supported
 
+# What parts words: all Unicode blanks and the byte order mark.
+BLANKS = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
 # Folders that are never read, and the size from which a project wants a scope.
 SKIPPED = ("node_modules", ".git", ".graphloom", "dist", "build", ".next")
 MOST_FILES, MOST_WORDS = 500, 2_000_000
@@ -33,26 +37,22 @@ def scan(spark: SparkSession, root: str, scope: str = "") -> DataFrame:
 
 
 def size_estimate(files: DataFrame, most: int = 100) -> DataFrame:
-    """(files, words): words of every k-th file by path, k so that about `most` are read, carried over to all."""
-    from pyspark.sql import Window
+    """(files, words): words of every k-th file by path, k so that `most` to twice as many are read, carried over to all.
 
-    n = files.count()
+    Words are what blanks part, so a blank in front or behind makes an empty one that counts, as an empty text does.
+    Only paths are ranked; texts are read of the chosen files.
+    """
+    paths, n = ranked(files.select("source_file"), [F.col("source_file")], "nth")
     step = max(1, n // max(1, min(most, n)))
-    nth = files.withColumn("nth", F.row_number().over(Window.orderBy("source_file")) - 1) if n <= 100_000 else _ranked(files)
-    sample = nth.where(F.col("nth") % step == 0)
-    words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != ""))
-    return sample.agg(F.lit(n).cast("long").alias("files"), F.round(F.avg(words) * n).cast("long").alias("words"))
-
-
-def _ranked(files: DataFrame) -> DataFrame:
-    from ..functions.lineage import with_rank
-
-    return with_rank(files.select("source_file", "text"), [F.col("source_file")], "nth")
+    chosen = paths.where(F.col("nth") % step == 0).select("source_file")  # below 2 * most rows
+    sample = files.join(F.broadcast(chosen), "source_file", "left_semi")
+    words = F.size(F.split(F.coalesce("text", F.lit("")), BLANKS))
+    return sample.agg(F.lit(n).cast("long").alias("files"), F.coalesce(F.round(F.avg(words) * n), F.lit(0)).cast("long").alias("words"))
 
 
 def top_folders(files: DataFrame, most: int = 5) -> DataFrame:
-    """(folder, n) of the first path segment, the largest first."""
-    parts = files.where(F.col("source_file").contains("/")).groupBy(F.split("source_file", "/")[0].alias("folder"))
+    """(folder, n) of the first path segment, a file's own name at the root, the largest first."""
+    parts = files.groupBy(F.split("source_file", "/")[0].alias("folder"))
     return parts.agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "folder").limit(most)
 
 
@@ -81,9 +81,14 @@ def find_aliases(root: str) -> list[tuple[str, list[str]]]:
 
 
 def canonical_config_hash(text: str, kind: str) -> str:
-    """SHA-256 of a JSON or JSONC text with sorted keys and no blanks; of any other text as it is."""
+    """SHA-256 of a JSON, JSONC or (where a YAML reader is installed) YAML text with sorted keys and no blanks; of any other text as it is."""
+    parsed = None
     if kind in (".json", ".jsonc"):
-        text = json.dumps(json.loads(strip_jsonc(text)), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+        parsed = json.loads(strip_jsonc(text))
+    elif kind in (".yaml", ".yml") and importlib.util.find_spec("yaml"):
+        parsed = importlib.import_module("yaml").safe_load(text)
+    if parsed is not None:
+        text = json.dumps(parsed, sort_keys=True, separators=(",", ":"), ensure_ascii=False, default=str)
     return hashlib.sha256(text.encode()).hexdigest()
 
 
@@ -93,9 +98,88 @@ def read_insights(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def write_insights(entries: DataFrame, folder: str) -> None:
-    """One Parquet part a document hash; writing a document again replaces its part only."""
-    rows = entries.withColumn("doc_hash", F.sha2(F.col("path").cast("binary"), 256))
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_hash").parquet(folder)
+    """Documents (path, text) by hash into at most 256 folders; only those that a written document falls into are replaced, its older text with them."""
+    spark = entries.sparkSession
+    rows = settle(entries.withColumn("bucket", F.substring(F.sha2(F.col("path").cast("binary"), 256), 1, 2)))
+    if exists(spark, folder):
+        old = spark.read.schema(rows.schema).parquet(folder)
+        touched = rows.select("bucket").distinct()
+        old = old.join(F.broadcast(touched), "bucket", "left_semi").join(rows.select("path"), "path", "left_anti")
+        rows = settle(rows.unionByName(old.select(*rows.columns)))
+    rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(folder)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, asked of the file system that Spark reads it with."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def write_generation(rows: DataFrame, folder: str) -> None:
+    """Writes rows as the next generation of a table and only then drops the older ones, so a failure leaves the last."""
+    spark, n = rows.sparkSession, generation(rows.sparkSession, folder)
+    rows.write.mode("overwrite").parquet(f"{folder}/gen={0 if n is None else n + 1}")
+    if n is not None:
+        drop_folder(spark, f"{folder}/gen={n}")
+
+
+def read_generation(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The newest whole generation of a table; none if there is none."""
+    n = generation(spark, folder)
+    return None if n is None else spark.read.parquet(f"{folder}/gen={n}")
+
+
+def generation(spark: SparkSession, folder: str) -> int | None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        return None
+    names = [s.getPath().getName() for s in fs.listStatus(where)]
+    whole = [int(x[4:]) for x in names if x.startswith("gen=") and exists(spark, f"{folder}/{x}/_SUCCESS")]
+    return max(whole, default=None)
+
+
+def clean_insights(spark: SparkSession, routed: DataFrame, quarantine: str) -> dict[str, int]:
+    """Acts on routed insight files (path, status) and counts the acts: corrupt files and those of missing sources go, invalid ones move to quarantine.
+
+    A file is one act on its file system; the driver takes the paths one after the other, never all at once.
+    """
+    done = {"removed": 0, "quarantined": 0}
+    path_of, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    for row in routed.where("status <> 'ok'").select("path", "status").toLocalIterator():
+        at = path_of(row.path)
+        fs = at.getFileSystem(conf)
+        if row.status == "invalid":
+            fs.mkdirs(path_of(quarantine))
+            fs.rename(at, path_of(f"{quarantine}/{at.getName()}"))
+            done["quarantined"] += 1
+        else:
+            fs.delete(at, False)
+            done["removed"] += 1
+    return done
+
+
+def newest_files(files: DataFrame, name: str = "name", folder: str = "folder", time: str = "mtime", home: str = "insights") -> DataFrame:
+    """(name, folder, time): of files of one name in several folders the one written last; where times are equal, that in the home folder."""
+    return files.groupBy(name).agg(F.max_by(F.struct(folder, time), F.struct(F.col(time), F.col(folder) == home, F.col(folder))).alias("x")).select(name, "x.*")
+
+
+def migrate_insights(legacy: str, target: str) -> int:
+    """Moves a project's JSON files from a legacy folder, where the target has none of that name or an older one; the others go. Files moved."""
+    moved = 0
+    os.makedirs(target, exist_ok=True)
+    for name in sorted(os.listdir(legacy)) if os.path.isdir(legacy) else []:
+        if not name.endswith(".json"):
+            continue
+        old, new = f"{legacy}/{name}", f"{target}/{name}"
+        if not os.path.exists(new) or os.path.getmtime(old) > os.path.getmtime(new):
+            os.replace(old, new)
+            moved += 1
+        else:
+            os.unlink(old)
+    if os.path.isdir(legacy) and not os.listdir(legacy):
+        os.rmdir(legacy)
+    return moved
 
 
 def write_atomic(path: str, content: str, stale_s: float = 10, tries: int = 30) -> None:
@@ -125,7 +209,9 @@ TOUR_ID = re.compile(r"[a-z0-9-]+")
 
 
 def save_tour(folder: str, tour: dict, keep: int = 50) -> str:
-    """Writes a tour and drops all but the newest `keep`. Its id, or one from the time."""
+    """Writes a tour and drops all but the newest `keep`. Its id, or one from the time. ValueError for a tour that is none."""
+    if not valid_tour(tour):
+        raise ValueError("a tour has beats with something to say and a list of node ids")
     os.makedirs(folder, exist_ok=True)
     name = tour.get("id") or f"tour-{int(time.time() * 1000):x}"
     if not TOUR_ID.fullmatch(name):
@@ -136,6 +222,14 @@ def save_tour(folder: str, tour: dict, keep: int = 50) -> str:
     return name
 
 
+def valid_tour(tour: object) -> bool:
+    """At least one beat; say, nodes, and title and lang where there are any, of the right types."""
+    text = lambda x, k: k not in x or isinstance(x[k], str)
+    beat = lambda b: isinstance(b, dict) and isinstance(b.get("say"), str) and b["say"].strip() and isinstance(b.get("nodes"), list) and all(isinstance(n, str) for n in b["nodes"]) and text(b, "lang")
+    beats = tour.get("beats") if isinstance(tour, dict) else None
+    return isinstance(beats, list) and bool(beats) and text(tour, "title") and all(beat(b) for b in beats)
+
+
 def list_tours(folder: str) -> list[dict]:
     """All readable tours, the newest first."""
     out = []

@@ -2,11 +2,13 @@
 
 import json
 import os
+import re
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom.operators import change, resolve, rules
 from graphloom.plans.compile import Config, compile_graph, diff_graphs
 from graphloom.sources import extract, files
 from graphloom.streaming import state
@@ -44,7 +46,7 @@ def tree(tmp_path):
 
 def test_compile(spark, tree):
     root = f"{tree}/repo"
-    cfg = Config(root, aliases=files.find_aliases(root), insights=f"{tree}/insights", cache=f"{tree}/cache", rules=[{"from": "src/barrel.ts", "to": "src/a.ts", "except": [], "pathKind": "glob", "severity": "error", "reason": None}])
+    cfg = Config(root, aliases=files.find_aliases(root), insights=f"{tree}/insights", cache=f"{tree}/cache", state=f"{tree}/state", rules=[{"from": "src/barrel.ts", "to": "src/a.ts", "except": [], "pathKind": "glob", "severity": "error", "reason": ""}])
     g = compile_graph(spark, cfg)
     nodes = {r.id: r for r in g.nodes.collect()}
     links = {(r.source, r.relation, r.target) for r in g.edges.collect()}
@@ -55,17 +57,26 @@ def test_compile(spark, tree):
     assert {("src_caller.ts", "calls", "src_a.ts:foo"), ("src_caller.ts", "calls", "src_a.ts:bar"), ("src_caller.ts", "calls", "src_a.ts:main")} <= links
     assert {("src_barrel.ts", "imports", "src_a.ts"), ("src_barrel.ts", "calls", "src_a.ts:foo"), ("src_barrel.ts", "imports", "src_deeper.ts"), ("src_barrel.ts", "calls", "src_deeper.ts:far")} <= links
     assert {("src_loop1.ts", "circular_dependency", "src_loop2.ts"), ("src_loop2.ts", "circular_dependency", "src_loop1.ts"), ("src_barrel.ts", "violates_boundary", "src_a.ts")} <= links
-    assert ("concept_flow", "implements", "src_a.ts") in links and any(s.startswith("doc_arch_") and r == "contains" for s, r, _ in links)
+    assert ("concept_flow", "implements", "src_a.ts") in links and any(s.startswith("doc_docs_arch_md_") and r == "contains" for s, r, _ in links)
     said = g.boundaries("./src/a.ts")
     assert said["dependents"] == 2 and said["violations"].count() == 1 and len(said["rules"]) == 1
+    why = {(r.source, r.relation): r.reason for r in g.violations().collect()}
+    assert why["src_barrel.ts", "violates_boundary"] == "Forbidden import: src/barrel.ts must not import src/a.ts" and why["src_loop1.ts", "circular_dependency"] == "Circular dependency: loop1.ts ↔ loop2.ts"
+    assert nodes["src_a.ts"].content_hash is None and nodes["src_a.ts:bar"].content_hash == extract.text_hash("function bar() { return 1 }") and nodes["tool_run.py:job.start"].content_hash == extract.text_hash("def start(self):\n        return helper()")
+    real = resolve.coverage(spark.createDataFrame([("src/barrel.ts", "src/a.ts"), ("src/loop1.ts", "src/loop2.ts"), ("src/a.ts", "src/none.ts"), ("src/a.ts", None)], "caller string, target_file string"), g.nodes, g.edges).first()
+    assert (real.found, real.expected) == (2, 3)
     again = compile_graph(spark, cfg, previous=g.nodes.select(F.col("id").alias("node"), "community"))
     changed, moved = diff_graphs(g, again)
     assert changed.collect() == [] and moved.collect() == []
     (tree / "repo/src/setup.ts").write_text("export function fresh() { return 12345 }\n")
+    (tree / "repo/src/deep.ts").write_text("\n// moved\nexport * from './deeper'\n")
+    (tree / "repo/src/deeper.ts").write_text("export function far() { return 7 }\nclass K { go(x) { return far() } }\n")
     os.unlink(tree / "repo/tool/main.go")
     changed, _ = diff_graphs(again, compile_graph(spark, cfg, previous=again.nodes.select(F.col("id").alias("node"), "community")))
     got = {r.id: r.op for r in changed.collect()}
-    assert got["src_setup.ts:fresh"] == "added" and got["tool_main.go"] == "removed" and got["src_setup.ts"] == "updated"
+    assert got["src_setup.ts:fresh"] == "added" and got["tool_main.go"] == "removed"
+    assert got["src_deeper.ts:far"] == "updated" and not {"src_deeper.ts", "src_deeper.ts:k", "src_deeper.ts:k.go"} & {k for k, v in got.items() if v == "added"}
+    assert len([p for p in os.listdir(f"{tree}/cache/version=1.1.0") if p.startswith("gen=")]) == 1
 
 
 def test_extractors():
@@ -77,6 +88,13 @@ def test_extractors():
     assert not {"f", "g", "i"} & {c["callee"] for c in ts["calls"]}
     ident = one("b.ts", "function m() {}\nexport default m;\n")
     assert ident["default_symbol"] == "m"
+    half = one("c.py", "import os\n\ndef good(x):\n    return os.path(x)\n\ndef (\n\nclass Late:\n    def m(self): pass\n")
+    assert names(half) == ["good", "Late", "Late.m"] and half["error"].startswith("SyntaxError") and [s["line"] for s in half["symbols"]] == [3, 8, 9]
+    passed = one("p.ts", "import x from './x'\nexport default x\n")
+    assert passed["default_symbol"] is None and [(e["symbol"], e["alias"], e["specifier"]) for e in passed["exports"]][-1] == ("default", "default", "./x") and passed["error"]
+    hashes = lambda body: {s["name"]: s["content_hash"] for s in one("h.ts", body)["symbols"]}
+    was, now = hashes("function a() { return 1 }\nconst b = (x) => x + 1\nclass C { m() { a() } n() {} }\n"), hashes("\n\nfunction a() { return 1 }\nconst b = (x) => x + 2\nclass C { m() { a() } n() { a() } }\n")
+    assert {k for k in was if was[k] != now[k]} == {"b", "C", "C.n"} and was["a"] == extract.text_hash("function a() { return 1 }")
     assert one("c.py", "def (")["error"].startswith("SyntaxError") and one("x.zig", "fn") ["symbols"] == []
     assert names(one("d.rs", "pub fn go() {}\nstruct S;\n")) == ["go", "S"] and names(one("E.java", "public class E {\n  public int run(int x) {\n  }\n}\n")) == ["E", "run"]
     assert names(one("f.c", "int main(int c) {\n}\nstruct P {\n};\n/* int no(void) {\n */")) == ["main", "P"]
@@ -87,7 +105,10 @@ def test_extractors():
 
 def test_files(spark, tmp_path):
     for i in range(4):
-        files.save_tour(str(tmp_path), {"id": f"t-{i}", "timestamp": i, "beats": []}, keep=3)
+        files.save_tour(str(tmp_path), {"id": f"t-{i}", "timestamp": i, "beats": [{"say": "hi", "nodes": ["a"]}]}, keep=3)
+    beat = {"say": "x", "nodes": []}
+    wrong = [None, {}, {"beats": []}, {"beats": [beat], "title": 1}, {"beats": [beat | {"lang": 2}]}, {"beats": [beat | {"nodes": [1]}]}, {"beats": [{"say": " ", "nodes": []}]}]
+    assert files.valid_tour({"beats": [beat | {"lang": "en"}], "title": "t"}) and not any(map(files.valid_tour, wrong))
     (tmp_path / "bad.json").write_text("{")
     assert [t["id"] for t in files.list_tours(str(tmp_path))] == ["t-3", "t-2", "t-1"]
     files.delete_tour(str(tmp_path), "t-3")
@@ -101,8 +122,24 @@ def test_files(spark, tmp_path):
     log.error("once")
     assert (tmp_path / "e.log").read_text() == "once\n"
     files.write_insights(spark.createDataFrame([("a", "1"), ("b", "2")], "path string, text string"), f"{tmp_path}/store")
-    files.write_insights(spark.createDataFrame([("a", "3")], "path string, text string"), f"{tmp_path}/store")
-    assert {(r.path, r.text) for r in spark.read.parquet(f"{tmp_path}/store").collect()} == {("a", "3"), ("b", "2")}
+    files.write_insights(spark.createDataFrame([("a", "3"), *[(f"n{i}", "4") for i in range(900)]], "path string, text string"), f"{tmp_path}/store")
+    assert {(r.path, r.text) for r in spark.read.parquet(f"{tmp_path}/store").collect()} == {("a", "3"), ("b", "2")} | {(f"n{i}", "4") for i in range(900)}
+    assert len([p for p in os.listdir(f"{tmp_path}/store") if p.startswith("bucket=")]) <= 256
+    for part in ("old", "new"):
+        (tmp_path / part).mkdir()
+    for name, when in (("old/a.json", 9), ("new/a.json", 5), ("old/b.json", 1), ("new/b.json", 5), ("old/c.json", 1)):
+        (tmp_path / name).write_text(name)
+        os.utime(tmp_path / name, (when, when))
+    assert files.migrate_insights(f"{tmp_path}/old", f"{tmp_path}/new") == 2 and not os.path.exists(f"{tmp_path}/old")
+    assert [(tmp_path / "new" / f"{n}.json").read_text() for n in "abc"] == ["old/a.json", "new/b.json", "old/c.json"]
+    status = spark.createDataFrame([(f"{tmp_path}/new/{n}.json", s) for n, s in (("a", "ok"), ("b", "invalid"), ("c", "corrupt"))], "path string, status string")
+    assert files.clean_insights(spark, status, f"{tmp_path}/odd") == {"removed": 1, "quarantined": 1}
+    assert sorted(p for p in os.listdir(f"{tmp_path}/new") if p.endswith(".json")) == ["a.json"] and "b.json" in os.listdir(f"{tmp_path}/odd")
+    with pytest.raises(FileNotFoundError):
+        rules.import_config(str(tmp_path / "new"))
+    (tmp_path / "new/.dependency-cruiser.js").write_text("module.exports = {}")
+    with pytest.raises(ValueError, match="not JSON"):
+        rules.import_config(str(tmp_path / "new"))
 
 
 def test_streams(spark, tmp_path):
@@ -128,10 +165,14 @@ def test_streams(spark, tmp_path):
     q.stop()
     assert {(tuple(r.changed), tuple(r.deleted)) for r in spark.sql("SELECT * FROM bursts").collect()} == {(("a", "b"), ()), ((), ("c",))}
 
-    q = state.change_feed(spark.readStream.schema(df.schema).parquet(changes), lambda batch: batch.groupBy("file").agg(F.count("*").alias("n")), "file", str(tmp_path / "feed"), str(tmp_path / "ck"))
+    lit = []
+    q = state.change_feed(spark.readStream.schema(df.schema).parquet(changes), lambda batch: batch.groupBy("file").agg(F.count("*").alias("n")), "file", str(tmp_path / "feed"), str(tmp_path / "ck"), lambda focus: lit.append({r.file for r in focus.collect()}))
     q.processAllAvailable()
     q.stop()
     assert spark.read.parquet(f"{tmp_path}/feed/feed/epoch=0").where("op = 'added'").count() == 4
+    assert lit == [{"a", "b", "z"}] * 2
+    snapshot, epoch = state.latest(spark, f"{tmp_path}/feed")
+    assert epoch == 0 and snapshot.count() == 4
 
 
 def test_poll(spark, tree):
@@ -141,8 +182,12 @@ def test_poll(spark, tree):
     got, _ = state.poll_changes(spark, root, before)
     assert [(r.source_file, r.op) for r in got.collect()] == [("src/types.ts", "removed")]
     estimate = files.size_estimate(files.scan(spark, root)).first()
-    assert estimate.files == 11 and estimate.words > 40
+    assert estimate.files == 11 and estimate.words == sum(len(re.split(r"\s+", t)) for n, t in TREE.items() if n.endswith((".ts", ".py", ".go")) and not n.startswith("node") and "types" not in n)
     assert files.top_folders(files.scan(spark, root)).first()[:2] == ("src", 9)
+    assert [tuple(r) for r in files.top_folders(spark.createDataFrame([("z.ts",), ("a/b.ts",), ("a/c.ts",), ("y.ts",)], "source_file string")).collect()] == [("a", 2), ("y.ts", 1), ("z.ts", 1)]
+    assert files.size_estimate(spark.createDataFrame([("a", " x y "), ("b", ""), ("c", None)], "source_file string, text string")).first()[:2] == (3, 6)
+    assert files.size_estimate(spark.createDataFrame([], "source_file string, text string")).first()[:2] == (0, 0)
+    assert change.settled(before, files.scan(spark, root)).count() == 11
 
 
 def test_extraction_of_nulls_and_many_files(spark):
