@@ -61,26 +61,28 @@ def _language(lang: Column, languages: Sequence[str]) -> Column:
     return F.when(lang.isin(*languages), lang).otherwise(F.lit(POOL))
 
 
-def language_references(df: DataFrame, languages: Sequence[str], text: str = "text", lang: str = "lang", n_common: int = 24, longest: int = 5) -> DataFrame:
+def language_references(df: DataFrame, languages: Sequence[str], text: str = "text", lang: str = "lang", n_common: int = 24) -> DataFrame:
     """A row for each listed language and one for the rest: key, class shares, common words and their shares.
 
-    Counts cover all documents. Common words are the n_common most frequent of at most `longest` characters (function
-    words are short; the bound keeps the counted vocabulary small). At most len(languages) + 1 rows.
+    Counts cover all words of all documents. Words are counted once, map side first; the classes of their characters are
+    then counted a distinct word at a time, and blanks are what the words leave of the texts' lengths. At most
+    len(languages) + 1 rows.
     """
     key = _language(F.col(lang), languages).alias("_key")
-    split = let(words_of(F.col(text)), lambda w: F.struct(class_counts(F.col(text), w).alias("n"), F.size(w).cast("long").alias("words")))
-    counts = df.select(key, split.alias("x")).select("_key", "x.*")
-    classes = counts.groupBy("_key").agg(*[F.sum(F.col("n")[i]).alias(f"c{i}") for i in range(N_CLASSES)], F.sum("words").alias("all"))
-    total = sum((F.col(f"c{i}") for i in range(1, N_CLASSES)), F.col("c0"))
-    classes = classes.select("_key", "all", F.array(*[F.col(f"c{i}") / F.greatest(total, F.lit(1)) for i in range(N_CLASSES)]).alias("_class_p"))
-    split = df.select(key, words_of(F.col(text)).alias("ws"))
-    words = split.select("_key", F.explode(F.filter("ws", lambda w: F.length(w) <= longest)).alias("w"))
-    words = words.groupBy("_key", "w").agg(F.count(F.lit(1)).alias("n"))
+    words = df.select(key, F.explode(words_of(F.col(text))).alias("w")).groupBy("_key", "w").agg(F.count(F.lit(1)).alias("n"))
+    lengths = df.select(key, F.length(F.coalesce(F.col(text), F.lit(""))).alias("n")).groupBy("_key").agg(F.sum("n").alias("chars"))
+    counts = words.select("_key", "n", class_counts(F.col("w"), F.array("w")).alias("c"))
+    sums = counts.groupBy("_key").agg(*[F.sum(F.col("n") * F.col("c")[i]).alias(f"c{i}") for i in range(N_CLASSES)], F.sum("n").alias("all"))
+    sums = lengths.join(F.broadcast(sums), "_key", "left").na.fill(0)  # a row a language
+    held = sum((F.col(f"c{i}") for i in range(N_CLASSES) if i != 1), F.lit(0))
+    classes = sums.withColumn("c1", F.col("chars") - held)
+    classes = classes.select("_key", "all", F.array(*[F.col(f"c{i}") / F.greatest("chars", F.lit(1)) for i in range(N_CLASSES)]).alias("_class_p"))
     best = words.withColumn("k", F.row_number().over(Window.partitionBy("_key").orderBy(F.desc("n"), "w"))).where(F.col("k") <= n_common)
     best = best.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("k", "w", "n"))).alias("best"))
-    both = classes.join(best, "_key", "left")
+    both = classes.join(F.broadcast(best), "_key", "left")
     rest = (F.col("all") - F.aggregate("best", F.lit(0).cast("long"), lambda s, x: s + x["n"])) / F.col("all")
-    return both.select("_key", "_class_p", F.transform("best", lambda x: x["w"]).alias("_common"), F.concat(F.transform("best", lambda x: x["n"] / F.col("all")), F.array(rest)).alias("_word_p"))
+    common = F.transform("best", lambda x: x["w"])
+    return both.select("_key", "_class_p", common.alias("_common"), F.array_max(F.transform(common, F.length)).alias("_longest"), F.concat(F.transform("best", lambda x: x["n"] / F.col("all")), F.array(rest)).alias("_word_p"))
 
 
 def _distance(p: Column, q: Column) -> Column:
@@ -102,7 +104,6 @@ def quality_rules(
     max_class_distance: float = 0.33,
     max_word_distance: float = 0.45,
     n_common: int = 24,
-    longest: int = 5,
 ) -> DataFrame:
     """df with _q: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance, word_distance, kept.
 
@@ -113,7 +114,7 @@ def quality_rules(
     named _q, which is replaced.
     """
     key = "_q_key"
-    refs = language_references(df, languages, text, lang, n_common, longest).withColumnRenamed("_key", key)
+    refs = language_references(df, languages, text, lang, n_common).withColumnRenamed("_key", key)
     out = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != "_q"]).alias("_q_row"), F.col(text), _language(F.col(lang), languages).alias(key))
     out = out.join(F.broadcast(refs), key, "left")
 
@@ -122,7 +123,7 @@ def quality_rules(
         chars = F.aggregate(n, F.lit(0).cast("long"), lambda s, x: s + x)
         share = F.transform(n, lambda x: x / F.greatest(chars, F.lit(1)))
         common = lambda c: F.transform(F.col("_common"), lambda w: (F.size(c) - F.size(F.array_remove(c, w))).cast("long"))
-        counted = let(F.filter(words, lambda w: (F.length(w) <= longest) & F.array_contains(F.col("_common"), w)), lambda c: F.concat(common(c), F.array((n_words - F.size(c)).cast("long"))))
+        counted = let(F.filter(words, lambda w: (F.length(w) <= F.col("_longest")) & F.array_contains(F.col("_common"), w)), lambda c: F.concat(common(c), F.array((n_words - F.size(c)).cast("long"))))
         word_distance = F.when((n_words >= min_common) & F.col("_common").isNotNull(), _distance(F.transform(counted, lambda x: x / n_words), F.col("_word_p")))
         class_distance = F.when(n_words >= min_words, _distance(share, F.col("_class_p")))
         return F.struct(n_words.alias("n_words"), (chars - n[1]).alias("word_chars"), n[4].alias("n_symbols"), _dup_lines(F.col(text)).alias("n_dup_lines"), _repeat_words(words).alias("n_repeat_words"), class_distance.alias("class_distance"), word_distance.alias("word_distance"))
