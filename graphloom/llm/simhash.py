@@ -25,6 +25,8 @@ SLICE = 1 << 16
 SHARD = 8
 #: Fingerprints that one task may hold as a tree; fuller shards are linked by midpoints.
 FULL = 1 << 14
+#: Copies of a component's least key, among which its fingerprints are dealt.
+COPIES = 64
 
 
 def simhash(text: str | None, width: int = WIDTH) -> int:
@@ -244,8 +246,13 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", radi
     prints = settle(fingerprints(df, text, [key], width))
     distinct = settle(prints.groupBy("_fp").agg(F.min(key).alias("least")))
     roots = components(near_links(distinct, radius, distinct.count()))
-    roots = distinct.join(roots, distinct["_fp"] == roots["node"], "left").select("_fp", "least", F.coalesce("root", "_fp").alias("root"))
-    roots = settle(roots)
-    named = settle(roots.groupBy("root").agg(F.min("least").alias("_component")))  # apart from the join, which may then split a frequent root
-    named = roots.join(named, "root").select(F.col("_fp").alias("_own"), "_component")
+    roots = settle(distinct.join(roots, distinct["_fp"] == roots["node"], "left").select("_fp", "least", "root"))
+    # Most fingerprints are alone. Of the others the least key of each root goes out in COPIES, which a frequent root's rows are dealt to.
+    below, tops = roots.where("root IS NOT NULL"), roots.where("root IS NULL").select("_fp", "least")
+    named = below.groupBy(F.col("root").alias("_root")).agg(F.min("least").alias("_low"))
+    tops = settle(tops.join(named, F.col("_fp") == F.col("_root"), "left").select(F.col("_fp").alias("_own"), F.least("least", "_low").alias("_component"), F.col("_root").isNotNull().alias("_heads")))
+    heads = tops.where("_heads").select(F.col("_own").alias("_root"), "_component", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))).alias("_copy"))
+    below = below.withColumn("copy", F.pmod(F.xxhash64("_fp"), F.lit(COPIES)).cast("int"))
+    below = below.join(heads, (F.col("root") == F.col("_root")) & (F.col("copy") == F.col("_copy"))).select(F.col("_fp").alias("_own"), "_component")
+    named = below.union(tops.select("_own", "_component"))
     return prints.join(named, prints["_fp"] == named["_own"]).select(key, "_fp", "_component")
