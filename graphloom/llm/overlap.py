@@ -179,5 +179,7 @@ def overlap_groups(distinct: DataFrame, known: DataFrame, rows: DataFrame, key:
     glue = found if glue is None else glue.union(found)
     joined = settle(simhash.components(glue))
     alone = joined.join(roots, "node", "left_anti").select("node", F.col("node").alias("root"))
-    last = joined.select(F.col("node").alias("at"), F.col("root").alias("end"))
-    return roots.union(alone).join(last, F.col("root") == F.col("at"), "left").select("node", F.coalesce("end", "root").alias("root"))
+    # A frequent root's nodes are dealt to copies of where it ends.
+    last = joined.select(F.col("node").alias("at"), F.col("root").alias("end"), F.explode(F.sequence(F.lit(0), F.lit(simhash.COPIES - 1))).alias("part"))
+    dealt = roots.union(alone).withColumn("copy", F.pmod(F.xxhash64("node"), F.lit(simhash.COPIES)).cast("int"))
+    return dealt.join(last, (F.col("root") == F.col("at")) & (F.col("copy") == F.col("part")), "left").select("node", F.coalesce("end", "root").alias("root"))
