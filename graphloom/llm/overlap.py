@@ -28,6 +28,8 @@ _TIMES = _RNG.integers(0, 1 << 64, ROWS * BANDS, dtype=np.uint64) | np.uint64(1)
 SLICE = 1 << 14
 #: Ids that may be broadcast.
 MOST = 1 << 18
+#: Longs of sets that may be broadcast.
+MOST_LONGS = 1 << 21
 #: Longs of a set's bitmap: shingles are dealt to its bits.
 LONGS = 16
 #: Members of a bucket that all others are compared with in one round.
@@ -106,9 +108,16 @@ def alike(a: Column, b: Column) -> Column:
 
 
 def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v, ...) of ids whose sets (id, hashes) are alike."""
+    """The pairs (u, v, ...) of ids whose sets (id, hashes) are alike.
+
+    Where few v stand against many u, their sets are broadcast, so that no set is moved once a pair.
+    """
+    pairs = settle(pairs.distinct())
     a, b = (sets.select(F.col("id").alias(x), F.col("hashes").alias(f"_{x}")) for x in "uv")
-    return settle(pairs.distinct().join(a, "u").join(b, "v").where(alike(F.col("_u"), F.col("_v"))).select(*pairs.columns))
+    b = b.join(pairs.select("v").distinct(), "v", "left_semi")
+    longs = b.agg(F.sum(F.size("_v") + 2)).first()[0] or 0
+    b = F.broadcast(b) if longs <= MOST_LONGS else b
+    return settle(pairs.join(a, "u").join(b, "v").where(alike(F.col("_u"), F.col("_v"))).select(*pairs.columns))
 
 
 def shared_counts(sets: DataFrame) -> DataFrame:
@@ -118,14 +127,18 @@ def shared_counts(sets: DataFrame) -> DataFrame:
     return sets.join(alone, sets["id"] == alone["of"], "left").select("id", (F.size("hashes") - F.coalesce("alone", F.lit(0))).alias("shared"))
 
 
-def may_be_alike(n: str, shared: str, bits: str, m: str, common: str, places: str) -> Column:
-    """Whether sets of n and m shingles can have similarity 0.8: by how many of them any set shares, and by their bitmaps.
+def enough(most: Column, n: str, m: str) -> Column:
+    """Whether sets of n and m shingles of which at most so many are common can have similarity 0.8."""
+    return 9 * most >= 4 * (F.col(n) + F.col(m))
+
+
+def bits_allow(n: str, bits: str, m: str, places: str) -> Column:
+    """Whether bitmaps of sets of n and m shingles allow similarity 0.8.
 
     A place that one bitmap has and the other lacks is a shingle at least that the other lacks.
     """
     lacks = lambda a, b: functools.reduce(operator.add, [F.bit_count(F.get(a, F.lit(i)).bitwiseAND(F.bitwise_not(F.get(b, F.lit(i))))) for i in range(LONGS)])
-    enough = lambda most: 9 * most >= 4 * (F.col(n) + F.col(m))
-    return enough(F.least(shared, common)) & enough(F.col(n) - lacks(bits, places)) & enough(F.col(m) - lacks(places, bits))
+    return enough(F.col(n) - lacks(bits, places), n, m) & enough(F.col(m) - lacks(places, bits), n, m)
 
 
 def overlap_groups(distinct: DataFrame, known: DataFrame, rows: DataFrame, key: str, text: str) -> DataFrame:
@@ -151,19 +164,19 @@ def overlap_groups(distinct: DataFrame, known: DataFrame, rows: DataFrame, key:
 
     def alike_pairs(pairs: DataFrame) -> DataFrame:
         """Links (u, v), u > v, of the groups whose members (id, root) and (v, of) are alike."""
-        possible = near & may_be_alike("n", "shared", "bits", "m", "common", "places") & (F.col("root") != F.col("of"))
-        pairs = pairs.where(possible).select(F.struct("id", "root").alias("x"), F.struct(F.col("v").alias("id"), F.col("of").alias("root")).alias("y"))
-        pairs = pairs.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).select(F.col("x.id").alias("u"), F.col("y.id").alias("v"), F.greatest("x.root", "y.root").alias("a"), F.least("x.root", "y.root").alias("b"))
+        possible = near & enough(F.least("shared", "common"), "n", "m") & (F.col("root") != F.col("of"))
+        pairs = pairs.where(possible).select("id", "n", "root", "v", "m", "of").distinct()  # a pair may meet in many bands
+        pairs = pairs.join(sets.select("id", "bits"), "id").join(sets.select(F.col("id").alias("v"), F.col("bits").alias("places")), "v")
+        pairs = pairs.where(bits_allow("n", "bits", "m", "places")).select(F.col("id").alias("u"), "v", F.greatest("root", "of").alias("a"), F.least("root", "of").alias("b"))
         return settle(checked(pairs, sets).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
 
     members = apart(members.select(*bucket, "id", "n"), roots, "id")
     counts = shared_counts(sets.join(members.select("id").distinct(), "id", "left_semi"))
-    counts = counts.join(sets.select("id", "bits"), "id")
     members = settle(members.join(counts, "id").where("5 * shared >= 4 * n"))  # else no set at all can be alike
     glue = spoken = None
     while not members.isEmpty():
         free = members if spoken is None else members.join(spoken, [*bucket, "id"], "left_anti")
-        speaks = settle(free.groupBy(*bucket, F.pmod(F.xxhash64("id"), F.lit(SPEAKERS))).agg(F.max(F.struct("shared", "id", "n", "root", "bits")).alias("s")).select(*bucket, F.col("s.id").alias("v"), F.col("s.n").alias("m"), F.col("s.shared").alias("common"), F.col("s.root").alias("of"), F.col("s.bits").alias("places")))
+        speaks = settle(free.groupBy(*bucket, F.pmod(F.xxhash64("id"), F.lit(SPEAKERS))).agg(F.max(F.struct("shared", "id", "n", "root")).alias("s")).select(*bucket, F.col("s.id").alias("v"), F.col("s.n").alias("m"), F.col("s.shared").alias("common"), F.col("s.root").alias("of")))
         found = alike_pairs(members.join(speaks, bucket))
         if found.isEmpty():
             break
@@ -174,7 +187,7 @@ def overlap_groups(distinct: DataFrame, known: DataFrame, rows: DataFrame, key:
     # What is left: each member outside its bucket's largest group against all of other groups.
     top = members.groupBy(*bucket, "root").agg(F.count(F.lit(1)).alias("k")).groupBy(*bucket).agg(F.max(F.struct("k", "root")).alias("t")).select(*bucket, F.col("t.root").alias("top"))
     members = settle(members.join(settle(top), bucket))
-    other = members.select(*bucket, F.col("id").alias("v"), F.col("n").alias("m"), F.col("shared").alias("common"), F.col("root").alias("of"), F.col("bits").alias("places"))
+    other = members.select(*bucket, F.col("id").alias("v"), F.col("n").alias("m"), F.col("shared").alias("common"), F.col("root").alias("of"))
     found = alike_pairs(members.where("root <> top").join(other, bucket).where((F.col("of") == F.col("top")) | (F.col("id") > F.col("v"))))
     glue = found if glue is None else glue.union(found)
     joined = settle(simhash.components(glue))
