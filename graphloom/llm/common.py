@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,6 +16,13 @@ from ..functions.lineage import ranked as with_global_rank
 
 __all__ = ["drop_folder", "settle", "shared_folder", "with_global_rank"]
 
+
+def release(spark) -> None:
+    """Lets go of what finished rounds hold: Spark deletes their shuffle files once the driver has no reference left."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 #: Characters of `[\x20\x09-\x0D]`, between words.
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept_columns, map_texts, settle
+from .common import kept_columns, map_texts, release, settle
 
 SEED, WIDTH = 42, 4
 SLICE = 1 << 16
@@ -25,6 +25,8 @@ SLICE = 1 << 16
 SHARD = 8
 #: Fingerprints that one task may hold as a tree; fuller shards are linked by midpoints.
 FULL = 1 << 14
+#: Links that a file of a round holds.
+LINKS = 1 << 17
 #: Copies of a component's least key, among which its fingerprints are dealt.
 COPIES = 64
 
@@ -228,11 +230,14 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = settle(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        edges = small.union(least.select("u", F.col("m").alias("v"))).distinct()
+        # Few links need few files; edges never grow by much from round to round.
+        edges = settle(edges if before is None else edges.coalesce(1 + int(before[0]) // LINKS))
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == before:
             break
         before = tuple(state)
+    release(edges.sparkSession)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
