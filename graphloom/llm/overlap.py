@@ -17,8 +17,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import drop_folder, shared_folder, written
 from . import simhash
-from .common import kept_columns, map_texts, settle
+from .common import kept_columns, map_texts
 
 WIDTH, ROWS, BANDS = 5, 4, 20
 _RNG = np.random.default_rng(simhash.SEED)
@@ -107,17 +108,17 @@ def alike(a: Column, b: Column) -> Column:
     return 9 * F.size(F.array_intersect(a, b)) >= 4 * (F.size(a) + F.size(b))
 
 
-def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def checked(pairs: DataFrame, sets: DataFrame, folder: str) -> DataFrame:
     """The pairs (u, v, ...) of ids whose sets (id, hashes) are alike.
 
     Where few v stand against many u, their sets are broadcast, so that no set is moved once a pair.
     """
-    pairs = settle(pairs.distinct())
+    pairs = written(pairs.distinct(), folder)
     a, b = (sets.select(F.col("id").alias(x), F.col("hashes").alias(f"_{x}")) for x in "uv")
     b = b.join(pairs.select("v").distinct(), "v", "left_semi")
     longs = b.agg(F.sum(F.size("_v") + 2)).first()[0] or 0
     b = F.broadcast(b) if longs <= MOST_LONGS else b
-    return settle(pairs.join(a, "u").join(b, "v").where(alike(F.col("_u"), F.col("_v"))).select(*pairs.columns))
+    return written(pairs.join(a, "u").join(b, "v").where(alike(F.col("_u"), F.col("_v"))).select(*pairs.columns), folder)
 
 
 def shared_counts(sets: DataFrame) -> DataFrame:
@@ -144,23 +145,29 @@ def bits_allow(n: str, bits: str, m: str, places: str) -> Column:
 def overlap_groups(distinct: DataFrame, known: DataFrame, rows: DataFrame, key: str, text: str) -> DataFrame:
     """(node, root): the smallest id that known links (u, v), u > v, and links of ids whose sets are alike reach; only of ids with links.
 
-    distinct has a row (id, _n, _bands) for each set; ids are keys of the rows (key, text).
+    distinct has a row (id, _n, _bands) for each set; ids are keys of the rows (key, text). Tables go to the shared
+    folder, those of a round until the next is done; the result, in a checkpoint, needs none of them.
     """
+    spark = distinct.sparkSession
+    folder = shared_folder(spark, "overlap")
+    turns = [f"{folder}/round-0"]  # where the round at work keeps its own
+    keep = lambda df: written(df, f"{folder}/all")
+    hold = lambda df: written(df, turns[-1])
     bucket = ["band", "value"]
     members = distinct.select("id", F.col("_n").alias("n"), F.posexplode("_bands").alias("band", "value"))
-    first = settle(members.groupBy(*bucket).agg(F.min(F.struct("id", "n")).alias("f"), F.count(F.lit(1)).alias("k")).where("k > 1").select(*bucket, F.col("f.id").alias("v"), F.col("f.n").alias("m")))
-    members = settle(members.join(first, bucket))
-    ids = settle(members.select(F.col("id").alias(key)).distinct())
-    few = ids.limit(MOST + 1).count() <= MOST
-    sets = settle(hash_sets(rows.select(key, text).join(F.broadcast(ids) if few else ids, key, "left_semi"), text, key).withColumnRenamed(key, "id"))
+    first = keep(members.groupBy(*bucket).agg(F.min(F.struct("id", "n")).alias("f"), F.count(F.lit(1)).alias("k")).where("k > 1").select(*bucket, F.col("f.id").alias("v"), F.col("f.n").alias("m")))
+    members = hold(members.join(first, bucket))
+    ids = keep(members.select(F.col("id").alias(key)).distinct())
+    few = ids.count() <= MOST
+    sets = keep(hash_sets(rows.select(key, text).join(F.broadcast(ids) if few else ids, key, "left_semi"), text, key).withColumnRenamed(key, "id"))
     near = 5 * F.least("n", "m") >= 4 * F.greatest("n", "m")  # of sizes that leave 0.8 possible
-    roots = settle(simhash.components(known.union(checked(members.where((F.col("id") != F.col("v")) & near).select(F.col("id").alias("u"), "v"), sets))))
+    roots = simhash.components(known.union(checked(members.where((F.col("id") != F.col("v")) & near).select(F.col("id").alias("u"), "v"), sets, turns[-1])))
 
     def apart(members: DataFrame, groups: DataFrame, of: str) -> DataFrame:
         """The members of buckets that hold several groups by now, each with its group's root."""
         out = members.join(groups.withColumnRenamed("root", "now"), F.col(of) == F.col("node"), "left").withColumn("root", F.coalesce("now", of)).drop("now", "node")
-        mixed = settle(out.groupBy(*bucket).agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select(*bucket))
-        return settle(out.join(mixed, bucket, "left_semi"))
+        mixed = hold(out.groupBy(*bucket).agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select(*bucket))
+        return hold(out.join(mixed, bucket, "left_semi"))
 
     def alike_pairs(pairs: DataFrame) -> DataFrame:
         """Links (u, v), u > v, of the groups whose members (id, root) and (v, of) are alike."""
@@ -168,29 +175,32 @@ def overlap_groups(distinct: DataFrame, known: DataFrame, rows: DataFrame, key:
         pairs = pairs.where(possible).select("id", "n", "root", "v", "m", "of").distinct()  # a pair may meet in many bands
         pairs = pairs.join(sets.select("id", "bits"), "id").join(sets.select(F.col("id").alias("v"), F.col("bits").alias("places")), "v")
         pairs = pairs.where(bits_allow("n", "bits", "m", "places")).select(F.col("id").alias("u"), "v", F.greatest("root", "of").alias("a"), F.least("root", "of").alias("b"))
-        return settle(checked(pairs, sets).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
+        return keep(checked(pairs, sets, turns[-1]).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
 
     members = apart(members.select(*bucket, "id", "n"), roots, "id")
     counts = shared_counts(sets.join(members.select("id").distinct(), "id", "left_semi"))
-    members = settle(members.join(counts, "id").where("5 * shared >= 4 * n"))  # else no set at all can be alike
+    members = hold(members.join(counts, "id").where("5 * shared >= 4 * n"))  # else no set at all can be alike
     glue = spoken = None
     while not members.isEmpty():
         free = members if spoken is None else members.join(spoken, [*bucket, "id"], "left_anti")
-        speaks = settle(free.groupBy(*bucket, F.pmod(F.xxhash64("id"), F.lit(SPEAKERS))).agg(F.max(F.struct("shared", "id", "n", "root")).alias("s")).select(*bucket, F.col("s.id").alias("v"), F.col("s.n").alias("m"), F.col("s.shared").alias("common"), F.col("s.root").alias("of")))
+        speaks = keep(free.groupBy(*bucket, F.pmod(F.xxhash64("id"), F.lit(SPEAKERS))).agg(F.max(F.struct("shared", "id", "n", "root")).alias("s")).select(*bucket, F.col("s.id").alias("v"), F.col("s.n").alias("m"), F.col("s.shared").alias("common"), F.col("s.root").alias("of")))
         found = alike_pairs(members.join(speaks, bucket))
         if found.isEmpty():
             break
         glue = found if glue is None else glue.union(found)
+        turns.append(f"{folder}/round-{len(turns)}")
         members = apart(members, simhash.components(found), "root")
+        drop_folder(spark, turns[-2])
         own = speaks.select(*bucket, F.col("v").alias("id"))
         spoken = own if spoken is None else spoken.union(own)
     # What is left: each member outside its bucket's largest group against all of other groups.
     top = members.groupBy(*bucket, "root").agg(F.count(F.lit(1)).alias("k")).groupBy(*bucket).agg(F.max(F.struct("k", "root")).alias("t")).select(*bucket, F.col("t.root").alias("top"))
-    members = settle(members.join(settle(top), bucket))
+    members = hold(members.join(hold(top), bucket))
     other = members.select(*bucket, F.col("id").alias("v"), F.col("n").alias("m"), F.col("shared").alias("common"), F.col("root").alias("of"))
     found = alike_pairs(members.where("root <> top").join(other, bucket).where((F.col("of") == F.col("top")) | (F.col("id") > F.col("v"))))
     glue = found if glue is None else glue.union(found)
-    joined = settle(simhash.components(glue))
+    joined = simhash.components(glue)
+    drop_folder(spark, folder)
     alone = joined.join(roots, "node", "left_anti").select("node", F.col("node").alias("root"))
     # A frequent root's nodes are dealt to copies of where it ends.
     last = joined.select(F.col("node").alias("at"), F.col("root").alias("end"), F.explode(F.sequence(F.lit(0), F.lit(simhash.COPIES - 1))).alias("part"))

@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept_columns, map_texts, release, settle
+from ..functions.lineage import drop_folder, settle, shared_folder, written
+from .common import kept_columns, map_texts, release
 
 SEED, WIDTH = 42, 4
 SLICE = 1 << 16
@@ -25,8 +26,10 @@ SLICE = 1 << 16
 SHARD = 8
 #: Fingerprints that one task may hold as a tree; fuller shards are linked by midpoints.
 FULL = 1 << 14
-#: Links that a file of a round holds.
+#: Links that are contracted in one task.
 LINKS = 1 << 17
+#: Nodes after which a task that contracts links gives what it has.
+HELD = 1 << 19
 #: Copies of a component's least key, among which its fingerprints are dealt.
 COPIES = 64
 
@@ -217,28 +220,71 @@ def tree_links(rows: DataFrame, radius: int) -> DataFrame:
     return rows.mapInArrow(work, "u long, v long").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
+def contracted(links: DataFrame, parts: int, held: int = HELD) -> DataFrame:
+    """Links (u, v), u > v, that connect the same nodes: in each of so many partitions every node goes to its smallest one there.
+
+    A task that has more than `held` nodes gives what it has and begins anew.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top: dict[int, int] = {}
+
+        def root(i: int) -> int:
+            at = i
+            while (up := top.setdefault(at, at)) != at:
+                at = up
+            while top[i] != at:
+                top[i], i = at, top[i]
+            return at
+
+        def give() -> pa.RecordBatch:
+            pairs = [(x, r) for x in list(top) if (r := root(x)) != x]
+            top.clear()
+            made = np.array(pairs, dtype=np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(made[:, 0]), pa.array(made[:, 1])], names=["u", "v"])
+
+        for batch in batches:
+            for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                a, b = root(u), root(v)
+                if a != b:
+                    top[max(a, b)] = min(a, b)
+            if len(top) > held:
+                yield give()
+        yield give()
+
+    return links.select("u", "v").coalesce(parts).mapInArrow(work, "u long, v long")
+
+
+def components(links: DataFrame, most: int = LINKS) -> DataFrame:
     """(node, root) of every node of the links (u, v), u > v: root is the smallest node that can be reached.
 
-    Rounds of large and small stars until nothing changes; each round is cut from its lineage by a checkpoint. Nothing
-    but a count and a checksum goes to the driver.
+    Links are contracted within partitions of about `most`; if there are more partitions than one, rounds of large and
+    small stars follow until nothing changes. Each round is written to the shared folder and the one before deleted.
+    Nothing but a count and a checksum goes to the driver.
     """
-    edges, before = settle(links), None
-    while True:
+    spark = links.sparkSession
+    folder = shared_folder(spark, "components")
+    raw = written(links, f"{folder}/links")
+    parts = 1 + raw.count() // most
+    edges, before, turn = written(contracted(raw, parts), f"{folder}/0"), None, 0
+    while parts > 1:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = small.union(least.select("u", F.col("m").alias("v"))).distinct()
-        # Few links need few files; edges never grow by much from round to round.
-        edges = settle(edges if before is None else edges.coalesce(1 + int(before[0]) // LINKS))
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(state) == before:
+        # Edges never grow by much from round to round.
+        edges = written(small.union(least.select("u", F.col("m").alias("v"))).distinct().coalesce(parts), f"{folder}/{turn + 1}")
+        drop_folder(spark, f"{folder}/{turn}")
+        turn += 1
+        state = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if state == before:
             break
-        before = tuple(state)
-    release(edges.sparkSession)
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        before = state
+    out = settle(edges.toDF("node", "root"))
+    drop_folder(spark, folder)
+    release(spark)
+    return out
 
 
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", radius: int = 4, width: int = WIDTH) -> DataFrame:

@@ -616,8 +616,23 @@ def test_full_shards_link_by_midpoints(spark):
 
 def test_components(spark):
     chain = [(i + 1, i) for i in range(60)] + [(200, 100), (300, 200), (400, 100)] + [(1000 + i, 999) for i in range(50)]
-    got = {r.node: r.root for r in simhash.components(spark.createDataFrame(chain, "u long, v long")).collect()}
-    assert got == {i: 0 for i in range(1, 61)} | {200: 100, 300: 100, 400: 100} | {1000 + i: 999 for i in range(50)}
+    want = {i: 0 for i in range(1, 61)} | {200: 100, 300: 100, 400: 100} | {1000 + i: 999 for i in range(50)}
+    links = spark.createDataFrame(chain, "u long, v long").repartition(4)
+    for most in (simhash.LINKS, 30):
+        got = simhash.components(links, most).collect()
+        assert len(got) == len(want) and {r.node: r.root for r in got} == want
+    assert simhash.components(links.limit(0)).count() == 0
+
+
+def test_contracted(spark):
+    rng = np.random.default_rng(3)
+    pairs = [(int(max(p)), int(min(p))) for p in rng.integers(-200, 200, (300, 2)) if p[0] != p[1]]
+    links = spark.createDataFrame(pairs, "u long, v long").repartition(3)
+    want = {r.node: r.root for r in simhash.components(links).collect()}
+    for parts, held in ((1, simhash.HELD), (3, simhash.HELD), (3, 5)):
+        kept = simhash.contracted(links, parts, held)
+        assert all(r.u > r.v for r in kept.collect())
+        assert {r.node: r.root for r in simhash.components(kept, 40).collect()} == want
 
 
 # ---- secrets -----------------------------------------------------------------------------------------------------
