@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.functions.lineage import drop_folder, settle, shared_folder
+from graphloom.functions.lineage import drop_folder, shared_folder, written
 from graphloom.llm import overlap, packing, quality, secrets, simhash
 from graphloom.llm.queries import pattern, vocabulary
 
@@ -34,22 +34,22 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Documents are linked as in op8, and where their sets of five-word shingles have Jaccard similarity 0.8 or more. An
     id links nothing: rows with one id, or none, and different texts are different documents.
     """
-    path = shared_folder(spark, "near-duplicates")
-    SCRATCH.append(path)
-    docs.select(whole(docs), F.monotonically_increasing_id().alias("_row")).write.parquet(path)
-    rows = spark.read.parquet(path)  # the numbers of the rows stay
+    folder = shared_folder(spark, "near-duplicates")
+    SCRATCH.append(folder)
+    keep = lambda df: written(df, folder)
+    rows = keep(docs.select(whole(docs), F.monotonically_increasing_id().alias("_row")))  # the numbers of the rows stay
     texts = rows.select("_row", F.col("doc")["text"].alias("text"))
     own = F.col("doc")["doc_id"]
     place = F.struct(own.isNull().alias("none"), own.alias("doc_id"), F.xxhash64("doc").alias("hash"), "_row").alias("_place")
-    prints = settle(overlap.sketches(rows.select("_row", place, F.col("doc")["text"].alias("text")), "text", ["_row", "_place"]))
-    nodes = settle(prints.groupBy("_fp", "_set").agg(F.min("_row").alias("id"), F.min("_place").alias("best")))
-    by_fp = settle(nodes.groupBy("_fp").agg(F.min("id").alias("at")))
-    sets = settle(prints.select("_set", "_row", "_n", "_bands").groupBy("_set").agg(F.min("_row").alias("id"), F.first("_n").alias("_n"), F.first("_bands").alias("_bands")))
+    prints = keep(overlap.sketches(rows.select("_row", place, F.col("doc")["text"].alias("text")), "text", ["_row", "_place"]))
+    nodes = keep(prints.groupBy("_fp", "_set").agg(F.min("_row").alias("id"), F.min("_place").alias("best")))
+    by_fp = keep(nodes.groupBy("_fp").agg(F.min("id").alias("at")))
+    sets = keep(prints.select("_set", "_row", "_n", "_bands").groupBy("_set").agg(F.min("_row").alias("id"), F.first("_n").alias("_n"), F.first("_bands").alias("_bands")))
     same = nodes.join(by_fp, "_fp").select("id", "at").union(nodes.join(sets.select("_set", F.col("id").alias("at")), "_set").select(nodes["id"], "at"))
     near = simhash.near_links(by_fp, 4, by_fp.count())
     for x in "uv":
         near = near.join(by_fp.select(F.col("_fp").alias(x), F.col("at").alias(f"_{x}")), x)
-    known = settle(same.union(near.select(F.greatest("_u", "_v"), F.least("_u", "_v"))).toDF("u", "v").where("u <> v").distinct())
+    known = keep(same.union(near.select(F.greatest("_u", "_v"), F.least("_u", "_v"))).toDF("u", "v").where("u <> v").distinct())
     roots = overlap.overlap_groups(sets, known, texts, "_row", "text")
     named = nodes.join(roots, nodes["id"] == roots["node"], "left").select("best", F.coalesce("root", "id").alias("root"))
     first = named.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best._row").alias("_row"))
