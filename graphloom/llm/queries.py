@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lineage import drop_folder, shared_folder
-from . import chat_template, hilbert, licenses, packing, quality, secrets, simhash, telephony, viterbi, warc
+from . import chat_template, classifier, hilbert, licenses, merkle, packing, quality, secrets, simhash, telephony, trie, viterbi, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -121,14 +121,63 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[F.col(f"_{x}").alias(y) for x, y in (("piece", "piece"), ("start", "start"), ("length", "length"), ("ids_crc32", "ids_crc32"), ("sequence", "sequence_id"), ("offset", "offset"))])
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    stripped = merkle.leaf_hash(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), F.translate("text", "\n", ""))
+    out = merkle.merkle_manifest(docs.withColumn("_tampered", F.when(even, stripped)), keep=["doc_id", "_tampered"])
+    root = merkle.folded(F.coalesce("_tampered", "_leaf"), F.col("_proof"))
+    out = out.select("doc_id", F.col("_leaf").alias("leaf"), F.col("_subroot").alias("subroot"), F.col("_root").alias("root"), merkle.proof_hash(F.col("_proof")).alias("proof_sha256"), root.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_fourier_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _read(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("label")).where(remainder != 1)
+    out = classifier.score_quality(docs, labels)
+    held = F.coalesce(remainder == 1, F.lit(False))
+    return out.select("doc_id", held.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, convs = trie.rebuilt(trie.ordered_turns(_read(spark, sf_dir, "conversations")))
+    out = trie.prefix_trie(turns, convs)
+    return out.select(F.col("conv").alias("conv_id"), "depth", F.col("parent").alias("parent_conv_id"), "n_convs", "n_children", "n_leaves", F.col("saved").alias("saved_tokens"), "ends_sha256")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_distribution_divergence, op2_hilbert_shards, op3_telephony, op4_template_compiler, op5_streaming_viterbi,
         op6_warc_revisits, op7_license_rules, op8_simhash_bktree, op9_token_efficiency, op10_best_fit_packing,
+        op11_merkle_manifest, op12_fourier_features, op13_prefix_trie,
     )
 }
 
+
+
+def _crc32(text: str) -> str:
+    """DuckDB SQL for the CRC-32 of an ASCII text, a byte and then a bit at a time."""
+    bits = "list_reduce(list_concat([xor(a, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: xor(x >> 1, (x & 1) * 3988292384))"
+    codes = f"list_transform(range(1, length({text}) + 1), lambda k: CAST(ascii(substr({text}, k, 1)) AS BIGINT))"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {codes}), lambda a, b: {bits}), 4294967295::BIGINT)"
+
+
+_ENCODED = "coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR), '-')"
+_LEAF = "sha256(" + " || ".join(_ENCODED.format(c) for c in ("doc_id", "source", "lang", "n_chars")) + " || " + _ENCODED + ")"
+
+
+def _merkle(rows: str, tree: str) -> str:
+    """Two recursive tables: {tree}_up has every node (grp, lvl, idx, digest, n at its level), {tree}_path what each leaf meets on its way up."""
+    return f"""
+{tree}_up AS (SELECT grp, 0 AS lvl, idx, digest, count(*) OVER (PARTITION BY grp) AS n FROM {rows}
+  UNION ALL SELECT grp, lvl, idx, digest, count(*) OVER (PARTITION BY grp) FROM (SELECT grp, lvl + 1 AS lvl, idx // 3 AS idx, sha256(string_agg(digest, '' ORDER BY idx)) AS digest FROM {tree}_up WHERE n > 1 GROUP BY grp, lvl, idx // 3)),
+{tree}_run AS (SELECT grp, lvl, idx // 3 AS run, list(digest ORDER BY idx) AS digests FROM {tree}_up WHERE n > 1 GROUP BY ALL),
+{tree}_path AS (SELECT u.grp, u.idx, list((r.digests) ORDER BY r.lvl) AS runs FROM {tree}_up u JOIN {tree}_run r ON u.grp = r.grp AND u.lvl = 0 AND r.run = u.idx // CAST(power(3, r.lvl + 1) AS BIGINT) GROUP BY u.grp, u.idx),
+{tree}_top AS (SELECT grp, digest AS top FROM {tree}_up WHERE n = 1)"""
+
+
 _ESCAPED = "replace(replace({0}, '\\', '\\\\'), '<|', '<\\|')"
 ORACLE_SQL: dict[str, str] = {
     "op4_template_compiler": f"""
@@ -140,4 +189,29 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_cha
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), h AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS hex, min(page_id) OVER (PARTITION BY html) AS first FROM p),
 d AS (SELECT *, list_transform(range(0, 8), lambda k: CAST('0x' || substr(hex, CAST(5 * k + 1 AS BIGINT), 5) AS INT)) AS parts FROM h)
 SELECT page_id, payload_bytes, list_aggregate(list_transform(parts, lambda v: concat(substr(a, (v >> 15) + 1, 1), substr(a, ((v >> 10) & 31) + 1, 1), substr(a, ((v >> 5) & 31) + 1, 1), substr(a, (v & 31) + 1, 1))), 'string_agg', '') AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM d, (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567' AS a)""",
+    "op11_merkle_manifest": f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce('1' || source, '0') AS grp, {_LEAF.format("text")} AS digest, CASE WHEN {_crc32("CAST(doc_id AS VARCHAR)")} % 2 = 0 THEN {_LEAF.format("replace(text, chr(10), '')")} END AS tampered FROM documents),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, digest) - 1 AS idx FROM d), {_merkle("leaves", "a")},
+groups AS (SELECT 0 AS grp, grp AS name, row_number() OVER (ORDER BY grp) - 1 AS idx, top AS digest FROM a_top), {_merkle("groups", "b")},
+paths AS (SELECT l.doc_id, l.digest AS leaf, coalesce(l.tampered, l.digest) AS given, t.top AS subroot, r.top AS root, l.idx, g.idx AS gidx, coalesce(p.runs, []) AS runs, coalesce(q.runs, []) AS tops
+  FROM leaves l JOIN a_top t ON l.grp = t.grp JOIN groups g ON g.name = l.grp JOIN b_top r ON true LEFT JOIN a_path p ON p.grp = l.grp AND p.idx = l.idx LEFT JOIN b_path q ON q.idx = g.idx),
+steps AS (SELECT *, list_concat(list_transform(runs, lambda r, k: {{'at': (idx // CAST(power(3, k - 1) AS BIGINT)) % 3 + 1, 'run': r}}), list_transform(tops, lambda r, k: {{'at': (gidx // CAST(power(3, k - 1) AS BIGINT)) % 3 + 1, 'run': r}})) AS path FROM paths),
+found AS (SELECT *, sha256(coalesce(list_aggregate(flatten(list_transform(path, lambda s: list_filter(s.run, lambda x, k: k <> s.at))), 'string_agg', ''), '')) AS proof_sha256,
+  (list_reduce(list_concat([{{'digest': given, 'at': 0::BIGINT, 'run': []::VARCHAR[]}}], list_transform(path, lambda s: {{'digest': '', 'at': s.at, 'run': s.run}})), lambda x, s: {{'digest': sha256(list_aggregate(list_transform(s.run, lambda y, k: CASE WHEN k = s.at THEN x.digest ELSE y END), 'string_agg', '')), 'at': 0::BIGINT, 'run': []::VARCHAR[]}})).digest AS folded_root FROM steps)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM found""",
+    "op13_prefix_trie": f"""
+WITH t AS (SELECT conv_id AS c, turn, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS sha, strlen(coalesce(text, '')) AS n_bytes FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, sha, n_bytes, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, sha) - 1 AS place FROM t),
+f AS (SELECT c, ((c % 5) + 5) % 5 AS k, {_crc32("CAST(c AS VARCHAR)")} % 9 AS h FROM (SELECT DISTINCT c FROM o)),
+u AS (SELECT f.c, 0 AS part, o.place, sha, n_bytes FROM f JOIN o ON o.c = f.c - f.k AND o.place < h UNION ALL SELECT f.c, 1, o.place, sha, n_bytes FROM f JOIN o ON o.c = f.c AND o.place >= h),
+w AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY part, place) AS d, count(*) OVER (PARTITION BY c) AS n FROM u),
+p AS (SELECT c, d, n, n_bytes, list(sha) OVER (PARTITION BY c ORDER BY d ROWS UNBOUNDED PRECEDING) AS path FROM w),
+m AS (SELECT f.c, 0::BIGINT AS d, coalesce(n.n, 0) AS n, 0::BIGINT AS n_bytes, []::VARCHAR[] AS path FROM f LEFT JOIN (SELECT c, max(n) AS n FROM w GROUP BY c) n ON n.c = f.c UNION ALL SELECT c, d, n, n_bytes, path FROM p),
+g AS (SELECT d, path, min(c) AS conv_id, count(*) AS n_convs, any_value(n_bytes) AS n_bytes, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE n = d), '')) AS ends_sha256 FROM m GROUP BY d, path),
+parents AS (SELECT g.*, q.conv_id AS parent_conv_id FROM g LEFT JOIN g q ON q.d = g.d - 1 AND q.path = g.path[:-2]),
+kids AS (SELECT d - 1 AS d, parent_conv_id AS conv_id, count(*) AS n_children FROM parents WHERE d > 0 GROUP BY ALL),
+k AS (SELECT parents.*, coalesce(kids.n_children, 0) AS n_children FROM parents LEFT JOIN kids USING (d, conv_id)),
+above AS (SELECT k.n_children, k.n_convs, k.n_bytes, unnest(range(0, k.d + 1)) AS d, k.path FROM k),
+r AS (SELECT d, path[:d] AS path, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum((n_convs - 1) * n_bytes) AS saved FROM above GROUP BY ALL)
+SELECT conv_id, k.d AS depth, parent_conv_id, n_convs, n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, ends_sha256 FROM k JOIN r ON r.d = k.d AND r.path = k.path""",
 }
