@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -79,3 +79,27 @@ def with_rank(df: DataFrame, order: list[Column], to: str = "rank") -> DataFrame
 def small(df: DataFrame, most: int) -> bool:
     """Whether the table has at most so many rows; a broadcast or a collect may follow only then."""
     return df.limit(most + 1).count() <= most
+
+
+def running(df: DataFrame, order: list[Column], value: Column, to: str = "running", rank: str = "rank") -> DataFrame:
+    """df (narrow rows) with each row's place from 0 in the order and the sum of the values up to it, itself included.
+
+    Rows are range-sorted and summed a partition at a time; a count and a sum for each partition go to the driver and
+    out again as offsets, so no task holds more than a partition.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    by = [*order, F.col("_run_tie")]
+    at = settle(df.withColumn("_run_value", value)).withColumn("_run_tie", F.monotonically_increasing_id())
+    at = settle(at.repartitionByRange(parts, *by).sortWithinPartitions(*by).drop("_run_tie").withColumn("_run_at", F.monotonically_increasing_id()))
+    at = at.withColumn("_run_part", F.shiftright("_run_at", 33))
+    starts, n, total = [], 0, 0
+    for row in at.groupBy("_run_part").agg(F.count(F.lit(1)).alias("n"), F.sum("_run_value").alias("sum")).orderBy("_run_part").collect():
+        starts.append((row["_run_part"], n, total))
+        n, total = n + row["n"], total + (row["sum"] or 0)
+    kind = at.schema["_run_value"].dataType.simpleString()
+    table = spark.createDataFrame(starts or [(0, 0, 0)], f"_run_part long, _run_first long, _run_sum {kind}")  # a row for each partition
+    own = F.sum("_run_value").over(Window.partitionBy("_run_part").orderBy("_run_at").rowsBetween(Window.unboundedPreceding, 0))
+    out = at.withColumn("_run_own", F.coalesce(own, F.lit(0))).join(F.broadcast(table), "_run_part")
+    out = out.withColumn(rank, F.col("_run_first") + F.col("_run_at").bitwiseAND(F.lit((1 << 33) - 1))).withColumn(to, F.col("_run_sum") + F.col("_run_own"))
+    return out.drop("_run_part", "_run_at", "_run_value", "_run_own", "_run_first", "_run_sum")

@@ -34,6 +34,27 @@ def real_change(old: str, new: str) -> Column:
     return differs("label") | differs("source_file") | differs("content_hash")
 
 
+def code_changes(before: DataFrame, after: DataFrame, key: str = "id") -> DataFrame:
+    """(key, op, changed) of nodes that a diff adds or updates: what is added is a change, what is updated only if its code is other."""
+    ops = snapshot_diff(before, after, key).where("op <> 'removed'")
+    side = lambda df, name: df.select(key, F.struct("label", "source_file", "content_hash").alias(name))
+    both = ops.join(side(before, "_old"), key, "left").join(side(after, "_new"), key)
+    return both.select(key, "op", ((F.col("op") == "added") | real_change("_old", "_new")).alias("changed"))
+
+
+def upsert_tours(tours: DataFrame, incoming: DataFrame, key: str = "id", time: str = "timestamp") -> DataFrame:
+    """Tours after others came: an id that is there already gets the row that came last (by `arrival`, a column of incoming), the newest first."""
+    cols = [c for c in tours.columns if c != key]
+    every = tours.withColumn("arrival", F.lit(-1).cast("long")).unionByName(incoming.select(*tours.columns, F.col("arrival").cast("long")))
+    last = every.groupBy(key).agg(F.max_by(F.struct(*cols), "arrival").alias("x")).select(key, "x.*")
+    return last.orderBy(F.coalesce(F.col(time), F.lit(0)).desc(), key)
+
+
+def provenance(score: Column) -> Column:
+    """How an edge of this score came to be: EXTRACTED from 1, INFERRED from 0.6 to 0.9, AMBIGUOUS from 0.1 to 0.3; scores between are UNCLASSIFIED."""
+    return F.when(score >= 1, "EXTRACTED").when(score.between(0.6, 0.9), "INFERRED").when(score.between(0.1, 0.3), "AMBIGUOUS").otherwise("UNCLASSIFIED")
+
+
 def merge_layers(layers: list[DataFrame], key: str = "id") -> DataFrame:
     """One row a key: that of the last layer that has it."""
     tagged = [df.withColumn("_layer", F.lit(i)) for i, df in enumerate(layers)]
@@ -70,9 +91,9 @@ def valid_tour(beats: Column) -> Column:
     return F.coalesce((F.size(beats) > 0) & F.forall(beats, lambda b: F.coalesce(beat(b), F.lit(False))), F.lit(False))
 
 
-def route_chunks(texts: DataFrame, files: DataFrame | None = None, strict_metadata: bool = True) -> DataFrame:
-    """(path, text) of insight files to (path, chunk, status): ok, corrupt, invalid or missing_source. Inputs stay as they are."""
-    parsed = texts.select("path", F.from_json("text", f"{CHUNK}, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("chunk"))
+def route_chunks(texts: DataFrame, files: DataFrame | None = None, strict_metadata: bool = True, keep: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    """(path, text) of insight files to (path, chunk, status), and columns to keep: ok, corrupt, invalid or missing_source. Inputs stay as they are."""
+    parsed = texts.select("path", *keep, F.from_json("text", f"{CHUNK}, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("chunk"))
     ok = valid_chunk(F.col("chunk.nodes"), F.col("chunk.edges"), strict_metadata)
     out = parsed.withColumn("status", F.when(F.col("chunk").isNull() | F.col("chunk._corrupt_record").isNotNull(), "corrupt").when(~ok, "invalid").otherwise("ok"))
     if files is None:
@@ -130,6 +151,16 @@ def reconcile_chunks(chunks: DataFrame, files: DataFrame) -> DataFrame:
     return out.select("path", "nodes", "edges", action.alias("action"))
 
 
+def reconciled(routed: DataFrame, files: DataFrame) -> DataFrame:
+    """Routed insights (path, chunk, status) without what names files that are gone: chunks that lose all nodes get status removed."""
+    good = routed.where("status = 'ok'")
+    kept = reconcile_chunks(good, files).select("path", F.col("nodes").alias("_nodes"), F.col("edges").alias("_edges"), "action")
+    out = routed.join(kept, "path", "left")
+    own = F.col("action").isNotNull()
+    chunk = F.when(own, F.col("chunk").withField("nodes", F.col("_nodes")).withField("edges", F.col("_edges"))).otherwise(F.col("chunk"))
+    return out.select("path", chunk.alias("chunk"), F.when(F.col("action") == "remove", "removed").otherwise(F.col("status")).alias("status"))
+
+
 def ingest_status(entries: DataFrame, watched: bool) -> DataFrame:
     """(path, text) to (path, status, refresh): what a batch of insights is answered."""
     routed = route_chunks(entries)

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.lineage import drop_folder, settle, shared_folder, small, with_rank, written
+from ..functions.lineage import settle, with_rank
+from .louvain import louvain
 
 # The cognitive relations that bind, at this part of their score.
 COGNITIVE = ("rationale_for", "implements", "constrains", "motivates", "contradicts", "references")
@@ -27,140 +26,16 @@ def pair_weights(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).agg(F.sum(score).alias("weight"))
 
 
-def louvain(pairs: list[tuple[str, str, float]], resolution: float = 1.0) -> dict[str, int]:
-    """node -> community, by moves of strictly positive gain in node order, then folding, until nothing moves."""
-    names = sorted({x for a, b, _ in pairs for x in (a, b)})
-    at = {n: i for i, n in enumerate(names)}
-    graph: dict[int, dict[int, float]] = {i: {} for i in range(len(names))}
-    for a, b, w in pairs:
-        for x, y in {(at[a], at[b]), (at[b], at[a])}:
-            graph[x][y] = graph[x].get(y, 0.0) + w
-    label = list(range(len(names)))
-    while graph:
-        total = sum(sum(v.values()) + v.get(i, 0.0) for i, v in graph.items())
-        degree = {i: sum(v.values()) + v.get(i, 0.0) for i, v in graph.items()}
-        home, load, moved, again = {i: i for i in graph}, dict(degree), False, True
-        while again and total:
-            again = False
-            for i in sorted(graph):
-                own = home[i]
-                load[own] -= degree[i]
-                link: dict[int, float] = defaultdict(float)
-                for j, w in graph[i].items():
-                    if j != i:
-                        link[home[j]] += w
-                gain = {c: w - resolution * load[c] * degree[i] / total for c, w in link.items()}
-                stay = gain.get(own, -resolution * load[own] * degree[i] / total)
-                best = min(gain, key=lambda c: (-gain[c], c), default=own)
-                if gain.get(best, stay) > stay + 1e-12:
-                    home[i], moved, again = best, True, True
-                load[home[i]] += degree[i]
-        if not moved:
-            break
-        fresh = {c: k for k, c in enumerate(sorted(set(home.values())))}
-        label = [fresh[home[x]] for x in label]
-        folded: dict[int, dict[int, float]] = {k: {} for k in fresh.values()}
-        for i, v in graph.items():
-            for j, w in v.items():
-                if i <= j:
-                    x, y = sorted((fresh[home[i]], fresh[home[j]]))
-                    for p, q in {(x, y), (y, x)}:
-                        folded[p][q] = folded[p].get(q, 0.0) + w
-        graph = folded
-    order: dict[int, int] = {}
-    return {n: order.setdefault(label[i], len(order)) for i, n in enumerate(names)}
-
-
-def _best_moves(pairs: DataFrame, degree: DataFrame, home: DataFrame, total: float, resolution: float) -> DataFrame:
-    """(node, own, best) of the nodes for which another community than their own has more gain."""
-    load = home.join(degree, "node").groupBy("home").agg(F.sum("k").alias("load"))
-    both = pairs.select("a", "b", "weight").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")).where("a <> b")
-    links = both.join(home.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node"), "home").agg(F.sum("weight").alias("w"))
-    links = links.unionByName(home.select("node", "home", F.lit(0.0).alias("w"))).groupBy("node", "home").agg(F.sum("w").alias("w"))
-    every = links.join(load, "home").join(degree, "node").join(home.withColumnRenamed("home", "own"), "node")
-    others = F.col("load") - F.when(F.col("home") == F.col("own"), F.col("k")).otherwise(0.0)
-    every = every.withColumn("gain", F.col("w") - F.lit(resolution / total) * others * F.col("k"))
-    best = every.groupBy("node", "own").agg(F.min_by(F.struct("home", "gain"), F.struct(-F.col("gain"), "home")).alias("best"), F.max(F.when(F.col("home") == F.col("own"), F.col("gain"))).alias("stay"))
-    return best.where(F.col("best.gain") > F.col("stay") + 1e-9).select("node", "own", F.col("best.home").alias("best"))
-
-
-def _quality(pairs: DataFrame, home: DataFrame, total: float, resolution: float) -> float:
-    """Modularity of a clustering; only sums go to the driver."""
-    named = pairs.join(home.select(F.col("node").alias("a"), F.col("home").alias("ha")), "a").join(home.select(F.col("node").alias("b"), F.col("home").alias("hb")), "b")
-    inside = named.agg(F.sum(F.when(F.col("ha") == F.col("hb"), F.col("weight") * 2))).first()[0] or 0.0
-    ends = named.select("ha", "weight").unionByName(named.select(F.col("hb").alias("ha"), "weight")).groupBy("ha").agg(F.sum("weight").alias("load"))
-    return inside / total - resolution * (ends.agg(F.sum(F.col("load") * F.col("load"))).first()[0] or 0.0) / total**2
-
-
-def louvain_rounds(weights: DataFrame, resolution: float = 1.0) -> DataFrame:
-    """(node, label) of the nodes of (a, b, weight), by Louvain over tables: no node, pair or community goes to the driver.
-
-    In a round each node looks for the community of most gain. Neighbours that move at once could trade places for ever,
-    so of those that want to move only a part does, chosen by a hash of node and round; a level ends when none wants to
-    or when four rounds have brought no more modularity, with the best clustering found. Communities are then folded
-    into nodes, until a level joins nothing.
-    """
-    folder = shared_folder(weights.sparkSession, "louvain")
-    pairs = written(weights.select("a", "b", F.col("weight").cast("double").alias("weight")), folder)
-    ends = lambda p: p.select(F.col("a").alias("node"), "weight").unionByName(p.select(F.col("b").alias("node"), "weight"))
-    label = written(ends(pairs).select("node", F.col("node").alias("label")).distinct(), folder)
-    total = (pairs.agg(F.sum("weight")).first()[0] or 0.0) * 2
-    while total > 0:
-        degree = written(ends(pairs).groupBy("node").agg(F.sum("weight").alias("k")), folder)
-        home = degree.select("node", F.col("node").alias("home"))
-        top, best, idle, turn = _quality(pairs, home, total, resolution), None, 0, 0
-        while idle < 4:
-            moves = written(_best_moves(pairs, degree, home, total, resolution), folder)
-            if moves.isEmpty():
-                break
-            turn += 1
-            # Two in three may move, towards smaller names in odd rounds and larger ones in even ones, so two can't swap.
-            way = F.col("best") < F.col("own") if turn % 2 else F.col("best") > F.col("own")
-            some = moves.where(way & (F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(3)) != 0)).select("node", "best")
-            home = written(home.join(some, "node", "left").select("node", F.coalesce("best", "home").alias("home")), folder)
-            now = _quality(pairs, home, total, resolution)
-            if now > top + 1e-12:
-                top, best, idle = now, home, 0
-            else:
-                idle += 1
-        if best is None:
-            break
-        label = written(label.join(best.withColumnRenamed("node", "label"), "label").select("node", F.col("home").alias("label")), folder)
-        named = pairs.join(best.select(F.col("node").alias("a"), F.col("home").alias("ha")), "a").join(best.select(F.col("node").alias("b"), F.col("home").alias("hb")), "b")
-        pairs = written(named.groupBy(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b")).agg(F.sum("weight").alias("weight")), folder)
-    label = settle(label)
-    drop_folder(weights.sparkSession, folder)
-    return label
-
-
-def detect(nodes: DataFrame, edges: DataFrame, driver_edges: int = 500_000) -> DataFrame:
-    """(node, community) of all nodes, by Louvain: node after node on the driver up to driver_edges pairs, by rounds over tables beyond.
-
-    Both ways end where no move of a node gains, but as Louvain's result hangs on the order of moves they need not be equal.
-    """
-    weights = settle(pair_weights(clustering_edges(edges)))
+def detect(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, community) of all nodes, numbered from 0 by their smallest nodes; a node without binding edges is one of its own."""
+    labels = louvain(settle(pair_weights(clustering_edges(edges))))
     ids = nodes.select(F.col("id").alias("node")).distinct()
-    if small(weights, driver_edges):
-        found = louvain([tuple(r) for r in weights.orderBy("a", "b").collect()])
-        labels = nodes.sparkSession.createDataFrame(sorted(found.items()), "node string, label long")
-    else:
-        labels = louvain_rounds(weights)
     out = ids.join(labels, "node", "left").select("node", F.coalesce(F.col("label").cast("string"), F.concat(F.lit("~"), F.col("node"))).alias("name"))
     out = settle(out)
     ranked = with_rank(out.groupBy("name").agg(F.min("node").alias("first")), [F.col("first")], "community")
     return out.join(ranked.select("name", "community"), "name").select("node", "community")
 
 
-def modularity(pairs: list[tuple[str, str, float]], label: dict[str, int]) -> float:
-    total, inside, load = 0.0, 0.0, defaultdict(float)
-    for a, b, w in pairs:
-        total += 2 * w
-        inside += 2 * w * (label[a] == label[b])
-        load[label[a]] += w
-        load[label[b]] += w
-    return inside / total - sum(x * x for x in load.values()) / total**2 if total else 0.0
-
-
 def jaccard(new: DataFrame, old: DataFrame) -> DataFrame:
     """(new, old, score) of communities (node, community) that share nodes."""
     n = new.groupBy(F.col("community").alias("new")).agg(F.count(F.lit(1)).alias("n"))

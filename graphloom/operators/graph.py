@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.lineage import settle, small
+from ..functions.lineage import ranked as ranked_rows
+from ..functions.lineage import settle, small, with_rank
+from .cycles import strong_components
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -81,10 +83,11 @@ def warnings_sorted(edges: DataFrame) -> DataFrame:
 
 
 def neighbours(edges: DataFrame, node: str) -> DataFrame:
-    """(direction, other, relation, score) of a node, the first edge of each by position."""
-    out = edges.where(F.col("source") == node).select(F.lit("out").alias("direction"), F.col("target").alias("other"), "relation", "score", "type")
-    into = edges.where(F.col("target") == node).select(F.lit("in").alias("direction"), F.col("source").alias("other"), "relation", "score", "type")
-    first = F.min_by("score", F.struct("type", "score")).alias("score")
+    """(direction, other, relation, score) of a node, the first edge of each: by position, where edges have one, then by type and score."""
+    at = F.col("position") if "position" in edges.columns else F.lit(0)
+    ends = lambda here, there, way: edges.where(F.col(here) == node).select(F.lit(way).alias("direction"), F.col(there).alias("other"), "relation", "score", "type", at.alias("at"))
+    out, into = ends("source", "target", "out"), ends("target", "source", "in")
+    first = F.min_by("score", F.struct("at", "type", "score")).alias("score")
     return out.unionByName(into).groupBy("direction", "other", "relation").agg(first)
 
 
@@ -104,9 +107,14 @@ def tiers(nodes: DataFrame, edges: DataFrame, core: DataFrame) -> DataFrame:
 # ---- reachability ------------------------------------------------------------------------------------------------
 
 
+def imported(edges: DataFrame, relation: str = "imports") -> DataFrame:
+    """Physical edges of the relation: no others make a file depend on another."""
+    return edges.where((F.col("type") == "PHYSICAL") & (F.col("relation") == relation))
+
+
 def dependents(edges: DataFrame, start: str, relation: str = "imports") -> DataFrame:
-    """(node) from which the start can be reached over the relation, frontier by frontier; the start only if on a cycle."""
-    back = edges.where(F.col("relation") == relation).select(F.col("target").alias("at"), F.col("source").alias("node")).distinct()
+    """(node) from which the start can be reached over physical edges of the relation, frontier by frontier; the start only if on a cycle."""
+    back = imported(edges, relation).select(F.col("target").alias("at"), F.col("source").alias("node")).distinct()
     front = settle(back.where(F.col("at") == start).select("node").distinct())
     seen = front
     while not front.isEmpty():
@@ -117,8 +125,11 @@ def dependents(edges: DataFrame, start: str, relation: str = "imports") -> DataF
 
 
 def all_dependents(edges: DataFrame, relation: str = "imports") -> DataFrame:
-    """(root, node): node reaches root, for all roots at once. Paths double in length each round, so rounds are few."""
-    reach = settle(edges.where(F.col("relation") == relation).select(F.col("target").alias("root"), F.col("source").alias("node")).distinct())
+    """(root, node): node reaches root, for all roots at once; reach.dependent_counts counts without the pairs.
+
+    Paths double in length each round, so rounds are few.
+    """
+    reach = settle(imported(edges, relation).select(F.col("target").alias("root"), F.col("source").alias("node")).distinct())
     size = reach.count()
     while True:
         far = reach.alias("a").join(reach.alias("b"), F.col("a.node") == F.col("b.root")).select(F.col("a.root"), F.col("b.node"))
@@ -196,61 +207,17 @@ def tarjan(pairs: list[tuple[str, str]]) -> dict[str, str]:
     return out
 
 
-def _trimmed(pairs: DataFrame) -> DataFrame:
-    """(a, b) without nodes that nothing leads to or that lead nowhere: no cycle passes them."""
-    size = pairs.count()
-    while True:
-        heads, tails = pairs.select(F.col("b").alias("x")).distinct(), pairs.select(F.col("a").alias("x")).distinct()
-        pairs = settle(pairs.join(heads, pairs["a"] == heads["x"], "left_semi").join(tails, pairs["b"] == tails["x"], "left_semi"))
-        size, before = pairs.count(), size
-        if size == before:
-            return pairs
-
-
-def _spread(labels: DataFrame, pairs: DataFrame, give: str, take: str) -> DataFrame:
-    """The smallest label that reaches each node along the pairs, by rounds."""
-    while True:
-        came = pairs.join(labels, pairs[give] == labels["node"]).select(pairs[take].alias("node"), "label")
-        new = settle(labels.unionByName(came).groupBy("node").agg(F.min("label").alias("label")))
-        changed = new.join(labels, ["node", "label"], "left_anti")
-        done, labels = changed.isEmpty(), new
-        if done:
-            return labels
-
-
 def components(pairs: DataFrame, driver_edges: int = 200_000) -> DataFrame:
     """(node, component) of nodes on cycles of several nodes, over (source, target); component is the smallest node.
 
-    Edges go to the driver if there are at most driver_edges of them, else what trimming leaves if that is so. A larger
-    core is taken apart in rounds: the smallest label that reaches a node colours it, and what also reaches a colour's
-    namesake within the colour is its component.
+    Up to driver_edges different edges go to the driver; more, and the components are found over tables, with the same
+    result (cycles.strong_components). 0 takes that way always.
     """
-    spark = pairs.sparkSession
-    core = settle(pairs.select(F.col("source").alias("a"), F.col("target").alias("b")).where("a <> b").distinct())
+    core = settle(pairs.select("source", "target").where("source <> target").distinct())
     if not (driver_edges and small(core, driver_edges)):
-        core = _trimmed(core)
-    if driver_edges and small(core, driver_edges):
-        found = tarjan([(r.a, r.b) for r in core.collect()])
-        out = spark.createDataFrame(sorted(found.items()), "node string, component string")
-    else:
-        out = spark.createDataFrame([], "node string, component string")
-        while not core.isEmpty():
-            start = core.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node"))
-            colour = _spread(settle(start), core, "a", "b")
-            left = colour.withColumnRenamed("label", "ca")
-            right = colour.select(F.col("node").alias("n2"), F.col("label").alias("cb"))
-            same = settle(core.join(left, core["a"] == left["node"]).drop("node").join(right, F.col("b") == right["n2"]).where("ca = cb").select("a", "b"))
-            back = colour.where("node = label")
-            while True:
-                came = same.join(back, same["b"] == back["node"]).select(F.col("a").alias("node"), "label")
-                new = settle(back.unionByName(came).distinct())
-                done, back = new.count() == back.count(), new
-                if done:
-                    break
-            out = settle(out.unionByName(back.select("node", F.col("label").alias("component"))))
-            gone = back.select(F.col("node").alias("x"))
-            core = core.join(gone, core["a"] == gone["x"], "left_anti").join(gone, core["b"] == gone["x"], "left_anti")
-            core = _trimmed(settle(core))
+        return strong_components(core)
+    found = tarjan([(r.source, r.target) for r in core.collect()])
+    out = pairs.sparkSession.createDataFrame(sorted(found.items()), "node string, component string")
     sizes = out.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     return out.join(sizes, "component").select("node", "component", "size")
 
@@ -345,6 +312,13 @@ def node_sizes(nodes: DataFrame, edges: DataFrame, hub_ids: DataFrame) -> DataFr
     return joined.select("id", F.least(F.lit(22.0), F.greatest(least, F.lit(4.0) + F.lit(1.8) * F.sqrt(F.coalesce("degree", F.lit(0))))).alias("size"))
 
 
+def layout_members(nodes: DataFrame) -> DataFrame:
+    """(id, community_index, n_communities, i) of nodes (id, community): communities in the order of their numbers, nodes over the whole table by id."""
+    rows = nodes.select("id", F.coalesce("community", F.lit(0)).alias("community"))
+    groups, n = ranked_rows(rows.select("community").distinct(), [F.col("community")], "community_index")
+    return with_rank(rows, [F.col("id")], "i").join(groups, "community").select("id", "community_index", F.lit(n).alias("n_communities"), "i")
+
+
 def seed_layout(members: DataFrame) -> DataFrame:
     """(id, x, y) from (id, community_index, n_communities, i): a ring of anchors (the centre for one community), and a golden-angle spiral around each."""
     ring = F.when(F.col("n_communities") <= 1, F.lit(0.0)).otherwise(F.lit(120.0) + F.lit(45.0) * F.col("n_communities"))

@@ -144,7 +144,7 @@ def _namespace_members(calls: DataFrame, target: DataFrame, exports: DataFrame |
     """(ns_file, callee, ns_id) of two-part member calls: where each namespace's member is declared."""
     asked = calls.where("is_member AND parts = 2 AND ns_file IS NOT NULL").select("ns_file", "callee").distinct()
     asked = asked.select("ns_file", "callee", F.col("ns_file").alias("file"), F.element_at(F.split("callee", r"\."), -1).alias("symbol"))
-    if exports is not None:
+    if exports is not None and not asked.isEmpty():
         requests = asked.select(F.struct("ns_file", "callee").alias("req_id"), "file", "symbol")
         asked = unwrap_reexports(requests, exports).select("req_id.*", "file", "symbol")
     if defaults is not None:
@@ -177,7 +177,8 @@ def call_edges(calls: DataFrame, symbols: DataFrame, binds: DataFrame, exports:
        file's default symbol (df, default_symbol); other two-part member calls are dropped
     2. a symbol of the same file, the last of its name   3. a binding of the file
     4. for plain calls, the only symbol of that name anywhere (score 0.8, others 1.0)
-    Callees too common to mean one function pass the first tier only; calls of oneself give no edge.
+    Callees too common to mean one function pass the first tier only; calls of oneself give no edge. A plain call of a
+    namespace's name matches its binding, which means no symbol, so it gives no edge either.
     """
     last = F.lower(F.element_at(F.split("callee", r"\."), -1))
     parts = F.size(F.split("callee", r"\."))
@@ -196,6 +197,6 @@ def call_edges(calls: DataFrame, symbols: DataFrame, binds: DataFrame, exports:
     usual = ~F.col("name").isin(*GENERIC)
     tier = F.when(two & F.col("ns_file").isNotNull(), 1).when(two, 0).when(~usual, 0).when(F.col("local_id").isNotNull(), 2).when(F.col("target_file").isNotNull(), 3).when(~F.col("is_member") & F.col("only_id").isNotNull(), 4).otherwise(0)
     c = c.withColumn("tier", tier)
-    found = F.when(F.col("tier") == 1, F.col("ns_id")).when(F.col("tier") == 2, F.col("local_id")).when(F.col("tier") == 3, F.col("target_id")).when(F.col("tier") == 4, F.col("only_id"))
+    found = F.when(F.col("tier") == 1, F.col("ns_id")).when(F.col("tier") == 2, F.col("local_id")).when((F.col("tier") == 3) & (F.col("kind") != "namespace"), F.col("target_id")).when(F.col("tier") == 4, F.col("only_id"))
     out = c.select(F.col("caller_file").alias("source_file"), found.alias("target"), F.when(F.col("tier") == 4, 0.8).otherwise(1.0).alias("score"), "pos").where("target IS NOT NULL")
     return out.groupBy("source_file", "target").agg(F.min_by("score", "pos").alias("score"))

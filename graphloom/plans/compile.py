@@ -29,6 +29,8 @@ class Config:
     cache: str | None = None
     state: str | None = None
     driver_edges: int = 200_000
+    #: At the start of a service insights lose what names files that are gone; later such an insight is left out whole.
+    startup: bool = False
 
 
 def extract_cached(files: DataFrame, cache: str | None) -> DataFrame:
@@ -113,7 +115,12 @@ def compile_graph(spark: SparkSession, cfg: Config, previous: DataFrame | None =
     edges = contains.unionByName(import_edges).unionByName(call_edges)
     chunks = None
     if cfg.insights:
-        chunks = settle(change.route_chunks(sources.read_insights(spark, cfg.insights)))
+        there = settle(sources.listing(spark, cfg.root))
+        texts = sources.read_insights(spark, cfg.insights)
+        if cfg.startup:
+            chunks = settle(change.reconciled(change.route_chunks(texts), there))
+        else:
+            chunks = settle(change.route_chunks(texts, there))
         extra, links = change.chunk_graph(chunks)
         nodes = change.merge_layers([nodes, extra.select("id", "label", "file_type", "source_file", "source_location")])
         docs, doc_edges = change.derive_documents(nodes)
@@ -130,7 +137,8 @@ def compile_graph(spark: SparkSession, cfg: Config, previous: DataFrame | None =
         sources.write_generation(groups, state)
     nodes = nodes.join(groups.withColumnRenamed("node", "id"), "id", "left")
     every = settle(graph.prune_dangling(nodes, edges.unionByName(suspicious, allowMissingColumns=True)))
-    return Graph(settle(nodes), every, hub_ids, cfg.rules, chunks)
+    default_exports = defaults.select(F.col("df").alias("file"), F.col("default_symbol").alias("symbol"))
+    return Graph(settle(nodes), every, hub_ids, cfg.rules, chunks, imports=imports, exports=exports, bindings=binds, default_exports=default_exports)
 
 
 def find_suspicious(nodes: DataFrame, edges: DataFrame, cfg: Config) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,21 +13,28 @@ TEXT_CHARS = 4  # characters that count as a token
 
 
 def clamp(value: object, default: int, low: int, high: int) -> int:
-    """A whole number from a parameter: 0 and what is none mean the default; then within bounds."""
-    try:
-        n = int(str(value)) or default
-    except ValueError:
-        n = default
-    return max(low, min(high, n))
+    """The whole number that a parameter begins with: 0 and what begins with none mean the default; then within bounds."""
+    found = re.match(r"\s*([+-]?[0-9]+)", str(value))
+    return max(low, min(high, int(found[1]) if found and int(found[1]) else default))
 
 
 class Graph:
-    """nodes (with community), edges, hub ids (node) and rules. Every answer is a DataFrame, or text where that is asked for."""
+    """nodes (with community), edges, hub ids (node) and rules. Every answer is a DataFrame, or text where that is asked for.
+
+    A compiled graph also has what it was made of: imports as they stand in the files (caller, kind, local, imported,
+    specifier, pos), exports (file, symbol, target_file, target_symbol, star_pos, pos), bindings (caller, local_key,
+    target_file, target_symbol, kind) and default_exports (file, symbol).
+    """
 
-    def __init__(self, nodes: DataFrame, edges: DataFrame, hubs: DataFrame | None = None, rule_list: list | None = None, chunks: DataFrame | None = None):
+    def __init__(self, nodes: DataFrame, edges: DataFrame, hubs: DataFrame | None = None, rule_list: list | None = None, chunks: DataFrame | None = None, **made_of: DataFrame):
         self.nodes, self.edges, self.rules, self.chunks = nodes, edges, rule_list or [], chunks
+        self.imports, self.exports, self.bindings, self.default_exports = (made_of.get(x) for x in ("imports", "exports", "bindings", "default_exports"))
         self.hubs = hubs if hubs is not None else graph.hubs(edges)
 
+    @property
+    def communities(self) -> DataFrame:
+        return self.nodes.select(F.col("id").alias("node"), "community")
+
     def register(self, prefix: str = "") -> None:
         """Views nodes, edges and hubs for SQL."""
         for name in ("nodes", "edges", "hubs"):

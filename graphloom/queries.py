@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from .functions import ids
 from .functions.lineage import settle, shared_folder, with_rank
-from .operators import change, community, graph, resolve, rules
+from .operators import change, community, graph, reach, resolve, rules
+from .operators.resolve import GENERIC
 from .plans import projections as P
 from .plans.compile import with_files
 from .plans.serve import Graph
@@ -48,14 +49,14 @@ filed AS (SELECT e.source, e.target, a.source_file AS from_file, b.source_file A
 hits AS (SELECT *, CASE WHEN regexp_matches(from_file, '^ASIA/.*$') AND regexp_matches(to_file, '^MIDDLE EAST/.*$') THEN 0 WHEN regexp_matches(to_file, '^AMERICA/.*$') AND to_file <> 'AMERICA/NATION_11' THEN 1 WHEN regexp_matches(from_file, '^MIDDLE EAST/.*$') THEN 2 END AS rule_pos FROM filed)"""
 
 
-def reach(edges: str, name: str = "reach") -> str:
+def reaching(edges: str, name: str = "reach") -> str:
     return f"{name} AS (SELECT source AS node, target AS root FROM {edges} UNION SELECT e.source, r.root FROM {edges} e JOIN {name} r ON e.target = r.node)"
 
 
 def cyc(edges: str) -> str:
     """Cycle edges of a table of edges, through mutual reachability."""
     return (
-        reach(edges)
+        reaching(edges)
         + f""",
 mutual AS (SELECT a.node, a.root AS other FROM reach a JOIN reach b ON a.node = b.root AND a.root = b.node WHERE a.node <> a.root),
 comp AS (SELECT node, least(node, min(other)) AS component, count(DISTINCT other) + 1 AS size FROM mutual GROUP BY node),
@@ -130,9 +131,13 @@ def induced_edges(spark, sf):
     return graph.induced_edges(nodes, P.tree_edges(spark, sf)).select("source", "target")
 
 
-@query(f"WITH {TRADE} SELECT 'out' AS direction, target AS other, relation, min(score) AS score FROM tedges WHERE source = 'nation_7' GROUP BY ALL UNION ALL SELECT 'in', source, relation, min(score) FROM tedges WHERE target = 'nation_7' GROUP BY ALL")
+@query(f"""WITH {TRADE}, twice AS (SELECT source, target, relation, 2 AS position, score FROM tedges UNION ALL SELECT source, target, relation, 1, CAST(0.5 AS DOUBLE) FROM tedges)
+SELECT 'out' AS direction, target AS other, relation, arg_min(score, position) AS score FROM twice WHERE source = 'nation_7' GROUP BY ALL UNION ALL SELECT 'in', source, relation, arg_min(score, position) FROM twice WHERE target = 'nation_7' GROUP BY ALL""")
 def neighbors_in_out(spark, sf):
-    return graph.neighbours(P.trade_edges(spark, sf), "nation_7")
+    """Every edge twice, the one that stands first with another score and a type that sorts last."""
+    edges = P.trade_edges(spark, sf)
+    first = edges.withColumns({"position": F.lit(1), "score": F.lit(0.5), "type": F.lit("SUSPICIOUS")})
+    return graph.neighbours(edges.withColumn("position", F.lit(2)).unionByName(first), "nation_7")
 
 
 @query(f"WITH {TRADE}, near AS (SELECT target AS n FROM tedges WHERE source = 'nation_7' UNION SELECT source FROM tedges WHERE target = 'nation_7') SELECT id, CAST(CASE WHEN id = 'nation_7' THEN 2 WHEN id IN (FROM near) THEN 1 ELSE 0 END AS BIGINT) AS tier FROM tnodes")
@@ -168,6 +173,12 @@ def cycle_edges_next(spark, sf):
     return graph.cycle_edges(P.next_edges(spark, sf)).select("source", "target", "component", big("size"), F.round("score", 6).alias("score"))
 
 
+@query(f"WITH RECURSIVE {NEXT}, {cyc('nedges')} SELECT source, target, component, CAST(size AS BIGINT) AS size, round(score, 6) AS score FROM cyc")
+def cycle_edges_far(spark, sf):
+    """The cycles of cycle_edges_next, found over tables: no edge goes to the driver."""
+    return graph.cycle_edges(P.next_edges(spark, sf), driver_edges=0).select("source", "target", "component", big("size"), F.round("score", 6).alias("score"))
+
+
 @query(f"WITH RECURSIVE {NEXT}, {cyc('nedges')} SELECT 'cycle_'||string_agg(DISTINCT source, '_' ORDER BY source) AS key, count(*) AS n_edges, round(max(score), 6) AS score FROM cyc GROUP BY component")
 def warning_groups(spark, sf):
     return graph.warning_groups(graph.cycle_edges(P.next_edges(spark, sf))).select("key", "n_edges", F.round("score", 6).alias("score"))
@@ -178,14 +189,29 @@ def cycle_walk(spark, sf):
     return graph.warning_groups(graph.cycle_edges(P.trade_edges(spark, sf)), walks=True).select("key", F.array_join("walk", ",").alias("walk"))
 
 
-@query(f"WITH RECURSIVE {TRADE}, {reach('tedges')} SELECT root, node FROM reach")
+def _and_others(edges):
+    """Edges and, the other way round, ones that make nothing depend on another: cognitive imports and physical calls."""
+    back = edges.select(F.col("target").alias("source"), F.col("source").alias("target"), "relation", "type", "score")
+    return edges.unionByName(back.withColumn("type", F.lit("COGNITIVE"))).unionByName(back.withColumn("relation", F.lit("calls")))
+
+
+@query(f"WITH RECURSIVE {TRADE}, {reaching('tedges')} SELECT root, node FROM reach")
 def blast_radius_all(spark, sf):
-    return graph.all_dependents(P.trade_edges(spark, sf)).select("root", "node")
+    return graph.all_dependents(_and_others(P.trade_edges(spark, sf))).select("root", "node")
+
+
+@query(f"""WITH RECURSIVE {NEXT}, {reaching('nedges')}, n AS (SELECT root, count(*) AS n, bool_or(node = root) AS ring FROM reach GROUP BY root),
+f AS (SELECT e.node, coalesce(n, 0) AS n, coalesce(ring, false) AS ring FROM (SELECT source AS node FROM nedges UNION SELECT target FROM nedges) e LEFT JOIN n ON e.node = root)
+SELECT node, CASE WHEN n + (NOT ring)::INT <= 512 THEN n END AS dependents, n + (NOT ring)::INT <= 512 AS exact FROM f""")
+def blast_counts(spark, sf):
+    """How many nodes lead to each, without pairs. Counts that are estimates are null here, so that SQL can say the same; tests hold them against their stated error."""
+    out = reach.dependent_counts(_and_others(P.next_edges(spark, sf)))
+    return out.select("node", F.when(F.col("exact"), F.col("dependents")).alias("dependents"), "exact")
 
 
 @query(f"WITH RECURSIVE {NEXT}, r AS (SELECT source AS node FROM nedges WHERE target = 'part_1' UNION SELECT e.source FROM nedges e JOIN r ON e.target = r.node) SELECT node FROM r")
 def blast_radius(spark, sf):
-    return graph.dependents(P.next_edges(spark, sf), "part_1")
+    return graph.dependents(_and_others(P.next_edges(spark, sf)), "part_1")
 
 
 _HOP = "step AS (SELECT source AS a, target AS b FROM redges UNION SELECT target, source FROM redges), hop AS (SELECT 'nation_7' AS node, 0 AS d UNION SELECT b, d + 1 FROM hop JOIN step ON node = a WHERE d < 2), near AS (SELECT node, min(d) AS distance FROM hop GROUP BY node)"
@@ -384,6 +410,32 @@ def session_bursts(spark, sf):
     return change.bursts(e, "user_id", "ts", "120 minutes").select("user_id", F.unix_millis("start").alias("start_ms"), "n")
 
 
+_PARTS = """before AS (SELECT p_partkey AS id, p_name AS label, p_brand AS source_file, CAST(p_size AS VARCHAR) AS content_hash, p_partkey % 5 AS community FROM part WHERE p_partkey % 10 <> 0),
+after AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 11 = 0 THEN 'new' ELSE p_name END AS label, CASE WHEN p_partkey % 13 = 0 THEN NULL ELSE p_brand END AS source_file, CASE WHEN p_partkey % 17 = 0 THEN NULL ELSE CAST(p_size AS VARCHAR) END AS content_hash, p_partkey % 3 AS community FROM part WHERE p_partkey % 10 <> 1)"""
+
+
+@query(f"""WITH {_PARTS} SELECT a.id, CASE WHEN b.id IS NULL THEN 'added' ELSE 'updated' END AS op, b.id IS NULL OR a.label IS DISTINCT FROM b.label OR a.source_file IS DISTINCT FROM b.source_file OR a.content_hash IS DISTINCT FROM b.content_hash AS changed FROM after a LEFT JOIN before b ON a.id = b.id
+WHERE b.id IS NULL OR a.label IS DISTINCT FROM b.label OR a.source_file IS DISTINCT FROM b.source_file OR a.content_hash IS DISTINCT FROM b.content_hash OR a.community <> b.community""")
+def code_changes(spark, sf):
+    """New labels, lost files and lost hashes are changes of code; another community is none."""
+    k, none = F.col("p_partkey"), F.lit(None).cast("string")
+    size = F.col("p_size").cast("string")
+    make = lambda df, label, file, content, m: df.select(k.alias("id"), label.alias("label"), file.alias("source_file"), content.alias("content_hash"), (k % m).alias("community"))
+    part = P.read(spark, sf, "part")
+    before = make(part.where(k % 10 != 0), F.col("p_name"), F.col("p_brand"), size, 5)
+    after = make(part.where(k % 10 != 1), F.when(k % 11 == 0, "new").otherwise(F.col("p_name")), F.when(k % 13 == 0, none).otherwise(F.col("p_brand")), F.when(k % 17 == 0, none).otherwise(size), 3)
+    return change.code_changes(before, after)
+
+
+@query("""WITH every AS (SELECT o_custkey AS id, CAST(o_orderkey AS BIGINT) AS arrival, o_orderpriority AS title, epoch_ms(CAST(o_orderdate AS TIMESTAMP)) AS ts FROM orders UNION ALL SELECT c_custkey, -1, c_name, NULL FROM customer)
+SELECT id, arg_max(title, arrival) AS title, arg_max(coalesce(ts, 0), arrival) AS "timestamp" FROM every GROUP BY id""")
+def tour_upsert(spark, sf):
+    """Customers are tours, and each order is a message that replaces its customer's."""
+    tours = P.read(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("title"), F.lit(None).cast("long").alias("timestamp"))
+    came = P.read(spark, sf, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderpriority").alias("title"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("timestamp"), F.col("o_orderkey").alias("arrival"))
+    return change.upsert_tours(tours, came).select("id", "title", F.coalesce("timestamp", F.lit(0).cast("long")).alias("timestamp"))
+
+
 @query("SELECT conv_id, CAST(max(turn) AS BIGINT) AS ts FROM conversations GROUP BY conv_id ORDER BY ts DESC, conv_id LIMIT 50")
 def tour_retention(spark, sf):
     tours = P.read(spark, sf, "conversations").groupBy("conv_id").agg(F.max("turn").cast("long").alias("ts"))
@@ -464,13 +516,13 @@ def reexport_stars(spark, sf):
     return resolve.unwrap_reexports(requests, exports)
 
 
-_CALLS = """sym AS (SELECT 's'||p_partkey AS id, CASE WHEN p_partkey % 97 < 44 THEN list_extract(generic, 1 + p_partkey % 97) ELSE 'fn'||(p_partkey % 97) END AS label, 'f'||(p_partkey % 31) AS file, p_partkey AS pos FROM part, stop),
+_CALLS = """sym AS (SELECT 's'||p_partkey AS id, CASE WHEN p_partkey % 97 < 44 THEN list_extract(generic, 1 + p_partkey % 97) ELSE 'fn'||(p_partkey % 97) END AS label, 'f'||(p_partkey % 31) AS file, p_partkey AS pos FROM part, stop UNION ALL SELECT 'n'||n_nationkey, 'ns'||n_nationkey, 'f'||((n_nationkey + 1) % 31), 0 FROM nation WHERE n_nationkey % 3 = 0),
 binds AS (SELECT 'f'||(n_nationkey % 31) AS caller, CASE WHEN n_nationkey % 3 = 0 THEN 'ns'||n_nationkey ELSE 'fn'||(n_nationkey * 4) END AS name, 'f'||((n_nationkey + 1) % 31) AS tf, n_nationkey % 3 = 0 AS ns FROM nation),
 led AS (SELECT 'f'||((n_nationkey + 1) % 31) AS file, 'lent' AS symbol, 'f'||((n_nationkey + 2) % 31) AS to_file, 'fn'||(44 + n_nationkey % 53) AS to_symbol FROM nation WHERE n_nationkey % 3 = 0),
-calls AS (SELECT DISTINCT 'f'||(l_orderkey % 31) AS caller, CASE l_suppkey % 6 WHEN 0 THEN 'ns'||(l_orderkey % 31)||'.'||CASE WHEN l_partkey % 2 = 0 THEN 'lent' ELSE 'FN'||(l_partkey % 120) END WHEN 1 THEN 'odd.fn'||(l_partkey % 120) WHEN 2 THEN 'a.b.fn'||(l_partkey % 120) WHEN 3 THEN list_extract(generic, 1 + CAST(l_partkey % 44 AS INT)) ELSE 'fn'||(l_partkey % 120) END AS callee FROM lineitem, stop),
+calls AS (SELECT DISTINCT 'f'||(l_orderkey % 31) AS caller, CASE l_suppkey % 6 WHEN 0 THEN 'ns'||(l_orderkey % 31)||'.'||CASE WHEN l_partkey % 2 = 0 THEN 'lent' ELSE 'FN'||(l_partkey % 120) END WHEN 1 THEN 'odd.fn'||(l_partkey % 120) WHEN 2 THEN 'a.b.fn'||(l_partkey % 120) WHEN 3 THEN list_extract(generic, 1 + CAST(l_partkey % 44 AS INT)) ELSE 'fn'||(l_partkey % 120) END AS callee FROM lineitem, stop UNION SELECT 'f'||(n_nationkey % 31), 'ns'||n_nationkey FROM nation WHERE n_nationkey % 3 = 0),
 parts AS (SELECT caller, callee, lower(list_extract(string_split(callee, '.'), -1)) AS name, list_extract(string_split(callee, '.'), 1) AS head, len(string_split(callee, '.')) AS n FROM calls),
 local AS (SELECT file, lower(label) AS label, arg_max(id, pos) AS id FROM sym GROUP BY 1, 2), only_ AS (SELECT lower(label) AS label, min(id) AS id FROM sym GROUP BY 1 HAVING count(*) = 1),
-tiers AS (SELECT p.caller, CASE WHEN n = 2 AND s.tf IS NULL THEN NULL WHEN n = 2 THEN m.id WHEN list_contains(generic, p.name) THEN NULL WHEN l.id IS NOT NULL THEN l.id WHEN b.tf IS NOT NULL THEN t.id WHEN n = 1 THEN o.id END AS target, n = 1 AND NOT list_contains(generic, p.name) AND l.id IS NULL AND b.tf IS NULL AS wide
+tiers AS (SELECT p.caller, CASE WHEN n = 2 AND s.tf IS NULL THEN NULL WHEN n = 2 THEN m.id WHEN list_contains(generic, p.name) THEN NULL WHEN l.id IS NOT NULL THEN l.id WHEN b.ns THEN NULL WHEN b.tf IS NOT NULL THEN t.id WHEN n = 1 THEN o.id END AS target, n = 1 AND NOT list_contains(generic, p.name) AND l.id IS NULL AND b.tf IS NULL AS wide
  FROM parts p CROSS JOIN stop LEFT JOIN binds s ON s.ns AND s.caller = p.caller AND s.name = p.head AND n = 2 LEFT JOIN led r ON r.file = s.tf AND r.symbol = p.name LEFT JOIN local m ON m.file = coalesce(r.to_file, s.tf) AND m.label = coalesce(r.to_symbol, p.name)
  LEFT JOIN local l ON l.file = p.caller AND l.label = p.name LEFT JOIN binds b ON b.caller = p.caller AND b.name = p.name LEFT JOIN local t ON t.file = b.tf AND t.label = p.name LEFT JOIN only_ o ON o.label = p.name)"""
 
@@ -479,16 +531,9 @@ def _stop() -> str:
     return "stop AS (SELECT [" + ", ".join(f"'{x}'" for x in GENERIC) + "] AS generic)"
 
 
-# The stop-list again, as the SQL has to say it by itself.
-GENERIC = (
-    "map get set init push pop foreach filter reduce find some every includes slice splice concat join sort reverse flat flatmap keys values entries length "
-    "tostring valueof constructor prototype apply call bind then catch finally resolve reject all race assign freeze isarray parse stringify"
-).split()
-
-
 @query(f"WITH {_stop()}, {_CALLS} SELECT caller AS source_file, target, CASE WHEN bool_and(wide) THEN CAST(0.8 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS score FROM tiers WHERE target IS NOT NULL GROUP BY ALL")
 def call_cascade(spark, sf):
-    """Plain, member and namespace calls, callees of the stop-list, bindings, and a member that a namespace's file lends from another."""
+    """Plain, member and namespace calls, calls of a namespace's own name, callees of the stop-list, bindings, and a member that a namespace's file lends from another."""
     k, n, order = F.col("p_partkey"), F.col("n_nationkey"), F.col("l_orderkey") % 31
     text = lambda p, c: F.concat(F.lit(p), c.cast("string"))
     generic = lambda c: F.element_at(F.array(*map(F.lit, GENERIC)), (c + 1).cast("int"))
@@ -500,6 +545,9 @@ def call_cascade(spark, sf):
     calls = P.read(spark, sf, "lineitem").select(text("f", order).alias("caller_file"), callee.alias("callee"), F.lit(0).alias("pos")).distinct().withColumn("is_member", F.col("callee").contains("."))
     space = n % 3 == 0
     nation = P.read(spark, sf, "nation")
+    named = nation.where(space)
+    symbols = symbols.unionByName(named.select(text("n", n).alias("id"), text("ns", n).alias("label"), text("f", (n + 1) % 31).alias("source_file"), F.lit(0).cast("long").alias("pos")))
+    calls = calls.unionByName(named.select(text("f", n % 31).alias("caller_file"), text("ns", n).alias("callee"), F.lit(0).alias("pos"), F.lit(False).alias("is_member")))
     binds = nation.select(text("f", n % 31).alias("caller"), F.when(space, text("ns", n)).otherwise(text("fn", n * 4)).alias("local_key"), text("f", (n + 1) % 31).alias("target_file"), F.lit(None).cast("string").alias("target_symbol"), F.when(space, "namespace").otherwise("named").alias("kind"))
     exports = nation.where(space).select(text("f", (n + 1) % 31).alias("file"), F.lit("lent").alias("symbol"), text("f", (n + 2) % 31).alias("target_file"), text("fn", 44 + n % 53).alias("target_symbol"), F.lit(None).cast("int").alias("star_pos"))
     return resolve.call_edges(calls, symbols, binds, exports)
@@ -539,15 +587,13 @@ def node_size(spark, sf):
     return graph.node_sizes(nodes, edges, graph.hubs(edges)).select("id", F.round("size", 6).alias("size"))
 
 
-@query("""WITH m AS (SELECT 'supplier_'||s_suppkey AS id, s_nationkey AS k, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS i, (SELECT count(*) FROM nation) AS n FROM supplier)
-SELECT id, round(cos(2 * pi() * k / n) * (120 + 45 * n) + cos(pi() * (3 - sqrt(5)) * i) * 14 * sqrt(i + 1), 3) AS x, round(sin(2 * pi() * k / n) * (120 + 45 * n) + sin(pi() * (3 - sqrt(5)) * i) * 14 * sqrt(i + 1), 3) AS y FROM m""")
+@query("""WITH m AS (SELECT 'supplier_'||s_suppkey AS id, dense_rank() OVER (ORDER BY s_nationkey) - 1 AS k, row_number() OVER (ORDER BY 'supplier_'||s_suppkey) - 1 AS i, (SELECT count(DISTINCT s_nationkey) FROM supplier) AS n FROM supplier),
+r AS (SELECT *, CASE WHEN n <= 1 THEN 0 ELSE 120 + 45 * n END AS ring FROM m)
+SELECT id, round(cos(2 * pi() * k / n) * ring + cos(pi() * (3 - sqrt(5)) * i) * 14 * sqrt(i + 1), 3) AS x, round(sin(2 * pi() * k / n) * ring + sin(pi() * (3 - sqrt(5)) * i) * 14 * sqrt(i + 1), 3) AS y FROM r""")
 def seed_layout(spark, sf):
-    from pyspark.sql import Window
-
-    i = F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")) - 1
-    n = P.read(spark, sf, "nation").count()
-    members = P.read(spark, sf, "supplier").select(F.concat(F.lit("supplier_"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_nationkey").alias("community_index"), F.lit(n).alias("n_communities"), i.alias("i"))
-    return graph.seed_layout(members).select("id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
+    """Suppliers by nation; a node's place on its spiral is its place among all nodes."""
+    nodes = P.read(spark, sf, "supplier").select(F.concat(F.lit("supplier_"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_nationkey").alias("community"))
+    return graph.seed_layout(graph.layout_members(nodes)).select("id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
 
 
 @query("""WITH c AS (SELECT s_name AS id, list_transform(string_split(s_name, ''), lambda ch: CAST(ascii(ch) AS BIGINT)) AS u FROM supplier),
@@ -571,8 +617,7 @@ def layout_edges(spark, sf):
 
 @query("SELECT 's'||s_suppkey AS id, CASE WHEN s_acctbal / 10000 >= 1 THEN 'EXTRACTED' WHEN s_acctbal / 10000 BETWEEN 0.6 AND 0.9 THEN 'INFERRED' WHEN s_acctbal / 10000 BETWEEN 0.1 AND 0.3 THEN 'AMBIGUOUS' ELSE 'UNCLASSIFIED' END AS band FROM supplier")
 def provenance_bands(spark, sf):
-    score = F.col("s_acctbal") / 10000
-    band = F.when(score >= 1, "EXTRACTED").when(score.between(0.6, 0.9), "INFERRED").when(score.between(0.1, 0.3), "AMBIGUOUS").otherwise("UNCLASSIFIED")
+    band = change.provenance(F.col("s_acctbal") / 10000)
     return P.read(spark, sf, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"), band.alias("band"))
 
 

@@ -11,10 +11,12 @@ import re
 import time
 from logging.handlers import RotatingFileHandler
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lineage import drop_folder, ranked, settle
+from ..operators.change import route_chunks
 from .extract import supported
 
 # What parts words: all Unicode blanks and the byte order mark.
@@ -36,6 +38,13 @@ def scan(spark: SparkSession, root: str, scope: str = "") -> DataFrame:
     return rows.where(F.col("source_file").rlike(known) & ~F.col("source_file").rlike(odd)).select("source_file", "size", "mtime", F.decode("content", "UTF-8").alias("text"))
 
 
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """(source_file) of all files below a root, of whatever kind; none is opened."""
+    paths = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root.rstrip("/")).select(F.regexp_extract("path", "^[a-z]+:/*(/.*)$", 1).alias("full"))
+    plain = re.sub("^[a-z]+:/*(?=/)", "", root).rstrip("/")
+    return paths.select(F.regexp_replace("full", "^" + re.escape(plain) + "/", "").alias("source_file"))
+
+
 def size_estimate(files: DataFrame, most: int = 100) -> DataFrame:
     """(files, words): words of every k-th file by path, k so that `most` to twice as many are read, carried over to all.
 
@@ -97,6 +106,24 @@ def read_insights(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(folder).select("path", F.decode("content", "UTF-8").alias("text"))
 
 
+def ingest(entries: DataFrame, folder: str, watched: bool) -> DataFrame:
+    """A batch of insights (path, text), checked and written in one step; (path, status, refresh) of each.
+
+    status is ok, invalid_schema, or lock_failed where the batch could not be written; refresh is queued if something
+    was written and someone watches, else cache_only. Of entries with one path the last of the table stays.
+    """
+    routed = settle(route_chunks(entries.select(F.translate("path", "\\", "/").alias("path"), "text").withColumn("_nth", F.monotonically_increasing_id()), keep=["text", "_nth"]))
+    good = routed.where("status = 'ok'")
+    wrote, failed = not good.isEmpty(), False
+    if wrote:
+        try:
+            write_insights(good.groupBy("path").agg(F.max_by("text", "_nth").alias("text")), folder)
+        except (Py4JJavaError, OSError):
+            failed = True
+    said = F.when(F.col("status") != "ok", "invalid_schema").otherwise("lock_failed" if failed else "ok")
+    return routed.select("path", said.alias("status"), F.lit("queued" if wrote and not failed and watched else "cache_only").alias("refresh"))
+
+
 def write_insights(entries: DataFrame, folder: str) -> None:
     """Documents (path, text) by hash into at most 256 folders; only those that a written document falls into are replaced, its older text with them."""
     spark = entries.sparkSession

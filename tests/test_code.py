@@ -41,6 +41,12 @@ def tree(tmp_path):
     (tmp_path / "insights").mkdir()
     chunk = {"nodes": [{"id": "concept_flow", "label": "Flow", "file_type": "concept", "source_file": "docs/arch.md"}], "edges": [{"source": "concept_flow", "target": "src_a.ts", "relation": "implements", "type": "COGNITIVE", "score": 0.9}]}
     (tmp_path / "insights/one.json").write_text(json.dumps(chunk))
+    (tmp_path / "repo/docs").mkdir()
+    (tmp_path / "repo/docs/arch.md").write_text("# Flow")
+    concept = lambda name, file: {"id": f"concept_{name}", "label": name, "file_type": "concept", "source_file": file}
+    half = {"nodes": [concept("stays", "docs/arch.md"), concept("goes", "docs/gone.md")], "edges": [{"source": "concept_stays", "target": t, "relation": "references", "type": "COGNITIVE", "score": 0.5} for t in ("src_a.ts", "concept_goes")]}
+    (tmp_path / "insights/half.json").write_text(json.dumps(half))
+    (tmp_path / "insights/gone.json").write_text(json.dumps({"nodes": [concept("lost", "docs/gone.md")], "edges": []}))
     return tmp_path
 
 
@@ -52,6 +58,7 @@ def test_compile(spark, tree):
     links = {(r.source, r.relation, r.target) for r in g.edges.collect()}
     assert {"src_a.ts", "src_a.ts:foo", "src_deeper.ts:k", "src_deeper.ts:k.go", "tool_run.py:job.start", "tool_main.go:run", "tool_main.go:box", "concept_flow"} <= set(nodes)
     assert not any("node_modules" in n or "notes" in n for n in nodes)
+    assert not {"concept_stays", "concept_goes", "concept_lost"} & set(nodes)  # an insight of which a source is gone is left out whole
     assert all(s in nodes and t in nodes for s, _, t in links)
     assert ("src_caller.ts", "imports", "src_a.ts") in links and ("src_caller.ts", "imports", "src_setup.ts") in links and ("src_caller.ts", "imports", "src_types.ts") not in links
     assert {("src_caller.ts", "calls", "src_a.ts:foo"), ("src_caller.ts", "calls", "src_a.ts:bar"), ("src_caller.ts", "calls", "src_a.ts:main")} <= links
@@ -63,6 +70,11 @@ def test_compile(spark, tree):
     why = {(r.source, r.relation): r.reason for r in g.violations().collect()}
     assert why["src_barrel.ts", "violates_boundary"] == "Forbidden import: src/barrel.ts must not import src/a.ts" and why["src_loop1.ts", "circular_dependency"] == "Circular dependency: loop1.ts ↔ loop2.ts"
     assert nodes["src_a.ts"].content_hash is None and nodes["src_a.ts:bar"].content_hash == extract.text_hash("function bar() { return 1 }") and nodes["tool_run.py:job.start"].content_hash == extract.text_hash("def start(self):\n        return helper()")
+    local = {(r.caller, r.local_key): (r.target_file, r.target_symbol, r.kind) for r in g.bindings.collect()}
+    assert local["src/caller.ts", "ns"] == ("src/a.ts", None, "namespace") and local["src/barrel.ts", "renamed"] == ("src/a.ts", "foo", "named")
+    assert {r.symbol for r in g.default_exports.where("file = 'src/a.ts'").collect()} and g.imports.where("caller = 'src/caller.ts'").count() == 5
+    assert {(r.symbol, r.target_file) for r in g.exports.where("file = 'src/index.ts'").collect()} == {("renamed", "src/a.ts"), ("*", "src/deep.ts")}
+    assert {r.node for r in g.communities.collect()} == set(nodes)
     real = resolve.coverage(spark.createDataFrame([("src/barrel.ts", "src/a.ts"), ("src/loop1.ts", "src/loop2.ts"), ("src/a.ts", "src/none.ts"), ("src/a.ts", None)], "caller string, target_file string"), g.nodes, g.edges).first()
     assert (real.found, real.expected) == (2, 3)
     again = compile_graph(spark, cfg, previous=g.nodes.select(F.col("id").alias("node"), "community"))
@@ -76,6 +88,11 @@ def test_compile(spark, tree):
     got = {r.id: r.op for r in changed.collect()}
     assert got["src_setup.ts:fresh"] == "added" and got["tool_main.go"] == "removed"
     assert got["src_deeper.ts:far"] == "updated" and not {"src_deeper.ts", "src_deeper.ts:k", "src_deeper.ts:k.go"} & {k for k, v in got.items() if v == "added"}
+    cfg.startup = True  # insights lose what names files that are gone, and are there without it
+    started = compile_graph(spark, cfg)
+    ids = {r.id for r in started.nodes.collect()}
+    assert "concept_stays" in ids and not {"concept_goes", "concept_lost"} & ids
+    assert {r.target for r in started.edges.where("source = 'concept_stays'").collect()} == {"src_a.ts"}
     assert len([p for p in os.listdir(f"{tree}/cache/version=1.1.0") if p.startswith("gen=")]) == 1
 
 
@@ -190,6 +207,30 @@ def test_poll(spark, tree):
     assert change.settled(before, files.scan(spark, root)).count() == 11
 
 
+def test_ingest(spark, tmp_path):
+    good = {"nodes": [{"id": "n", "label": "l", "file_type": "concept", "source_file": "d.md"}], "edges": []}
+    rows = [("docs\\a.md", json.dumps(good)), ("docs/b.md", json.dumps(good | {"nodes": [{"id": ""}]})), ("docs/c.md", "{"), ("docs/a.md", json.dumps(good | {"edges": []}))]
+    df = spark.createDataFrame(rows, "path string, text string").coalesce(1)
+    folder = f"{tmp_path}/insights"
+    said = [(r.path, r.status, r.refresh) for r in files.ingest(df, folder, True).orderBy("path", "status").collect()]
+    assert said == [("docs/a.md", "ok", "queued"), ("docs/a.md", "ok", "queued"), ("docs/b.md", "invalid_schema", "queued"), ("docs/c.md", "invalid_schema", "queued")]
+    assert [r.path for r in spark.read.parquet(folder).collect()] == ["docs/a.md"]
+    assert {r.refresh for r in files.ingest(df.where("path = 'docs/c.md'"), folder, True).collect()} == {"cache_only"}
+    blocked = tmp_path / "file"
+    blocked.write_text("no folder")
+    assert {r.status for r in files.ingest(df.where("path = 'docs/a.md'"), f"{blocked}/x", True).collect()} == {"lock_failed"}
+
+
+def test_code_changes_and_tours(spark):
+    row = "id string, label string, source_file string, content_hash string, community long"
+    before = spark.createDataFrame([("a", "a", "f", "1", 1), ("b", "b", "f", None, 1), ("c", "c", "f", "1", 1), ("d", "d", "f", "1", 1)], row)
+    after = spark.createDataFrame([("a", "a", "f", "1", 2), ("b", "b", "f", "2", 1), ("c", "x", "f", "1", 1), ("e", "e", None, None, 1)], row)
+    assert {r.id: (r.op, r.changed) for r in change.code_changes(before, after).collect()} == {"a": ("updated", False), "b": ("updated", True), "c": ("updated", True), "e": ("added", True)}
+    tours = spark.createDataFrame([("x", "old", 5), ("y", "old", None)], "id string, title string, timestamp long")
+    came = spark.createDataFrame([("x", "one", 9, 1), ("x", "two", 1, 2), ("z", "new", 3, 3)], "id string, title string, timestamp long, arrival long")
+    assert [(r.id, r.title) for r in change.upsert_tours(tours, came).collect()] == [("z", "new"), ("x", "two"), ("y", "old")]
+
+
 def test_extraction_of_nulls_and_many_files(spark):
     rows = [(None, "def f(): pass"), ("a.py", None), ("b.py", ""), ("c.none", "x"), ("bad.py", "def (")] + [(f"m{i}.py", f"def f{i}():\n    return g()\n") for i in range(600)]
     got = {r.source_file: r for r in extract.extract(spark.createDataFrame(rows, "source_file string, text string")).collect()}
