@@ -40,17 +40,15 @@ def candidates(path: Column) -> Column:
     return F.array_compact(F.array(*swaps, path, *[F.concat(path, F.lit(e)) for e in EXTENSIONS], *[F.concat(path, F.lit(f"/index{e}")) for e in EXTENSIONS]))
 
 
-def resolve_modules(imports: DataFrame, files: DataFrame, aliases: list[tuple[str, list[str]]] = ()) -> DataFrame:
-    """(import_id, caller, specifier) to (import_id, target_file): the first candidate that is a file; null if none is.
+def probes(specs: DataFrame, aliases: list[tuple[str, list[str]]] = ()) -> DataFrame:
+    """(folder, specifier, alias_pos, probe_pos, file): the places where different specifiers of (folder, specifier) are looked for, in their order.
 
     Relative specifiers (./ and ../) start at the caller; others only resolve through aliases (pattern, targets), all
     that match in their order. A pattern is a prefix, without the * it may end with; a target's first * stands for the
-    rest. Each alias is a branch of the plan, so no pairs of rows are compared. Candidates are made once for each folder
-    and specifier, not for each import.
+    rest. Each alias is a branch of the plan, so no pairs of rows are compared.
     """
     spec = F.col("specifier")
     relative = spec.startswith("./") | spec.startswith("../")
-    folder = F.when(relative, F.regexp_replace("caller", "[^/]*$", ""))
     found = [F.when(relative, F.struct(F.lit(0).alias("alias_pos"), joined_path(F.col("folder"), spec).alias("path")))]
     n = 0
     for pattern, targets in aliases:
@@ -61,10 +59,24 @@ def resolve_modules(imports: DataFrame, files: DataFrame, aliases: list[tuple[st
             before, star, after = t.partition("*")
             path = F.concat(F.lit(before), rest, F.lit(after)) if star else F.lit(t)
             found.append(F.when(~relative & spec.startswith(head), F.struct(F.lit(n).alias("alias_pos"), joined_path(F.lit("x"), path).alias("path"))))
-    asked = imports.select("import_id", folder.alias("folder"), "specifier")
-    kinds = asked.select("folder", "specifier").where("specifier IS NOT NULL").distinct()
+    kinds = specs.select("folder", "specifier").where("specifier IS NOT NULL").distinct()
     tries = kinds.select("folder", "specifier", F.explode(F.array_compact(F.array(*found))).alias("t")).where("t.path IS NOT NULL")
-    tries = tries.select("folder", "specifier", "t.alias_pos", F.posexplode(candidates(F.col("t.path"))).alias("probe_pos", "file"))
+    return tries.select("folder", "specifier", "t.alias_pos", F.posexplode(candidates(F.col("t.path"))).alias("probe_pos", "file"))
+
+
+def with_folder(imports: DataFrame) -> DataFrame:
+    """imports (caller, specifier) with the folder that a relative specifier starts from; null for others."""
+    relative = F.col("specifier").startswith("./") | F.col("specifier").startswith("../")
+    return imports.withColumn("folder", F.when(relative, F.regexp_replace("caller", "[^/]*$", "")))
+
+
+def resolve_modules(imports: DataFrame, files: DataFrame, aliases: list[tuple[str, list[str]]] = ()) -> DataFrame:
+    """(import_id, caller, specifier) to (import_id, target_file): the first of its probes that is a file; null if none is.
+
+    Places are made once for each folder and specifier, not for each import.
+    """
+    asked = with_folder(imports).select("import_id", "folder", "specifier")
+    tries = probes(asked, aliases)
     there = files.select(F.col("source_file").alias("file")).distinct()
     best = tries.join(there, "file").groupBy("folder", "specifier").agg(F.min_by("file", F.struct("alias_pos", "probe_pos")).alias("target_file"))
     best = best.withColumnsRenamed({"folder": "bf", "specifier": "bs"})

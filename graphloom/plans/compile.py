@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import edge_key, file_id, symbol_id, with_ordinals
 from ..functions.lineage import settle
-from ..operators import change, community, graph, resolve, rules
+from ..operators import change, community, graph, rules
 from ..sources import extract as extractors
 from ..sources import files as sources
+from . import incremental
 
 NODE = "id string, label string, file_type string, source_file string, source_location string, content_hash string"
 EDGE = "source string, target string, relation string, type string, score double, rationale string"
@@ -66,17 +67,6 @@ def code_nodes(extracted: DataFrame, files: DataFrame) -> tuple[DataFrame, DataF
     return heads, symbols, edges
 
 
-def export_table(extracted: DataFrame, targets: DataFrame) -> DataFrame:
-    """What files export: (file, symbol, target_file, target_symbol, star_pos, pos). An alias of an own symbol is passed over, as is a namespace made of another file."""
-    every = extracted.select(F.col("source_file").alias("file"), F.explode("exports").alias("e")).select("file", "e.*").where("kind <> 'namespace'")
-    mine = every.where("specifier IS NULL").select("file", F.when(F.col("kind") == "default", "default").otherwise(F.col("symbol")).alias("symbol"), F.col("file").alias("target_file"), F.when(F.col("kind") == "default", "default").otherwise(F.col("symbol")).alias("target_symbol"), F.lit(None).cast("int").alias("star_pos"), "pos")
-    e = every.where("specifier IS NOT NULL")
-    e = e.join(targets, (e["file"] == targets["caller"]) & (e["specifier"] == targets["spec"])).where("target_file IS NOT NULL")
-    star = F.col("kind") == "star"
-    led = e.select("file", F.when(star, "*").otherwise(F.coalesce("alias", "symbol")).alias("symbol"), "target_file", F.when(~star, F.col("symbol")).alias("target_symbol"), F.when(star, F.col("pos")).alias("star_pos"), "pos")
-    return mine.unionByName(led)
-
-
 def compile_graph(spark: SparkSession, cfg: Config, previous: DataFrame | None = None) -> Graph:  # noqa: F821
     """All steps in order. previous: (node, community) of an earlier graph, whose community ids are kept where they fit.
 
@@ -91,26 +81,9 @@ def compile_graph(spark: SparkSession, cfg: Config, previous: DataFrame | None =
     extracted = extract_cached(files, cfg.cache)
     heads, symbols, contains = code_nodes(extracted, files)
     symbols = settle(symbols)
-    # Specifiers of imports and re-exports are resolved together, each once a file.
-    imports = extracted.select(F.col("source_file").alias("caller"), F.explode("imports").alias("i")).select("caller", "i.*")
-    specs = imports.select("caller", "specifier").unionByName(extracted.select(F.col("source_file").alias("caller"), F.explode("exports").alias("e")).select("caller", F.col("e.specifier").alias("specifier"))).where("specifier IS NOT NULL").distinct()
-    specs = specs.withColumn("import_id", F.struct("caller", "specifier"))
-    found = resolve.resolve_modules(specs, files, cfg.aliases)
-    targets = settle(found.select(F.col("import_id.caller").alias("caller"), F.col("import_id.specifier").alias("spec"), "target_file"))
-    real = imports.where("kind NOT LIKE 'type%'")
-    real = real.join(targets.withColumnRenamed("caller", "c"), (F.col("caller") == F.col("c")) & (F.col("specifier") == F.col("spec"))).where("target_file IS NOT NULL").drop("c", "spec")
-    exports = settle(export_table(extracted, targets))
-    # Only names are followed through exports: a namespace or a side effect is that of the file itself.
-    requests = real.where("kind IN ('default', 'named')").select(F.struct("caller", "pos").alias("req_id"), F.col("target_file").alias("file"), F.col("imported").alias("symbol"))
-    origin = resolve.unwrap_reexports(requests, exports)
-    real = real.join(origin.select("req_id.caller", "req_id.pos", F.col("file").alias("final_file"), F.col("symbol").alias("final_symbol")), ["caller", "pos"], "left")
-    brought = settle(real.select("caller", "pos", "kind", "local", F.coalesce("final_file", "target_file").alias("target_file"), F.col("final_symbol").alias("target_symbol")))
-    defaults = extracted.where("default_symbol IS NOT NULL").select(F.col("source_file").alias("df"), "default_symbol")
-    binds = resolve.bindings(brought).join(defaults, (F.col("target_file") == F.col("df")) & (F.col("target_symbol") == "default"), "left")
-    binds = binds.withColumn("target_symbol", F.coalesce("default_symbol", "target_symbol")).drop("df", "default_symbol")
-    import_edges = brought.where("caller <> target_file").select(file_id(F.col("caller")).alias("source"), file_id(F.col("target_file")).alias("target"), F.lit("imports").alias("relation"), F.lit("PHYSICAL").alias("type"), F.lit(1.0).alias("score")).distinct()
-    calls = extracted.select(F.col("source_file").alias("caller_file"), F.explode("calls").alias("c")).select("caller_file", "c.callee", "c.is_member", "c.pos")
-    call_edges = resolve.call_edges(calls, symbols, binds, exports, defaults).select(file_id(F.col("source_file")).alias("source"), "target", F.lit("calls").alias("relation"), F.lit("PHYSICAL").alias("type"), "score")
+    found = incremental.resolved(spark, extracted, files, symbols, cfg.aliases, cfg.state and f"{cfg.state.rstrip('/')}/version={VERSION}/resolved")
+    import_edges = found.brought.where("caller <> target_file").select(file_id(F.col("caller")).alias("source"), file_id(F.col("target_file")).alias("target"), F.lit("imports").alias("relation"), F.lit("PHYSICAL").alias("type"), F.lit(1.0).alias("score")).distinct()
+    call_edges = found.called.select(file_id(F.col("source_file")).alias("source"), "target", F.lit("calls").alias("relation"), F.lit("PHYSICAL").alias("type"), "score")
     nodes = heads.unionByName(symbols.drop("pos"), allowMissingColumns=True)
     edges = contains.unionByName(import_edges).unionByName(call_edges)
     chunks = None
@@ -137,8 +110,8 @@ def compile_graph(spark: SparkSession, cfg: Config, previous: DataFrame | None =
         sources.write_generation(groups, state)
     nodes = nodes.join(groups.withColumnRenamed("node", "id"), "id", "left")
     every = settle(graph.prune_dangling(nodes, edges.unionByName(suspicious, allowMissingColumns=True)))
-    default_exports = defaults.select(F.col("df").alias("file"), F.col("default_symbol").alias("symbol"))
-    return Graph(settle(nodes), every, hub_ids, cfg.rules, chunks, imports=imports, exports=exports, bindings=binds, default_exports=default_exports)
+    made_of = {"imports": incremental.raw_imports(extracted), "exports": found.exports, "bindings": found.binds, "default_exports": extracted.where("default_symbol IS NOT NULL").select(F.col("source_file").alias("file"), F.col("default_symbol").alias("symbol"))}
+    return Graph(settle(nodes), every, hub_ids, cfg.rules, chunks, **made_of)
 
 
 def find_suspicious(nodes: DataFrame, edges: DataFrame, cfg: Config) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 import re
 import time
 
@@ -9,7 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.operators import change, resolve, rules
-from graphloom.plans.compile import Config, compile_graph, diff_graphs
+from graphloom.functions.lineage import settle
+from graphloom.plans import incremental
+from graphloom.plans.compile import Config, code_nodes, compile_graph, diff_graphs
 from graphloom.sources import extract, files
 from graphloom.streaming import state
 
@@ -245,3 +248,52 @@ def test_registered_extractors_reach_workers(spark):
     finally:
         del extract.EXTRACTORS[".toy"]
     assert got.symbols[0].name == "hello"
+
+
+def random_tree(rng, n):
+    """Files that import, re-export (by name, alias and star), call and declare; paths with and without index files."""
+    paths = [f"src/m{i}.ts" if i % 4 else f"src/d{i}/index.ts" for i in range(n)]
+    spec = lambda i: f"@/m{i}" if i % 4 else f"@/d{i}"
+
+    def text(i):
+        others = [rng.randrange(n + 2) for _ in range(3)]
+        lines = [f"import {{ f{o % 7} as g{k}, h{o} }} from '{spec(o)}'" for k, o in enumerate(others)]
+        lines += [f"import * as ns{i} from '{spec(others[0])}'", f"import D from '{spec(others[1])}'"][: rng.randrange(3)]
+        lines += rng.sample([f"export * from '{spec(others[2])}'", f"export {{ f{rng.randrange(7)} }} from '{spec(others[1])}'", f"export {{ f1 as f2 }} from '{spec(others[0])}'", "export default function main() { }"], 2)
+        lines += [f"export function f{rng.randrange(7)}() {{ g0(); g1(); ns{i}.f{rng.randrange(7)}(); D(); only{rng.randrange(n)}() }}", f"export function h{i}() {{ h{others[0]}() }}", f"function only{i + rng.randrange(2)}() {{ }}"]
+        return "\n".join(lines)
+
+    return paths, text
+
+
+def test_incremental_equals_full(spark, tmp_path):
+    rng = random.Random(11)
+    paths, text = random_tree(rng, 16)
+    root = tmp_path / "repo"
+    aliases = [("@/*", ["src/*"])]
+
+    def put(i):
+        (root / paths[i]).parent.mkdir(parents=True, exist_ok=True)
+        (root / paths[i]).write_text(text(i) + f"\n// {rng.random()}")
+
+    for i in range(14):
+        put(i)
+
+    def look(state):
+        there = settle(files.scan(spark, str(root)))
+        found = settle(extract.extract(there))
+        symbols = settle(code_nodes(found, there)[1])
+        return incremental.resolved(spark, found, there, symbols, aliases, state)
+
+    state = f"{tmp_path}/state"
+    look(state)
+    touched = []
+    for step in ([("put", 3), ("put", 14), ("drop", 7)], [("drop", 4), ("put", 15)], []):
+        for act, i in step:
+            put(i) if act == "put" else os.unlink(root / paths[i])
+        some, full = look(state), look(None)
+        for name in ("targets", "exports", "brought", "binds", "called"):
+            got, want = (sorted(map(tuple, getattr(x, name).collect()), key=repr) for x in (some, full))
+            assert got == want, (step, name)
+        touched.append(some.touched.count())
+    assert touched[-1] == 0 and min(touched[:-1]) < 14
