@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import ranked as ranked_rows
-from ..functions.lineage import settle, small, with_rank
+from ..functions.lineage import running, settle, small, with_rank
 from .cycles import strong_components
 
 
@@ -150,15 +150,23 @@ def neighbourhood(edges: DataFrame, start: str, depth: int) -> DataFrame:
     return seen
 
 
+#: Rows that one task may rank.
+RANKED = 100_000
+
+
 def within_budget(ranked: DataFrame, order: list[Column], cost: Column, budget: int, chars_a_token: int = 4, least: int = 1) -> DataFrame:
     """Rows in order while the summed cost stays within the budget; the first always. Adds rank, spent and kept.
 
     Costs are at least `least`, so what is kept is a prefix, and no more rows than the budget could hold and one are
-    ranked in one task: a bounded top-k comes first, and rows beyond it are not returned.
+    ranked: a bounded top-k comes first, and rows beyond it are not returned. A budget that could hold more than RANKED
+    rows is summed a partition at a time; the sums are the same.
     """
-    w = Window.orderBy(*order)
-    ranked = ranked.orderBy(*order).limit(budget * chars_a_token // least + 2)
-    out = ranked.withColumn("rank", F.row_number().over(w)).withColumn("spent", F.sum(cost).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    most = budget * chars_a_token // least + 2
+    if most <= RANKED:
+        w = Window.orderBy(*order)
+        out = ranked.orderBy(*order).limit(most).withColumn("rank", F.row_number().over(w)).withColumn("spent", F.sum(cost).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        out = running(ranked, order, cost, "spent").withColumn("rank", (F.col("rank") + 1).cast("int")).where(F.col("rank") <= most)
     return out.withColumn("kept", (F.col("rank") == 1) | (F.col("spent") <= budget * chars_a_token))
 
 

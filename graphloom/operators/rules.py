@@ -10,6 +10,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import settle
+
 
 def glob_pattern(glob: str) -> str:
     """`**` for anything, `*` and `?` within a segment, all else as it stands; anchored."""
@@ -78,16 +80,68 @@ def reason_of(rule: dict) -> str:
     return rule["reason"] or f"Forbidden import: {rule['from']} must not import {rule['to']}"
 
 
+#: Rules to a word of a bitmap; the sign stays free.
+WORD = 62
+
+
+def literal_folder(pattern: str, kind: str) -> str:
+    """The folder, with its slash, that all files below a glob lie in; empty where the glob tells none, and for regexes."""
+    if kind != "glob":
+        return ""
+    bare = re.split(r"[*?]", pattern, maxsplit=1)[0]
+    return bare[: bare.rfind("/") + 1]
+
+
+def file_bitmaps(files: DataFrame, rules: list[dict]) -> DataFrame:
+    """(file, from_bits, to_bits) of different files (file): which rules' from, and which rules' to but for its exceptions, match it.
+
+    A file only meets the patterns whose literal folder is one of its own, and each file meets a pattern once, however
+    many edges it has. Rows are sorted by pattern, so a task compiles a pattern once. Files that nothing matches are left out.
+    """
+    listed = []
+    for i, rule in enumerate(rules):
+        for side, what in (("from", [rule["from"]]), ("to", [rule["to"]]), ("but", rule["except"])):
+            listed += [(i // WORD, 1 << i % WORD, side, literal_folder(p, rule["pathKind"]), pattern_of(p, rule["pathKind"])) for p in what]
+    table = files.sparkSession.createDataFrame(listed, "word int, bit long, side string, folder string, pattern string")  # a row a pattern
+    parts = F.split("file", "/")
+    folders = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.when(k == 0, "").otherwise(F.concat(F.array_join(F.slice(parts, F.lit(1), k), "/"), F.lit("/"))))
+    met = files.where("file IS NOT NULL").select("file", F.explode(folders).alias("folder")).join(F.broadcast(table), "folder")
+    met = met.sortWithinPartitions("pattern").where(F.rlike(F.col("file"), F.col("pattern")))
+    side = lambda x: F.max(F.col("side") == x).alias(f"is_{x}")
+    sides = met.groupBy("file", "word", "bit").agg(*[side(x) for x in ("from", "to", "but")])
+    words = range((len(rules) + WORD - 1) // WORD)
+    bit = lambda k, on: F.coalesce(F.bit_or(F.when(on & (F.col("word") == k), F.col("bit"))), F.lit(0))
+    both = {"from_bits": F.col("is_from"), "to_bits": F.col("is_to") & ~F.col("is_but")}
+    return sides.groupBy("file").agg(*[F.array(*[bit(k, on) for k in words]).alias(name) for name, on in both.items()])
+
+
+def _first_by_bitmaps(edges: DataFrame, rules: list[dict]) -> DataFrame:
+    """Edges with rule_pos: the lowest bit that the bitmaps of both files have."""
+    files = edges.select(F.explode(F.array("from_file", "to_file")).alias("file")).distinct()
+    bits = settle(file_bitmaps(files, rules))
+    a = bits.where(F.exists("from_bits", lambda w: w != 0)).select(F.col("file").alias("from_file"), "from_bits")
+    b = bits.where(F.exists("to_bits", lambda w: w != 0)).select(F.col("file").alias("to_file"), "to_bits")
+    out = edges.join(a, "from_file").join(b, "to_file")
+    common = [F.col("from_bits")[k].bitwiseAND(F.col("to_bits")[k]) for k in range((len(rules) + WORD - 1) // WORD)]
+    lowest = lambda w: F.bit_count(w.bitwiseXOR(w - 1)) - 1
+    first = F.coalesce(*[F.when(w != 0, k * WORD + lowest(w)) for k, w in enumerate(common)])
+    return out.withColumn("rule_pos", first.cast("int")).where(F.col("rule_pos").isNotNull()).select(*edges.columns, "rule_pos")
+
+
 def violations(edges: DataFrame, rules: list[dict]) -> DataFrame:
     """Edges (with from_file, to_file) that a rule forbids, with rule_pos, severity, score and reason of the first that does.
 
-    One literal branch a rule: patterns are compiled once, and the first match ends the search.
+    As many rules as a word has bits are one literal branch each, and the first match ends the search. More are matched
+    once a file and meet as bitmaps; the result is the same.
     """
     if not rules:
         return edges.limit(0).withColumns({"rule_pos": F.lit(0), "severity": F.lit(""), "violation_score": F.lit(0.5), "reason": F.lit("")})
-    hits = [_hits(r, F.col("from_file"), F.col("to_file")) for r in rules]
-    first = functools.reduce(lambda c, x: c.when(x[1], F.lit(x[0])), enumerate(hits[1:], 1), F.when(hits[0], F.lit(0)))
-    out = edges.withColumn("rule_pos", first).where(F.col("rule_pos").isNotNull())
+    if len(rules) > WORD:
+        out = _first_by_bitmaps(edges, rules)
+    else:
+        hits = [_hits(r, F.col("from_file"), F.col("to_file")) for r in rules]
+        first = functools.reduce(lambda c, x: c.when(x[1], F.lit(x[0])), enumerate(hits[1:], 1), F.when(hits[0], F.lit(0)))
+        out = edges.withColumn("rule_pos", first).where(F.col("rule_pos").isNotNull())
     pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("rule_pos") + 1)
     return out.withColumns({"severity": pick([r["severity"] for r in rules]), "violation_score": pick([0.9 if r["severity"] == "error" else 0.5 for r in rules]), "reason": pick([reason_of(r) for r in rules])})
 

@@ -239,6 +239,31 @@ def boundary_violations(spark, sf):
     return rules.violations(with_files(*trade(spark, sf)), checked_rules(spark)).select("source", "target", big("rule_pos"), "severity", "reason")
 
 
+#: Five hundred rules over nations' and customers' files: globs with and without a literal folder, exceptions, regexes.
+MANY = [
+    {"from": ("AMERICA", "ASIA", "EUROPE")[k % 3] + f"/NATION_{k % 23}" if k % 2 else f"*/NATION_{k % 25}", "to": f"*/NATION_{k % 25}/Customer*{k % 10}{k % 7}", "except": [f"**{k % 9}{k % 7}"] if k % 4 == 0 else []}
+    if k % 5
+    else {"from": f"NATION_{k % 25}$", "to": f"#0*{k}$", "pathKind": "regex", "severity": "warn"}
+    for k in range(500)
+]
+
+
+def _many_sql() -> str:
+    """The rules as a table of patterns; an exception that is none matches nothing."""
+    rows = []
+    for k, rule in enumerate(MANY):
+        pattern = lambda p, kind=rule.get("pathKind", "glob"): rules.pattern_of(p, kind).replace("'", "''")
+        rows.append(f"({k}, '{pattern(rule['from'])}', '{pattern(rule['to'])}', '{pattern(rule['except'][0]) if rule.get('except') else '^$'}')")
+    return "many(pos, a, b, but) AS (VALUES " + ", ".join(rows) + ")"
+
+
+@query(f"""WITH {TREE}, {_many_sql()}, f AS (SELECT e.source, e.target, a.source_file AS x, b.source_file AS y FROM redges e JOIN rnodes a ON e.source = a.id JOIN rnodes b ON e.target = b.id WHERE e.target LIKE 'customer_%')
+SELECT source, target, CAST(min(pos) AS BIGINT) AS rule_pos FROM f JOIN many ON regexp_matches(x, a) AND regexp_matches(y, b) AND NOT regexp_matches(y, but) GROUP BY source, target""")
+def boundary_violations_many(spark, sf):
+    edges = with_files(P.tree_nodes(spark, sf), P.tree_edges(spark, sf).where(F.col("target").startswith("customer_")))
+    return rules.violations(edges, rules.parse_rules({"boundaries": MANY}, spark)).select("source", "target", big("rule_pos"))
+
+
 @query(f"""WITH RECURSIVE {TRADE}, {HITS}, r AS (SELECT source AS node FROM tedges WHERE target = 'nation_4' UNION SELECT e.source FROM tedges e JOIN r ON e.target = r.node),
 f AS (SELECT source_file AS file FROM tnodes WHERE id = 'nation_4')
 SELECT f.file, CAST(1 + regexp_matches(file, '^(ASIA|MIDDLE EAST)/')::INT + (regexp_matches(file, '^AMERICA/') OR TRUE)::INT AS BIGINT) AS n_rules, (SELECT count(*) FROM hits WHERE rule_pos IS NOT NULL AND (from_file = file OR to_file = file)) AS n_violations, (SELECT count(*) FROM r) AS dependents FROM f""")

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import json
 import random
+import re
 from collections import Counter, defaultdict
 
 import pytest
@@ -138,6 +139,41 @@ def test_rules(spark):
     assert made == [{"from": "(?:^a|^b)", "to": "^c", "pathKind": "regex", "severity": "error", "reason": "ok", "except": ["^c/d"]}] and len(notes) == 2
 
 
+def test_many_rules(spark):
+    """Beyond a word of them, rules meet as bitmaps: first matches as of plain patterns, and each file meets only what its folders allow."""
+    rng = random.Random(6)
+    name = lambda: "/".join(rng.choice("abc") + str(rng.randrange(3)) for _ in range(rng.randrange(1, 4)))
+    glob = lambda: rng.choice([name() + "/**", "**/" + name(), name(), name(), name(), "*/" + name(), name()[:-1] + "?"])
+    listed = [{"from": glob(), "to": glob(), "except": [glob() for _ in range(rng.randrange(2))], "severity": rng.choice(["warn", "error"])} for _ in range(400)]
+    listed += [{"from": "a", "to": "0$", "pathKind": "regex"}]
+    checked = rules.parse_rules({"boundaries": listed}, spark)
+    pairs = [(name(), name()) for _ in range(300)] + [(None, "a0"), ("a0", None)]
+    got = {(r.from_file, r.to_file): (r.rule_pos, r.severity) for r in rules.violations(spark.createDataFrame(pairs, "from_file string, to_file string"), checked).collect()}
+    hit = lambda p, r, f: bool(re.search(rules.pattern_of(p, r["pathKind"]), f))
+    want = {}
+    for a, b in pairs[:300]:
+        for i, r in enumerate(checked):
+            if hit(r["from"], r, a) and hit(r["to"], r, b) and not any(hit(p, r, b) for p in r["except"]):
+                want[a, b] = (i, r["severity"])
+                break
+    assert got == want
+    assert max(i for i, _ in want.values()) > 62
+    assert [rules.literal_folder(p, "glob") for p in ("a/b/**", "a/b", "a*/c", "**", "x")] == ["a/b/".removesuffix("/") + "/", "a/", "", "", ""]
+
+
+def test_budget_by_partitions(spark):
+    """A budget of 10 million tokens, which no task ranks alone, keeps what one task would."""
+    rng = random.Random(2)
+    rows = [(f"k{i:06}", rng.randrange(1, 9000)) for i in range(9000)]
+    df = spark.createDataFrame(rows, "id string, cost long").repartition(6)
+    far = graph.within_budget(df, [F.col("id")], F.col("cost"), 10_000_000, 1)
+    total = 0
+    for (name, cost), r in zip(sorted(rows), far.orderBy("rank").collect(), strict=False):
+        total += cost
+        assert (r.id, r.spent, r.kept) == (name, total, total <= 10_000_000)
+    assert 0 < far.where("kept").count() < 9000
+
+
 def test_communities(spark):
     cliques = [p for g in ("abc", "xyz") for p in itertools.combinations(g, 2)]
     every = edges(spark, cliques).unionByName(edges(spark, [("c", "x")], "COGNITIVE", "implements", 0.9))
