@@ -35,6 +35,8 @@ MOST_LONGS = 1 << 21
 LONGS = 16
 #: Members of a bucket that all others are compared with in one round.
 SPEAKERS = 8
+#: Members of a bucket to a part of it, once all that are left are compared.
+DEALT = 256
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -169,22 +171,25 @@ def overlap_groups(distinct: DataFrame, known: DataFrame, rows: DataFrame, key:
         mixed = hold(out.groupBy(*bucket).agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select(*bucket))
         return hold(out.join(mixed, bucket, "left_semi"))
 
-    def alike_pairs(pairs: DataFrame) -> DataFrame:
-        """Links (u, v), u > v, of the groups whose members (id, root) and (v, of) are alike."""
-        possible = near & enough(F.least("shared", "common"), "n", "m") & (F.col("root") != F.col("of"))
-        pairs = pairs.where(possible).select("id", "n", "root", "v", "m", "of").distinct()  # a pair may meet in many bands
-        pairs = pairs.join(sets.select("id", "bits"), "id").join(sets.select(F.col("id").alias("v"), F.col("bits").alias("places")), "v")
-        pairs = pairs.where(bits_allow("n", "bits", "m", "places")).select(F.col("id").alias("u"), "v", F.greatest("root", "of").alias("a"), F.least("root", "of").alias("b"))
+    def alike_pairs(left: DataFrame, right: DataFrame, on: list[str], more: Column | None = None) -> DataFrame:
+        """Links (u, v), u > v, of the groups whose members (id, root) of the one and (v, of) of the other side are alike.
+
+        Sizes, shared shingles and bitmaps are part of the join's condition, so it gives no pair that they rule out.
+        """
+        possible = near & enough(F.least("shared", "common"), "n", "m") & (F.col("root") != F.col("of")) & bits_allow("n", "bits", "m", "places")
+        pairs = left.join(right, on).where(possible if more is None else possible & more)  # a pair may meet in many bands
+        pairs = pairs.select(F.col("id").alias("u"), "v", F.greatest("root", "of").alias("a"), F.least("root", "of").alias("b"))
         return keep(checked(pairs, sets, turns[-1]).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
 
     members = apart(members.select(*bucket, "id", "n"), roots, "id")
     counts = shared_counts(sets.join(members.select("id").distinct(), "id", "left_semi"))
-    members = hold(members.join(counts, "id").where("5 * shared >= 4 * n"))  # else no set at all can be alike
+    members = members.join(counts, "id").where("5 * shared >= 4 * n").join(sets.select("id", "bits"), "id")  # with less shared no set at all can be alike
+    members = hold(members)
     glue = spoken = None
     while not members.isEmpty():
         free = members if spoken is None else members.join(spoken, [*bucket, "id"], "left_anti")
-        speaks = keep(free.groupBy(*bucket, F.pmod(F.xxhash64("id"), F.lit(SPEAKERS))).agg(F.max(F.struct("shared", "id", "n", "root")).alias("s")).select(*bucket, F.col("s.id").alias("v"), F.col("s.n").alias("m"), F.col("s.shared").alias("common"), F.col("s.root").alias("of")))
-        found = alike_pairs(members.join(speaks, bucket))
+        speaks = keep(free.groupBy(*bucket, F.pmod(F.xxhash64("id"), F.lit(SPEAKERS))).agg(F.max(F.struct("shared", "id", "n", "root", "bits")).alias("s")).select(*bucket, F.col("s.id").alias("v"), F.col("s.n").alias("m"), F.col("s.shared").alias("common"), F.col("s.root").alias("of"), F.col("s.bits").alias("places")))
+        found = alike_pairs(members, speaks, bucket)
         if found.isEmpty():
             break
         glue = found if glue is None else glue.union(found)
@@ -194,10 +199,13 @@ def overlap_groups(distinct: DataFrame, known: DataFrame, rows: DataFrame, key:
         own = speaks.select(*bucket, F.col("v").alias("id"))
         spoken = own if spoken is None else spoken.union(own)
     # What is left: each member outside its bucket's largest group against all of other groups.
-    top = members.groupBy(*bucket, "root").agg(F.count(F.lit(1)).alias("k")).groupBy(*bucket).agg(F.max(F.struct("k", "root")).alias("t")).select(*bucket, F.col("t.root").alias("top"))
-    members = hold(members.join(hold(top), bucket))
-    other = members.select(*bucket, F.col("id").alias("v"), F.col("n").alias("m"), F.col("shared").alias("common"), F.col("root").alias("of"))
-    found = alike_pairs(members.where("root <> top").join(other, bucket).where((F.col("of") == F.col("top")) | (F.col("id") > F.col("v"))))
+    # A large bucket is dealt to parts: each member to one of them, its partners to all.
+    top = members.groupBy(*bucket, "root").agg(F.count(F.lit(1)).alias("k")).groupBy(*bucket).agg(F.max(F.struct("k", "root")).alias("t"), F.sum("k").alias("all"))
+    top = hold(top.select(*bucket, F.col("t.root").alias("top"), (1 + F.floor(F.col("all") / DEALT)).cast("int").alias("parts")))
+    members = hold(members.join(top, bucket))
+    other = members.select(*bucket, F.col("id").alias("v"), F.col("n").alias("m"), F.col("shared").alias("common"), F.col("root").alias("of"), F.col("bits").alias("places"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    one = members.where("root <> top").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    found = alike_pairs(one, other, [*bucket, "part"], (F.col("of") == F.col("top")) | (F.col("id") > F.col("v")))
     glue = found if glue is None else glue.union(found)
     joined = simhash.components(glue)
     drop_folder(spark, folder)
