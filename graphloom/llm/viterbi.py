@@ -4,6 +4,10 @@ The best segmentation (largest sum of piece scores) is found from left to right.
 start already dealt with can reach are open, at most as many as the longest piece has characters; ids are committed
 whenever the backpointer paths of all open boundaries meet at one. What waits for that are backpointers of one stretch,
 short but where a text repeats itself so that two paths run side by side ("qqqq...").
+
+Where one boundary is open nothing before it matters, so what the search does from there up to the next such boundary
+hangs only on the characters that it looks at. An encoder keeps such stretches in a tree of characters and goes on by
+looking them up; the search itself runs where a stretch has not been seen.
 """
 
 from __future__ import annotations
@@ -11,7 +15,6 @@ from __future__ import annotations
 import functools
 import hashlib
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +25,10 @@ from pyspark.sql import types as T
 from .common import kept_columns, map_texts
 
 UNKNOWN_PENALTY = 10.0
-#: Chunks of at most so many characters are remembered, by a worker, while they and what belongs to them take so many bytes.
-CHUNK, REMEMBERED, ENTRY = 48, 280_000_000, 160
+#: Stretches of at most so many characters are remembered by a worker, until their tree has so many nodes; then it begins anew.
+STRETCH, NODES, HEAD = 64, 500_000, 3
+#: What stands behind a text's last character: no text and no piece has it.
+END = "\ud800"
 #: Characters that the search is fed at once, and committed ones that it drops at once.
 STEP = 4096
 
@@ -43,10 +48,6 @@ class Vocabulary:
         self.longest = max(map(len, self.pieces))
         #: Every beginning of a piece: its id and score if it is one, else nothing.
         self.table: dict[str, tuple] = {p[:k]: () for p in self.pieces for k in range(1, len(p))} | self.pieces
-        #: Pairs of characters that stand together in some piece.
-        self.together = {p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)}
-        #: No piece has a word's end inside, so all paths meet before each mark that follows something else.
-        self.meets_at_marks = not any(re.search("[^▁]▁", p) for p in self.pieces)
 
     def spelled(self, char: str) -> list[int]:
         """Ids of a character that no piece covers: its bytes, or the unknown id."""
@@ -62,7 +63,8 @@ class StreamingViterbi:
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.commits = self.widest = 0
+        self.commits = self.widest = self.looked = self.dropped = 0
+        self.fresh = False
         self._reset()
 
     def _reset(self) -> None:
@@ -71,32 +73,66 @@ class StreamingViterbi:
         self.score, self.back = [0.0], [0]
 
     def feed(self, more: str) -> list[int]:
-        if self.base >= STEP:
-            cut = self.base
+        out: list[int] = []
+        self._drop()
+        self._take(more)
+        self._advance(len(self.text) - self.v.longest, out)
+        return out
+
+    def _drop(self) -> int:
+        """Lets go of what is committed, once it is enough; how much that was."""
+        cut = self.base if self.base >= STEP else 0
+        if cut:
             self.text, self.score = self.text[cut:], self.score[cut:]
             self.back = [b - cut for b in self.back[cut:]]
             self.base, self.done, self.reach = 0, self.done - cut, self.reach - cut
+        return cut
+
+    def _take(self, more: str) -> None:
         self.text += more
         self.score += [-math.inf] * len(more)
         self.back += [0] * len(more)
-        return self._advance(len(self.text) - self.v.longest)
+
+    def stretch(self, text: str, start: int) -> tuple[list[int], int, int]:
+        """Ids from start up to the next place where one boundary is open, its distance, and the place behind the last character looked at.
+
+        text ends with END. It is fed a few characters at a time, so no more of it is held than waits.
+        """
+        ids: list[int] = []
+        at, ahead = start, self.v.longest + 1
+        self._reset()
+        self.looked = self.dropped = 0
+        while True:
+            more = text[at : at + ahead]
+            at += len(more)
+            self.dropped += self._drop()
+            self._take(more)
+            # The last character is END: no start.
+            until = len(self.text) - 1 if at == len(text) else len(self.text) - self.v.longest
+            self._advance(until, ids, True)
+            if self.fresh:
+                return ids, self.dropped + self.done, start + self.looked
 
     def finish(self) -> list[int]:
-        out = self._advance(len(self.text))
+        out: list[int] = []
+        self._advance(len(self.text), out)
         self._reset()
         return out
 
-    def _advance(self, until: int) -> list[int]:
-        """Deals with all starts before until; later ones might see longer pieces once more text is there."""
-        out: list[int] = []
+    def _advance(self, until: int, out: list[int], one: bool = False) -> None:
+        """Deals with all starts before until, or with `one` up to a single open boundary; later ones might see longer pieces once more text is there."""
         v, text, score, back, reach = self.v, self.text, self.score, self.back, self.reach
         table, longest, unknown, size = v.table, v.longest, v.unknown_score, len(self.text)
+        looked, gone = self.looked - self.dropped, until
+        self.fresh = False
         for s in range(self.done, until):
             here, after = score[s], s + 1
             if here != -math.inf:
                 single = False
                 for e in range(after, min(s + longest, size) + 1):
                     found = table.get(text[s:e])
+                    if e > looked:
+                        looked = e
                     if found is None:
                         break
                     if found:
@@ -112,12 +148,14 @@ class StreamingViterbi:
                         reach = after
             if reach == after:  # one boundary is open
                 self._commit(after, after, out)
+                if one:
+                    self.fresh, gone = True, after
+                    break
             elif not (after - self.base) % longest:
                 meet = self._meeting(after, reach)
                 if meet > self.base:
                     self._commit(meet, after, out)
-        self.done, self.reach = max(self.done, until), reach
-        return out
+        self.done, self.reach, self.looked = max(self.done, gone), reach, looked + self.dropped
 
     def _meeting(self, first: int, last: int) -> int:
         """The last boundary that the paths of all open boundaries share: the furthest steps back until one is left."""
@@ -143,48 +181,61 @@ class StreamingViterbi:
 
 
 class Encoder:
-    """Whole texts to ids. A text is cut into chunks where all paths meet; what the search finds for short ones is remembered, within a bound."""
+    """Whole texts to ids: the streaming search over each, with its stretches between single open boundaries remembered."""
 
     def __init__(self, model_file: str):
-        self.v = v = Vocabulary(model_file)
-        self.known: dict[str, tuple[bytes, int, int]] = {}  # ids as bytes, commits and widest wait
-        self.held = 0
-        marks, left = "", ".,;:!?|#$%&*()\n"
-        while marks != left:  # marks that no piece has right after anything but another of them or a word's start
-            marks, left = left, "".join(c for c in left if not any(p[1] == c and p[0] not in left + "▁" for p in v.together))
-        m = re.escape(marks)
-        plain = f"▁*[^▁{m}]+|▁*[{m}][^▁]*|▁+" if marks else "▁+[^▁]*|[^▁]+"
-        self.chunks = re.compile(plain if v.meets_at_marks else "(?s:.+)")
+        self.v = Vocabulary(model_file)
+        self.known: dict = {}  # a tree of the first HEAD characters and then of single ones; its leaves are (length, ids, commits, widest wait)
+        self.nodes = self.searched = 0
 
     def encode_all(self, texts: list[str]) -> list[tuple[bytes, int, int]]:
         """The ids of each text as little-endian 32-bit bytes, how often the search committed some, and its widest wait."""
-        known, split = self.known, [self.chunks.findall(self.v.model.normalize(t)) for t in texts]
-        if self.held > REMEMBERED:
-            known.clear()
-            self.held = 0
-        long = {}
-        for chunk in {c for chunks in split for c in chunks if c not in known}:
-            found = self.search(chunk)
-            if len(chunk) <= CHUNK:
-                known[chunk] = found
-                self.held += 4 * len(chunk) + len(found[0]) + ENTRY
-            else:
-                long[chunk] = found
         out = []
-        for chunks in split:
-            own = [known.get(c) or long[c] for c in chunks] if long else [known[c] for c in chunks]
-            out.append((b"".join([x[0] for x in own]), sum([x[1] for x in own]), max([x[2] for x in own], default=0)))
+        for raw in texts:
+            known = self.known
+            text = self.v.model.normalize(raw)
+            size, at, commits, widest = len(text), 0, 0, 0
+            ids: list[bytes] = []
+            text += END
+            while at < size:
+                i = at + HEAD
+                node = known.get(text[at:i])
+                while node.__class__ is dict:
+                    node = node.get(text[i])
+                    i += 1
+                if node is None:
+                    node, known = self.search(text, at), self.known
+                length, more, n, wait = node
+                at += length
+                ids.append(more)
+                commits += n
+                if wait > widest:
+                    widest = wait
+            out.append((b"".join(ids), commits, widest))
         return out
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_all([text])[0][0], dtype="<i4").tolist()
 
-    def search(self, chunk: str) -> tuple[bytes, int, int]:
-        search, ids = StreamingViterbi(self.v), []
-        for at in range(0, len(chunk), STEP):
-            ids += search.feed(chunk[at : at + STEP])
-        ids += search.finish()
-        return np.array(ids, dtype="<i4").tobytes(), search.commits, search.widest
+    def search(self, text: str, start: int) -> tuple[int, bytes, int, int]:
+        """The stretch from start, where one boundary is open, to the next such place; remembered by the characters looked at."""
+        search = StreamingViterbi(self.v)
+        ids, length, looked = search.stretch(text, start)
+        leaf = (length, np.array(ids, dtype="<i4").tobytes(), search.commits, search.widest)
+        self.searched += 1
+        if looked - start <= STRETCH:
+            if self.nodes > NODES:
+                self.known, self.nodes = {}, 0
+            keys = [text[start : start + HEAD], *text[start + HEAD : looked]]
+            node = self.known
+            for key in keys[:-1]:
+                below = node.get(key)
+                if below is None:
+                    below = node[key] = {}
+                    self.nodes += 1
+                node = below
+            node[keys[-1]] = leaf
+        return leaf
 
     def decode(self, ids: list[int]) -> str:
         return self.v.model.decode(ids)

@@ -364,13 +364,22 @@ def test_viterbi_query(spark, at, encoder):
             if folder == SF:
                 assert r.decoded_sha256 == hashlib.sha256(next(x.text for x in texts if x.doc_id == r.doc_id).encode()).hexdigest()
 
-    class Forgetful(viterbi.Encoder):
-        pass
-
-    forgetful = Forgetful(queries.vocabulary("piece_bpe_32k.model"))
+    forgetful = viterbi.Encoder(queries.vocabulary("piece_bpe_32k.model"))
     for r in texts:
-        forgetful.held = viterbi.REMEMBERED + 1
+        forgetful.nodes = viterbi.NODES + 1  # the next search begins a new tree
         assert forgetful.encode(r.text or "") == want[r.text] and len(forgetful.known) < 30_000
+    # What is looked up is what whole texts give when they are fed: ids, commits and the widest wait; and most ids come before the end.
+    early = total = 0
+    for r in texts:
+        normal, search, ids = encoder.v.model.normalize(r.text or ""), viterbi.StreamingViterbi(encoder.v), []
+        for k in range(0, len(normal), 97):
+            ids += search.feed(normal[k : k + 97])
+        early += len(ids)
+        ids += search.finish()
+        total += len(ids)
+        raw, commits, widest = encoder.encode_all([r.text or ""])[0]
+        assert (np.frombuffer(raw, dtype="<i4").tolist(), commits, widest) == (ids, search.commits, search.widest)
+    assert early > 0.5 * total
     df = viterbi.decode_ids(viterbi.encode_texts(odd(spark).withColumn("_ids", F.lit(1)), queries.vocabulary("piece_bpe_32k.model")), queries.vocabulary("piece_bpe_32k.model"), to="text")
     assert df.count() == 2 * len(ODD)
     assert viterbi.encode_texts(none(odd(spark)), queries.vocabulary("piece_bpe_32k.model")).collect() == []
