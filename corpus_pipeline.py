@@ -24,7 +24,11 @@ def parts(docs: DataFrame, **new: Column) -> list[Column]:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep, all columns as they are."""
+    """Documents that the quality rules keep, all columns as they are; it reads text and lang.
+
+    A null or empty text has too few words and goes; a null language is judged with the unlisted ones; repeated rows stay or
+    go together; an empty table gives none. Columns may have any names.
+    """
     return quality.quality_rules(docs.select(whole(docs), "text", "lang")).where(F.col("_q.kept")).select(*parts(docs))
 
 
@@ -32,7 +36,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group of near-duplicates one row: the smallest id, null ids last; of rows with that id, by the other columns.
 
     Documents are linked as in op8, and where their sets of five-word shingles have Jaccard similarity 0.8 or more. An
-    id links nothing: rows with one id, or none, and different texts are different documents.
+    id links nothing: rows with one id, or none, and different texts are different documents. It reads doc_id and text; a
+    null text counts as empty, and empty ones are one group; an empty table gives none; columns may have any names.
     """
     folder = shared_folder(spark, "near-duplicates")
     SCRATCH.append(folder)
@@ -57,7 +62,11 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, with a mark in place of each secret, and n_chars, where there is such a column, of the new text."""
+    """Every document, with a mark in place of each secret, and n_chars, where there is such a column, of the new text.
+
+    It reads text. A null text has no secrets and stays null, repeated rows stay, an empty table gives none, and columns
+    may have any names.
+    """
     out = secrets.scan_secrets(docs.select(whole(docs), "text"), vocabulary("byte_bpe_50k.tiktoken"), pattern(), redact=True, keep=["doc"])
     new = {"text": F.col("_redacted")}
     if "n_chars" in docs.columns:
@@ -66,7 +75,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece: where it goes."""
+    """A row for each piece: where it goes. It reads doc_id and text; a null text is an empty one and still a piece; an empty table gives none."""
     pieces = packing.tokenized_pieces(docs, vocabulary("word_bpe_49k.json"), keep=["doc_id"])
     out = packing.best_fit(pieces, order=("doc_id", "_piece"))
     return out.select("doc_id", *[F.col(f"_{x}").alias(y) for x, y in (("piece", "piece"), ("start", "start"), ("length", "length"), ("ids_crc32", "ids_crc32"), ("sequence", "sequence_id"), ("offset", "offset"))])
