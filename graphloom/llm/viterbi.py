@@ -6,8 +6,9 @@ whenever the backpointer paths of all open boundaries meet at one. What waits fo
 short but where a text repeats itself so that two paths run side by side ("qqqq...").
 
 Where one boundary is open nothing before it matters, so what the search does from there up to the next such boundary
-hangs only on the characters that it looks at. An encoder keeps such stretches in a tree of characters and goes on by
-looking them up; the search itself runs where a stretch has not been seen.
+hangs only on the characters that it looks at. An encoder keeps such stretches in a tree of characters, and what they
+give for whole words that begin and end between them, and goes on by looking them up; the search itself runs where a
+stretch has not been seen.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from __future__ import annotations
 import functools
 import hashlib
 import math
+import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +30,10 @@ from .common import kept_columns, map_texts
 UNKNOWN_PENALTY = 10.0
 #: Stretches of at most so many characters are remembered by a worker, until their tree has so many nodes; then it begins anew.
 STRETCH, NODES, HEAD = 64, 500_000, 3
+#: Words are remembered while they and what belongs to them take so many bytes.
+REMEMBERED, ENTRY = 160_000_000, 160
+#: Words with the marks before them.
+WORDS = re.compile("▁*[^▁]+|▁+")
 #: What stands behind a text's last character: no text and no piece has it.
 END = "\ud800"
 #: Characters that the search is fed at once, and committed ones that it drops at once.
@@ -63,8 +70,7 @@ class StreamingViterbi:
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.commits = self.widest = self.looked = self.dropped = 0
-        self.fresh = False
+        self.commits = self.widest = 0
         self._reset()
 
     def _reset(self) -> None:
@@ -74,44 +80,91 @@ class StreamingViterbi:
 
     def feed(self, more: str) -> list[int]:
         out: list[int] = []
-        self._drop()
-        self._take(more)
-        self._advance(len(self.text) - self.v.longest, out)
-        return out
-
-    def _drop(self) -> int:
-        """Lets go of what is committed, once it is enough; how much that was."""
-        cut = self.base if self.base >= STEP else 0
-        if cut:
+        if self.base >= STEP:
+            cut = self.base
             self.text, self.score = self.text[cut:], self.score[cut:]
             self.back = [b - cut for b in self.back[cut:]]
             self.base, self.done, self.reach = 0, self.done - cut, self.reach - cut
-        return cut
-
-    def _take(self, more: str) -> None:
         self.text += more
         self.score += [-math.inf] * len(more)
         self.back += [0] * len(more)
+        self._advance(len(self.text) - self.v.longest, out)
+        return out
 
     def stretch(self, text: str, start: int) -> tuple[list[int], int, int]:
         """Ids from start up to the next place where one boundary is open, its distance, and the place behind the last character looked at.
 
-        text ends with END. It is fed a few characters at a time, so no more of it is held than waits.
+        The same search without waiting: text is whole, ends with END, and is read where it is. What is committed on the
+        way is let go, so no more is held than waits.
         """
+        v = self.v
+        table, pieces, longest, unknown, size = v.table, v.pieces, v.longest, v.unknown_score, len(text) - 1
+        none = -math.inf
+        score, back, low = [0.0], [0], start  # of the places from low on
         ids: list[int] = []
-        at, ahead = start, self.v.longest + 1
-        self._reset()
-        self.looked = self.dropped = 0
+        base = reach = s = start
+        looked = start + 1
         while True:
-            more = text[at : at + ahead]
-            at += len(more)
-            self.dropped += self._drop()
-            self._take(more)
-            # The last character is END: no start.
-            until = len(self.text) - 1 if at == len(text) else len(self.text) - self.v.longest
-            self._advance(until, ids, True)
-            if self.fresh:
-                return ids, self.dropped + self.done, start + self.looked
+            here, after = score[s - low], s + 1
+            if here != none:
+                single = False
+                for e in range(after, s + longest + 1):
+                    found = table.get(text[s:e])
+                    if e > looked:
+                        looked = e
+                    if found is None:
+                        break
+                    if found:
+                        if e == after:
+                            single = True
+                        k = e - low
+                        while k >= len(score):
+                            score.append(none)
+                            back.append(0)
+                        if here + found[1] > score[k]:
+                            score[k], back[k] = here + found[1], s
+                            if e > reach:
+                                reach = e
+                if not single:
+                    k = after - low
+                    if k >= len(score):
+                        score.append(none)
+                        back.append(0)
+                    if here + unknown > score[k]:
+                        score[k], back[k] = here + unknown, s
+                        if after > reach:
+                            reach = after
+            elif after - low >= len(score):
+                score.append(none)
+                back.append(0)
+            one = reach == after
+            end = base
+            if one:
+                end = after
+            elif not (after - base) % longest:
+                ends = {e for e in range(after, reach + 1) if score[e - low] != none}
+                while len(ends) > 1:  # the furthest steps back until one is left
+                    furthest = max(ends)
+                    ends.remove(furthest)
+                    ends.add(back[furthest - low])
+                end = ends.pop()
+            if end > base:
+                at, made = end, []
+                while at > base:
+                    before = back[at - low]
+                    found = pieces.get(text[before:at])
+                    made += [found[0]] if found else v.spelled(text[before:at])[::-1]
+                    at = before
+                ids += made[::-1]
+                self.widest = max(self.widest, after - base)
+                self.commits += 1
+                base = end
+                if one:
+                    return ids, end - start, looked
+                if base - low > STEP:
+                    del score[: base - low], back[: base - low]
+                    low = base
+            s = after
 
     def finish(self) -> list[int]:
         out: list[int] = []
@@ -119,20 +172,16 @@ class StreamingViterbi:
         self._reset()
         return out
 
-    def _advance(self, until: int, out: list[int], one: bool = False) -> None:
-        """Deals with all starts before until, or with `one` up to a single open boundary; later ones might see longer pieces once more text is there."""
+    def _advance(self, until: int, out: list[int]) -> None:
+        """Deals with all starts before until; later ones might see longer pieces once more text is there."""
         v, text, score, back, reach = self.v, self.text, self.score, self.back, self.reach
         table, longest, unknown, size = v.table, v.longest, v.unknown_score, len(self.text)
-        looked, gone = self.looked - self.dropped, until
-        self.fresh = False
         for s in range(self.done, until):
             here, after = score[s], s + 1
             if here != -math.inf:
                 single = False
                 for e in range(after, min(s + longest, size) + 1):
                     found = table.get(text[s:e])
-                    if e > looked:
-                        looked = e
                     if found is None:
                         break
                     if found:
@@ -148,14 +197,11 @@ class StreamingViterbi:
                         reach = after
             if reach == after:  # one boundary is open
                 self._commit(after, after, out)
-                if one:
-                    self.fresh, gone = True, after
-                    break
             elif not (after - self.base) % longest:
                 meet = self._meeting(after, reach)
                 if meet > self.base:
                     self._commit(meet, after, out)
-        self.done, self.reach, self.looked = max(self.done, gone), reach, looked + self.dropped
+        self.done, self.reach = max(self.done, until), reach
 
     def _meeting(self, first: int, last: int) -> int:
         """The last boundary that the paths of all open boundaries share: the furthest steps back until one is left."""
@@ -185,43 +231,64 @@ class Encoder:
 
     def __init__(self, model_file: str):
         self.v = Vocabulary(model_file)
-        self.known: dict = {}  # a tree of the first HEAD characters and then of single ones; its leaves are (length, ids, commits, widest wait)
-        self.nodes = self.searched = 0
+        self.known: dict = {}  # a tree of the first HEAD characters and then of single ones; its leaves are (length, ids, commits, widest wait, characters looked at)
+        self.words: dict[str, tuple[bytes, int, int]] = {}  # what stretches give a word that begins and ends between them
+        self.nodes = self.searched = self.held = 0
 
     def encode_all(self, texts: list[str]) -> list[tuple[bytes, int, int]]:
         """The ids of each text as little-endian 32-bit bytes, how often the search committed some, and its widest wait."""
         out = []
         for raw in texts:
-            known = self.known
-            text = self.v.model.normalize(raw)
-            size, at, commits, widest = len(text), 0, 0, 0
-            ids: list[bytes] = []
-            text += END
-            while at < size:
-                i = at + HEAD
-                node = known.get(text[at:i])
-                while node.__class__ is dict:
-                    node = node.get(text[i])
-                    i += 1
-                if node is None:
-                    node, known = self.search(text, at), self.known
-                length, more, n, wait = node
-                at += length
-                ids.append(more)
-                commits += n
-                if wait > widest:
-                    widest = wait
-            out.append((b"".join(ids), commits, widest))
+            text, words, at, start, found = self.v.model.normalize(raw), self.words, 0, 0, []
+            ended = text + END
+            for word in WORDS.findall(text):
+                whole = words.get(word) if at == start else None
+                start += len(word)
+                if whole is None:
+                    if at >= start:  # a stretch has passed this word
+                        continue
+                    whole, at = self.word(ended, word, at, start)
+                else:
+                    at = start
+                found.append(whole)
+            out.append((b"".join([x[0] for x in found]), sum([x[1] for x in found]), max([x[2] for x in found], default=0)))
+            if self.held > REMEMBERED:
+                self.words, self.held = {}, 0
         return out
 
+    def word(self, text: str, word: str, at: int, end: int) -> tuple[tuple[bytes, int, int], int]:
+        """What the search gives from a single open boundary up to the end of a word or beyond, and where it comes to.
+
+        Where it has begun with the word, comes to its end and has looked no further than one character behind it, that
+        is remembered for the word: behind words stands a mark of the next one or nothing, and neither goes on a piece.
+        """
+        begun, ids, commits, widest, furthest = at == end - len(word), [], 0, 0, at
+        while at < end:
+            i = at + HEAD
+            node = self.known.get(text[at:i])
+            while node.__class__ is dict:
+                node = node.get(text[i])
+                i += 1
+            length, more, n, wait, looked = node or self.search(text, at)
+            furthest = max(furthest, at + looked)
+            at += length
+            ids.append(more)
+            commits += n
+            widest = max(widest, wait)
+        whole = (b"".join(ids), commits, widest)
+        if begun and at == end and furthest <= end + 1 and len(word) <= STRETCH:
+            self.words[word] = whole
+            self.held += 4 * len(word) + len(whole[0]) + ENTRY
+        return whole, at
+
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_all([text])[0][0], dtype="<i4").tolist()
 
-    def search(self, text: str, start: int) -> tuple[int, bytes, int, int]:
+    def search(self, text: str, start: int) -> tuple[int, bytes, int, int, int]:
         """The stretch from start, where one boundary is open, to the next such place; remembered by the characters looked at."""
         search = StreamingViterbi(self.v)
         ids, length, looked = search.stretch(text, start)
-        leaf = (length, np.array(ids, dtype="<i4").tobytes(), search.commits, search.widest)
+        leaf = (length, struct.pack(f"<{len(ids)}i", *ids), search.commits, search.widest, looked - start)
         self.searched += 1
         if looked - start <= STRETCH:
             if self.nodes > NODES:

@@ -366,8 +366,8 @@ def test_viterbi_query(spark, at, encoder):
 
     forgetful = viterbi.Encoder(queries.vocabulary("piece_bpe_32k.model"))
     for r in texts:
-        forgetful.nodes = viterbi.NODES + 1  # the next search begins a new tree
-        assert forgetful.encode(r.text or "") == want[r.text] and len(forgetful.known) < 30_000
+        forgetful.nodes, forgetful.held = viterbi.NODES + 1, viterbi.REMEMBERED + 1  # all is forgotten with the next search and text
+        assert forgetful.encode(r.text or "") == want[r.text] and len(forgetful.known) < 30_000 and not forgetful.words
     # What is looked up is what whole texts give when they are fed: ids, commits and the widest wait; and most ids come before the end.
     early = total = 0
     for r in texts:
