@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import document_id
+from ..functions.lineage import settle
 
 
 def snapshot_diff(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
@@ -200,10 +201,24 @@ def beat_nodes(beats: DataFrame, nodes: DataFrame, tour: str = "tour", pos: str
 
 
 def beat_edges(lit: DataFrame, edges: DataFrame, tour: str = "tour", pos: str = "pos") -> DataFrame:
-    """(tour, pos, source, target, relation): edges with both ends among the nodes that one beat lights."""
+    """(tour, pos, source, target, relation): edges with both ends among the nodes that one beat lights.
+
+    Edges to or from nodes that no beat lights go first. A lit source then meets the fewer of its edges and its beat's
+    nodes, so a node of many edges costs a beat no more than the nodes that it lights.
+    """
+    lit = settle(lit)
+    ids = lit.select("id").distinct()
     ends = edges.select("source", "target", "relation")
-    out = ends.join(lit.withColumnRenamed("id", "source"), "source")
-    return out.join(lit.withColumnRenamed("id", "target"), [tour, pos, "target"]).select(tour, pos, "source", "target", "relation")
+    for end in ("target", "source"):
+        ends = ends.join(ids.withColumnRenamed("id", end), end, "left_semi")
+    ends = settle(ends)
+    own, others = lit.withColumnRenamed("id", "source"), lit.withColumnRenamed("id", "target")
+    own = own.withColumn("_lit", F.count(F.lit(1)).over(Window.partitionBy(tour, pos)))
+    own = own.join(ends.groupBy("source").agg(F.count(F.lit(1)).alias("_out")), "source")
+    along = own.where("_out <= _lit").join(ends, "source").join(others, [tour, pos, "target"])
+    across = own.where("_out > _lit").join(others, [tour, pos]).join(ends, ["source", "target"])
+    names = [tour, pos, "source", "target", "relation"]
+    return along.select(*names).unionByName(across.select(*names))
 
 
 def settled(first: DataFrame, second: DataFrame) -> DataFrame:
