@@ -50,6 +50,14 @@ def written(df: DataFrame, folder: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tabled(df: DataFrame, folder: str) -> DataFrame:
+    """As written, for tables of which loops make many: no join sends one through the driver.
+
+    A table that takes little room in its file would be broadcast, by each join of each round, and fill the driver.
+    """
+    return written(df, folder).hint("merge")
+
+
 def ranked(df: DataFrame, order: list[Column], to: str = "rank") -> tuple[DataFrame, int]:
     """df (narrow rows) with each row's place from 0 in the order, and the number of rows.
 

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lineage import drop_folder, settle, shared_folder, written
+from ..functions.lineage import drop_folder, settle, shared_folder, tabled
 
 #: Part of the edges that a pass over chains must take away for another to follow.
 SHRINK = 0.1
@@ -43,7 +43,7 @@ def _draw_together(core: DataFrame, folder: str, rounds: Rounds) -> tuple[_Chain
     """The chains of (a, b) where a has one way out, the rings among them (node, component), and the edges that are left."""
     made = _Chains()
     one = core.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("to")).where("n = 1")
-    at = written(one.select(F.col("a").alias("node"), "to", F.col("a").alias("low")), folder)
+    at = tabled(one.select(F.col("a").alias("node"), "to", F.col("a").alias("low")), folder)
     count, reach = at.count(), 1
     on = at.select(F.col("node").alias("x"))
     while True:
@@ -51,7 +51,7 @@ def _draw_together(core: DataFrame, folder: str, rounds: Rounds) -> tuple[_Chain
         # Twice the jump; one that ends off the chains stays there. low: the smallest node passed, the end left out.
         nxt = at.select(F.col("node").alias("via"), F.col("to").alias("far"), F.col("low").alias("low2"))
         both = at.join(nxt, at["to"] == nxt["via"], "left")
-        fresh = written(both.select("node", F.coalesce("far", "to").alias("to"), F.least("low", F.coalesce("low2", "low")).alias("low"), F.col("via").isNotNull().alias("open")), folder)
+        fresh = tabled(both.select("node", F.coalesce("far", "to").alias("to"), F.least("low", F.coalesce("low2", "low")).alias("low"), F.col("via").isNotNull().alias("open")), folder)
         rounds.doubling += 1
         at, reach = fresh.drop("open"), reach * 2
         if fresh.where("open").isEmpty() or reach >= 2 * count:
@@ -60,14 +60,14 @@ def _draw_together(core: DataFrame, folder: str, rounds: Rounds) -> tuple[_Chain
     open_ = at.join(on, at["to"] == on["x"], "left_semi")
     ring = open_.select("to").distinct()
     rings = at.join(ring.withColumnRenamed("to", "r"), at["node"] == F.col("r"), "left_semi").select("node", F.col("low").alias("component"))
-    made.ends = written(at.join(on, at["to"] == on["x"], "left_anti").select("node", "to"), folder)
+    made.ends = tabled(at.join(on, at["to"] == on["x"], "left_anti").select("node", "to"), folder)
     free = core.join(on, core["a"] == on["x"], "left_anti")
     ends = made.ends.select(F.col("node").alias("x"), F.col("to").alias("t"))
     tied = free.join(ends, free["b"] == ends["x"])
-    made.entries = written(tied.select(F.col("a").alias("u"), "x", "t"), folder)
+    made.entries = tabled(tied.select(F.col("a").alias("u"), "x", "t"), folder)
     direct = free.join(on, free["b"] == on["x"], "left_anti")
     left = direct.unionByName(made.entries.select(F.col("u").alias("a"), F.col("t").alias("b")).where("a <> b")).distinct()
-    return made, rings, written(left, folder)
+    return made, rings, tabled(left, folder)
 
 
 def _turned(core: DataFrame) -> DataFrame:
@@ -77,7 +77,7 @@ def _turned(core: DataFrame) -> DataFrame:
 def _trimmed(core: DataFrame, folder: str) -> DataFrame:
     """Once without nodes that nothing leads to or that lead nowhere."""
     heads, tails = core.select(F.col("b").alias("x")).distinct(), core.select(F.col("a").alias("x")).distinct()
-    return written(core.join(heads, core["a"] == heads["x"], "left_semi").join(tails, core["b"] == tails["x"], "left_semi"), folder)
+    return tabled(core.join(heads, core["a"] == heads["x"], "left_semi").join(tails, core["b"] == tails["x"], "left_semi"), folder)
 
 
 def _coloured(core: DataFrame, folder: str, rounds: Rounds) -> DataFrame:
@@ -90,27 +90,27 @@ def _coloured(core: DataFrame, folder: str, rounds: Rounds) -> DataFrame:
     while not core.isEmpty():
         rounds.colours += 1
         nodes = core.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        label = written(nodes.select("node", F.struct(F.xxhash64("node", F.lit(rounds.colours)).alias("h"), F.col("node").alias("pivot")).alias("label")), folder)
+        label = tabled(nodes.select("node", F.struct(F.xxhash64("node", F.lit(rounds.colours)).alias("h"), F.col("node").alias("pivot")).alias("label")), folder)
         fresh = label
         while not fresh.isEmpty():  # only what changed goes on
             rounds.spreading += 1
             came = core.join(fresh, core["a"] == fresh["node"]).groupBy(F.col("b").alias("node")).agg(F.min("label").alias("came"))
-            joined = written(label.join(came, "node", "left").select("node", F.least("label", F.coalesce("came", "label")).alias("label"), (F.coalesce(F.col("came") < F.col("label"), F.lit(False))).alias("new")), folder)
+            joined = tabled(label.join(came, "node", "left").select("node", F.least("label", F.coalesce("came", "label")).alias("label"), (F.coalesce(F.col("came") < F.col("label"), F.lit(False))).alias("new")), folder)
             label, fresh = joined.drop("new"), joined.where("new").drop("new")
         colour = label.select("node", F.col("label.pivot").alias("pivot"))
         left, right = colour.select(F.col("node").alias("a"), F.col("pivot").alias("p")), colour.select(F.col("node").alias("b"), F.col("pivot").alias("q"))
-        same = written(core.join(left, "a").join(right, "b").where("p = q").select("a", "b", "p"), folder)
-        back = fresh = written(colour.where("node = pivot").select("node", F.col("pivot").alias("component")), folder)
+        same = tabled(core.join(left, "a").join(right, "b").where("p = q").select("a", "b", "p"), folder)
+        back = fresh = tabled(colour.where("node = pivot").select("node", F.col("pivot").alias("component")), folder)
         while not fresh.isEmpty():
             rounds.spreading += 1
             came = same.join(fresh, same["b"] == fresh["node"]).select(F.col("a").alias("node"), F.col("p").alias("component")).distinct()
-            fresh = written(came.join(back, "node", "left_anti"), folder)
+            fresh = tabled(came.join(back, "node", "left_anti"), folder)
             back = back.unionByName(fresh)
-        back = written(back, folder)
+        back = tabled(back, folder)
         out = back if out is None else out.unionByName(back)
         gone = back.select(F.col("node").alias("x"))
         rest = core.join(left, "a").join(right, "b").where("p = q").select("a", "b")  # no component spans two colours
-        rest = written(rest.join(gone, rest["a"] == gone["x"], "left_anti").join(gone, F.col("b") == gone["x"], "left_anti"), folder)
+        rest = tabled(rest.join(gone, rest["a"] == gone["x"], "left_anti").join(gone, F.col("b") == gone["x"], "left_anti"), folder)
         core = _trimmed(rest, folder)
     return out
 
@@ -122,7 +122,7 @@ def strong_components(pairs: DataFrame, rounds: Rounds | None = None) -> DataFra
     """
     rounds = rounds if rounds is not None else Rounds()
     folder = shared_folder(pairs.sparkSession, "cycles")
-    core = written(pairs.select(F.col("source").alias("a"), F.col("target").alias("b")).where("a <> b").distinct(), folder)
+    core = tabled(pairs.select(F.col("source").alias("a"), F.col("target").alias("b")).where("a <> b").distinct(), folder)
     passes: list[_Chains] = []
     kind = core.schema["a"].dataType.simpleString()
     found = pairs.sparkSession.createDataFrame([], f"node {kind}, component {kind}")
@@ -140,19 +140,19 @@ def strong_components(pairs: DataFrame, rounds: Rounds | None = None) -> DataFra
         if size > (1 - SHRINK) * before:
             break
     coloured = _coloured(core, folder, rounds)
-    labels = written(found if coloured is None else found.unionByName(coloured), folder)
+    labels = tabled(found if coloured is None else found.unionByName(coloured), folder)
     for chains in reversed(passes):
         of = lambda x: labels.select(F.col("node").alias(f"_{x}"), F.col("component").alias(f"c{x}"))  # noqa: B023, E731
         entries = chains.entries.join(of("u"), F.col("u") == F.col("_u"), "left").join(of("t"), F.col("t") == F.col("_t"), "left")
         own = entries.withColumn("cu", F.coalesce("cu", "u")).withColumn("ct", F.coalesce("ct", "t")).where("cu = ct")
-        marks = written(own.select(F.col("x").alias("node"), F.col("ct").alias("component"), "t").distinct(), folder)
+        marks = tabled(own.select(F.col("x").alias("node"), F.col("ct").alias("component"), "t").distinct(), folder)
         if marks.isEmpty():
             continue
         tops = marks.select(F.col("t").alias("node"), "component").distinct()
         marks = marks.select("node", "component")
         for jump in chains.jumps:  # all nodes from an entry down to where its chain ends
-            marks = written(marks.unionByName(marks.join(jump, "node").select(F.col("to").alias("node"), "component")).distinct(), folder)
-        labels = written(labels.unionByName(marks).unionByName(tops).distinct(), folder)
+            marks = tabled(marks.unionByName(marks.join(jump, "node").select(F.col("to").alias("node"), "component")).distinct(), folder)
+        labels = tabled(labels.unionByName(marks).unionByName(tops).distinct(), folder)
     sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least")).where("size > 1")
     out = settle(labels.join(sizes, "component").select("node", F.col("least").alias("component"), "size"))
     drop_folder(pairs.sparkSession, folder)

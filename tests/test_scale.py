@@ -2,11 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from graphloom.operators import change
+from graphloom.functions.lineage import settle
+from graphloom.operators import change, cycles, reach
 
 
 def rows_made(spark, run):
-    """The most rows that one step of any plan makes while run() goes on, and the plans' steps by name."""
+    """The most rows that one step of any plan makes while run() goes on, and the plans' steps: (name, rows)."""
     store = spark._jsparkSession.sharedState().statusStore()
     bus = spark.sparkContext._jsc.sc().listenerBus()
     bus.waitUntilEmpty(30_000)
@@ -20,12 +21,14 @@ def rows_made(spark, run):
         nodes = store.planGraph(held.executionId()).allNodes()
         for j in range(nodes.size()):
             node = nodes.apply(j)
-            steps.append(node.name())
+            rows = 0
             for k in range(node.metrics().size()):
                 metric = node.metrics().apply(k)
                 said = values.get(metric.accumulatorId())
                 if metric.name() == "number of output rows" and said.isDefined():
-                    most = max(most, int(said.get().replace(",", "")))
+                    rows = int(said.get().replace(",", ""))
+            steps.append((node.name(), rows))
+            most = max(most, rows)
     return most, steps
 
 
@@ -39,3 +42,18 @@ def test_beats_at_a_node_of_many_edges(spark):
     want = [("t", i // 4, "hub", f"n{i}", "contains") for i in range(4000)] + [("t", 1, "hub", "n7", "contains")]
     assert sorted(got) == sorted(want)
     assert most <= 50_000
+
+
+def test_no_table_of_a_loop_is_broadcast(spark):
+    """Components of chains, rings and a coloured rest, and counts of dependents: nothing but offsets, a row a partition, is broadcast."""
+    n = F.col("id")
+    rows = spark.range(60).select((n % 7 + 1000).alias("source"), ((n * 5 + 1) % 7 + 1000).alias("target"))
+    rows = settle(rows.union(spark.range(40).select(n, n + 1)).union(spark.range(20).select(n + 500, (n + 1) % 20 + 500)))
+    found = []
+    steps = rows_made(spark, lambda: found.append(cycles.strong_components(rows)))[1]
+    assert (500, 20) in {(r.component, r.size) for r in found[0].collect()}
+    assert any("Join" in name for name, _ in steps) and not any("Broadcast" in name for name, _ in steps)
+    imports = rows.where("source < 1000").select(F.col("source").cast("string").alias("source"), F.col("target").cast("string").alias("target"), F.lit("imports").alias("relation"), F.lit("PHYSICAL").alias("type"))
+    steps = rows_made(spark, lambda: found.append(reach.dependent_counts(imports)))[1]
+    assert {r.node: r.dependents for r in found[1].collect()}["40"] == 40
+    assert all(rows <= 4 for name, rows in steps if name == "BroadcastExchange")
