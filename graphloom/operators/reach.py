@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lineage import drop_folder, running, settle, shared_folder, written
+from ..functions.lineage import drop_folder, running, settle, shared_folder, tabled
 from .cycles import Rounds, _draw_together, strong_components
 from .graph import imported
 
@@ -19,12 +19,12 @@ from .graph import imported
 def _levels(direct: DataFrame, folder: str) -> tuple[DataFrame, int]:
     """(node, level) of the ends of the acyclic (r, w): the longest path that leads there; and the highest level."""
     nodes = direct.select(F.explode(F.array("r", "w")).alias("node")).distinct()
-    at = written(nodes.withColumn("level", F.lit(0)), folder)
+    at = tabled(nodes.withColumn("level", F.lit(0)), folder)
     fresh = at
     top = 0
     while not fresh.isEmpty():
         came = direct.join(fresh, direct["r"] == fresh["node"]).groupBy(F.col("w").alias("node")).agg((F.max("level") + 1).alias("came"))
-        at = written(at.join(came, "node", "left").select("node", F.greatest("level", F.coalesce("came", F.lit(0))).alias("level"), F.coalesce(F.col("came") > F.col("level"), F.lit(False)).alias("new")), folder)
+        at = tabled(at.join(came, "node", "left").select("node", F.greatest("level", F.coalesce("came", F.lit(0))).alias("level"), F.coalesce(F.col("came") > F.col("level"), F.lit(False)).alias("new")), folder)
         fresh, at = at.where("new").drop("new"), at.drop("new")
         top += 1
     return at, top - 1
@@ -37,7 +37,7 @@ class _Sketches:
         self.folder, self.rounds, self.size = folder, rounds, F.lit(lg_entries)
 
     def keep(self, df: DataFrame) -> DataFrame:
-        return written(df, self.folder)
+        return tabled(df, self.folder)
 
     def summed(self, *parts: DataFrame) -> DataFrame:
         rows = parts[0]
@@ -120,17 +120,17 @@ def dependent_counts(edges: DataFrame, lg_entries: int = 10, rounds: Rounds | No
     folder = shared_folder(spark, "reach")
     pairs = imported(edges).select("source", "target").where("source IS NOT NULL AND target IS NOT NULL").distinct()
     names = running(pairs.select(F.explode(F.array("source", "target")).alias("name")).distinct(), [F.col("name")], F.lit(1))
-    names = written(names.select("name", F.col("rank").alias("node")), folder)
+    names = tabled(names.select("name", F.col("rank").alias("node")), folder)
     a, b = names.select(F.col("name").alias("source"), F.col("node").alias("a")), names.select(F.col("name").alias("target"), F.col("node").alias("b"))
-    pairs = written(pairs.join(a, "source").join(b, "target").select("a", "b"), folder)
+    pairs = tabled(pairs.join(a, "source").join(b, "target").select("a", "b"), folder)
     comp = strong_components(pairs.select(F.col("a").alias("source"), F.col("b").alias("target")), rounds)
     loops = pairs.where("a = b").select(F.col("a").alias("loop"))
     at = names.select("node").join(comp, "node", "left").join(loops, F.col("node") == F.col("loop"), "left")
-    at = written(at.select("node", F.coalesce("component", "node").alias("at"), (F.col("component").isNotNull() | F.col("loop").isNotNull()).alias("ring")), folder)
+    at = tabled(at.select("node", F.coalesce("component", "node").alias("at"), (F.col("component").isNotNull() | F.col("loop").isNotNull()).alias("ring")), folder)
     x, y = at.select(F.col("node").alias("a"), F.col("at").alias("u")), at.select(F.col("node").alias("b"), F.col("at").alias("v"))
-    flow = written(pairs.join(x, "a").join(y, "b").where("u <> v").select("u", "v").distinct(), folder)  # u leads to v
+    flow = tabled(pairs.join(x, "a").join(y, "b").where("u <> v").select("u", "v").distinct(), folder)  # u leads to v
 
-    own = written(at.groupBy("at").agg(F.theta_sketch_agg("node", F.lit(lg_entries)).alias("sketch")), folder)
+    own = tabled(at.groupBy("at").agg(F.theta_sketch_agg("node", F.lit(lg_entries)).alias("sketch")), folder)
     every = _Sketches(folder, lg_entries, rounds).through_trees(flow, own)
     counts = every.select("at", F.theta_sketch_estimate("sketch").alias("n"))
     n = F.col("n") - F.when(F.col("ring"), 0).otherwise(1)
