@@ -47,6 +47,20 @@ def search(nodes: DataFrame, text: str, most: int | None = 8) -> DataFrame:
     found = nodes.where((F.lower("label").contains(wanted) | F.lower("id").contains(wanted)) & F.lit(bool(text.strip())))
     return found.orderBy("id").limit(most) if most else found
 
+def prune_few(nodes: DataFrame, edges: DataFrame, most: int = 10_000) -> DataFrame:
+    """As prune_dangling, where most ends are nodes: up to so many other ends are taken out as they pass, and edges are not shuffled."""
+    ends = edges.select(F.explode(F.array("source", "target")).alias("end")).where("end IS NOT NULL").distinct()
+    lost = settle(ends.join(nodes.select("id"), F.col("end") == F.col("id"), "left_anti"))
+    if not small(lost, most):
+        return prune_dangling(nodes, edges)
+    out = edges.where("source IS NOT NULL AND target IS NOT NULL")
+    if lost.isEmpty():
+        return out
+    for side in ("source", "target"):
+        out = out.join(F.broadcast(lost.withColumnRenamed("end", f"_{side}")), F.col(side) == F.col(f"_{side}"), "left_anti")
+    return out
+
+
 
 def facet_filter(nodes: DataFrame, file_types: list[str], prefix: str = "", communities: list[int] | None = None) -> DataFrame:
     out = nodes.where(F.col("file_type").isin(*file_types) & F.col("source_file").startswith(prefix))
@@ -313,7 +327,7 @@ def warning_groups(cycles: DataFrame, walks: bool = False, longest_walk: int = 1
 
 def node_sizes(nodes: DataFrame, edges: DataFrame, hub_ids: DataFrame) -> DataFrame:
     """(id, size): 4 + 1.8 sqrt(degree), at least 13 for hubs, at most 22."""
-    degree = degree_multi(prune_dangling(nodes, edges))
+    degree = degree_multi(prune_few(nodes, edges))
     hub = hub_ids.select(F.col("node").alias("hub")).distinct()
     joined = nodes.join(degree, nodes["id"] == degree["node"], "left").join(hub, nodes["id"] == hub["hub"], "left")
     least = F.when(F.col("hub").isNotNull(), F.lit(13.0)).otherwise(F.lit(0.0))
@@ -346,7 +360,7 @@ def hash_layout(nodes: DataFrame) -> DataFrame:
 def layout_edges(nodes: DataFrame, edges: DataFrame, hub_ids: DataFrame) -> DataFrame:
     """Edges that pull: both ends are nodes, and no physical edge touches a hub."""
     hub = hub_ids.select(F.col("node").alias("hub")).distinct()
-    inside = prune_dangling(nodes, edges)
+    inside = prune_few(nodes, edges)
     hub = settle(hub)
     hub = F.broadcast(hub) if small(hub, 10_000) else hub
     for end in ("source", "target"):

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import ids
-from .functions.lineage import settle, shared_folder, with_rank
+from .functions.lineage import settle, shared_folder, with_rank, written
 from .operators import change, community, graph, reach, resolve, rules
 from .operators.resolve import GENERIC
 from .plans import projections as P
@@ -607,8 +607,8 @@ def top_dirs(spark, sf):
 
 @query(f"""WITH {_HUBS}, nodes AS (SELECT DISTINCT node AS id FROM both_) SELECT id, round(least(CAST(22 AS DOUBLE), greatest(CASE WHEN id IN (SELECT node FROM hubs) THEN CAST(13 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END, CAST(4 AS DOUBLE) + CAST(1.8 AS DOUBLE) * sqrt(degree))), 6) AS size FROM nodes JOIN deg ON id = node""")
 def node_size(spark, sf):
-    edges = settle(P.market_edges(spark, sf))
-    nodes = graph.both_ways(edges).select(F.col("node").alias("id")).distinct()
+    edges = written(P.market_edges(spark, sf), shared_folder(spark, "market"))
+    nodes = settle(graph.both_ways(edges).select(F.col("node").alias("id")).distinct())
     return graph.node_sizes(nodes, edges, graph.hubs(edges)).select("id", F.round("size", 6).alias("size"))
 
 
@@ -635,8 +635,8 @@ def bounding_box(spark, sf):
 
 @query(f"WITH {_HUBS} SELECT source, target FROM medges WHERE source NOT IN (SELECT node FROM hubs) AND target NOT IN (SELECT node FROM hubs)")
 def layout_edges(spark, sf):
-    edges = settle(P.market_edges(spark, sf))
-    nodes = graph.both_ways(edges).select(F.col("node").alias("id")).distinct()
+    edges = written(P.market_edges(spark, sf), shared_folder(spark, "market"))
+    nodes = settle(graph.both_ways(edges).select(F.col("node").alias("id")).distinct())
     return graph.layout_edges(nodes, edges, graph.hubs(edges)).select("source", "target")
 
 
