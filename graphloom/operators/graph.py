@@ -16,8 +16,14 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 
 def degree_distinct(edges: DataFrame) -> DataFrame:
-    """Number of different neighbours over all but suspicious edges; a loop counts its own node once."""
-    return both_ways(edges.where("type <> 'SUSPICIOUS'")).distinct().groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    """Number of different neighbours over all but suspicious edges; a loop counts its own node once.
+
+    Pairs are told apart once, not once from each end; least and greatest skip nulls, so those are put second.
+    """
+    none = F.col("source").isNull() | F.col("target").isNull()
+    pairs = edges.where("type <> 'SUSPICIOUS'").select(F.least("source", "target").alias("a"), F.when(~none, F.greatest("source", "target")).alias("b")).distinct()
+    ends = pairs.select(F.explode(F.when(F.col("a").eqNullSafe(F.col("b")), F.array("a")).otherwise(F.array("a", "b"))).alias("node"))
+    return ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
 
 
 def degree_multi(edges: DataFrame) -> DataFrame:
@@ -41,12 +47,6 @@ def prune_dangling(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 induced_edges = prune_dangling
 
 
-def search(nodes: DataFrame, text: str, most: int | None = 8) -> DataFrame:
-    """Nodes whose label or id has the text in it, capitals alike; none for a blank text."""
-    wanted = F.lit(text.strip().lower())
-    found = nodes.where((F.lower("label").contains(wanted) | F.lower("id").contains(wanted)) & F.lit(bool(text.strip())))
-    return found.orderBy("id").limit(most) if most else found
-
 def prune_few(nodes: DataFrame, edges: DataFrame, most: int = 10_000) -> DataFrame:
     """As prune_dangling, where most ends are nodes: up to so many other ends are taken out as they pass, and edges are not shuffled."""
     ends = edges.select(F.explode(F.array("source", "target")).alias("end")).where("end IS NOT NULL").distinct()
@@ -61,6 +61,12 @@ def prune_few(nodes: DataFrame, edges: DataFrame, most: int = 10_000) -> DataFra
     return out
 
 
+def search(nodes: DataFrame, text: str, most: int | None = 8) -> DataFrame:
+    """Nodes whose label or id has the text in it, capitals alike; none for a blank text."""
+    wanted = F.lit(text.strip().lower())
+    found = nodes.where((F.lower("label").contains(wanted) | F.lower("id").contains(wanted)) & F.lit(bool(text.strip())))
+    return found.orderBy("id").limit(most) if most else found
+
 
 def facet_filter(nodes: DataFrame, file_types: list[str], prefix: str = "", communities: list[int] | None = None) -> DataFrame:
     out = nodes.where(F.col("file_type").isin(*file_types) & F.col("source_file").startswith(prefix))

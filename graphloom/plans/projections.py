@@ -45,11 +45,11 @@ def next_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def market_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From suppliers and from customers to their parts."""
+    """From suppliers and from customers to their parts, told apart by their keys before they have names."""
     line = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
-    sells = line.select(_named("supplier", "l_suppkey").alias("source"), _named("part", "l_partkey").alias("target")).distinct()
+    sells = line.select("l_suppkey", "l_partkey").distinct().select(_named("supplier", "l_suppkey").alias("source"), _named("part", "l_partkey").alias("target"))
     buys = line.join(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    buys = buys.select(_named("customer", "o_custkey").alias("source"), _named("part", "l_partkey").alias("target")).distinct()
+    buys = buys.select("o_custkey", "l_partkey").distinct().select(_named("customer", "o_custkey").alias("source"), _named("part", "l_partkey").alias("target"))
     return _physical(sells.unionByName(buys))
 
 
