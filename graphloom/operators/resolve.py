@@ -165,13 +165,17 @@ def _namespace_members(calls: DataFrame, target: DataFrame, exports: DataFrame |
 
 
 def coverage(pairs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(found, expected, ratio): of the different (caller, target_file) pairs that imports resolve to, those with an import edge between their files' nodes."""
-    wanted = pairs.where("target_file IS NOT NULL").select("caller", "target_file").distinct()
-    files = nodes.select(F.col("id"), F.col("source_file"))
+    """(found, expected, ratio): of the different (caller, target_file) pairs that imports resolve to, those with an import edge between their files' nodes.
+
+    Pairs and edges meet in one aggregation; files are the side that joins hash, so edges aren't sorted.
+    """
+    files = settle(nodes.select("id", "source_file"))
+    of = lambda end, file: files.select(F.col("id").alias(end), F.col("source_file").alias(file)).hint("shuffle_hash")
     made = edges.where("relation = 'imports' AND type = 'PHYSICAL'").select("source", "target")
-    made = made.join(files.select(F.col("id").alias("source"), F.col("source_file").alias("caller")), "source").join(files.select(F.col("id").alias("target"), F.col("source_file").alias("target_file")), "target")
-    made = made.select("caller", "target_file").distinct().withColumn("made", F.lit(1))
-    sums = wanted.join(made, ["caller", "target_file"], "left").agg(F.coalesce(F.sum("made"), F.lit(0)).alias("found"), F.count(F.lit(1)).alias("expected"))
+    made = made.join(of("source", "caller"), "source").join(of("target", "target_file"), "target").where("caller IS NOT NULL AND target_file IS NOT NULL")
+    wanted = pairs.where("target_file IS NOT NULL").select("caller", "target_file", F.lit(1).alias("wanted"), F.lit(0).alias("made"))
+    both = wanted.union(made.select("caller", "target_file", F.lit(0), F.lit(1))).groupBy("caller", "target_file").agg(F.max("wanted").alias("wanted"), F.max("made").alias("made")).where("wanted = 1")
+    sums = both.agg(F.coalesce(F.sum("made"), F.lit(0)).cast("long").alias("found"), F.count(F.lit(1)).alias("expected"))
     return sums.select("found", "expected", F.when(F.col("expected") > 0, F.col("found") / F.col("expected")).alias("ratio"))
 
 

@@ -582,11 +582,16 @@ def call_cascade(spark, sf):
 SELECT count(made.a) AS found, count(*) AS expected, round(count(made.a) / count(*), 9) AS ratio FROM want LEFT JOIN made USING (a, b)""")
 def import_coverage(spark, sf):
     """Of the pairs of files that imports resolve to, the share that the graph has an edge for."""
-    line = P.read(spark, sf, "lineitem").select(F.concat(F.lit("src/s"), F.col("l_suppkey").cast("string")).alias("caller"), F.concat(F.lit("lib/p"), F.col("l_partkey").cast("string")).alias("to"), "l_linenumber", "l_partkey")
-    pairs = line.select("caller", F.when(F.col("l_partkey") % 11 != 0, F.col("to")).alias("target_file"))
-    files = line.select(F.explode(F.array("caller", "to")).alias("source_file")).distinct()
-    nodes = files.select(ids.file_id(F.col("source_file")).alias("id"), "source_file")
-    edges = line.where("l_linenumber > 1").select(ids.file_id(F.col("caller")).alias("source"), ids.file_id(F.col("to")).alias("target"), F.lit("imports").alias("relation"), F.lit("PHYSICAL").alias("type"))
+    line = P.read(spark, sf, "lineitem").select("l_suppkey", "l_partkey", "l_linenumber")
+    caller, to = F.concat(F.lit("src/s"), F.col("l_suppkey").cast("string")), F.concat(F.lit("lib/p"), F.col("l_partkey").cast("string"))
+    pairs = line.select(caller.alias("caller"), F.when(F.col("l_partkey") % 11 != 0, to).alias("target_file"))
+    # A file's id is made once, not for each import of the file.
+    named = lambda key, file: settle(line.select(key).distinct().select(key, ids.file_id(file).alias("id"), file.alias("source_file")))
+    callers, targets = named("l_suppkey", caller), named("l_partkey", to)
+    nodes = callers.select("id", "source_file").union(targets.select("id", "source_file"))
+    of = lambda files, key, end: files.select(key, F.col("id").alias(end)).hint("shuffle_hash")
+    edges = line.where("l_linenumber > 1").select("l_suppkey", "l_partkey").distinct().join(of(targets, "l_partkey", "target"), "l_partkey").join(of(callers, "l_suppkey", "source"), "l_suppkey")
+    edges = edges.select("source", "target", F.lit("imports").alias("relation"), F.lit("PHYSICAL").alias("type"))
     return resolve.coverage(pairs, nodes, edges).select("found", "expected", F.round("ratio", 9).alias("ratio"))
 
 
