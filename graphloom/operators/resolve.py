@@ -86,17 +86,21 @@ def resolve_modules(imports: DataFrame, files: DataFrame, aliases: list[tuple[st
 def _followed(pointers: DataFrame, most: int | None = None) -> tuple[DataFrame, bool]:
     """(a, b, on) pointers followed to their ends, and whether some have none: each round doubles the steps taken.
 
-    `on` tells that b still points on, which after as many steps as there are pointers means that it is on a cycle.
+    `on` tells that b still points on, which after as many steps as there are pointers means that it is on a cycle. A
+    pointer that has come to its end is looked up by others but goes no further itself.
     """
     most, taken = pointers.count() if most is None else most, 1
-    far = pointers.select("a", "b", F.lit(True).alias("on"))
+    going, ended = pointers.select("a", "b", F.lit(True).alias("on")), None
     while True:
+        far = going if ended is None else going.union(ended)
         ahead = far.select(F.col("a").alias("x"), F.col("b").alias("y"))
-        far = settle(far.join(ahead, far["b"] == ahead["x"], "left").select("a", F.coalesce("y", "b").alias("b"), F.col("y").isNotNull().alias("on")))
+        step = settle(going.join(ahead, going["b"] == ahead["x"], "left").select("a", F.coalesce("y", "b").alias("b"), F.col("y").isNotNull().alias("on")))
         taken *= 2
-        moves = not far.where("on").isEmpty()
+        going, done = step.where("on"), step.where("NOT on")
+        ended = done if ended is None else ended.union(done)
+        moves = not going.isEmpty()
         if not moves or taken > most:
-            return far, moves
+            return going.union(ended), moves
 
 
 def _ends(pointers: DataFrame) -> DataFrame:

@@ -517,7 +517,7 @@ def resolve_first_candidate(spark, sf):
 @query(f"""WITH RECURSIVE {NEXT}, hop AS (SELECT source AS req, source AS file, [source] AS seen, FALSE AS again FROM nedges UNION ALL SELECT req, target, list_append(seen, target), list_contains(seen, target) FROM hop JOIN nedges ON file = source WHERE NOT again)
 SELECT req AS req_id, arg_max(file, len(seen)) AS file, 'f' AS symbol FROM hop GROUP BY req""")
 def reexport_unwrap(spark, sf):
-    e = P.next_edges(spark, sf)
+    e = settle(P.next_edges(spark, sf).select("source", "target"))
     exports = e.select(F.col("source").alias("file"), F.lit("f").alias("symbol"), F.col("target").alias("target_file"), F.lit("f").alias("target_symbol"), F.lit(None).cast("int").alias("star_pos"))
     requests = e.select(F.col("source").alias("req_id"), F.col("source").alias("file"), F.lit("f").alias("symbol"))
     return resolve.unwrap_reexports(requests, exports)
