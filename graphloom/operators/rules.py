@@ -92,21 +92,36 @@ def literal_folder(pattern: str, kind: str) -> str:
     return bare[: bare.rfind("/") + 1]
 
 
+def literal_part(pattern: str, kind: str) -> str:
+    """The longest piece without wildcards of a glob, which every file that it matches has in it; empty for regexes."""
+    return max(re.split(r"[*?]+", pattern), key=len) if kind == "glob" else ""
+
+
+def _matches(pattern: str, kind: str) -> Column:
+    """Whether the file matches: plain comparisons of bytes come before the regex."""
+    hit = F.col("file").rlike(pattern_of(pattern, kind))
+    for plain, piece in ((F.contains, literal_part(pattern, kind)), (F.startswith, literal_folder(pattern, kind))):
+        hit = plain(F.col("file"), F.lit(piece)) & hit if piece else hit
+    return hit
+
+
 def file_bitmaps(files: DataFrame, rules: list[dict]) -> DataFrame:
     """(file, from_bits, to_bits) of different files (file): which rules' from, and which rules' to but for its exceptions, match it.
 
-    A file only meets the patterns whose literal folder is one of its own, and each file meets a pattern once, however
-    many edges it has. Rows are sorted by pattern, so a task compiles a pattern once. Files that nothing matches are left out.
+    Each different pattern is a literal of the plan and looks at a file once, however many rules and edges have them; a
+    file makes rows for what matches it only. Files that nothing matches are left out. Names are few bytes but much work,
+    so they are dealt to a fixed number of tasks.
     """
+    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known: dict[tuple[str, str], int] = {}
     listed = []
     for i, rule in enumerate(rules):
         for side, what in (("from", [rule["from"]]), ("to", [rule["to"]]), ("but", rule["except"])):
-            listed += [(i // WORD, 1 << i % WORD, side, literal_folder(p, rule["pathKind"]), pattern_of(p, rule["pathKind"])) for p in what]
-    table = files.sparkSession.createDataFrame(listed, "word int, bit long, side string, folder string, pattern string")  # a row a pattern
-    parts = F.split("file", "/")
-    folders = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.when(k == 0, "").otherwise(F.concat(F.array_join(F.slice(parts, F.lit(1), k), "/"), F.lit("/"))))
-    met = files.where("file IS NOT NULL").select("file", F.explode(folders).alias("folder")).join(F.broadcast(table), "folder")
-    met = met.sortWithinPartitions("pattern").where(F.rlike(F.col("file"), F.col("pattern")))
+            listed += [(i // WORD, 1 << i % WORD, side, known.setdefault((p, rule["pathKind"]), len(known))) for p in what]
+    table = files.sparkSession.createDataFrame(listed, "word int, bit long, side string, n int")  # a row a pattern of a rule
+    found = F.array_compact(F.array(*[F.when(_matches(*pattern), F.lit(n)) for pattern, n in known.items()]))
+    seen = settle(files.where("file IS NOT NULL").repartition(parts, "file").select("file", found.alias("found")))  # else a filter and explode() would look twice more
+    met = seen.select("file", F.explode("found").alias("n")).join(F.broadcast(table), "n")
     side = lambda x: F.max(F.col("side") == x).alias(f"is_{x}")
     sides = met.groupBy("file", "word", "bit").agg(*[side(x) for x in ("from", "to", "but")])
     words = range((len(rules) + WORD - 1) // WORD)

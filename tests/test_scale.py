@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from graphloom.functions.lineage import settle
-from graphloom.operators import change, cycles, reach
+from graphloom.operators import change, cycles, graph, reach, resolve, rules
 
 
 def rows_made(spark, run):
@@ -57,3 +57,73 @@ def test_no_table_of_a_loop_is_broadcast(spark):
     steps = rows_made(spark, lambda: found.append(reach.dependent_counts(imports)))[1]
     assert {r.node: r.dependents for r in found[1].collect()}["40"] == 40
     assert all(rows <= 4 for name, rows in steps if name == "BroadcastExchange")
+
+
+def test_rules_make_rows_for_matches_only(spark):
+    """Two hundred rules over a thousand files, each matched by two patterns of all."""
+    listed = rules.parse_rules({"boundaries": [{"from": f"*/a{k}", "to": "none", "except": "none/x"} for k in range(199)] + [{"from": "/b[0-9]+$", "to": "c/a7*", "pathKind": "glob"}, {"from": "a7$", "to": "b", "pathKind": "regex"}]}, spark)
+    files = spark.range(1000).select(F.concat(F.lit("c/a"), (F.col("id") % 199).cast("string"), F.when(F.col("id") >= 199, F.concat(F.lit("/"), F.col("id").cast("string"))).otherwise("")).alias("file"))
+    got = []
+    most, _ = rows_made(spark, lambda: got.extend(rules.file_bitmaps(files, listed).collect()))
+    bits = {r.file: (list(r.from_bits), list(r.to_bits)) for r in got}
+    assert bits["c/a7"][0] == [1 << 7, 0, 0, 1 << 200 % 62] and bits["c/a7"][1] == [0, 0, 0, 1 << 199 % 62]
+    assert {f for f, (a, _) in bits.items() if any(a)} == {f"c/a{i}" for i in range(199)}
+    assert most <= 5_000
+
+
+def test_degrees_keep_each_pair_once(spark):
+    """Nulls, loops and both directions count as before, and pairs aren't told apart from both ends."""
+    pairs = [("a", "b"), ("b", "a"), ("a", "a"), ("a", None), (None, "a"), (None, None), ("c", "a"), ("c", "a")]
+    df = spark.createDataFrame([(a, b, "PHYSICAL") for a, b in pairs] + [("z", "a", "SUSPICIOUS")], "source string, target string, type string")
+    want = {r.node: r.n for r in graph.both_ways(df.where("type = 'PHYSICAL'")).distinct().groupBy("node").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert {r.node: r.degree for r in graph.degree_distinct(df).collect()} == want == {"a": 4, "b": 1, "c": 1, None: 2}
+    many = spark.range(4000).select(F.concat(F.lit("s"), F.col("id") % 400).alias("source"), F.concat(F.lit("t"), "id").alias("target"), F.lit("PHYSICAL").alias("type"))
+    assert sum(rows for name, rows in rows_made(spark, lambda: graph.degree_distinct(many).collect())[1] if name == "HashAggregate") < 20_000
+
+
+def test_edges_are_not_shuffled_for_a_few_lost_ends(spark):
+    """Sizes and layout edges where all, or all but a few, ends are nodes; the same as by joins with all nodes."""
+    base = spark.range(3000).select(F.concat(F.lit("n"), F.col("id") % 1500).alias("source"), F.concat(F.lit("n"), (F.col("id") * 7 + 1) % 1500).alias("target"))
+    odd = spark.createDataFrame([("n1", "lost"), ("lost", "n2"), (None, "n1"), ("n3", None)], "source string, target string")
+    nodes = settle(spark.range(1500).select(F.concat(F.lit("n"), "id").alias("id")))
+    for edges in (base, base.union(odd)):
+        want = sorted(map(tuple, graph.prune_dangling(nodes, edges).collect()))
+        for most in (0, 10):
+            assert sorted(map(tuple, graph.prune_few(nodes, edges, most).collect())) == want
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        held = settle(base.union(odd))
+        steps = rows_made(spark, lambda: graph.prune_few(nodes, held).write.format("noop").mode("overwrite").save())[1]
+        assert sum(name == "SortMergeJoin" for name, _ in steps) <= 1
+        whole = held.withColumns({"type": F.lit("PHYSICAL"), "relation": F.lit("imports"), "score": F.lit(1.0)})
+        hubs = spark.createDataFrame([("n1",)], "node string")
+        steps = rows_made(spark, lambda: graph.layout_edges(nodes, whole, hubs).write.format("noop").mode("overwrite").save())[1]
+        assert sum(name == "SortMergeJoin" for name, _ in steps) <= 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_coverage_meets_in_one_aggregation(spark):
+    """Nulls, repeats and files of one id; edges aren't sorted for joins."""
+    pairs = spark.createDataFrame([("a", "b"), ("a", "b"), ("a", "c"), ("a", None), (None, "b"), ("A", "b")], "caller string, target_file string")
+    nodes = spark.createDataFrame([("1", "a"), ("1", "A"), ("2", "b"), ("3", "c"), ("4", None)], "id string, source_file string")
+    edges = spark.createDataFrame([("1", "2"), ("1", "2"), ("2", "1"), ("4", "2"), ("1", "9"), (None, "2")], "source string, target string").withColumns({"relation": F.lit("imports"), "type": F.lit("PHYSICAL")})
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = []
+        steps = rows_made(spark, lambda: got.extend(resolve.coverage(pairs, nodes, edges).collect()))[1]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert [tuple(r) for r in got] == [(2, 4, 0.5)]
+    assert not any(name == "SortMergeJoin" for name, _ in steps)
+
+
+def test_ended_pointers_go_no_further(spark):
+    """A long path beside many short ones: later rounds only write what still goes."""
+    path = spark.range(64).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    short = spark.range(5000).select((F.col("id") + 1000).alias("a"), F.lit(-1).cast("long").alias("b"))
+    pointers = settle(path.union(short))
+    got = []
+    _, steps = rows_made(spark, lambda: got.append(resolve._ends(pointers)))
+    assert {r.a: r.end for r in got[0].collect()} == {i: 64 for i in range(64)} | {i + 1000: -1 for i in range(5000)}
+    assert sum(rows for name, rows in steps if name.endswith("Join")) < 15_000
