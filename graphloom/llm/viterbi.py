@@ -8,13 +8,15 @@ short but where a text repeats itself so that two paths run side by side ("qqqq.
 Where one boundary is open nothing before it matters, so what the search does from there up to the next such boundary
 hangs only on the characters that it looks at. An encoder keeps such stretches in a tree of characters, and what they
 give for whole words that begin and end between them, and goes on by looking them up; the search itself runs where a
-stretch has not been seen.
+stretch has not been seen. Words that have not been seen are searched many at a time, all one place further in each step
+(lockstep), by arrays; what doesn't fit that (long words and long waits) one by one.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import math
 import re
 import struct
@@ -32,7 +34,10 @@ UNKNOWN_PENALTY = 10.0
 STRETCH, NODES, HEAD = 64, 500_000, 3
 #: Words are remembered while they and what belongs to them take so many bytes.
 REMEMBERED, ENTRY = 160_000_000, 160
+#: Words that are searched in lockstep at once.
+LOCKSTEP = 16_384
 #: Words with the marks before them.
+MARK = "▁"
 WORDS = re.compile("▁*[^▁]+|▁+")
 #: What stands behind a text's last character: no text and no piece has it.
 END = "\ud800"
@@ -56,12 +61,128 @@ class Vocabulary:
         #: Every beginning of a piece: its id and score if it is one, else nothing.
         self.table: dict[str, tuple] = {p[:k]: () for p in self.pieces for k in range(1, len(p))} | self.pieces
 
+    @functools.cached_property
+    def crosses(self) -> bool:
+        """Whether pieces go on from one word into the next."""
+        return any(MARK in p.lstrip(MARK) for p in self.pieces)
+
+    @functools.cached_property
+    def steps(self) -> Steps:
+        return Steps(self)
+
     def spelled(self, char: str) -> list[int]:
         """Ids of a character that no piece covers: its bytes, or the unknown id."""
         raw = char.encode()
         return [self.bytes_[b] for b in raw] if all(b in self.bytes_ for b in raw) else [self.unknown]
 
 
+class Steps:
+    """A vocabulary's table as arrays: beginnings of pieces have numbers (none: 0), and a number and a character lead to the next."""
+
+    def __init__(self, v: Vocabulary):
+        number = {"": 0} | {p: i for i, p in enumerate(v.table, 1)}
+        self.kind = np.zeros(0x110000, np.int64)  # of characters; 0 is in no piece
+        chars = sorted({ord(p[-1]) for p in v.table})
+        self.kind[chars] = np.arange(1, len(chars) + 1)
+        self.kinds = len(chars) + 1
+        keys = np.array([number[p[:-1]] * self.kinds + self.kind[ord(p[-1])] for p in v.table], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.to = keys[order], order + 1
+        self.piece, self.gain = np.full(len(number), -1, np.int64), np.zeros(len(number))
+        for p, (i, gain) in v.pieces.items():
+            self.piece[number[p]], self.gain[number[p]] = i, gain
+        self.goes_on = np.zeros(len(number), bool)  # beginnings that a mark goes on
+        self.goes_on[[number[p[:-1]] for p in v.table if p[-1] == MARK]] = True
+
+    def next(self, at: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """Numbers of the beginnings that are longer by a character; 0 where there is none."""
+        keys = at * self.kinds + kind
+        found = np.searchsorted(self.keys, keys)
+        found[found == len(self.keys)] = 0
+        return np.where(self.keys[found] == keys, self.to[found], 0)
+
+
+def search_words(v: Vocabulary, words: list[str]) -> Iterator[tuple[str, tuple[bytes, int, int]]]:
+    """What the search gives for words from a single open boundary before each: ids, commits and the widest wait.
+
+    No word ends with a mark, and behind each stands a mark or the end of its text. Left out are words that a piece might
+    go on beyond, or where paths run side by side for longer than the longest piece. As every start reaches the next
+    place, by a piece or the unknown id, all places are boundaries, and one is open where no piece so far goes further.
+    """
+    steps = v.steps
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(sizes + 1) - 1  # places of the ENDs, one behind each word
+    starts = ends - sizes
+    code = np.frombuffer((END.join(words) + END).encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind, size = steps.kind[code], len(code)
+    word_of = np.repeat(np.arange(len(words)), sizes + 1)
+    place = np.arange(size) - starts[word_of]
+    left_out = np.zeros(len(words), bool)
+    inside = np.ones(size, bool)
+    inside[ends] = False
+    # All pieces from all places, by length.
+    far = np.arange(size) + inside
+    at = np.flatnonzero(inside)
+    node = np.zeros(len(at), np.int64)
+    edges: list[tuple] = []
+    for k in range(1, v.longest + 1):
+        node = steps.next(node, kind[at + k - 1])
+        if k == 1:
+            alone = at[steps.piece[node] < 0]
+            edges.append((alone, alone + 1, np.full(len(alone), v.unknown_score), np.full(len(alone), -1)))
+        going = node > 0
+        at, node = at[going], node[going]
+        whole = steps.piece[node]
+        some = whole >= 0
+        edges.append((at[some], at[some] + k, steps.gain[node[some]], whole[some]))
+        far[at[some]] = at[some] + k
+        left_out[word_of[at[~inside[at + k] & steps.goes_on[node]]]] = True
+        going = inside[at + k]
+        at, node = at[going], node[going]
+        if not len(at):
+            break
+    source, target, gain, piece = map(np.concatenate, zip(*edges, strict=True))
+    # Starts are dealt with from left to right, in all words at once; an equal sum doesn't displace an earlier start's.
+    order = np.argsort(place[source].astype(np.min_scalar_type(int(sizes.max()))), kind="stable")
+    source, target, gain, piece = source[order], target[order], gain[order], piece[order]
+    bounds = np.searchsorted(place[source], np.arange(sizes.max() + 1))
+    score, back, last = np.full(size, -math.inf), np.zeros(size, np.int64), np.zeros(size, np.int64)
+    score[starts] = 0.0
+    for low, high in itertools.pairwise(bounds.tolist()):
+        sums = score[source[low:high]] + gain[low:high]
+        better = np.flatnonzero(sums > score[target[low:high]])
+        to = target[low:high][better]
+        score[to], back[to], last[to] = sums[better], source[low:high][better], piece[low:high][better]
+    # Backpointers from the words' ends; every word's end is the only open boundary.
+    cut = np.zeros(size, bool)
+    at = ends
+    while len(at):
+        cut[at] = True
+        at = back[at]
+        at = at[place[at] > 0]
+    cuts = np.flatnonzero(cut)
+    ids = last[cuts]
+    bare = ids < 0
+    chars, which = np.unique(code[cuts[bare] - 1], return_inverse=True)
+    spelled = [v.spelled(chr(c)) for c in chars.tolist()]
+    times = np.ones(len(cuts), np.int64)
+    times[bare] = np.array([len(x) for x in spelled], np.int64)[which]
+    ids, bare = np.repeat(ids, times), np.repeat(bare, times)
+    ids[bare] = np.fromiter(itertools.chain.from_iterable([spelled[i] for i in which.tolist()]), np.int64)
+    raw = ids.astype("<i4").tobytes()
+    ids_to = (4 * np.cumsum(times)[np.searchsorted(cuts, ends)]).tolist()
+    single = np.flatnonzero(inside & (np.maximum.accumulate(far) == np.arange(size) + 1)) + 1
+    waits = place[single] - np.where(np.diff(word_of[single], prepend=-1) > 0, 0, place[np.roll(single, 1)])
+    first = np.searchsorted(single, starts, "right")
+    commits, widest = np.diff(np.append(first, len(single))), np.maximum.reduceat(waits, first)
+    left_out |= widest > v.longest
+    low = 0
+    for word, high, out, n, wait in zip(words, ids_to, left_out.tolist(), commits.tolist(), widest.tolist(), strict=True):
+        if not out:
+            yield word, (raw[low:high], n, wait)
+        low = high
+
+
 class StreamingViterbi:
     """feed() text bit by bit and finish(); both give the ids that are certain by then. Equal sums: the longer last piece wins.
 
@@ -238,29 +359,50 @@ class Encoder:
     def encode_all(self, texts: list[str]) -> list[tuple[bytes, int, int]]:
         """The ids of each text as little-endian 32-bit bytes, how often the search committed some, and its widest wait."""
         out = []
-        for raw in texts:
-            text, words, at, start, found = self.v.model.normalize(raw), self.words, 0, 0, []
-            ended = text + END
-            for word in WORDS.findall(text):
-                whole = words.get(word) if at == start else None
-                start += len(word)
-                if whole is None:
-                    if at >= start:  # a stretch has passed this word
-                        continue
-                    whole, at = self.word(ended, word, at, start)
-                else:
-                    at = start
-                found.append(whole)
-            out.append((b"".join([x[0] for x in found]), sum([x[1] for x in found]), max([x[2] for x in found], default=0)))
+        normal = [self.v.model.normalize(raw) for raw in texts]
+        parted = [WORDS.findall(text) for text in normal]
+        self.learn(set().union(*parted))
+        for text, parts in zip(normal, parted, strict=True):
+            found = list(map(self.words.get, parts))
+            if None in found:
+                found = self.walk(text, parts)
+            raws, commits, waits = zip(*found, strict=True) if found else ((), (), ())
+            out.append((b"".join(raws), sum(commits), max(waits, default=0)))
             if self.held > REMEMBERED:
                 self.words, self.held = {}, 0
         return out
 
+    def learn(self, words: set[str]) -> None:
+        """Searches, in lockstep, words that have not been seen."""
+        fresh = [x for x in words if x not in self.words and len(x) <= STRETCH and x[-1] != MARK]
+        for i in range(0, len(fresh), LOCKSTEP):
+            if self.held > REMEMBERED:
+                break
+            for word, whole in search_words(self.v, fresh[i : i + LOCKSTEP]):
+                self.words[word] = whole
+                self.held += 4 * len(word) + len(whole[0]) + ENTRY
+
+    def walk(self, text: str, parts: list[str]) -> list[tuple[bytes, int, int]]:
+        """What the search gives for a text's words, one after the other."""
+        ended, words, at, start, found = text + END, self.words, 0, 0, []
+        for word in parts:
+            whole = words.get(word) if at == start else None
+            start += len(word)
+            if whole is None:
+                if at >= start:  # a stretch has passed this word
+                    continue
+                whole, at = self.word(ended, word, at, start)
+            else:
+                at = start
+            found.append(whole)
+        return found
+
     def word(self, text: str, word: str, at: int, end: int) -> tuple[tuple[bytes, int, int], int]:
         """What the search gives from a single open boundary up to the end of a word or beyond, and where it comes to.
 
         Where it has begun with the word, comes to its end and has looked no further than one character behind it, that
-        is remembered for the word: behind words stands a mark of the next one or nothing, and neither goes on a piece.
+        is remembered for the word: behind words stands a mark of the next one or nothing, and neither goes on a piece
+        (where the vocabulary has pieces across words, only what is learnt is remembered).
         """
         begun, ids, commits, widest, furthest = at == end - len(word), [], 0, 0, at
         while at < end:
@@ -276,7 +418,7 @@ class Encoder:
             commits += n
             widest = max(widest, wait)
         whole = (b"".join(ids), commits, widest)
-        if begun and at == end and furthest <= end + 1 and len(word) <= STRETCH:
+        if begun and at == end and furthest <= end + 1 and len(word) <= STRETCH and not self.v.crosses:
             self.words[word] = whole
             self.held += 4 * len(word) + len(whole[0]) + ENTRY
         return whole, at

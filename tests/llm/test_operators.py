@@ -5,9 +5,11 @@ import hashlib
 import itertools
 import json
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -351,6 +353,54 @@ def test_viterbi_equals_the_library(encoder, tmp_path, docs):
     assert total > 1000 and same == total
 
 
+def fed(v, text, step=97):
+    """Ids, commits and the widest wait of a text that the search is fed bit by bit."""
+    search = viterbi.StreamingViterbi(v)
+    ids = [i for k in range(0, len(text), step) for i in search.feed(text[k : k + step])]
+    ids += search.finish()
+    return ids, search.commits, search.widest
+
+
+def unpacked(found):
+    return [(np.frombuffer(ids, dtype="<i4").tolist(), commits, widest) for ids, commits, widest in found]
+
+
+def test_viterbi_lockstep(docs):
+    """Unseen words are searched many at a time, not one by one (before: a search for nearly every one), with the same result."""
+    texts = [r.text for r in docs.collect()] + [t or "" for t in ODD if len(t or "") < 6000]
+    one = viterbi.Encoder(queries.vocabulary("piece_bpe_32k.model"))
+    got = [x for i in range(0, len(texts), 100) for x in unpacked(one.encode_all(texts[i : i + 100]))]
+    assert got == [fed(one.v, one.v.model.normalize(t)) for t in texts]
+    words = {w for t in texts for w in viterbi.WORDS.findall(one.v.model.normalize(t))}
+    assert len(words) > 10_000 and one.searched < len(words) / 50
+
+
+def test_viterbi_lockstep_of_odd_vocabularies():
+    """Equal sums, pieces across words, characters without a piece, and paths that stay apart for long."""
+    rng = random.Random(5)
+    left_out = taken = 0
+    for _ in range(60):
+        v = object.__new__(viterbi.Vocabulary)
+        made = {"".join(rng.choice("aab▁") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(1, 12))} - {"▁" * k for k in range(rng.randint(0, 3))}
+        made = {p for p in made if rng.random() < 0.3 or "▁" not in p.lstrip("▁")} | {"aa"}
+        v.pieces = {p: (i, -float(rng.randint(1, 3))) for i, p in enumerate(sorted(made))}
+        v.bytes_ = {b: 100 + b for b in range(rng.choice((0, 256)))}
+        v.unknown, v.unknown_score, v.longest = 99, -13.0, max(map(len, made))
+        v.table = {p[:k]: () for p in v.pieces for k in range(1, len(p))} | v.pieces
+        v.model = SimpleNamespace(normalize=lambda x: x)
+        texts = ["".join(rng.choice("aaab▁▁é😀") for _ in range(rng.randint(0, 40))) for _ in range(30)] + ["a" * 90, "▁", "▁▁a▁▁"]
+        one = viterbi.Encoder.__new__(viterbi.Encoder)
+        one.v, one.known, one.words = v, {}, {}
+        one.nodes = one.searched = one.held = 0
+        assert unpacked(one.encode_all(texts)) == [fed(v, t, 3) for t in texts]
+        words = sorted({w for t in texts for w in viterbi.WORDS.findall(t) if w[-1] != "▁"})
+        found = dict(viterbi.search_words(v, words))
+        for w, whole in found.items():
+            assert unpacked([whole]) == [fed(v, w, 3)]
+        taken, left_out = taken + len(found), left_out + len(words) - len(found)
+    assert taken > 1000 and left_out > 50
+
+
 def test_viterbi_query(spark, at, encoder):
     """The ids of the whole query, text by text, are those of a plain search over the whole text at once."""
     for folder in (SF, at):
