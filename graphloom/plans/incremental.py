@@ -2,7 +2,7 @@
 
 What was resolved stays in a table with the files it was resolved from. A file is looked at again if it changed, if a path
 came or went that one of its specifiers is looked for at, if a file it imports from, or one that hands on to that,
-changed, or if it calls a name whose symbols changed. Everything else is taken over, with the same result.
+changed or has a re-export that leads elsewhere now, or if it calls a name whose symbols changed. Everything else is taken over, with the same result.
 """
 
 from __future__ import annotations
@@ -35,10 +35,14 @@ def raw_imports(extracted: DataFrame) -> DataFrame:
     return extracted.select(F.col("source_file").alias("caller"), F.explode("imports").alias("i")).select("caller", "i.*")
 
 
+def handed_specifiers(extracted: DataFrame) -> DataFrame:
+    """(caller, specifier) of re-exports."""
+    return extracted.select(F.col("source_file").alias("caller"), F.explode("exports").alias("e")).select("caller", F.col("e.specifier").alias("specifier")).where("specifier IS NOT NULL")
+
+
 def specifiers(extracted: DataFrame) -> DataFrame:
     """(caller, specifier) of imports and re-exports, each once a file."""
-    led = extracted.select(F.col("source_file").alias("caller"), F.explode("exports").alias("e")).select("caller", F.col("e.specifier").alias("specifier"))
-    return raw_imports(extracted).select("caller", "specifier").unionByName(led).where("specifier IS NOT NULL").distinct()
+    return raw_imports(extracted).select("caller", "specifier").where("specifier IS NOT NULL").unionByName(handed_specifiers(extracted)).distinct()
 
 
 def raw_calls(extracted: DataFrame) -> DataFrame:
@@ -114,11 +118,13 @@ def touched_files(old: Resolved, extracted: DataFrame, files: DataFrame, symbols
     paths = moved.where("was IS NULL OR now IS NULL").select(F.col("source_file").alias("file"))
     asked = resolve.with_folder(specifiers(extracted))
     hit = resolve.probes(asked, aliases).join(F.broadcast(paths) if paths.count() <= 10_000 else paths, "file", "left_semi").select(F.col("folder").alias("f"), F.col("specifier").alias("s")).distinct()
-    probed = asked.join(hit, asked["folder"].eqNullSafe(hit["f"]) & (asked["specifier"] == hit["s"]), "left_semi").select(F.col("caller").alias("source_file"))
-    probed = settle(probed.distinct())
-    # Files that hand on what a changed one, or one whose specifiers lead elsewhere now, exports; before or after.
+    hit = settle(hit)
+    led_there = lambda df: settle(df.join(hit, df["folder"].eqNullSafe(hit["f"]) & (df["specifier"] == hit["s"]), "left_semi").select(F.col("caller").alias("source_file")).distinct())
+    probed, handing = led_there(asked), led_there(resolve.with_folder(handed_specifiers(extracted)))
+    # Files that hand on what a changed one, or one whose re-exports lead elsewhere now, exports; before or after. Where
+    # only imports lead elsewhere, what the file exports is what it was.
     exports = old.exports.select("file", "target_file").unionByName(export_table(extracted.join(names, "source_file", "left_semi"), old.targets).select("file", "target_file"))
-    reach = _handed_on(exports, names.unionByName(probed), "target_file", "file")
+    reach = _handed_on(exports, names.unionByName(handing), "target_file", "file")
     users = old.targets.join(reach.withColumnRenamed("source_file", "target_file"), "target_file", "left_semi").select(F.col("caller").alias("source_file"))
     # Names of which symbols came or went.
     mine = lambda df, x: df.join(names, "source_file", "left_semi").select("id", F.lower("label").alias(x))

@@ -297,3 +297,31 @@ def test_incremental_equals_full(spark, tmp_path):
             assert got == want, (step, name)
         touched.append(some.touched.count())
     assert touched[-1] == 0 and min(touched[:-1]) < 14
+
+
+def test_incremental_leaves_importers_alone(spark, tmp_path):
+    """A path that comes touches files that look for it, and importers of those that hand it on, but not of those that import it."""
+    root, aliases = tmp_path / "repo/src", [("@/*", ["src/*"])]
+    root.mkdir(parents=True)
+    texts = {
+        "a": "import { f1 } from '@/b'\nexport function own() { f1() }",
+        "b": "import { g } from '@/late'\nexport function f1() { g() }",
+        "c": "import { g as x } from '@/d'\nexport function other() { x() }",
+        "d": "export { g } from '@/late'",
+    }
+    for name, text in texts.items():
+        (root / f"{name}.ts").write_text(text)
+
+    def look(state):
+        there = settle(files.scan(spark, str(tmp_path / "repo")))
+        found = settle(extract.extract(there))
+        return incremental.resolved(spark, found, there, settle(code_nodes(found, there)[1]), aliases, state)
+
+    look(f"{tmp_path}/state")
+    (root / "late.ts").write_text("export function g() { }")
+    some, full = look(f"{tmp_path}/state"), look(None)
+    for name in ("targets", "exports", "brought", "binds", "called"):
+        got, want = (sorted(map(tuple, getattr(x, name).collect()), key=repr) for x in (some, full))
+        assert got == want, name
+    assert {r.source_file for r in some.touched.collect()} == {f"src/{x}.ts" for x in ("b", "c", "d", "late")}
+    assert any(r.target_file == "src/late.ts" and r.caller == "src/c.ts" for r in some.brought.collect())
