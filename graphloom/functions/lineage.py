@@ -58,6 +58,11 @@ def tabled(df: DataFrame, folder: str) -> DataFrame:
     return written(df, folder).hint("merge")
 
 
+def gathered(one: DataFrame, folder: str) -> DataFrame:
+    """The rows of all tables that tabled has made in a folder so far, of which one is given."""
+    return one.sparkSession.read.schema(one.schema).option("recursiveFileLookup", "true").parquet(folder).hint("merge")
+
+
 def ranked(df: DataFrame, order: list[Column], to: str = "rank") -> tuple[DataFrame, int]:
     """df (narrow rows) with each row's place from 0 in the order, and the number of rows.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lineage import settle
+from ..functions.lineage import drop_folder, gathered, settle, shared_folder, tabled
 
 # Source extensions in the order they are tried, and what a JavaScript name may stand for.
 EXTENSIONS = (".ts", ".tsx", ".js", ".jsx", ".py", ".go", ".rs", ".java", ".c", ".cpp", ".h")
@@ -83,34 +83,43 @@ def resolve_modules(imports: DataFrame, files: DataFrame, aliases: list[tuple[st
     return asked.join(best, asked["folder"].eqNullSafe(best["bf"]) & (asked["specifier"] == best["bs"]), "left").select("import_id", "target_file")
 
 
-def _followed(pointers: DataFrame, most: int | None = None) -> tuple[DataFrame, bool]:
+def _followed(pointers: DataFrame, folder: str, rings: bool = True) -> tuple[DataFrame, bool]:
     """(a, b, on) pointers followed to their ends, and whether some have none: each round doubles the steps taken.
 
-    `on` tells that b still points on, which after as many steps as there are pointers means that it is on a cycle. A
-    pointer that has come to its end is looked up by others but goes no further itself.
+    `on` tells that b still points on. A pointer that has come to its end is looked up by others but goes no further
+    itself. Where those that go on come to as many places as a round before, all these places are on cycles: what a
+    round leads to is part of what the one before led to, so the steps map these places onto themselves. Rounds grow with
+    the logarithm of the longest path to an end or a cycle. rings: whether there may be cycles.
+
+    Each round is a table below the folder: a checkpoint's estimate of size would be squared by each round's join.
     """
-    most, taken = pointers.count() if most is None else most, 1
-    going, ended = pointers.select("a", "b", F.lit(True).alias("on")), None
+    spark, turn, before = pointers.sparkSession, 0, None
+    schema = pointers.select("a", "b").schema.add("round", "integer").add("on", "boolean")
+    pointers.select("a", "b", F.lit(True).alias("on")).write.partitionBy("on").parquet(f"{folder}/round=0")
     while True:
-        far = going if ended is None else going.union(ended)
-        ahead = far.select(F.col("a").alias("x"), F.col("b").alias("y"))
-        step = settle(going.join(ahead, going["b"] == ahead["x"], "left").select("a", F.coalesce("y", "b").alias("b"), F.col("y").isNotNull().alias("on")))
-        taken *= 2
-        going, done = step.where("on"), step.where("NOT on")
-        ended = done if ended is None else ended.union(done)
-        moves = not going.isEmpty()
-        if not moves or taken > most:
-            return going.union(ended), moves
+        far = spark.read.schema(schema).parquet(folder).where((F.col("round") == turn) | ~F.col("on"))
+        going = far.where("on")
+        now = going.select("b").distinct().count() if rings else int(not going.isEmpty())
+        if not now or (rings and now == before):
+            return far.select("a", "b", "on"), now > 0
+        before, turn = now, turn + 1
+        ahead = far.select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("on").alias("more"))
+        step = going.hint("merge").join(ahead, F.col("b") == F.col("x"), "left").select("a", F.coalesce("y", "b").alias("b"), F.coalesce("more", F.lit(False)).alias("on"))
+        step.write.partitionBy("on").parquet(f"{folder}/round={turn}")
 
 
 def _ends(pointers: DataFrame) -> DataFrame:
     """(a, b) of unique a to (a, end): where its path ends, or the first place of a cycle that it comes to."""
-    far, cycles = _followed(pointers)
-    if not cycles:
-        return far.select("a", F.col("b").alias("end"))
-    ring = settle(far.where("on").select(F.col("b").alias("r")).distinct())
-    to_ring = pointers.join(ring, pointers["a"] == ring["r"], "left_anti")
-    return _followed(to_ring)[0].select("a", F.col("b").alias("end")).union(ring.select("r", "r"))
+    spark = pointers.sparkSession
+    folder = shared_folder(spark, "ends")
+    far, cycles = _followed(pointers, f"{folder}/all")
+    if cycles:
+        ring = tabled(far.where("on").select(F.col("b").alias("r")).distinct(), folder)
+        to_ring = pointers.join(ring, pointers["a"] == ring["r"], "left_anti")
+        far = _followed(to_ring, f"{folder}/to_ring", rings=False)[0].select("a", "b").union(ring.select("r", "r"))
+    out = settle(far.select("a", F.col("b").alias("end")))
+    drop_folder(spark, folder)
+    return out
 
 
 def unwrap_reexports(requests: DataFrame, exports: DataFrame) -> DataFrame:
@@ -120,7 +129,7 @@ def unwrap_reexports(requests: DataFrame, exports: DataFrame) -> DataFrame:
     source that names the symbol or has a star itself does. A request ends where nothing leads on, where an export is the
     file's own, or at the first place that it comes to again. Where a place leads does not hang on the request, so places
     are linked once and their paths followed by doubling: rounds grow with the logarithm of the longest chain of named
-    exports. Star sources are linked by rounds as long as the longest chain of stars.
+    exports. Star sources are linked by rounds as long as the longest chain of stars. Rounds are tables in the shared folder.
     """
     exports = settle(exports if "pos" in exports.columns else exports.withColumn("pos", F.lit(0)))
     named = exports.where("star_pos IS NULL").select(F.col("file").alias("f"), F.col("symbol").alias("s"), F.col("target_file").alias("tf"), F.coalesce("target_symbol", "symbol").alias("ts"), "pos")
@@ -140,17 +149,18 @@ def unwrap_reexports(requests: DataFrame, exports: DataFrame) -> DataFrame:
         return step.select("file", "symbol", F.coalesce(F.col("named.tf"), F.col("via")).alias("nf"), symbol.alias("ns"))
 
     asked = requests.select("file", "symbol").union(named.select("f", "s")).union(named.select("named.tf", "named.ts"))
-    places = settle(asked.where("file IS NOT NULL AND symbol IS NOT NULL").distinct())
-    fresh, linked = places, None
+    folder = shared_folder(requests.sparkSession, "reexports")
+    fresh = tabled(asked.where("file IS NOT NULL AND symbol IS NOT NULL").distinct(), f"{folder}/places")
     while True:
-        step = settle(leads(fresh).where("nf IS NOT NULL AND ns IS NOT NULL"))
-        linked = step if linked is None else settle(linked.union(step))
-        fresh = settle(step.select(F.col("nf").alias("file"), F.col("ns").alias("symbol")).distinct().join(places, ["file", "symbol"], "left_anti"))
+        step = tabled(leads(fresh).where("nf IS NOT NULL AND ns IS NOT NULL"), f"{folder}/linked")
+        ahead = step.select(F.col("nf").alias("file"), F.col("ns").alias("symbol")).distinct()
+        fresh = tabled(ahead.join(gathered(fresh, f"{folder}/places"), ["file", "symbol"], "left_anti"), f"{folder}/places")
         if fresh.isEmpty():
             break
-        places = settle(places.union(fresh))
     place = lambda file, symbol: F.struct(F.col(file).alias("file"), F.col(symbol).alias("symbol"))
-    ends = _ends(settle(linked.select(place("file", "symbol").alias("a"), place("nf", "ns").alias("b")).where("a <> b")))
+    linked = gathered(step, f"{folder}/linked").select(place("file", "symbol").alias("a"), place("nf", "ns").alias("b"))
+    ends = _ends(linked.where("a <> b"))
+    drop_folder(requests.sparkSession, folder)
     ends = ends.select(F.col("a.file").alias("f"), F.col("a.symbol").alias("s"), "end")
     out = requests.select("req_id", "file", "symbol").join(ends, (F.col("file") == F.col("f")) & (F.col("symbol") == F.col("s")), "left")
     return out.select("req_id", F.coalesce("end.file", "file").alias("file"), F.coalesce("end.symbol", "symbol").alias("symbol"))

@@ -1,5 +1,8 @@
 """What operators do for large tables: rows that joins make, and what goes through the driver."""
 
+import os
+import random
+
 from pyspark.sql import functions as F
 
 from graphloom.functions.lineage import settle
@@ -127,3 +130,32 @@ def test_ended_pointers_go_no_further(spark):
     _, steps = rows_made(spark, lambda: got.append(resolve._ends(pointers)))
     assert {r.a: r.end for r in got[0].collect()} == {i: 64 for i in range(64)} | {i + 1000: -1 for i in range(5000)}
     assert sum(rows for name, rows in steps if name.endswith("Join")) < 15_000
+
+
+def test_estimates_do_not_grow_with_rounds(spark, monkeypatch):
+    """Pointers into rings and a chain of stars: right ends, no estimate of size that rounds multiply, and rounds as paths are long, not as pointers are many."""
+    bits = lambda df: int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()).bit_length()
+    rng = random.Random(5)
+    to = {i: rng.randrange(330) for i in range(300)} | {1000 + i: 1000 + (i + 1) % 3000 for i in range(3000)} | {5000: 1000, 5001: 5000}
+    to = {a: b for a, b in to.items() if a != b}
+
+    def end(a):
+        seen = set()
+        while a in to and a not in seen:
+            seen.add(a)
+            a = to[a]
+        return a
+
+    got = resolve._ends(settle(spark.createDataFrame(list(to.items()), "a long, b long")))
+    assert bits(got) < 64
+    assert {r.a: r.end for r in got.collect()} == {a: end(a) for a in to}
+    stars = [(f"s{i}", None, f"s{i + 1}", None, 0) for i in range(6)] + [("s6", "x", "u", "y", None)]
+    asks = spark.createDataFrame([(0, "s0", "x"), (1, "s5", "x"), (2, "u", "x")], "req_id int, file string, symbol string")
+    got = resolve.unwrap_reexports(asks, spark.createDataFrame(stars, "file string, symbol string, target_file string, target_symbol string, star_pos int"))
+    assert bits(got) < 128
+    assert {tuple(r) for r in got.collect()} == {(0, "u", "y"), (1, "u", "y"), (2, "u", "x")}
+    kept = []
+    monkeypatch.setattr(resolve, "drop_folder", lambda _, path: kept.append(path))
+    ring = settle(spark.createDataFrame([(a, b) for a, b in to.items() if a >= 1000], "a long, b long"))
+    assert resolve._ends(ring).where("end = 1000").count() == 3
+    assert sum(name.startswith("round=") for name in os.listdir(f"{kept[0].removeprefix('file:')}/all")) <= 4
